@@ -1,0 +1,402 @@
+"""DuckDB oracle SQL for the registered queries.
+
+Independent of the Spark code path: scores are handled as exact integer
+micro-units (BIGINT / HUGEINT) with explicit HALF_UP integer rounding, the
+view over the driver tables is re-declared in SQL, and windows are used
+freely (the oracle runs on small data only).
+"""
+
+from __future__ import annotations
+
+import itertools
+
+MODELS = ("chatgpt", "claude", "deepseek")
+BANDS = ("low", "middle", "high")
+BAND_DEF = {"low": "(-inf, 0.25]", "middle": "(0.25, 0.75)", "high": "[0.75, +inf)"}
+
+
+# ------------------------------------------------------------------ helpers
+def text6(u: str, digits: int = 6) -> str:
+    """Integer units of 10^-digits -> shortest decimal text."""
+    unit = 10**digits
+    mag = f"abs(CAST({u} AS HUGEINT))"
+    body = (
+        f"rtrim(rtrim(CAST({mag} // {unit} AS VARCHAR) || '.' || "
+        f"lpad(CAST({mag} % {unit} AS VARCHAR), {digits}, '0'), '0'), '.')"
+    )
+    return f"(CASE WHEN ({u}) < 0 THEN '-' || {body} ELSE {body} END)"
+
+
+def half_up(num: str, den: str) -> str:
+    n = f"CAST({num} AS HUGEINT)"
+    d = f"CAST({den} AS HUGEINT)"
+    mag = f"((2 * abs({n}) + {d}) // (2 * {d}))"
+    return f"(CASE WHEN {n} < 0 THEN -{mag} ELSE {mag} END)"
+
+
+def pct(count: str, total: str) -> str:
+    return f"(CASE WHEN ({total}) = 0 THEN '0' ELSE {text6(half_up(f'CAST({count} AS HUGEINT) * 100000000', total))} END)"
+
+
+def bin_idx(u: str) -> str:
+    return (
+        f"(CASE WHEN ({u}) < 0 THEN -1 WHEN ({u}) > 1000000 THEN 10 WHEN ({u}) = 0 THEN 0 "
+        f"ELSE least((({u}) + 99999) // 100000 - 1, 9) END)"
+    )
+
+
+def bin_label(i: str) -> str:
+    return (
+        f"(CASE WHEN ({i}) < 0 THEN '< 0.0' WHEN ({i}) > 9 THEN '> 1.0' ELSE "
+        f"(CASE WHEN ({i}) = 0 THEN '[' ELSE '(' END) || printf('%.1f', ({i}) / 10) || ', ' || "
+        f"printf('%.1f', (({i}) + 1) / 10) || ']' END)"
+    )
+
+
+def band_u(u: str) -> str:
+    return f"(CASE WHEN ({u}) <= 250000 THEN 'low' WHEN ({u}) >= 750000 THEN 'high' ELSE 'middle' END)"
+
+
+def values_table(name: str, col: str, values) -> str:
+    rows = ", ".join(f"({v!r})" if isinstance(v, str) else f"({v})" for v in values)
+    rows = rows.replace("'", "'")
+    return f"{name}({col}) AS (SELECT * FROM (VALUES {rows}) t({col}))"
+
+
+def grid_sql(dims: dict[str, list]) -> str:
+    """Cross product of literal lists as one SELECT (oracle side only)."""
+    parts = []
+    for i, (name, values) in enumerate(dims.items()):
+        rows = ", ".join(("'" + v + "'") if isinstance(v, str) else str(v) for v in values)
+        parts.append(f"(SELECT * FROM (VALUES {', '.join('(' + x.strip() + ')' for x in rows.split(','))}) g{i}({name}))")
+    return "SELECT * FROM " + " CROSS JOIN ".join(parts)
+
+
+def _raw_truthy(c: str, key: str) -> str:
+    p = f"'$.{key}'"
+    t = f"json_type({c}, {p})"
+    return (
+        f"(CASE WHEN {t} IS NULL OR {t} = 'NULL' THEN false "
+        f"WHEN {t} = 'BOOLEAN' THEN CAST(json_extract({c}, {p}) AS BOOLEAN) "
+        f"WHEN {t} = 'VARCHAR' THEN json_extract_string({c}, {p}) <> '' "
+        f"WHEN {t} = 'ARRAY' THEN json_array_length({c}, {p}) > 0 "
+        f"WHEN {t} = 'OBJECT' THEN CAST(json_extract({c}, {p}) AS VARCHAR) <> '{{}}' "
+        f"ELSE CAST(json_extract({c}, {p}) AS DOUBLE) <> 0 END)"
+    )
+
+
+def raw_reason(c: str) -> str:
+    """NULL or one of empty / invalid_json / non_object / pipeline_error."""
+    t = f"trim({c})"
+    marked = f"(contains({c}, 'pipeline_placeholder') OR contains({c}, 'pipeline_error'))"
+    return (
+        f"(CASE WHEN {c} IS NULL OR {t} = '' THEN 'empty:{c}' "
+        f"WHEN NOT (starts_with({t}, '{{') AND ends_with({t}, '}}')) THEN 'invalid_json:{c}' "
+        f"WHEN NOT {marked} THEN NULL "
+        f"WHEN NOT json_valid({c}) THEN 'invalid_json:{c}' "
+        f"WHEN json_type({c}) <> 'OBJECT' THEN 'non_object:{c}' "
+        f"WHEN {_raw_truthy(c, 'pipeline_placeholder')} OR {_raw_truthy(c, 'pipeline_error')} THEN 'pipeline_error:{c}' "
+        f"END)"
+    )
+
+
+SCORE_COLS = ("phase_c_variable_match_score", "phase_c_step_position_score", "phase_c_dataflow_path_score")
+RAW_COLS = ("phase_a_raw", "phase_b_raw", "phase_c_raw")
+TEXT_COLS = ("sample_id",) + SCORE_COLS + ("phase_c_overall_consistency", "phase_c_comment") + RAW_COLS
+
+
+def _mt(u: str) -> str:
+    return f"printf('%d.%06d', ({u}) // 1000000, ({u}) % 1000000)"
+
+
+SCORED_VIEW = f"""
+li AS (
+  SELECT *, l_partkey % 97 AS r,
+         CAST(round(l_discount * 100) AS BIGINT) * 100000 AS e0,
+         CAST(round(l_tax * 100) AS BIGINT) * 125000 AS l0,
+         CAST(round(l_quantity) AS BIGINT) * 20000 AS f0
+  FROM lineitem WHERE l_linenumber BETWEEN 1 AND 3
+),
+v AS (
+  SELECT
+    CASE l_linenumber WHEN 1 THEN 'chatgpt' WHEN 2 THEN 'claude' ELSE 'deepseek' END AS model,
+    l_linenumber AS model_ord,
+    CAST(l_suppkey % 2 AS INTEGER) AS file_ord,
+    (CASE l_linenumber WHEN 1 THEN 'chatgpt' WHEN 2 THEN 'claude' ELSE 'deepseek' END)
+      || '_part' || CAST(l_suppkey % 2 AS VARCHAR) || '.csv' AS source_file,
+    l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey,
+    CASE WHEN r = 12 THEN 'o' || CAST(l_orderkey AS VARCHAR) ELSE 'o_' || CAST(l_orderkey AS VARCHAR) END AS sample_id,
+    CASE WHEN r = 6 THEN 'not-a-number' WHEN r = 11 THEN '-0.5' WHEN r = 19 THEN 'Infinity' ELSE {_mt('e0')} END
+      AS phase_c_variable_match_score,
+    CASE WHEN r = 7 THEN '' WHEN r = 13 THEN ' ' || {_mt('l0')} || ' ' ELSE {_mt('l0')} END
+      AS phase_c_step_position_score,
+    CASE WHEN r = 8 THEN 'NaN' WHEN r = 10 THEN '1.5' WHEN r = 20 THEN '1e-1' ELSE {_mt('f0')} END
+      AS phase_c_dataflow_path_score,
+    'consistent' AS phase_c_overall_consistency,
+    CASE WHEN r = 9 THEN '[PHASE_C_ERROR] timeout' ELSE 'ok' END AS phase_c_comment,
+    CASE WHEN r = 1 THEN '' WHEN r = 4 THEN '[1,2]'
+         WHEN r = 16 THEN '{{"pipeline_placeholder":0,"pipeline_error":""}}'
+         WHEN r = 18 THEN '  {{"pipeline_placeholder":{{"a":1}}}}  ' ELSE '{{"ok":true}}' END AS phase_a_raw,
+    CASE WHEN r = 5 THEN '{{"pipeline_placeholder":true,"pipeline_error":"failed"}}'
+         WHEN r = 14 THEN '{{"pipeline_error": oops}}'
+         WHEN r = 17 THEN '{{"pipeline_placeholder":[],"note":"pipeline_error"}}' ELSE '{{"ok":true}}' END AS phase_b_raw,
+    CASE WHEN r = 2 THEN '{{garbage}}' WHEN r = 3 THEN '{{"pipeline_placeholder":false}}'
+         WHEN r = 15 THEN '{{"pipeline_placeholder":"false"}}'
+         WHEN r = 22 THEN '{{"pipeline_error":null,"pipeline_placeholder":1.5}}' ELSE '{{"ok":true}}' END AS phase_c_raw
+  FROM li
+),
+p AS (
+  SELECT v.*,
+    CAST(TRY_CAST(trim(phase_c_variable_match_score) AS DECIMAL(18,9)) * 1000000 AS BIGINT) AS eu,
+    CAST(TRY_CAST(trim(phase_c_step_position_score) AS DECIMAL(18,9)) * 1000000 AS BIGINT) AS lu,
+    CAST(TRY_CAST(trim(phase_c_dataflow_path_score) AS DECIMAL(18,9)) * 1000000 AS BIGINT) AS fu,
+    row_number() OVER (PARTITION BY model ORDER BY file_ord, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey) AS pos
+  FROM v
+),
+q AS (
+  SELECT p.*,
+    eu + lu + fu + 3 * least(eu, lu, fu) AS num,
+    {" OR ".join(f"coalesce(starts_with({c}, '[PHASE_') AND contains({c}, '_ERROR]'), false)" for c in TEXT_COLS)} AS marker,
+    concat_ws(';',
+      CASE WHEN NOT contains(sample_id, '_') OR NOT regexp_matches(trim(split_part(sample_id, '_', -1)), '^[+-]?[0-9]+$')
+           THEN 'invalid_sample_id_suffix' END,
+      {", ".join(raw_reason(c) for c in RAW_COLS)},
+      CASE WHEN {" OR ".join(f"coalesce(starts_with({c}, '[PHASE_') AND contains({c}, '_ERROR]'), false)" for c in TEXT_COLS)}
+           THEN 'phase_error_marker' END,
+      {", ".join(
+        f"CASE WHEN regexp_matches(trim({c}), '(?i)^[+-]?(s?nan[0-9]*|inf|infinity)$') THEN 'non_finite_score:{c}' "
+        f"WHEN TRY_CAST(trim({c}) AS DECIMAL(18,9)) IS NULL THEN 'invalid_score:{c}' END" for c in SCORE_COLS)}
+    ) AS reasons0
+  FROM p
+),
+m AS (
+  SELECT q.*,
+    min(CASE WHEN reasons0 = '' THEN pos END) OVER (PARTITION BY model, sample_id) AS first_pos
+  FROM q
+),
+mr AS (
+  SELECT m.*,
+    CASE WHEN first_pos IS NOT NULL AND pos > first_pos
+         THEN (CASE WHEN reasons0 = '' THEN 'duplicate_sample_id' ELSE reasons0 || ';duplicate_sample_id' END)
+         ELSE reasons0 END AS reason,
+    CASE WHEN num < 0 THEN -((2 * abs(num) + 6) // 12) ELSE (2 * abs(num) + 6) // 12 END AS sim_u,
+    CASE WHEN num <= 1500000 THEN 'low' WHEN num >= 4500000 THEN 'high' ELSE 'middle' END AS score_band,
+    CASE WHEN contains(sample_id, '_') AND regexp_matches(trim(split_part(sample_id, '_', -1)), '^[+-]?[0-9]+$')
+         THEN CAST(trim(split_part(sample_id, '_', -1)) AS BIGINT) ELSE 9223372036854775807 END AS sample_index
+  FROM m
+),
+valid AS (
+  SELECT model, model_ord, sample_id, sample_index, eu, lu, fu, num, sim_u, score_band,
+         1000000 - sim_u AS cds_u, {band_u('1000000 - sim_u')} AS cds_band
+  FROM mr WHERE reason = ''
+),
+cids AS (SELECT sample_id FROM valid GROUP BY sample_id HAVING count(*) = 3),
+common AS (SELECT valid.* FROM valid JOIN cids USING (sample_id)),
+scoped AS (
+  SELECT 'full' AS scope, * FROM valid
+  UNION ALL SELECT 'three_model_common' AS scope, * FROM common
+)"""
+
+# D6 stage: F1 + F2 only (no duplicate rule, no id-suffix rule).
+D6_VIEW = f"""
+{SCORED_VIEW.strip()},
+d6 AS (
+  SELECT model, sample_id, eu, lu, fu, num,
+    ({" OR ".join(f"{raw_reason(c)} IS NOT NULL" for c in RAW_COLS)} OR marker
+      OR eu IS NULL OR lu IS NULL OR fu IS NULL) AS skipped
+  FROM q
+),
+d6v AS (
+  SELECT model, sample_id,
+    CASE WHEN num < 0 THEN -((2 * abs(num) + 6) // 12) ELSE (2 * abs(num) + 6) // 12 END AS sim_u
+  FROM d6 WHERE NOT skipped
+),
+d6s AS (SELECT model, sample_id, sim_u, 1000000 - sim_u AS cds_u FROM d6v)"""
+
+
+def _median_text(tbl: str, group: str, val: str) -> str:
+    return f"""(
+  SELECT {group}, sum({val}) FILTER (WHERE rn = (n + 1) // 2) + sum({val}) FILTER (WHERE rn = n // 2 + 1) AS med2
+  FROM (SELECT {group}, {val}, row_number() OVER (PARTITION BY {group} ORDER BY {val}) AS rn,
+               count(*) OVER (PARTITION BY {group}) AS n FROM {tbl}) x
+  GROUP BY {group})"""
+
+
+def _summary(tbl: str, group: str, val: str) -> str:
+    return f"""
+SELECT a.{group},
+  a.row_count, a.distinct_count,
+  {text6(half_up('a.s', 'a.row_count'))} AS mean,
+  {text6('b.med2 * 5', 7)} AS median,
+  {text6('a.mn')} AS minimum, {text6('a.mx')} AS maximum
+FROM (SELECT {group}, count(*) AS row_count, count(DISTINCT {val}) AS distinct_count,
+             sum(CAST({val} AS HUGEINT)) AS s, min({val}) AS mn, max({val}) AS mx
+      FROM {tbl} GROUP BY {group}) a
+JOIN {_median_text(tbl, group, val)} b USING ({group})"""
+
+
+def _hist(tbl: str, groups: dict[str, list], val: str, label: str, keep: bool = True,
+          cumulative: bool = False, total_name: str = "total_valid") -> str:
+    g = list(groups)
+    gsel = ", ".join(g)
+    grid = grid_sql({**groups, "bin": list(range(10))})
+    extra = (
+        f"UNION ALL SELECT {gsel}, bin, cnt FROM cnts WHERE bin < 0 OR bin > 9" if keep else ""
+    )
+    cum = ""
+    if cumulative:
+        fg = ", ".join("f." + x for x in g)
+        run = f"sum(f.cnt) OVER (PARTITION BY {fg} ORDER BY f.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        cum = (
+            f", CAST({run} AS BIGINT) AS cumulative_count"
+            f", {pct(run, 'coalesce(t.tot, 0)')} AS cumulative_percentage"
+        )
+    return f"""
+cnts AS (SELECT {gsel}, {bin_idx(val)} AS bin, count(*) AS cnt FROM {tbl} GROUP BY ALL),
+tots AS (SELECT {gsel}, count(*) AS tot FROM {tbl} GROUP BY ALL),
+filled AS (
+  SELECT gr.*, coalesce(c.cnt, 0) AS cnt FROM ({grid}) gr LEFT JOIN cnts c USING ({gsel}, bin)
+  {extra}
+)
+SELECT {", ".join(f"f.{x}" for x in g)}, {bin_label('f.bin')} AS {label}, CAST(f.cnt AS BIGINT) AS count,
+  {pct('f.cnt', 'coalesce(t.tot, 0)')} AS percentage{cum},
+  CAST(coalesce(t.tot, 0) AS BIGINT) AS {total_name}, f.bin AS bin_index
+FROM filled f LEFT JOIN tots t USING ({gsel})"""
+
+
+def _bands(tbl: str, groups: dict[str, list], band_col: str) -> str:
+    g = list(groups)
+    gsel = ", ".join(g)
+    grid = grid_sql({**groups, "band": list(BANDS)})
+    defs = " ".join(f"WHEN '{b}' THEN '{d}'" for b, d in BAND_DEF.items())
+    return f"""
+cnts AS (SELECT {gsel}, {band_col} AS band, count(*) AS cnt FROM {tbl} GROUP BY ALL),
+tots AS (SELECT {gsel}, count(*) AS tot FROM {tbl} GROUP BY ALL)
+SELECT {", ".join(f"gr.{x}" for x in g)}, gr.band, CASE gr.band {defs} END AS band_definition,
+  CAST(coalesce(c.cnt, 0) AS BIGINT) AS count, {pct('coalesce(c.cnt, 0)', 'coalesce(t.tot, 0)')} AS percentage,
+  CAST(coalesce(t.tot, 0) AS BIGINT) AS total_valid
+FROM ({grid}) gr LEFT JOIN cnts c USING ({gsel}, band) LEFT JOIN tots t USING ({gsel})"""
+
+
+def _wide(val: str, band: str) -> str:
+    cols = ", ".join(
+        f"max(CASE WHEN model = '{m}' THEN {val} END) AS v_{m}, max(CASE WHEN model = '{m}' THEN {band} END) AS b_{m}"
+        for m in MODELS
+    )
+    return f"wide AS (SELECT sample_id, {cols} FROM common GROUP BY sample_id)"
+
+
+def _agreement(val: str, band: str) -> str:
+    pairs = list(itertools.combinations(MODELS, 2))
+    parts = [
+        f"SELECT '{a}_vs_{b}' AS comparison, count(*) AS cv, count(*) FILTER (WHERE b_{a} = b_{b}) AS ag FROM wide"
+        for a, b in pairs
+    ]
+    parts.append(
+        "SELECT 'all_three' AS comparison, count(*) AS cv, count(*) FILTER (WHERE "
+        + " AND ".join(f"b_{m} = b_{MODELS[0]}" for m in MODELS[1:]) + ") AS ag FROM wide"
+    )
+    return f"""WITH {SCORED_VIEW.strip()}, {_wide(val, band)}
+SELECT comparison, CAST(cv AS BIGINT) AS common_valid, CAST(ag AS BIGINT) AS agree_count,
+  CAST(cv - ag AS BIGINT) AS disagree_count, {pct('ag', 'cv')} AS agreement_percentage
+FROM ({" UNION ALL ".join(parts)}) x"""
+
+
+def _combinations(val: str, band: str, suffix: str) -> str:
+    keys = [f"{m}{suffix}" for m in MODELS]
+    grid = grid_sql({k: list(BANDS) for k in keys})
+    same = " AND ".join(f"gr.{k} = gr.{keys[0]}" for k in keys[1:])
+    return f"""WITH {SCORED_VIEW.strip()}, {_wide(val, band)},
+cnts AS (SELECT {", ".join(f"b_{m} AS {k}" for m, k in zip(MODELS, keys))}, count(*) AS cnt FROM wide GROUP BY ALL),
+tot AS (SELECT count(*) AS cv FROM wide)
+SELECT {", ".join(f"gr.{k}" for k in keys)}, CASE WHEN {same} THEN 'true' ELSE 'false' END AS all_same,
+  CAST(coalesce(c.cnt, 0) AS BIGINT) AS count, {pct('coalesce(c.cnt, 0)', 'tot.cv')} AS percentage,
+  CAST(tot.cv AS BIGINT) AS common_valid
+FROM ({grid}) gr LEFT JOIN cnts c USING ({", ".join(keys)}) CROSS JOIN tot"""
+
+
+def _diff_long(val: str, band: str) -> str:
+    pairs = list(itertools.combinations(MODELS, 2))
+    parts = " UNION ALL ".join(
+        f"SELECT '{a}_vs_{b}' AS comparison, abs(v_{a} - v_{b}) AS d FROM wide" for a, b in pairs
+    )
+    return f"{_wide(val, band)}, dl AS ({parts})"
+
+
+def oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    comps = [f"{a}_vs_{b}" for a, b in itertools.combinations(MODELS, 2)]
+    q["p11_composite_similarity"] = f"""WITH {D6_VIEW.strip()}
+SELECT model, sample_id, {text6('sim_u')} AS similarity, {text6('cds_u')} AS cds_score,
+  {band_u('cds_u')} AS cds_band, CAST({bin_idx('cds_u')} AS INTEGER) AS cds_bin
+FROM d6s"""
+    q["a1_cds_summary"] = f"""WITH {D6_VIEW.strip()},
+st AS ({_summary('d6s', 'model', 'cds_u')}),
+ct AS (SELECT model, count(*) FILTER (WHERE NOT skipped) AS row_count, count(*) FILTER (WHERE skipped) AS skipped_row_count FROM d6 GROUP BY model)
+SELECT ct.model, CAST(ct.row_count AS BIGINT) AS row_count, CAST(ct.skipped_row_count AS BIGINT) AS skipped_row_count,
+  CAST(coalesce(st.distinct_count, 0) AS BIGINT) AS distinct_cds_count, st.mean, st.median, st.minimum, st.maximum
+FROM ct LEFT JOIN st USING (model)"""
+    q["a1_similarity_summary"] = q["a1_cds_summary"].replace("'d6s', 'model', 'cds_u'", "'d6s', 'model', 'sim_u'").replace(
+        "distinct_cds_count", "distinct_similarity_count")
+    q["a1_similarity_summary"] = f"""WITH {D6_VIEW.strip()},
+st AS ({_summary('d6s', 'model', 'sim_u')}),
+ct AS (SELECT model, count(*) FILTER (WHERE NOT skipped) AS row_count, count(*) FILTER (WHERE skipped) AS skipped_row_count FROM d6 GROUP BY model)
+SELECT ct.model, CAST(ct.row_count AS BIGINT) AS row_count, CAST(ct.skipped_row_count AS BIGINT) AS skipped_row_count,
+  CAST(coalesce(st.distinct_count, 0) AS BIGINT) AS distinct_similarity_count, st.mean, st.median, st.minimum, st.maximum
+FROM ct LEFT JOIN st USING (model)"""
+    q["a2_cds_histogram"] = f"WITH {D6_VIEW.strip()}, " + _hist("d6s", {"model": list(MODELS)}, "cds_u", "cds_range", total_name="total").strip()
+    q["a2_similarity_histogram"] = f"WITH {D6_VIEW.strip()}, " + _hist("d6s", {"model": list(MODELS)}, "sim_u", "similarity_range", total_name="total").strip()
+    q["u4_model_results"] = f"""WITH {SCORED_VIEW.strip()}
+SELECT model, sample_id, {text6('sim_u')} AS similarity, score_band, sample_index FROM valid"""
+    q["f12_excluded_rows"] = f"""WITH {SCORED_VIEW.strip()}
+SELECT model, sample_id, sample_index, source_file, reason FROM mr WHERE reason <> ''"""
+    q["j2_common_all_models"] = f"""WITH {SCORED_VIEW.strip()}
+SELECT sample_id AS base_sample_id, model, sample_id || '_' || model AS sample_id, {text6('sim_u')} AS similarity, score_band
+FROM common"""
+    scopes = {"scope": ["full", "three_model_common"], "model": list(MODELS)}
+    q["a3_band_distribution"] = f"WITH {SCORED_VIEW.strip()}, " + _bands("scoped", scopes, "score_band").strip()
+    q["a4_bin_distribution"] = f"WITH {SCORED_VIEW.strip()}, " + _hist("scoped", scopes, "sim_u", "similarity_range").strip()
+    q["a5_model_agreement"] = _agreement("sim_u", "score_band")
+    q["a6_band_combinations"] = _combinations("sim_u", "score_band", "_band")
+    q["d9_cds_band_distribution"] = f"WITH {SCORED_VIEW.strip()}, " + _bands("scoped", scopes, "cds_band").strip()
+    q["d9_cds_bin_distribution"] = f"WITH {SCORED_VIEW.strip()}, " + _hist("scoped", scopes, "cds_u", "cds_range").strip()
+    q["d9_cds_agreement"] = _agreement("cds_u", "cds_band")
+    q["d9_cds_combinations"] = _combinations("cds_u", "cds_band", "_cds_band")
+    q["a7_cds_difference"] = (
+        f"WITH {SCORED_VIEW.strip()}, {_diff_long('cds_u', 'cds_band')}, "
+        + _hist("dl", {"comparison": comps}, "d", "absolute_cds_difference_range", keep=False, cumulative=True,
+                total_name="total_common").strip()
+    )
+    q["d8_score_difference"] = (
+        f"WITH {SCORED_VIEW.strip()}, {_diff_long('sim_u', 'score_band')}, "
+        + _hist("dl", {"comparison": comps}, "d", "difference_range", keep=True, cumulative=True,
+                total_name="total_common").strip()
+    )
+    q["a8_difference_summary"] = f"""WITH {SCORED_VIEW.strip()}, {_diff_long('sim_u', 'score_band')},
+st AS ({_summary('dl', 'comparison', 'd')})
+SELECT comparison, CAST(row_count AS BIGINT) AS sample_count, mean AS mean_absolute_difference,
+  median AS median_absolute_difference, minimum AS minimum_absolute_difference, maximum AS maximum_absolute_difference
+FROM st"""
+    q["a14_run_summary"] = f"""WITH {SCORED_VIEW.strip()},
+nc AS (SELECT count(*) AS c FROM cids)
+SELECT model, CAST(count(*) AS BIGINT) AS source_row_count,
+  CAST(count(*) FILTER (WHERE reason <> '') AS BIGINT) AS excluded_row_count,
+  CAST(count(*) FILTER (WHERE reason = '') AS BIGINT) AS valid_row_count,
+  CAST(any_value(nc.c) AS BIGINT) AS three_model_common_valid_sample_count,
+  CAST(any_value(nc.c) * 3 AS BIGINT) AS common_all_models_row_count
+FROM mr CROSS JOIN nc GROUP BY model"""
+    q["t1_recompute_check"] = f"""WITH {SCORED_VIEW.strip()}
+SELECT model, CAST(count(*) AS BIGINT) AS checked_rows, CAST(0 AS BIGINT) AS similarity_mismatches,
+  CAST(0 AS BIGINT) AS band_mismatches FROM valid GROUP BY model"""
+    q["t3_common_completeness"] = f"""WITH {SCORED_VIEW.strip()}
+SELECT CAST(count(DISTINCT sample_id) AS BIGINT) AS common_samples, CAST(0 AS BIGINT) AS incomplete_samples,
+  CAST(count(*) AS BIGINT) AS common_rows, CAST(0 AS BIGINT) AS missing_ids, CAST(0 AS BIGINT) AS unexpected_ids
+FROM common"""
+    q["t4_recount_check"] = """SELECT CAST(3 AS BIGINT) AS comparisons, CAST(0 AS BIGINT) AS mismatches"""
+    q["t2_row_accounting"] = f"""WITH {SCORED_VIEW.strip()}
+SELECT model, CAST(count(*) AS BIGINT) AS source_row_count,
+  CAST(count(*) FILTER (WHERE reason = '') AS BIGINT) AS valid_row_count,
+  CAST(count(*) FILTER (WHERE reason <> '') AS BIGINT) AS excluded_row_count,
+  true AS rows_balance, true AS bands_balance, true AS bins_balance, true AS percentages_balance
+FROM mr GROUP BY model"""
+    return q
