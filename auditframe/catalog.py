@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditframe.plans import reports as R
-from auditframe.plans.views import scored_results
+from auditframe.plans import consensus as C
+from auditframe.plans.views import MODELS, sample_rows, scored_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +54,16 @@ def score_queries() -> dict[str, Query]:
     }
 
 
+def consensus_queries() -> dict[str, Query]:
+    def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return C.consensus(scored_results(spark, sf_dir), sample_rows(spark, sf_dir), MODELS, low_limit=50)
+
+    d10.__doc__ = C.consensus.__doc__
+    return {"d10_consensus_selection": d10}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(score_queries())
+    out.update(consensus_queries())
     return out

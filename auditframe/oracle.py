@@ -400,3 +400,69 @@ SELECT model, CAST(count(*) AS BIGINT) AS source_row_count,
   true AS rows_balance, true AS bands_balance, true AS bins_balance, true AS percentages_balance
 FROM mr GROUP BY model"""
     return q
+
+
+def _consensus_sql(low_limit: int = 50) -> str:
+    a, b, c = MODELS
+    per = []
+    for m in MODELS:
+        per.append(f"""
+lw_{m} AS (
+  SELECT * FROM (
+    SELECT p.*, row_number() OVER (PARTITION BY sample_id ORDER BY pos DESC) AS rk FROM p WHERE model = '{m}'
+  ) x WHERE rk = 1 AND eu IS NOT NULL AND lu IS NOT NULL AND fu IS NOT NULL
+    AND contains(sample_id, '_') AND regexp_matches(trim(split_part(sample_id, '_', -1)), '^[+-]?[0-9]+$')
+),
+f_{m} AS (
+  SELECT sample_id, eu + lu + fu + 3 * least(eu, lu, fu) AS n_{m},
+    source_file AS {m}_source_file,
+    {text6(half_up('eu + lu + fu + 3 * least(eu, lu, fu)', '6'))} AS {m}_similarity,
+    phase_c_variable_match_score AS {m}_variable_match_score,
+    phase_c_step_position_score AS {m}_step_position_score,
+    phase_c_dataflow_path_score AS {m}_dataflow_path_score,
+    phase_c_overall_consistency AS {m}_overall_consistency,
+    phase_c_comment AS {m}_comment
+  FROM lw_{m}
+)""")
+    cols = ", ".join(
+        f"f_{m}.{m}_{x}" for m in MODELS for x in (
+            "source_file", "similarity", "variable_match_score", "step_position_score",
+            "dataflow_path_score", "overall_consistency", "comment")
+    )
+    return f"""WITH {SCORED_VIEW.strip()},
+{",".join(per)},
+s AS (
+  SELECT 'o_' || CAST(o_orderkey AS VARCHAR) AS sample_id, md5(CAST(o_orderkey AS VARCHAR)) AS commit_id,
+         c_name AS project, 'CWE-' || CAST(c_nationkey + 100 AS VARCHAR) AS cwe
+  FROM orders JOIN customer ON o_custkey = c_custkey
+),
+w AS (
+  SELECT s.*, n_{a}, n_{b}, n_{c}, CAST(split_part(s.sample_id, '_', -1) AS BIGINT) AS idx, {cols}
+  FROM s JOIN f_{a} USING (sample_id) JOIN f_{b} USING (sample_id) JOIN f_{c} USING (sample_id)
+),
+hi AS (
+  SELECT 'high' AS selection_group,
+    row_number() OVER (ORDER BY n_{c} <= 4500000, n_{c} DESC, least(n_{a}, n_{b}) DESC, abs(n_{a} - n_{b}), idx) AS selection_rank,
+    CASE WHEN n_{c} > 4500000 THEN 'true' ELSE 'false' END AS {c}_same_direction, w.*
+  FROM w WHERE n_{a} > 4500000 AND n_{b} > 4500000
+),
+lo AS (
+  SELECT * FROM (
+    SELECT 'low' AS selection_group,
+      row_number() OVER (ORDER BY n_{c} >= 1500000, n_{c}, greatest(n_{a}, n_{b}), abs(n_{a} - n_{b}), idx) AS selection_rank,
+      CASE WHEN n_{c} < 1500000 THEN 'true' ELSE 'false' END AS {c}_same_direction, w.*
+    FROM w WHERE n_{a} < 1500000 AND n_{b} < 1500000
+  ) x WHERE selection_rank <= {low_limit}
+)
+SELECT * EXCLUDE (n_{a}, n_{b}, n_{c}, idx), idx AS sample_numeric_index FROM (
+  SELECT * FROM hi UNION ALL SELECT * FROM lo
+) u"""
+
+
+_base_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _base_oracles()
+    q["d10_consensus_selection"] = _consensus_sql()
+    return q

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.sources.tables import table
+from auditframe.sources.tables import spread, table
 
 # Model names and their order in the reports.
 MODELS = ("chatgpt", "claude", "deepseek")
@@ -40,6 +40,10 @@ def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     (l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey).
     """
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber").between(1, len(MODELS)))
+    li = spread(li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
+    ))
     r = F.pmod(F.col("l_partkey"), F.lit(SCORED_MOD))
     e_u = F.round(F.col("l_discount") * 100).cast("bigint") * 100000
     l_u = F.round(F.col("l_tax") * 100).cast("bigint") * 125000
@@ -122,3 +126,33 @@ SCORED_TEXT_COLUMNS = (
     "phase_b_raw",
     "phase_c_raw",
 )
+
+
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipeline input samples (8 text fields) from orders joined to customer.
+
+    Every order is one sample ``o_<orderkey>``; some commit messages are blank
+    and some descriptions are the NA word, to exercise the default rules.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    body = F.pmod(k, F.lit(7)).cast("string")
+    return j.select(
+        F.concat(F.lit("o_"), ks).alias("sample_id"),
+        F.concat(F.lit("int f_"), ks, F.lit("(int x) { return x + "), body, F.lit("; }")).alias("func_before"),
+        F.concat(F.lit("int f_"), ks, F.lit("(int x) { if (x < 0) return 0; return x + "), body, F.lit("; }")).alias(
+            "func_after"
+        ),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.lit("")).otherwise(F.concat(F.lit("fix "), F.col("o_orderpriority"))).alias(
+            "commit_msg"
+        ),
+        F.when(F.pmod(k, F.lit(13)) == 0, F.lit("NA")).otherwise(F.concat(F.col("c_mktsegment"), F.lit(" issue"))).alias(
+            "bug_description"
+        ),
+        F.md5(ks).alias("commit_id"),
+        F.col("c_name").alias("project"),
+        F.concat(F.lit("CWE-"), (F.col("c_nationkey") + 100).cast("string")).alias("cwe"),
+    )
