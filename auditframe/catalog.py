@@ -11,8 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditframe.plans import reports as R
+from pyspark.sql import functions as F
+
 from auditframe.plans import consensus as C
-from auditframe.plans.views import MODELS, sample_rows, scored_results
+from auditframe.plans import pairs as P
+from auditframe.plans.views import MODELS, megavul_records, pair_rows, sample_rows, scored_results, turn_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +65,63 @@ def consensus_queries() -> dict[str, Query]:
     return {"d10_consensus_selection": d10}
 
 
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.convert_paired(pair_rows(spark, sf_dir))
+
+
+def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = _converted(spark, sf_dir).where(F.col("reason").isNull())
+    return P.deduplicate(written)
+
+
+def _megavul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.megavul_filter(megavul_records(spark, sf_dir))
+
+
+def _megavul_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = megavul_records(spark, sf_dir)
+    ok = P.megavul_filter(m).where(F.col("reason").isNull()).select("record_index")
+    return m.join(ok, "record_index", "left_semi").select(
+        "func_before", F.col("func").alias("func_after"), F.col("diff_func").alias("diff")
+    )
+
+
+def pair_queries() -> dict[str, Query]:
+    return {
+        "d1_paired_conversion": lambda s, d: _converted(s, d).where(F.col("reason").isNull()).select(
+            "dataset", "row", "sample_id", "commit_id", "commit_short", "project", "commit_msg", "cwe", "pair_key"
+        ),
+        "s14_paired_rejects": lambda s, d: _converted(s, d).where(F.col("reason").isNotNull()).select(
+            "dataset", "row", "reason"
+        ),
+        "a10_conversion_counts": lambda s, d: P.conversion_counts(_converted(s, d)),
+        "d5_deduplicated": lambda s, d: _deduped(s, d).where("emit").select(
+            "dataset", "sample_id", "pair_key",
+            F.col("m_commit_id").alias("commit_id"), F.col("m_commit_short").alias("commit_short"),
+            F.col("m_project").alias("project"), F.col("m_commit_msg").alias("commit_msg"),
+            F.col("m_cwe").alias("cwe"),
+        ),
+        "a13_dedup_counts": lambda s, d: P.dedup_counts(_deduped(s, d)),
+        "w1_primevul_pairs": lambda s, d: P.pair_adjacent(turn_records(s, d)),
+        "d3_megavul_conversion": _megavul,
+        "a10_megavul_counts": lambda s, d: P.megavul_counts(_megavul(s, d)),
+        "d11_oversized_rows": lambda s, d: P.oversized_fields(
+            pair_rows(s, d), ["func_before", "func_after", "commit_msg", "cwe_id"], max_field_length=16384
+        ).where("excluded").select(
+            "doc_id", "dataset", F.array_join(F.array_sort(F.map_keys("oversized")), ",").alias("oversized_fields"),
+            F.array_max(F.map_values("oversized")).alias("max_length"),
+        ),
+        "d12_length_profile": lambda s, d: P.length_profile(_megavul_written(s, d)),
+        "a9_length_bins": lambda s, d: P.length_bins(_megavul_written(s, d)),
+        "p8_unified_diff": lambda s, d: P.with_diff(
+            _converted(s, d).where(F.col("reason").isNull())
+        ).select("dataset", "sample_id", "diff_length"),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(score_queries())
     out.update(consensus_queries())
+    out.update(pair_queries())
     return out

@@ -466,3 +466,267 @@ def oracles() -> dict[str, str]:  # noqa: F811
     q = _base_oracles()
     q["d10_consensus_selection"] = _consensus_sql()
     return q
+
+
+# ------------------------------------------------------------------ pair jobs
+def _clean(x: str) -> str:
+    return f"regexp_replace(replace(coalesce({x}, ''), chr(0), ''), '^\\s+|\\s+$', '', 'g')"
+
+
+PAIR_VIEW = """
+pv AS (
+  SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS dataset_ord,
+    ['titanvul', 'benchvul', 'vulnerability_score', 'primevul'][doc_id % 4 + 1] AS dataset,
+    CASE WHEN doc_id % 37 = 5 THEN '' WHEN doc_id % 37 = 7 THEN '  ' || text || chr(10) ELSE text END AS func_before,
+    CASE WHEN doc_id % 37 = 6 THEN '   ' ELSE replace(text, 'e', 'a') END AS func_after,
+    CASE WHEN doc_id % 19 = 3 THEN ''
+         WHEN doc_id % 2 = 0 THEN 'https://github.com/org' || CAST(doc_id % 5 AS VARCHAR) || '/repo'
+              || CAST(doc_id % 3 AS VARCHAR) || '/commit/' || md5(text)
+         ELSE 'https://gitlab.com/team' || CAST(doc_id % 5 AS VARCHAR) || '/proj/-/commit/' || left(md5(text), 12) END
+      AS commit_url,
+    CASE WHEN doc_id % 23 = 4 THEN '' ELSE 'fix issue ' || CAST(doc_id AS VARCHAR) END AS commit_msg,
+    CASE WHEN doc_id % 3 = 0 THEN 'bench/repo' || CAST(doc_id % 7 AS VARCHAR) ELSE '' END AS repo_name,
+    CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'CWE-0' || CAST(doc_id % 90 AS VARCHAR)
+      WHEN 2 THEN '["cwe-' || CAST(doc_id % 40 AS VARCHAR) || '", "CWE-' || CAST(doc_id % 40 AS VARCHAR) || '"]'
+      WHEN 3 THEN 'NVD-CWE-noinfo' WHEN 4 THEN 'nvd-cwe-other, CWE-79'
+      ELSE 'CWE-' || CAST(doc_id % 300 AS VARCHAR) END AS cwe_id
+  FROM documents
+)"""
+
+
+def _cwe_list(raw: str) -> str:
+    sfx = "(CASE WHEN lower(x) LIKE 'nvd-cwe-%' THEN x[9:] ELSE x[5:] END)"
+    pre = "(CASE WHEN lower(x) LIKE 'nvd-cwe-%' THEN 'NVD-CWE-' ELSE 'CWE-' END)"
+    norm = (
+        f"lambda x: CASE WHEN regexp_matches({sfx}, '^[0-9]+$') THEN 'CWE-' || CAST(CAST({sfx} AS HUGEINT) AS VARCHAR) "
+        f"WHEN lower({sfx}) = 'noinfo' THEN {pre} || 'noinfo' WHEN lower({sfx}) = 'other' THEN {pre} || 'Other' "
+        f"ELSE {pre} || {sfx} END"
+    )
+    lst = f"list_transform(regexp_extract_all({raw}, '(?i)(?:NVD-)?CWE-(?:\\d+|[A-Za-z][A-Za-z0-9_-]*)'), {norm})"
+    return f"list_filter({lst}, lambda y, i: list_position({lst}, y) = i)"
+
+
+def _commit(url: str) -> str:
+    return f"coalesce(list_filter(regexp_extract_all({url}, '[0-9a-fA-F]+'), lambda h: length(h) BETWEEN 7 AND 64)[-1], '')"
+
+
+def _project(url: str) -> str:
+    parts = f"list_filter(string_split(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda z: z <> '')"
+    marker = f"coalesce(list_position(list_transform({parts}, lambda z: z IN ('commit', 'commits')), true), 0)"
+    head = f"list_filter({parts}[1:{marker} - 1], lambda z: z <> '-')"
+    return f"(CASE WHEN {marker} > 0 AND len({head}) >= 2 THEN array_to_string({head}, '/') ELSE '' END)"
+
+
+CONVERTED = f"""{PAIR_VIEW.strip()},
+cv0 AS (
+  SELECT pv.*, row_number() OVER (PARTITION BY dataset ORDER BY doc_id) AS row,
+    {_clean('func_before')} AS b, {_clean('func_after')} AS a, {_clean('commit_url')} AS url,
+    {_clean('commit_msg')} AS msg, CASE WHEN dataset = 'benchvul' THEN {_clean('repo_name')} ELSE '' END AS ep,
+    {_clean('cwe_id')} AS rc
+  FROM pv
+),
+cv1 AS (
+  SELECT *, sha256(b || chr(0) || a) AS pair_key,
+    CASE WHEN b = '' OR a = '' THEN 'missing_function' WHEN b = a THEN 'unchanged_pair' END AS pre
+  FROM cv0
+),
+cv2 AS (SELECT *, min(CASE WHEN pre IS NULL THEN row END) OVER (PARTITION BY dataset, pair_key) AS first_row FROM cv1),
+cv AS (
+  SELECT *, coalesce(pre, CASE WHEN row > first_row THEN 'duplicate_pair' END) AS reason,
+    {_commit('url')} AS commit_id
+  FROM cv2
+),
+cw AS (
+  SELECT dataset, dataset_ord, doc_id, row, reason, pair_key,
+    coalesce(nullif(left(commit_id, 8), ''), CASE dataset WHEN 'vulnerability_score' THEN 'vscore' ELSE dataset END)
+      || '_' || CAST(row AS VARCHAR) AS sample_id,
+    commit_id, left(commit_id, 8) AS commit_short,
+    CASE WHEN ep <> '' THEN ep ELSE {_project('url')} END AS project,
+    b AS func_before, a AS func_after, msg AS commit_msg, to_json({_cwe_list('rc')}) AS cwe
+  FROM cv
+)"""
+
+DEDUP = f"""{CONVERTED},
+w AS (SELECT * FROM cw WHERE reason IS NULL),
+dd AS (
+  SELECT *, min(dataset_ord) OVER (PARTITION BY pair_key) AS owner_ord,
+    row_number() OVER (PARTITION BY dataset, pair_key ORDER BY row) AS k_in_ds
+  FROM w
+),
+meta AS (
+  SELECT pair_key,
+    {", ".join(f"coalesce(arg_min({c}, CAST(dataset_ord AS BIGINT) * 1000000000 + row) FILTER (WHERE {_clean(c)} <> ''), '') AS m_{c}" for c in ("commit_id", "commit_short", "project", "commit_msg"))},
+    flatten(list(from_json(cwe, '["VARCHAR"]') ORDER BY dataset_ord, row)) AS cw_all
+  FROM w GROUP BY pair_key
+),
+meta2 AS (SELECT *, to_json(list_filter(cw_all, lambda y, i: list_position(cw_all, y) = i)) AS m_cwe FROM meta)"""
+
+
+TURNS = """
+tr AS (
+  SELECT conv_id AS source, turn AS line, (role = 'system' OR (conv_id + turn) % 7 = 0) AS invalid_line,
+    CASE WHEN role = 'user' THEN 1 ELSE 0 END AS target, text AS func,
+    'c' || md5(CAST(conv_id AS VARCHAR)) AS commit_id,
+    'CVE-' || CAST(conv_id AS VARCHAR) || CASE WHEN turn % 5 = 3 THEN 'x' ELSE '' END AS cve,
+    'proj' || CAST(conv_id % 13 AS VARCHAR) AS project, 'msg ' || CAST(conv_id AS VARCHAR) AS commit_message,
+    'CWE-' || CAST(conv_id % 50 AS VARCHAR) AS cwe
+  FROM conversations
+),
+sg AS (
+  SELECT *, sum(CAST(invalid_line AS INTEGER)) OVER (PARTITION BY source ORDER BY line ROWS UNBOUNDED PRECEDING) AS seg
+  FROM tr
+),
+sg2 AS (SELECT *, max(seg) OVER (PARTITION BY source) AS last_seg FROM sg),
+vv AS (SELECT *, row_number() OVER (PARTITION BY source, seg ORDER BY line) AS rn FROM sg2 WHERE NOT invalid_line),
+nx AS (
+  SELECT x.*, y.line AS n_line, y.target AS n_target, y.func AS n_func, y.commit_id AS n_commit, y.cve AS n_cve
+  FROM vv x LEFT JOIN vv y ON x.source = y.source AND x.seg = y.seg AND y.rn = x.rn + 1
+  WHERE x.rn % 2 = 1
+),
+pr AS (SELECT *, row_number() OVER (ORDER BY source, line) AS read_pairs FROM nx WHERE n_line IS NOT NULL)"""
+
+
+def _splitlines(x: str) -> str:
+    cls = "[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+    body = f"regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '{cls}$', '')"
+    return f"(CASE WHEN {x} = '' THEN 0 ELSE length({body}) - length(regexp_replace({body}, '{cls}', '', 'g')) + 1 END)"
+
+
+MEGAVUL = """
+mv AS (
+  SELECT doc_id AS record_index,
+    CASE WHEN doc_id % 10 = 0 THEN false WHEN doc_id % 10 = 5 THEN NULL ELSE true END AS is_vul,
+    CASE WHEN doc_id % 17 = 3 THEN '  ' ELSE text END AS func_before,
+    replace(text, 'e', 'a') AS func,
+    '-' || split_part(text, chr(10), 1) || chr(10) || '+' || split_part(replace(text, 'e', 'a'), chr(10), 1) AS diff_func,
+    CASE WHEN doc_id % 7 = 2 THEN NULL ELSE md5(text) END AS commit_hash,
+    'mv/repo' || CAST(doc_id % 6 AS VARCHAR) AS repo_name, 'megavul fix ' || CAST(doc_id AS VARCHAR) AS commit_msg,
+    ['CWE-' || CAST(doc_id % 120 AS VARCHAR)] AS cwe_ids
+  FROM documents
+)"""
+
+
+def _megavul_sql() -> str:
+    blank = " OR ".join(f"trim(coalesce({c}, '')) = ''" for c in ("func_before", "func", "diff_func"))
+    long_ = (
+        f"length(diff_func) > 1500 OR length(func_before) > 5000 OR length(func) > 5000 "
+        f"OR {_splitlines('func_before')} > 500 OR {_splitlines('func')} > 500"
+    )
+    return f"""{MEGAVUL.strip()},
+mf AS (
+  SELECT record_index,
+    CASE WHEN is_vul IS NULL OR NOT is_vul THEN 'not_vulnerable' WHEN {blank} THEN 'invalid'
+         WHEN {long_} THEN 'filtered' END AS reason,
+    coalesce(nullif(left(trim(coalesce(commit_hash, '')), 8), ''), 'megavul') || '_' || CAST(record_index AS VARCHAR) AS sample_id,
+    trim(coalesce(commit_hash, '')) AS commit_id, left(trim(coalesce(commit_hash, '')), 8) AS commit_short,
+    coalesce(repo_name, '') AS project, length(diff_func) AS diff_length, coalesce(commit_msg, '') AS commit_msg,
+    to_json(cwe_ids) AS cwe, func_before, func AS func_after, diff_func AS diff
+  FROM mv
+)"""
+
+
+def _length_long() -> str:
+    return """ml AS (SELECT * FROM mf WHERE reason IS NULL),
+lg AS (
+  SELECT 'diff_characters' AS metric, length(diff) AS value FROM ml
+  UNION ALL SELECT 'diff_lines', length(diff) - length(replace(diff, chr(10), '')) + 1 FROM ml
+  UNION ALL SELECT 'func_before_characters', length(func_before) FROM ml
+  UNION ALL SELECT 'func_after_characters', length(func_after) FROM ml
+  UNION ALL SELECT 'func_before_lines', length(func_before) - length(replace(func_before, chr(10), '')) + 1 FROM ml
+  UNION ALL SELECT 'func_after_lines', length(func_after) - length(replace(func_after, chr(10), '')) + 1 FROM ml
+)"""
+
+
+def pair_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["d1_paired_conversion"] = f"""WITH {CONVERTED}
+SELECT dataset, row, sample_id, commit_id, commit_short, project, commit_msg, cwe, pair_key FROM cw WHERE reason IS NULL"""
+    q["s14_paired_rejects"] = f"WITH {CONVERTED}\nSELECT dataset, row, reason FROM cw WHERE reason IS NOT NULL"
+    q["a10_conversion_counts"] = f"""WITH {CONVERTED}
+SELECT dataset, count(*) AS read, count(*) FILTER (WHERE reason IS NULL) AS written,
+  count(*) FILTER (WHERE reason = 'missing_function') AS invalid,
+  count(*) FILTER (WHERE reason = 'unchanged_pair') AS unchanged,
+  count(*) FILTER (WHERE reason = 'duplicate_pair') AS duplicates
+FROM cw GROUP BY dataset"""
+    q["d5_deduplicated"] = f"""WITH {DEDUP}
+SELECT dd.dataset, dd.sample_id, dd.pair_key, m_commit_id AS commit_id, m_commit_short AS commit_short,
+  m_project AS project, m_commit_msg AS commit_msg, m_cwe AS cwe
+FROM dd JOIN meta2 USING (pair_key) WHERE k_in_ds = 1 AND dataset_ord = owner_ord"""
+    q["a13_dedup_counts"] = f"""WITH {DEDUP}
+SELECT dataset, count(*) AS read, count(*) FILTER (WHERE k_in_ds = 1 AND dataset_ord = owner_ord) AS written,
+  count(*) FILTER (WHERE k_in_ds > 1) AS within_dataset_duplicates,
+  count(*) FILTER (WHERE k_in_ds = 1 AND dataset_ord <> owner_ord) AS cross_dataset_duplicates
+FROM dd GROUP BY dataset"""
+    b, a = _clean("func"), _clean("n_func")
+    q["w1_primevul_pairs"] = f"""WITH {TURNS.strip()}
+SELECT source, line AS first_line, read_pairs,
+  CASE WHEN target <> 1 OR n_target <> 0 THEN 'invalid_target_order'
+       WHEN commit_id <> n_commit OR cve <> n_cve THEN 'metadata_mismatch'
+       WHEN {b} = '' OR {a} = '' THEN 'missing_function'
+       WHEN {b} = {a} THEN 'unchanged_pair' END AS reason,
+  coalesce(nullif(left({_clean('commit_id')}, 8), ''), 'primevul') || '_' || CAST(read_pairs AS VARCHAR) AS sample_id,
+  {_clean('commit_id')} AS commit_id, left({_clean('commit_id')}, 8) AS commit_short, {_clean('project')} AS project,
+  {b} AS func_before, {a} AS func_after, {_clean('commit_message')} AS commit_msg, to_json({_cwe_list('cwe')}) AS cwe
+FROM pr
+UNION ALL
+SELECT source, line, NULL, 'unpaired_final_record', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM nx WHERE n_line IS NULL AND seg = last_seg"""
+    q["d3_megavul_conversion"] = f"""WITH {_megavul_sql()}
+SELECT record_index, reason, sample_id, commit_id, commit_short, project, diff_length, commit_msg, cwe FROM mf"""
+    q["a10_megavul_counts"] = f"""WITH {_megavul_sql()}
+SELECT count(*) AS read, count(*) FILTER (WHERE reason IS NULL OR reason <> 'not_vulnerable') AS candidates,
+  count(*) FILTER (WHERE reason IS NULL) AS written, count(*) FILTER (WHERE reason = 'filtered') AS filtered,
+  count(*) FILTER (WHERE reason = 'invalid') AS invalid
+FROM mf"""
+    names = ("commit_msg", "cwe_id", "func_after", "func_before")
+    lens = {n: f"coalesce(length({n}), 0)" for n in names}
+    q["d11_oversized_rows"] = f"""WITH {PAIR_VIEW.strip()}
+SELECT doc_id, dataset,
+  concat_ws(',', {", ".join(f"CASE WHEN {lens[n]} > 16384 THEN '{n}' END" for n in names)}) AS oversized_fields,
+  CAST(greatest({", ".join(f"CASE WHEN {lens[n]} > 16384 THEN {lens[n]} END" for n in names)}) AS INTEGER) AS max_length
+FROM pv WHERE {" OR ".join(f"{lens[n]} > 16384" for n in names)}"""
+    pcts = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+    q["d12_length_profile"] = f"""WITH {_megavul_sql()}, {_length_long()},
+st AS (
+  SELECT metric, count(*) AS sample_count, avg(value) AS m, stddev_samp(value) AS sd,
+    quantile_cont(value, [{", ".join(str(p) for p in pcts)}]) AS qs
+  FROM lg GROUP BY metric
+)
+SELECT metric, sample_count, printf('%.6f', m) AS mean, printf('%.6f', sd) AS std,
+  {", ".join(f"printf('%.6f', qs[{i + 1}]) AS p{int(p * 100)}" for i, p in enumerate(pcts))}
+FROM st"""
+    char_edges = (500, 1000, 2000, 5000, 10000, 20000, 50000, 100000)
+    char_labels = ("<=500", "501-1000", "1001-2000", "2001-5000", "5001-10000", "10001-20000",
+                   "20001-50000", "50001-100000", ">100000")
+    line_edges = (10, 20, 50, 100, 200, 500)
+    line_labels = ("<=10", "11-20", "21-50", "51-100", "101-200", "201-500", ">500")
+
+    def lab(edges, labels):
+        parts = " ".join(f"WHEN value <= {e} THEN '{l}'" for e, l in zip(edges, labels[:-1]))
+        return f"CASE {parts} ELSE '{labels[-1]}' END"
+
+    grid_rows = []
+    for m in ("diff_characters", "diff_lines", "func_before_characters", "func_after_characters",
+              "func_before_lines", "func_after_lines"):
+        for l in (line_labels if m.endswith("_lines") else char_labels):
+            grid_rows.append(f"('{m}', '{l}')")
+    q["a9_length_bins"] = f"""WITH {_megavul_sql()}, {_length_long()},
+bc AS (
+  SELECT metric, CASE WHEN metric LIKE '%_lines' THEN {lab(line_edges, line_labels)} ELSE {lab(char_edges, char_labels)} END AS bin,
+    count(*) AS cnt FROM lg GROUP BY ALL
+),
+tt AS (SELECT metric, count(*) AS tot FROM lg GROUP BY metric),
+gr AS (SELECT * FROM (VALUES {", ".join(grid_rows)}) g(metric, bin))
+SELECT gr.metric, gr.bin, CAST(coalesce(bc.cnt, 0) AS BIGINT) AS count,
+  CASE WHEN coalesce(tt.tot, 0) = 0 THEN '0' ELSE {text6(half_up('coalesce(bc.cnt, 0) * 10000', 'tt.tot'), 2)} END AS percentage
+FROM gr LEFT JOIN bc USING (metric, bin) LEFT JOIN tt USING (metric)"""
+    return q
+
+
+_prev_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _prev_oracles()
+    q.update(pair_oracles())
+    return q

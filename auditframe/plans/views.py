@@ -156,3 +156,108 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("project"),
         F.concat(F.lit("CWE-"), (F.col("c_nationkey") + 100).cast("string")).alias("cwe"),
     )
+
+
+# Dataset names in deduplication priority order.
+DATASETS = ("titanvul", "benchvul", "vulnerability_score", "primevul")
+
+
+def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before/after function pairs from ``documents`` in four datasets.
+
+    dataset = doc_id % 4 (priority = that number); before = text, after =
+    text with 'e' -> 'a' (unchanged when the text has no 'e'); blanks and
+    padding by residue; commit URL, message, repo name and CWE text built
+    from the id so metadata merges have something to merge.
+    """
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    k = F.col("doc_id")
+    t = F.col("text")
+    ks = k.cast("string")
+    r37 = F.pmod(k, F.lit(37))
+    before = F.when(r37 == 5, F.lit("")).when(r37 == 7, F.concat(F.lit("  "), t, F.lit("\n"))).otherwise(t)
+    after = F.when(r37 == 6, F.lit("   ")).otherwise(F.replace(t, F.lit("e"), F.lit("a")))
+    h = F.md5(t)
+    url = (
+        F.when(F.pmod(k, F.lit(19)) == 3, F.lit(""))
+        .when(F.pmod(k, F.lit(2)) == 0, F.concat(
+            F.lit("https://github.com/org"), F.pmod(k, F.lit(5)).cast("string"), F.lit("/repo"),
+            F.pmod(k, F.lit(3)).cast("string"), F.lit("/commit/"), h))
+        .otherwise(F.concat(
+            F.lit("https://gitlab.com/team"), F.pmod(k, F.lit(5)).cast("string"), F.lit("/proj/-/commit/"),
+            F.left(h, F.lit(12))))
+    )
+    r9 = F.pmod(k, F.lit(9))
+    cwe = (
+        F.when(r9 == 0, F.lit(""))
+        .when(r9 == 1, F.concat(F.lit("CWE-0"), F.pmod(k, F.lit(90)).cast("string")))
+        .when(r9 == 2, F.concat(F.lit('["cwe-'), F.pmod(k, F.lit(40)).cast("string"), F.lit('", "CWE-'),
+                                F.pmod(k, F.lit(40)).cast("string"), F.lit('"]')))
+        .when(r9 == 3, F.lit("NVD-CWE-noinfo"))
+        .when(r9 == 4, F.lit("nvd-cwe-other, CWE-79"))
+        .otherwise(F.concat(F.lit("CWE-"), F.pmod(k, F.lit(300)).cast("string")))
+    )
+    ds_ord = F.pmod(k, F.lit(4)).cast("int")
+    return d.select(
+        k.alias("doc_id"),
+        ds_ord.alias("dataset_ord"),
+        F.element_at(F.array(*[F.lit(x) for x in DATASETS]), ds_ord + 1).alias("dataset"),
+        before.alias("func_before"),
+        after.alias("func_after"),
+        url.alias("commit_url"),
+        F.when(F.pmod(k, F.lit(23)) == 4, F.lit("")).otherwise(F.concat(F.lit("fix issue "), ks)).alias("commit_msg"),
+        F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("bench/repo"), F.pmod(k, F.lit(7)).cast("string")))
+        .otherwise(F.lit("")).alias("repo_name"),
+        cwe.alias("cwe_id"),
+    )
+
+
+def turn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent-record JSONL stream from ``conversations``.
+
+    source = conv_id, line = turn; user turns are vulnerable records
+    (target 1), assistant turns fixed ones (target 0); system turns and
+    ``(conv_id + turn) % 7 = 0`` lines are unreadable lines that reset the
+    pairing; commit / CVE metadata disagree by residue.
+    """
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    conv = F.col("conv_id")
+    turn = F.col("turn")
+    bad = (F.col("role") == "system") | (F.pmod(conv + turn, F.lit(7)) == 0)
+    return c.select(
+        conv.alias("source"),
+        turn.alias("line"),
+        bad.alias("invalid_line"),
+        F.when(F.col("role") == "user", F.lit(1)).otherwise(F.lit(0)).alias("target"),
+        F.col("text").alias("func"),
+        F.concat(F.lit("c"), F.md5(conv.cast("string"))).alias("commit_id"),
+        F.concat(F.lit("CVE-"), conv.cast("string"), F.when(F.pmod(turn, F.lit(5)) == 3, F.lit("x")).otherwise(F.lit(""))).alias("cve"),
+        F.concat(F.lit("proj"), F.pmod(conv, F.lit(13)).cast("string")).alias("project"),
+        F.concat(F.lit("msg "), conv.cast("string")).alias("commit_message"),
+        F.concat(F.lit("CWE-"), F.pmod(conv, F.lit(50)).cast("string")).alias("cwe"),
+    )
+
+
+def megavul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MegaVul-style JSON records from ``documents`` (record_index = doc_id).
+
+    ``is_vul`` false or null by residue, blank fields by residue, diff text
+    built from the first lines of before/after, null commit hashes.
+    """
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    k = F.col("doc_id")
+    t = F.col("text")
+    after = F.replace(t, F.lit("e"), F.lit("a"))
+    r10 = F.pmod(k, F.lit(10))
+    return d.select(
+        k.alias("record_index"),
+        F.when(r10 == 0, F.lit(False)).when(r10 == 5, F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("is_vul"),
+        F.when(F.pmod(k, F.lit(17)) == 3, F.lit("  ")).otherwise(t).alias("func_before"),
+        after.alias("func"),
+        F.concat(F.lit("-"), F.split_part(t, F.lit("\n"), F.lit(1)), F.lit("\n+"),
+                 F.split_part(after, F.lit("\n"), F.lit(1))).alias("diff_func"),
+        F.when(F.pmod(k, F.lit(7)) == 2, F.lit(None).cast("string")).otherwise(F.md5(t)).alias("commit_hash"),
+        F.concat(F.lit("mv/repo"), F.pmod(k, F.lit(6)).cast("string")).alias("repo_name"),
+        F.concat(F.lit("megavul fix "), k.cast("string")).alias("commit_msg"),
+        F.array(F.concat(F.lit("CWE-"), F.pmod(k, F.lit(120)).cast("string"))).alias("cwe_ids"),
+    )
