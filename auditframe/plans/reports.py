@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.functions import let
 from auditframe.functions import score as S
 from auditframe.functions.text import py_strip
 from auditframe.operators import stats
@@ -35,7 +36,9 @@ def scored_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS
     out = drop_checks(checked.withColumn("_error", has_pipeline_error(checked)))
     bad = F.col("_error") | F.col("_e").isNull() | F.col("_l").isNull() | F.col("_f").isNull()
     sim = S.similarity(F.col("_e"), F.col("_l"), F.col("_f"), digits)
-    out = out.withColumn("skipped", bad).withColumn("_sim", F.when(~bad, sim))
+    # validity is decided by filters downstream; the derived values do not
+    # refer to it, so Catalyst never copies the check expressions into them
+    out = out.withColumn("skipped", bad).withColumn("_sim", sim)
     out = out.withColumn("_cds", S.cds(F.col("_sim"), digits))
     return out.withColumn("_cds_band", S.band(F.col("_cds")))
 
@@ -98,15 +101,16 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
     )
     out = base.join(firsts, ["model", "sample_id"], "left")
     dup = F.col("_first").isNotNull() & (F.col("_pos") > F.col("_first"))
-    reasons = F.when(dup, F.array_distinct(F.array_append("_reasons0", F.lit("duplicate_sample_id")))).otherwise(
-        F.col("_reasons0")
+    reasons = let(
+        F.col("_reasons0"),
+        lambda r: F.when(dup, F.array_distinct(F.array_append(r, F.lit("duplicate_sample_id")))).otherwise(r),
     )
     out = out.withColumn("_reasons", reasons).withColumn("valid", F.size("_reasons") == 0)
-    sim_u = S.similarity_unrounded(F.col("_e"), F.col("_l"), F.col("_f"))
-    out = out.withColumn(
-        "_sim", F.when(F.col("valid"), S.similarity(F.col("_e"), F.col("_l"), F.col("_f")))
-    ).withColumn("score_band", F.when(F.col("valid"), S.band_from_numerator("_e", "_l", "_f")))
-    return out.drop("_first").withColumn("_sim_exact", F.when(F.col("valid"), sim_u))
+    # derived values do not refer to ``valid``; consumers filter on it
+    out = out.withColumn("_sim", S.similarity(F.col("_e"), F.col("_l"), F.col("_f"))).withColumn(
+        "score_band", S.band_from_numerator("_e", "_l", "_f")
+    )
+    return out.drop("_first")
 
 
 def valid_results(df: DataFrame) -> DataFrame:
