@@ -14,8 +14,9 @@ from auditframe.plans import reports as R
 from pyspark.sql import functions as F
 
 from auditframe.plans import consensus as C
+from auditframe.plans import inference as X
 from auditframe.plans import pairs as P
-from auditframe.plans.views import MODELS, megavul_records, pair_rows, sample_rows, scored_results, turn_records
+from auditframe.plans.views import MODELS, attempt_rows, megavul_records, pair_rows, sample_rows, scored_results, turn_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,9 +120,46 @@ def pair_queries() -> dict[str, Query]:
     }
 
 
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.resolve_attempts(X.number_attempts(attempt_rows(spark, sf_dir)))
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error-log entries: unresolved calls; ``seen`` = first event of the call."""
+    a = X.number_attempts(attempt_rows(spark, sf_dir))
+    first = a.groupBy("sample_id", "phase").agg(F.min("event_id").alias("seen"))
+    bad = _resolved(spark, sf_dir).where(~F.col("resolved")).select("sample_id", "phase")
+    return bad.join(first, ["sample_id", "phase"])
+
+
+def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.plans.reports import valid_results
+
+    v = valid_results(scored_results(spark, sf_dir))
+    base = v.where(F.col("model") == MODELS[0]).select("sample_id", "similarity", F.col("sample_index").alias("position"))
+    upd = v.where(F.col("model") != MODELS[0]).select(
+        "sample_id", "similarity", F.when(F.col("model") == MODELS[1], 1).otherwise(2).alias("version")
+    )
+    return X.upsert(base, upd)
+
+
+def inference_queries() -> dict[str, Query]:
+    return {
+        "x4_attempt_resolution": lambda s, d: _resolved(s, d).select(
+            "sample_id", "phase", "attempts_used", "resolved", "winning_attempt", "payload", "issue_message"
+        ),
+        "j7_rerun_selection": lambda s, d: X.rerun_selection(sample_rows(s, d), _issues(s, d)).select(
+            "sample_id", "rerun_order", "commit_id", "project"
+        ),
+        "a15_rerun_summary": lambda s, d: X.rerun_summary(_issues(s, d)),
+        "s8_result_upsert": _upsert,
+    }
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(score_queries())
     out.update(consensus_queries())
     out.update(pair_queries())
+    out.update(inference_queries())
     return out

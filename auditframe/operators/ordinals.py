@@ -3,16 +3,15 @@
 ``row_number() over (order by k)`` without a partition pulls every row into
 one task. Here the rows are range-partitioned and sorted by the key (a
 distributed sort), each partition is counted, and a row's ordinal is its
-partition's offset plus its position inside the partition. Only one number
-per partition reaches the driver -- the same bounded exchange
-``zipWithIndex`` performs.
+partition's offset plus its position inside the partition. The offsets
+table has one row per partition (bounded by the partition count, broadcast).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SHIFT = 1 << 33  # monotonically_increasing_id = partition_id * 2^33 + index
@@ -21,9 +20,11 @@ _SHIFT = 1 << 33  # monotonically_increasing_id = partition_id * 2^33 + index
 def with_ordinal(df: DataFrame, order_cols: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
     """Add a 1-based ordinal following ``order_cols`` (must be a unique key).
 
-    Deterministic: range bounds come from Spark's seeded sampler and the
-    order inside a partition is total, so recomputation after a lost
-    executor yields the same numbers.
+    One plan: both the per-partition counts and the numbered rows read the
+    *same* range exchange (exchange reuse), so partition membership cannot
+    differ between them; the offsets table has one row per partition and is
+    broadcast. Range bounds come from Spark's sampler over that single
+    exchange, and the order inside a partition is total.
     """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -34,18 +35,14 @@ def with_ordinal(df: DataFrame, order_cols: Sequence[str | Column], name: str =
         F.spark_partition_id().alias("_pid"),
         (F.monotonically_increasing_id() - F.spark_partition_id().cast("bigint") * _SHIFT).alias("_pos"),
     )
-    counts = tagged.groupBy("_pid").agg(F.count("*").alias("_n")).collect()
-    offsets: dict[int, int] = {}
-    running = 0
-    for row in sorted(counts, key=lambda r: r["_pid"]):
-        offsets[row["_pid"]] = running
-        running += row["_n"]
-    if offsets:
-        offset_map = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
-        offset = F.coalesce(offset_map[F.col("_pid")], F.lit(0))
-    else:
-        offset = F.lit(0)
-    return tagged.withColumn(name, (offset + F.col("_pos") + 1).cast("bigint")).drop("_pid", "_pos")
+    counts = tagged.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (
+        tagged.join(F.broadcast(offsets), "_pid", "inner")
+        .withColumn(name, (F.col("_off") + F.col("_pos") + 1).cast("bigint"))
+        .drop("_pid", "_pos", "_off")
+    )
 
 
 def with_group_ordinal(
@@ -54,8 +51,12 @@ def with_group_ordinal(
     """1-based ordinal inside each group (``row_number() over (partition by g
     order by k)``), computed from one global ordinal and the group's first one,
     so a huge group is still spread over many tasks."""
+    from auditframe.session import cut_lineage
+
     g = list(group_cols)
-    glob = with_ordinal(df, [*g, *order_cols], "_gord")
+    # read twice below (group starts + rows), so materialise it once: a
+    # reliable checkpoint keeps both reads identical and survives lost executors
+    glob = cut_lineage(with_ordinal(df, [*g, *order_cols], "_gord"))
     starts = glob.groupBy(*g).agg(F.min("_gord").alias("_gstart"))
     return (
         glob.join(starts, g, "inner")

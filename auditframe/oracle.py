@@ -730,3 +730,79 @@ def oracles() -> dict[str, str]:  # noqa: F811
     q = _prev_oracles()
     q.update(pair_oracles())
     return q
+
+
+# ------------------------------------------------------------------ inference bookkeeping
+ATTEMPTS = """
+ev AS (
+  SELECT 'o_' || CAST(user_id AS VARCHAR) AS sample_id, ['A', 'B', 'C'][event_id % 3 + 1] AS phase, ts, event_id,
+    CASE WHEN event_type = 'error' THEN 'APIError' END AS error_type,
+    CASE WHEN event_type = 'error' THEN 'HTTP 502 Bearer tok' || CAST(event_id AS VARCHAR) || ' api_key=sk-'
+         || CAST(event_id AS VARCHAR) END AS message,
+    CASE WHEN event_id % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
+    CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 13 = 0 THEN 'not json {'
+         WHEN event_id % 17 = 0 THEN '[1, 2]' ELSE props END AS model_output
+  FROM events
+),
+att AS (
+  SELECT * FROM (
+    SELECT ev.*, row_number() OVER (PARTITION BY sample_id, phase ORDER BY ts, event_id) AS attempt FROM ev
+  ) x WHERE attempt <= 3
+),
+ok AS (
+  SELECT att.*, trim(model_output) AS body,
+    (error_type IS NULL AND finish_reason <> 'length' AND coalesce(json_valid(trim(model_output)), false)
+     AND CASE WHEN json_valid(trim(model_output)) THEN json_type(trim(model_output)) = 'OBJECT' ELSE false END) AS good
+  FROM att
+),
+rs AS (
+  SELECT sample_id, phase, count(*) AS made, min(attempt) FILTER (WHERE good) AS win,
+    arg_min(body, attempt) FILTER (WHERE good) AS payload, arg_max(message, attempt) AS last_message,
+    min(event_id) AS seen
+  FROM ok GROUP BY sample_id, phase
+)"""
+
+
+def _redact(x: str) -> str:
+    t = f"regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '(?i)(bearer\\s+)[^\\s,;]+', '\\1[REDACTED]', 'g')"
+    t = f"regexp_replace({t}, '\\bsk-[A-Za-z0-9_-]+', 'sk-[REDACTED]', 'g')"
+    t = (f"regexp_replace({t}, '(?i)([\"'']?(?:api[_-]?key|access[_-]?token|authorization)[\"'']?\\s*[:=]\\s*[\"'']?)"
+         f"[^\"''\\s,;}}]+', '\\1[REDACTED]', 'g')")
+    return f"left({t}, 2000)"
+
+
+def inference_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["x4_attempt_resolution"] = f"""WITH {ATTEMPTS.strip()}
+SELECT sample_id, phase, CAST(coalesce(win, made) AS BIGINT) AS attempts_used, win IS NOT NULL AS resolved,
+  win AS winning_attempt, payload, CASE WHEN win IS NULL THEN {_redact('last_message')} END AS issue_message
+FROM rs"""
+    q["j7_rerun_selection"] = f"""WITH {ATTEMPTS.strip()},
+bad AS (SELECT sample_id, min(seen) AS seen FROM rs WHERE win IS NULL GROUP BY sample_id),
+ord AS (SELECT sample_id, row_number() OVER (ORDER BY seen, sample_id) AS rerun_order FROM bad)
+SELECT 'o_' || CAST(o_orderkey AS VARCHAR) AS sample_id, rerun_order, md5(CAST(o_orderkey AS VARCHAR)) AS commit_id,
+  c_name AS project
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN ord ON ord.sample_id = 'o_' || CAST(o_orderkey AS VARCHAR)"""
+    q["a15_rerun_summary"] = f"""WITH {ATTEMPTS.strip()}
+SELECT count(*) AS issues, count(DISTINCT sample_id) AS failed_samples FROM rs WHERE win IS NULL"""
+    q["s8_result_upsert"] = f"""WITH {SCORED_VIEW.strip()},
+b AS (SELECT sample_id, {text6('sim_u')} AS similarity, sample_index AS position FROM valid WHERE model = 'chatgpt'),
+u AS (SELECT sample_id, {text6('sim_u')} AS similarity, CASE WHEN model = 'claude' THEN 1 ELSE 2 END AS version
+      FROM valid WHERE model <> 'chatgpt'),
+lu AS (SELECT sample_id, arg_max(similarity, version) AS similarity, max(version) AS v FROM u GROUP BY sample_id),
+nw AS (SELECT lu.* FROM lu ANTI JOIN b USING (sample_id)),
+mx AS (SELECT max(position) AS m FROM b)
+SELECT b.sample_id, b.similarity, b.position FROM b ANTI JOIN lu USING (sample_id)
+UNION ALL SELECT b.sample_id, lu.similarity, b.position FROM b JOIN lu USING (sample_id)
+UNION ALL SELECT nw.sample_id, nw.similarity, CAST(coalesce(mx.m, 0) + row_number() OVER (ORDER BY nw.v, nw.sample_id) AS BIGINT)
+FROM nw CROSS JOIN mx"""
+    return q
+
+
+_prev_oracles2 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _prev_oracles2()
+    q.update(inference_oracles())
+    return q

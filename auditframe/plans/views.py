@@ -261,3 +261,33 @@ def megavul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("megavul fix "), k.cast("string")).alias("commit_msg"),
         F.array(F.concat(F.lit("CWE-"), F.pmod(k, F.lit(120)).cast("string"))).alias("cwe_ids"),
     )
+
+
+def attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-call attempts from ``events``: one row per call attempt.
+
+    sample = ``o_<user_id>``; phase = A/B/C by event id; ``error`` events are
+    failed calls (HTTP 502 with a secret in the body); every 11th attempt is
+    truncated (finish_reason = length); some payloads are not JSON or not an
+    object. ``event_ts`` / ``event_id`` order the attempts of one call.
+    """
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+    k = F.col("event_id")
+    err = F.col("event_type") == "error"
+    payload = (
+        F.when(F.pmod(k, F.lit(13)) == 0, F.lit("not json {"))
+        .when(F.pmod(k, F.lit(17)) == 0, F.lit("[1, 2]"))
+        .otherwise(F.col("props"))
+    )
+    return e.select(
+        F.concat(F.lit("o_"), F.col("user_id").cast("string")).alias("sample_id"),
+        F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.pmod(k, F.lit(3)) + 1).cast("int")).alias("phase"),
+        F.col("ts").alias("event_ts"),
+        k.alias("event_id"),
+        F.when(err, F.lit("APIError")).alias("error_type"),
+        F.when(err, F.concat(F.lit("HTTP 502 Bearer tok"), k.cast("string"), F.lit(" api_key=sk-"), k.cast("string")))
+        .alias("message"),
+        F.when(err, F.lit(502)).alias("status_code"),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"),
+        F.when(~err, payload).alias("model_output"),
+    )
