@@ -30,11 +30,17 @@ def with_ordinal(df: DataFrame, order_cols: Sequence[str | Column], name: str =
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = ordered.select(
+    from auditframe.session import cut_lineage
+
+    # partition ids and positions are materialised once (reliable checkpoint
+    # in the shared folder): the counts and the numbered rows then read the
+    # same rows, whatever plan each read gets, and a lost executor cannot
+    # reshuffle them
+    tagged = cut_lineage(ordered.select(
         "*",
         F.spark_partition_id().alias("_pid"),
         (F.monotonically_increasing_id() - F.spark_partition_id().cast("bigint") * _SHIFT).alias("_pos"),
-    )
+    ))
     counts = tagged.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -51,12 +57,8 @@ def with_group_ordinal(
     """1-based ordinal inside each group (``row_number() over (partition by g
     order by k)``), computed from one global ordinal and the group's first one,
     so a huge group is still spread over many tasks."""
-    from auditframe.session import cut_lineage
-
     g = list(group_cols)
-    # read twice below (group starts + rows), so materialise it once: a
-    # reliable checkpoint keeps both reads identical and survives lost executors
-    glob = cut_lineage(with_ordinal(df, [*g, *order_cols], "_gord"))
+    glob = with_ordinal(df, [*g, *order_cols], "_gord")
     starts = glob.groupBy(*g).agg(F.min("_gord").alias("_gstart"))
     return (
         glob.join(starts, g, "inner")

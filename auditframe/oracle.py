@@ -757,7 +757,7 @@ ok AS (
 ),
 rs AS (
   SELECT sample_id, phase, count(*) AS made, min(attempt) FILTER (WHERE good) AS win,
-    arg_min(body, attempt) FILTER (WHERE good) AS payload, arg_max(message, attempt) AS last_message,
+    arg_min(body, attempt) FILTER (WHERE good) AS payload, arg_max(coalesce(message, ''), attempt) AS last_message,
     min(event_id) AS seen
   FROM ok GROUP BY sample_id, phase
 )"""
@@ -768,7 +768,7 @@ def _redact(x: str) -> str:
     t = f"regexp_replace({t}, '\\bsk-[A-Za-z0-9_-]+', 'sk-[REDACTED]', 'g')"
     t = (f"regexp_replace({t}, '(?i)([\"'']?(?:api[_-]?key|access[_-]?token|authorization)[\"'']?\\s*[:=]\\s*[\"'']?)"
          f"[^\"''\\s,;}}]+', '\\1[REDACTED]', 'g')")
-    return f"left({t}, 2000)"
+    return f"left(CASE WHEN trim(coalesce({x}, '')) = '' THEN 'no error message' ELSE {t} END, 2000)"
 
 
 def inference_oracles() -> dict[str, str]:
