@@ -7,6 +7,8 @@ be exact (mean, percentage, median) are computed on integer micro-units.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -136,14 +138,12 @@ def bin_label(index: Column) -> Column:
 
 
 def decimal_text(value: Column) -> Column:
-    """Shortest text (no trailing zeros, no trailing point); plain notation."""
-
-    def body(s: Column) -> Column:
-        trimmed = F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")
-        out = F.when(s.contains("."), trimmed).otherwise(s)
-        return F.when(out == "-0", F.lit("0")).otherwise(out)
+    """Shortest text (no trailing zeros, no trailing point); plain notation.
 
-    return let(value.cast("string"), body)
+    For DECIMAL with scale > 0 the text always has a point, so trimming
+    trailing '0' and then '.' is exact; integral text is left alone."""
+    s = value.cast("string")
+    return F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
 
 
 def to_micro(value: Column) -> Column:
@@ -157,20 +157,13 @@ def idiv(a: Column, b: Column) -> Column:
 
 
 def micro_text(micro: Column, scale_digits: int = 6) -> Column:
-    """Integer units of 10^-scale_digits -> shortest decimal text."""
-    unit = F.lit(10**scale_digits).cast(BIG)
-
-    def body(m: Column) -> Column:
-        mag = F.abs(m)
-        text = F.concat(
-            idiv(mag, unit).cast("string"),
-            F.lit("."),
-            F.lpad(F.pmod(mag, unit).cast(BIG).cast("string"), scale_digits, "0"),
-        )
-        text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
-        return F.when(m < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    """Integer units of 10^-scale_digits -> shortest decimal text.
 
-    return let(micro.cast(BIG), body)
+    The integer (|v| < 10^25) times the exact literal 10^-scale gives a
+    DECIMAL(33+, scale) with no rounding; it is printed plainly and trimmed
+    of trailing zeros and point."""
+    step = F.lit(Decimal(1).scaleb(-scale_digits)).cast(DecimalType(scale_digits + 1, scale_digits))
+    return decimal_text(micro.cast(DecimalType(25, 0)) * step)
 
 
 def half_up_div(num: Column, den: Column) -> Column:

@@ -37,57 +37,51 @@ def zero_fill(counts: DataFrame, grid_df: DataFrame, keys: Sequence[str], count_
     )
 
 
-def exact_median_micro2(df: DataFrame, group_cols: Sequence[str], micro: Column) -> DataFrame:
-    """Twice the exact median, in micro-units, per group (Python statistics.median).
+def value_counts(df: DataFrame, group_cols: Sequence[str], value: Column) -> DataFrame:
+    """(group, value in micro-units, count): the partial-aggregated input of A1."""
+    g = list(group_cols)
+    return df.select(*g, S.to_micro(value).alias("_v")).groupBy(*g, "_v").agg(F.count("*").alias("_n"))
 
-    Reduce to per-(group, value) counts, then a running count over the
-    distinct values of each group locates the middle rank(s).
-    """
+
+def summary_from_counts(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """A1 from (group, _v, _n): count, distinct, mean (HALF_UP), exact median,
+    min, max as shortest text. The median's running count is a window over
+    the *distinct* values of a group, never over raw rows."""
     g = list(group_cols)
-    counts = df.select(*g, micro.alias("_v")).groupBy(*g, "_v").agg(F.count("*").alias("_n"))
+    if not g:
+        raise ValueError("summary statistics need at least one group column")
     w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wall = Window.partitionBy(*g)
-    ranked = counts.select(
-        *g, "_v", "_n", F.sum("_n").over(w).alias("_cum"), F.sum("_n").over(wall).alias("_tot")
-    )
+    ranked = counts.select(*g, "_v", "_n", F.sum("_n").over(w).alias("_cum"),
+                           F.sum("_n").over(Window.partitionBy(*g)).alias("_tot"))
     k1 = F.floor((F.col("_tot") + 1) / 2)
     k2 = F.floor(F.col("_tot") / 2) + 1
     lo = F.col("_cum") - F.col("_n")
     hit1 = (lo < k1) & (k1 <= F.col("_cum"))
     hit2 = (lo < k2) & (k2 <= F.col("_cum"))
-    return ranked.groupBy(*g).agg(
-        (F.sum(F.when(hit1, F.col("_v"))) + F.sum(F.when(hit2, F.col("_v")))).cast(S.BIG).alias("median2_micro")
+    agg = ranked.groupBy(*g).agg(
+        F.sum("_n").alias("row_count"),
+        F.count("*").alias("distinct_count"),
+        F.sum(F.col("_v") * F.col("_n")).cast(S.BIG).alias("_sum"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        (F.sum(F.when(hit1, F.col("_v"))) + F.sum(F.when(hit2, F.col("_v")))).cast(S.BIG).alias("_med2"),
     )
-
-
-def summary_stats(df: DataFrame, group_cols: Sequence[str], value: Column) -> DataFrame:
-    """A1 over a DECIMAL(.,6) value: count, distinct, mean (HALF_UP), exact
-    median, min, max -- all as shortest text."""
-    g = list(group_cols)
-    if not g:
-        raise ValueError("summary_stats needs at least one group column")
-    micro = S.to_micro(value)
-    base = df.select(*g, micro.alias("_u"))
-    agg = base.groupBy(*g).agg(
-        F.count("*").alias("row_count"),
-        F.count_distinct("_u").alias("distinct_count"),
-        F.sum("_u").cast(S.BIG).alias("_sum"),
-        F.min("_u").alias("_min"),
-        F.max("_u").alias("_max"),
-    )
-    med = exact_median_micro2(base, g, F.col("_u"))
-    out = agg.join(med, g, "inner")
-    return out.select(
+    return agg.select(
         *g,
         "row_count",
         "distinct_count",
         S.micro_text(S.half_up_div(F.col("_sum"), F.col("row_count"))).alias("mean"),
-        S.micro_text(F.col("median2_micro") * 5, 7).alias("median"),
+        S.micro_text(F.col("_med2") * 5, 7).alias("median"),
         S.micro_text(F.col("_min")).alias("minimum"),
         S.micro_text(F.col("_max")).alias("maximum"),
     )
 
 
+def summary_stats(df: DataFrame, group_cols: Sequence[str], value: Column) -> DataFrame:
+    """A1 over a DECIMAL(.,6) value in one pass over the rows."""
+    return summary_from_counts(value_counts(df, group_cols, value), group_cols)
+
+
 def bin_histogram(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -100,20 +94,22 @@ def bin_histogram(
 ) -> DataFrame:
     """0.1-bin histogram per group; bins 0..9 always present,
     ``< 0.0`` / ``> 1.0`` only when non-empty (or never, when not kept);
-    percentages of all values in the group; optional running totals (W2)."""
+    percentages of all values in the group; optional running totals (W2).
+
+    The rows are read once: per-(group, bin) counts are full-outer-joined to
+    the literal grid (out-of-range bins survive the join), and totals and
+    running sums are windows over that grid-sized table."""
     spark = df.sparkSession
     g = list(group_cols)
-    binned = df.select(*g, S.bin_index(value).alias("_bin"))
-    counts = binned.groupBy(*g, "_bin").agg(F.count("*").alias("count"))
-    totals = binned.groupBy(*g).agg(F.count("*").alias(total_name))
+    counts = df.select(*g, S.bin_index(value).alias("_bin")).groupBy(*g, "_bin").agg(F.count("*").alias("count"))
     base = grid(spark, {**groups, "_bin": list(range(10))})
-    filled = zero_fill(counts, base, g + ["_bin"])
-    if keep_out_of_range:
-        extra = counts.where(~F.col("_bin").between(0, 9))
-        filled = filled.unionByName(extra)
-    filled = filled.join(F.broadcast(totals), g, "left").withColumn(
-        total_name, F.coalesce(F.col(total_name), F.lit(0)).cast("bigint")
+    filled = base.join(F.broadcast(counts), g + ["_bin"], "full_outer").withColumn(
+        "count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
     )
+    total = F.sum("count").over(Window.partitionBy(*g)).cast("bigint")
+    filled = filled.withColumn(total_name, total)
+    if not keep_out_of_range:
+        filled = filled.where(F.col("_bin").between(0, 9))
     cols = [*g, S.bin_label(F.col("_bin")).alias(label_name), "count",
             S.percentage(F.col("count"), F.col(total_name)).alias("percentage")]
     if cumulative:
@@ -128,20 +124,21 @@ def bin_histogram(
 def band_distribution(
     df: DataFrame, group_cols: Sequence[str], groups: dict[str, Sequence], band_col: str
 ) -> DataFrame:
-    """A3: three-band counts per group, all bands present, with percentages."""
+    """A3: three-band counts per group, all bands present, with percentages
+    (rows read once; totals are a window over the grid-sized table)."""
     spark = df.sparkSession
     g = list(group_cols)
     counts = df.groupBy(*g, F.col(band_col).alias("band")).agg(F.count("*").alias("count"))
-    totals = df.groupBy(*g).agg(F.count("*").alias("total_valid"))
     base = grid(spark, {**groups, "band": list(S.BAND_ORDER)})
-    filled = zero_fill(counts, base, g + ["band"]).join(F.broadcast(totals), g, "left")
+    filled = zero_fill(counts, base, g + ["band"])
     definition = F.create_map(*[x for b in S.BAND_ORDER for x in (F.lit(b), F.lit(S.BAND_DEFINITIONS[b]))])
-    total = F.coalesce(F.col("total_valid"), F.lit(0)).cast("bigint")
+    total = F.sum("count").over(Window.partitionBy(*g)).cast("bigint")
+    filled = filled.withColumn("total_valid", total)
     return filled.select(
         *g,
         "band",
         definition[F.col("band")].alias("band_definition"),
         "count",
-        S.percentage(F.col("count"), total).alias("percentage"),
-        total.alias("total_valid"),
+        S.percentage(F.col("count"), F.col("total_valid")).alias("percentage"),
+        "total_valid",
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import let
@@ -20,6 +20,7 @@ from auditframe.functions.text import py_strip
 from auditframe.operators import stats
 from auditframe.operators.validity import add_row_checks, drop_checks, error_reasons, has_pipeline_error
 from auditframe.plans.views import MODELS, SCORED_TEXT_COLUMNS
+from auditframe.session import cut_lineage
 
 SCOPES = ("full", "three_model_common")
 
@@ -58,14 +59,18 @@ def similarity_rows(df: DataFrame) -> DataFrame:
 
 def score_summary(df: DataFrame, which: str = "cds") -> DataFrame:
     """A1 per model: valid rows, skipped rows, distinct values, mean, median,
-    min, max of the CDS (or the similarity)."""
+    min, max of the CDS (or the similarity). One pass over the rows: a
+    (model, skipped, value) count table feeds both the counters and the
+    statistics."""
     s = scored_rows(df)
-    counts = s.groupBy("model").agg(
-        F.count_if(~F.col("skipped")).alias("row_count"),
-        F.count_if(F.col("skipped")).alias("skipped_row_count"),
-    )
     value = F.col("_cds") if which == "cds" else F.col("_sim")
-    st = stats.summary_stats(s.where(~F.col("skipped")), ["model"], value)
+    vc = stats.value_counts(s, ["model", "skipped"], value)
+    vc = cut_lineage(vc)  # tiny; read twice below
+    counts = vc.groupBy("model").agg(
+        F.sum(F.when(~F.col("skipped"), F.col("_n")).otherwise(0)).alias("row_count"),
+        F.sum(F.when(F.col("skipped"), F.col("_n")).otherwise(0)).alias("skipped_row_count"),
+    )
+    st = stats.summary_from_counts(vc.where(~F.col("skipped")).drop("skipped"), ["model"])
     return counts.join(st.drop("row_count"), "model", "left").select(
         "model", "row_count", "skipped_row_count",
         F.coalesce(F.col("distinct_count"), F.lit(0)).alias(f"distinct_{which}_count"),
@@ -87,13 +92,18 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
     per (model, sample_id) in (file, row) order wins, later rows of that id get
     ``duplicate_sample_id`` (invalid ones too), earlier invalid rows do not.
 
-    The winner is found by an aggregate (partial, skew-safe) joined back on the
-    key instead of a window over possibly hot ids.
+    The checked rows are narrowed and checkpointed once (reliable, shared
+    folder): the winner aggregate and the join back both read them, so the
+    row checks run once per row. The winner is found by an aggregate
+    (partial, skew-safe) joined back on the key, not by a window over
+    possibly hot ids.
     """
     checked = _checked(df, text_columns)
     base = drop_checks(checked.withColumn("_reasons0", error_reasons(checked)))
     base = base.withColumn("sample_id", py_strip(F.coalesce(F.col("sample_id"), F.lit(""))))
     base = base.withColumn("_pos", F.struct("file_ord", "row_key"))
+    keep = ["model", "sample_id", "source_file", "_pos", "_reasons0", "_e", "_l", "_f"]
+    base = cut_lineage(base.select(*keep))
     firsts = (
         base.where(F.size("_reasons0") == 0)
         .groupBy("model", "sample_id")
@@ -113,6 +123,15 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
     return out.drop("_first")
 
 
+def valid_with_common(df: DataFrame, n_models: int) -> DataFrame:
+    """Valid rows (one per model and id after U4) with ``common`` = the id is
+    valid for every model (J2/U3). The window is partitioned by sample id but
+    holds at most ``n_models`` rows per id, so no id can be hot here."""
+    valid = model_rows(df).where("valid")
+    n = F.count("*").over(Window.partitionBy("sample_id"))
+    return valid.withColumn("common", n == n_models)
+
+
 def valid_results(df: DataFrame) -> DataFrame:
     """result-<model> tables: valid rows with similarity text and score band,
     natural order by numeric suffix then id (W4)."""
@@ -148,8 +167,7 @@ def common_ids(valid: DataFrame, n_models: int) -> DataFrame:
 def common_rows(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     """J2 + W7: long common table, one row per (sample, model), id suffixed
     with the model, interleaved order (suffix, id, model order)."""
-    valid = model_rows(df).where("valid")
-    common = valid.join(common_ids(valid, len(models)), "sample_id", "left_semi")
+    common = valid_with_common(df, len(models)).where("common")
     order = F.array_position(F.array(*[F.lit(x) for x in models]), F.col("model"))
     return common.select(
         F.col("sample_id").alias("base_sample_id"),
@@ -163,9 +181,11 @@ def common_rows(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
 
 
 def _scoped_valid(df: DataFrame, models: Sequence[str]) -> DataFrame:
-    valid = model_rows(df).where("valid")
-    common = valid.join(common_ids(valid, len(models)), "sample_id", "left_semi")
-    return valid.withColumn("scope", F.lit(SCOPES[0])).unionByName(common.withColumn("scope", F.lit(SCOPES[1])))
+    """Valid rows tagged with their scopes: every row is in ``full``, common
+    ones also in ``three_model_common`` (one pass, ``explode``, no union)."""
+    v = valid_with_common(df, len(models))
+    scopes = F.when(F.col("common"), F.array(F.lit(SCOPES[0]), F.lit(SCOPES[1]))).otherwise(F.array(F.lit(SCOPES[0])))
+    return v.withColumn("scope", F.explode(scopes))
 
 
 def band_distribution_final3(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
@@ -184,8 +204,7 @@ def bin_distribution_final3(df: DataFrame, models: Sequence[str] = MODELS) -> Da
 
 def _wide(df: DataFrame, models: Sequence[str], value_col: str, band_col: str) -> DataFrame:
     """One row per common sample with one value and one band column per model."""
-    valid = model_rows(df).where("valid")
-    common = valid.join(common_ids(valid, len(models)), "sample_id", "left_semi")
+    common = valid_with_common(df, len(models)).where("common")
     if value_col == "_cds":
         common = common.withColumn("_cds", S.cds(F.col("_sim"))).withColumn("_cds_band", S.band(F.col("_cds")))
     aggs = []
