@@ -59,11 +59,8 @@ def is_non_finite_text(c) -> Column:
 def similarity_unrounded(e, l, f) -> Column:
     """((E+L+F)/3 + min(E,L,F)) / 2, kept exact as a DECIMAL quotient."""
 
-    def body(x: Column) -> Column:
-        a, b, c = x["e"], x["l"], x["f"]
-        return (a + b + c + F.least(a, b, c) * 3) / F.lit(6)
-
-    return let(F.struct(_c(e).alias("e"), _c(l).alias("l"), _c(f).alias("f")), body)
+    a, b, c = _c(e), _c(l), _c(f)
+    return (a + b + c + F.least(a, b, c) * 3) / F.lit(6)
 
 
 def similarity(e, l, f, digits: int = 6) -> Column:
@@ -81,60 +78,51 @@ def cds(sim: Column, digits: int = 6) -> Column:
 def band(value: Column) -> Column:
     """Inclusive ends, <= 0.25 low, >= 0.75 high, else middle (NULL stays NULL)."""
 
-    def body(v: Column) -> Column:
-        return (
-            F.when(v <= F.lit(LOW_CUT).cast("decimal(3,2)"), "low")
-            .when(v >= F.lit(HIGH_CUT).cast("decimal(3,2)"), "high")
-            .when(v.isNotNull(), "middle")
-        )
-
-    return let(value, body)
+    v = value
+    return (
+        F.when(v <= F.lit(LOW_CUT).cast("decimal(3,2)"), "low")
+        .when(v >= F.lit(HIGH_CUT).cast("decimal(3,2)"), "high")
+        .when(v.isNotNull(), "middle")
+    )
 
 
 def band_from_numerator(e, l, f) -> Column:
     """Band of the *unrounded* similarity (final3 score_band), decided on the
     exact numerator E+L+F+3*min compared with 6*cut, so no division happens."""
 
-    def body(x: Column) -> Column:
-        a, b, c = x["e"], x["l"], x["f"]
-        num = a + b + c + F.least(a, b, c) * 3
-        return (
-            F.when(num <= F.lit("1.5").cast("decimal(2,1)"), "low")
-            .when(num >= F.lit("4.5").cast("decimal(2,1)"), "high")
-            .when(num.isNotNull(), "middle")
-        )
-
-    return let(F.struct(_c(e).alias("e"), _c(l).alias("l"), _c(f).alias("f")), body)
+    a, b, c = _c(e), _c(l), _c(f)
+    num = a + b + c + F.least(a, b, c) * 3
+    return (
+        F.when(num <= F.lit("1.5").cast("decimal(2,1)"), "low")
+        .when(num >= F.lit("4.5").cast("decimal(2,1)"), "high")
+        .when(num.isNotNull(), "middle")
+    )
 
 
 def bin_index(value: Column) -> Column:
     """0.1 bins; -1 below 0, 10 above 1, 0 at zero, else ceil(v/0.1)-1 capped at 9."""
 
-    def body(v: Column) -> Column:
-        return (
-            F.when(v < 0, F.lit(-1))
-            .when(v > 1, F.lit(10))
-            .when(v == 0, F.lit(0))
-            .otherwise(F.least(F.ceil(v * 10).cast("int") - 1, F.lit(9)))
-        )
-
-    return let(value, body)
+    v = value
+    return (
+        F.when(v < 0, F.lit(-1))
+        .when(v > 1, F.lit(10))
+        .when(v == 0, F.lit(0))
+        .otherwise(F.least(F.ceil(v * 10).cast("int") - 1, F.lit(9)))
+    )
 
 
 def bin_label(index: Column) -> Column:
     """P14 labels: ``[0.0, 0.1]``, ``(0.1, 0.2]`` .. ``(0.9, 1.0]``, ``< 0.0``, ``> 1.0``."""
 
-    def body(i: Column) -> Column:
-        left = F.when(i == 0, F.lit("[")).otherwise(F.lit("("))
-        start = F.format_string("%d.%d", F.floor(i / 10), i % 10)
-        end = F.format_string("%d.%d", F.floor((i + 1) / 10), (i + 1) % 10)
-        return (
-            F.when(i < 0, F.lit("< 0.0"))
-            .when(i > 9, F.lit("> 1.0"))
-            .otherwise(F.concat(left, start, F.lit(", "), end, F.lit("]")))
-        )
-
-    return let(index, body)
+    i = index
+    left = F.when(i == 0, F.lit("[")).otherwise(F.lit("("))
+    start = F.format_string("%d.%d", F.floor(i / 10), i % 10)
+    end = F.format_string("%d.%d", F.floor((i + 1) / 10), (i + 1) % 10)
+    return (
+        F.when(i < 0, F.lit("< 0.0"))
+        .when(i > 9, F.lit("> 1.0"))
+        .otherwise(F.concat(left, start, F.lit(", "), end, F.lit("]")))
+    )
 
 
 def decimal_text(value: Column) -> Column:
@@ -169,22 +157,17 @@ def micro_text(micro: Column, scale_digits: int = 6) -> Column:
 def half_up_div(num: Column, den: Column) -> Column:
     """Exact HALF_UP (away from zero) rounding of num/den for integers, den > 0."""
     d = den.cast(BIG)
-
-    def body(n: Column) -> Column:
-        mag = idiv(F.abs(n) * 2 + d, d * 2)
-        return F.when(n < 0, -mag).otherwise(mag)
-
-    return let(num.cast(BIG), body)
+    n = num.cast(BIG)
+    mag = idiv(F.abs(n) * 2 + d, d * 2)
+    return F.when(n < 0, -mag).otherwise(mag)
 
 
 def percentage_micro(count: Column, total: Column) -> Column:
     """P16 in micro-units: count*100/total HALF_UP to 6 digits; 0 when total is 0."""
-    def body(t: Column) -> Column:
-        return F.when(t == 0, F.lit(0).cast(BIG)).otherwise(
-            half_up_div(count.cast(BIG) * 100 * MICRO, F.when(t == 0, 1).otherwise(t))
-        )
-
-    return let(total.cast(BIG), body)
+    t = total.cast(BIG)
+    return F.when(t == 0, F.lit(0).cast(BIG)).otherwise(
+        half_up_div(count.cast(BIG) * 100 * MICRO, F.when(t == 0, 1).otherwise(t))
+    )
 
 
 def percentage(count: Column, total: Column) -> Column:

@@ -36,29 +36,27 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "input")
 
 def raw_state(raw: Column) -> Column:
     """State of one raw phase report: NULL (fine), ``empty``, ``invalid_json``,
-    ``non_object`` or ``pipeline_error``. JSON is parsed only when a marker
-    word occurs, so ``{garbage}`` without markers is fine."""
+    ``non_object`` or ``pipeline_error``.
+
+    JSON is parsed only when a marker word occurs (so ``{garbage}`` without
+    markers is fine); that rare branch binds the parsed value once with
+    ``let`` so its several type tests share one parse."""
+    s = py_strip(raw)
     marked = raw.contains(MARKERS[0]) | raw.contains(MARKERS[1])
-    packed = F.struct(
-        raw.alias("r"),
-        py_strip(raw).alias("s"),
-        F.when(marked, F.try_parse_json(raw)).alias("j"),
-        F.coalesce(marked, F.lit(False)).alias("m"),
-    )
 
-    def body(x: Column) -> Column:
-        s, j = x["s"], x["j"]
+    def parsed_state(j: Column) -> Column:
         flagged = V.truthy(V.field(j, MARKERS[0])) | V.truthy(V.field(j, MARKERS[1]))
         return (
-            F.when(x["r"].isNull() | (s == ""), F.lit("empty"))
-            .when(~(s.startswith("{") & s.endswith("}")), F.lit("invalid_json"))
-            .when(~x["m"], F.lit(None).cast("string"))
-            .when(j.isNull(), F.lit("invalid_json"))
+            F.when(j.isNull(), F.lit("invalid_json"))
             .when(~V.is_object(j), F.lit("non_object"))
             .when(flagged, F.lit("pipeline_error"))
         )
 
-    return let(packed, body)
+    return (
+        F.when(raw.isNull() | (s == ""), F.lit("empty"))
+        .when(~(s.startswith("{") & s.endswith("}")), F.lit("invalid_json"))
+        .when(marked, let(F.try_parse_json(raw), parsed_state))
+    )
 
 
 def add_row_checks(df: DataFrame, text_columns: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,7 +69,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (never a local one) so lost executors cannot force
-    recomputation of expensive or side-effecting upstream stages."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and read it back.
+
+    Same guarantee as a reliable checkpoint (never a local one): downstream
+    reads see one fixed copy, and a lost executor never forces the upstream
+    stages (row checks, model calls) to run again. Unlike
+    ``Dataset.checkpoint`` on an unpersisted plan, the rows are computed once
+    (one write job), and the copy is columnar and compressed.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/auditframe-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
