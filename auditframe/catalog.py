@@ -156,10 +156,24 @@ def inference_queries() -> dict[str, Query]:
     }
 
 
+def run_queries() -> dict[str, Query]:
+    from auditframe.plans.run import run_three_phases
+    from auditframe.plans.stub_model import stub_model
+
+    def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_three_phases(sample_rows(spark, sf_dir), stub_model)[0]
+
+    def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_three_phases(sample_rows(spark, sf_dir), stub_model)[1].drop("timestamp_utc")
+
+    return {"x3_three_phase_results": results, "x5_issue_log": issues}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(score_queries())
     out.update(consensus_queries())
     out.update(pair_queries())
     out.update(inference_queries())
+    out.update(run_queries())
     return out
