@@ -169,6 +169,22 @@ def run_queries() -> dict[str, Query]:
     return {"x3_three_phase_results": results, "x5_issue_log": issues}
 
 
+def reposvul_queries() -> dict[str, Query]:
+    from auditframe.plans import reposvul as RV
+    from auditframe.plans.views import reposvul_files, reposvul_records
+
+    def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return RV.convert_reposvul(reposvul_records(spark, sf_dir), reposvul_files(spark, sf_dir))
+
+    def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = RV._filtered(reposvul_records(spark, sf_dir), False).where(F.col("reason").isNull()).drop("reason")
+        return RV._folded(f).select(
+            "function_id", "record_index", F.to_json("cwes").alias("cwe"), F.col("copies").cast("bigint").alias("copies")
+        )
+
+    return {"d4_reposvul_conversion": d4, "a12_function_fold": a12}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(score_queries())
@@ -176,4 +192,5 @@ def all_queries() -> dict[str, Query]:
     out.update(pair_queries())
     out.update(inference_queries())
     out.update(run_queries())
+    out.update(reposvul_queries())
     return out

@@ -806,3 +806,31 @@ def oracles() -> dict[str, str]:  # noqa: F811
     q = _prev_oracles2()
     q.update(inference_oracles())
     return q
+
+
+def reposvul_oracles() -> dict[str, str]:
+    return {"a12_function_fold": """WITH rv AS (
+  SELECT o_orderkey AS record_index,
+    'repo_fn_' || CAST(CASE WHEN o_orderkey % 17 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS VARCHAR) AS function_id,
+    CASE WHEN o_orderkey % 2 = 0 THEN ['CWE-' || CAST(o_orderkey % 30 AS VARCHAR)]
+         ELSE ['CWE-' || CAST(o_orderkey % 30 AS VARCHAR), 'CWE-20'] END AS cwe_id
+  FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 13 <> 0
+),
+fl AS (
+  SELECT function_id, min(record_index) AS record_index, count(*) AS copies,
+    flatten(list(cwe_id ORDER BY record_index)) AS allc
+  FROM rv GROUP BY function_id
+)
+SELECT function_id, record_index,
+  to_json(list_filter(list_filter(allc, lambda y, i: list_position(allc, y) = i), lambda z: trim(z) <> '')) AS cwe,
+  CAST(copies AS BIGINT) AS copies
+FROM fl"""}
+
+
+_prev_oracles3 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _prev_oracles3()
+    q.update(reposvul_oracles())
+    return q

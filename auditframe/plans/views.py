@@ -291,3 +291,54 @@ def attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(k, F.lit(11)) == 0, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"),
         F.when(~err, payload).alias("model_output"),
     )
+
+
+def reposvul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ReposVul-style function records from ``orders`` (the fixed version).
+
+    target 0 / outdated / missing parent / duplicate function ids by residue;
+    the CWE field is a list or a plain string.
+    """
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    fid_key = F.when(F.pmod(k, F.lit(17)) == 1, k - 1).otherwise(k)
+    body = F.pmod(k, F.lit(7)).cast("string")
+    return o.select(
+        k.alias("record_index"),
+        F.concat(F.lit("repo_fn_"), fid_key.cast("string")).alias("function_id"),
+        F.concat(F.lit("int f_"), fid_key.cast("string"), F.lit("(int x)\n{\n  if (x < 0)\n    return 0;\n  return x + "),
+                 body, F.lit(";\n}")).alias("function"),
+        F.md5(ks).alias("commit_id"),
+        F.concat(F.lit("fix order "), ks).alias("commit_message"),
+        F.concat(F.lit("proj/c"), F.col("o_custkey").cast("string")).alias("project"),
+        F.concat(F.lit("src/f_"), fid_key.cast("string"), F.lit(".c")).alias("file_name"),
+        F.when(F.pmod(k, F.lit(9)) == 0, F.lit(0)).otherwise(F.lit(1)).alias("target"),
+        F.when(F.pmod(k, F.lit(13)) == 0, F.lit(1)).otherwise(F.lit(0)).alias("outdated"),
+        F.when(F.pmod(k, F.lit(2)) == 0, F.array(F.concat(F.lit("CWE-"), F.pmod(k, F.lit(30)).cast("string"))))
+        .otherwise(F.array(F.concat(F.lit("CWE-"), F.pmod(k, F.lit(30)).cast("string")), F.lit("CWE-20")))
+        .alias("cwe_id"),
+        F.when(F.pmod(k, F.lit(23)) == 5, F.array().cast("array<string>"))
+        .otherwise(F.array(F.concat(F.lit("p"), F.md5(ks)))).alias("parents"),
+    )
+
+
+def reposvul_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent-commit source files (replacing the download): each holds a
+    prototype, a helper that mentions the function in a comment and a
+    string with a brace, and the vulnerable definition; some are absent."""
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    body = F.pmod(k, F.lit(7)).cast("string")
+    content = F.concat(
+        F.lit("#include <stdio.h>\n\nint f_"), ks, F.lit("(int x);\n\nstatic const char *helper(void)\n{\n"
+                                                         "  /* see f_"), ks, F.lit("( } */\n  return \"}\";\n}\n\n"),
+        F.lit("int f_"), ks, F.lit("(int x)\n{\n  return x + "), body, F.lit(";\n}\n"),
+    )
+    return o.where(F.pmod(k, F.lit(29)) != 4).select(
+        F.concat(F.lit("proj/c"), F.col("o_custkey").cast("string")).alias("project"),
+        F.concat(F.lit("p"), F.md5(ks)).alias("commit_id"),
+        F.concat(F.lit("src/f_"), ks, F.lit(".c")).alias("path"),
+        content.alias("content"),
+    )
