@@ -185,6 +185,26 @@ def reposvul_queries() -> dict[str, Query]:
     return {"d4_reposvul_conversion": d4, "a12_function_fold": a12}
 
 
+def source_queries() -> dict[str, Query]:
+    from auditframe.sources.files import csv_cells
+    from auditframe.sources.tables import table
+
+    def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+        k = F.col("doc_id")
+        typed = d.select(
+            k.alias("doc_id"),
+            F.when(F.pmod(k, F.lit(5)) == 0, F.lit("=1+1")).when(F.pmod(k, F.lit(5)) == 1, F.concat(F.lit("-"), "lang"))
+            .when(F.pmod(k, F.lit(5)) == 2, F.lit(None).cast("string")).otherwise(F.col("lang")).alias("label"),
+            (F.col("n_chars") > 1000).alias("long_text"),
+            F.array("lang", "source").alias("tags"),
+            F.concat("source", F.lit("\u0000"), "lang").alias("raw"),
+        )
+        return csv_cells(typed)
+
+    return {"s10_csv_cells": s10}
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(score_queries())
@@ -193,4 +213,5 @@ def all_queries() -> dict[str, Query]:
     out.update(inference_queries())
     out.update(run_queries())
     out.update(reposvul_queries())
+    out.update(source_queries())
     return out

@@ -834,3 +834,29 @@ def oracles() -> dict[str, str]:  # noqa: F811
     q = _prev_oracles3()
     q.update(reposvul_oracles())
     return q
+
+
+def source_oracles() -> dict[str, str]:
+    def guard(x: str) -> str:
+        return f"CASE WHEN left({x}, 1) IN ('=', '+', '-', '@') THEN '''' || {x} ELSE {x} END"
+
+    return {"s10_csv_cells": f"""WITH t AS (
+  SELECT doc_id,
+    CASE WHEN doc_id % 5 = 0 THEN '=1+1' WHEN doc_id % 5 = 1 THEN '-' || lang WHEN doc_id % 5 = 2 THEN NULL ELSE lang END AS label,
+    n_chars > 1000 AS long_text, to_json([lang, source]) AS tags, replace(source || chr(0) || lang, chr(0), '\\0') AS raw
+  FROM documents
+)
+SELECT {guard("CAST(doc_id AS VARCHAR)")} AS doc_id,
+  CASE WHEN label IS NULL THEN '' ELSE {guard("label")} END AS label,
+  CASE WHEN long_text THEN 'true' ELSE 'false' END AS long_text,
+  {guard("tags")} AS tags, {guard("raw")} AS raw
+FROM t"""}
+
+
+_prev_oracles4 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _prev_oracles4()
+    q.update(source_oracles())
+    return q
