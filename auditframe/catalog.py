@@ -202,7 +202,20 @@ def source_queries() -> dict[str, Query]:
         )
         return csv_cells(typed)
 
-    return {"s10_csv_cells": s10}
+    def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from auditframe.functions import text as T
+
+        p = table(spark, sf_dir, "pages").select("page_id", "url")
+        r = F.pmod(F.col("page_id"), F.lit(4))
+        url = (F.when(r == 1, F.replace("url", F.lit("://"), F.lit("://user:secret@")))
+               .when(r == 2, F.replace("url", F.lit(".example."), F.lit(".EXAMPLE.")))
+               .when(r == 3, F.regexp_replace("url", r"(://[^/?#]+)", "$1:8080"))
+               .otherwise(F.col("url")))
+        p = p.withColumn("url", url)
+        return p.select("page_id", T.safe_base_url(F.col("url")).alias("base_url"),
+                        T.safe_filename(F.concat(F.lit("page/"), F.col("url"))).alias("file_key"))
+
+    return {"s10_csv_cells": s10, "p23_p32_url_keys": urls}
 
 
 def all_queries() -> dict[str, Query]:

@@ -860,3 +860,39 @@ def oracles() -> dict[str, str]:  # noqa: F811
     q = _prev_oracles4()
     q.update(source_oracles())
     return q
+
+
+def url_oracles() -> dict[str, str]:
+    return {"p23_p32_url_keys": r"""WITH p AS (
+  SELECT page_id,
+    CASE page_id % 4 WHEN 1 THEN replace(url, '://', '://user:secret@')
+      WHEN 2 THEN replace(url, '.example.', '.EXAMPLE.')
+      WHEN 3 THEN regexp_replace(url, '(://[^/?#]+)', '\1:8080') ELSE url END AS url
+  FROM pages
+),
+q AS (
+  SELECT page_id, url,
+    lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
+    regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^.*@', '') AS hostport,
+    regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+    'page/' || url AS original
+  FROM p
+),
+r AS (
+  SELECT *, lower(regexp_replace(hostport, ':[^:]*$', '')) AS host, regexp_extract(hostport, ':([0-9]+)$', 1) AS port,
+    regexp_replace(regexp_replace(original, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS safe
+  FROM q
+)
+SELECT page_id,
+  scheme || '://' || host || CASE WHEN port <> '' THEN ':' || CAST(CAST(port AS INTEGER) AS VARCHAR) ELSE '' END || path AS base_url,
+  CASE WHEN safe <> original OR length(safe) > 120 THEN left(safe, 105) || '__' || left(sha256(original), 10) ELSE safe END AS file_key
+FROM r"""}
+
+
+_prev_oracles5 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    q = _prev_oracles5()
+    q.update(url_oracles())
+    return q
