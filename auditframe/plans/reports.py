@@ -18,7 +18,7 @@ from auditframe.functions import let
 from auditframe.functions import score as S
 from auditframe.functions.text import py_strip
 from auditframe.operators import stats
-from auditframe.operators.validity import add_row_checks, drop_checks, error_reasons, has_pipeline_error
+from auditframe.operators.validity import add_row_checks, drop_checks, error_reasons, has_pipeline_error, require_columns
 from auditframe.plans.views import MODELS, SCORED_TEXT_COLUMNS
 from auditframe.session import cut_lineage
 
@@ -44,6 +44,25 @@ def scored_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS
     return out.withColumn("_cds_band", S.band(F.col("_cds")))
 
 
+def enriched(df: DataFrame, which: str = "cds", digits: int = 6) -> DataFrame:
+    """D6 enriched table with the reference's column placement.
+
+    which="cds": the three derived columns are dropped and re-appended at the
+    end; which="similarity": an existing similarity column keeps its place,
+    otherwise it is appended. Skipped rows are left out."""
+    require_columns(df, S.SCORE_COLUMNS, "input table")
+    s = scored_rows(df, digits=digits).where(~F.col("skipped"))
+    sim = S.decimal_text(F.col("_sim")).alias("similarity")
+    base = [c for c in df.columns]
+    if which == "cds":
+        keep = [c for c in base if c not in ("similarity", "cds_score", "cds_band")]
+        return s.select(*keep, sim, S.decimal_text(F.col("_cds")).alias("cds_score"), F.col("_cds_band").alias("cds_band"))
+    cols = [sim if c == "similarity" else F.col(c) for c in base]
+    if "similarity" not in base:
+        cols.append(sim)
+    return s.select(*cols)
+
+
 def similarity_rows(df: DataFrame) -> DataFrame:
     """P11..P15 on every valid row: text similarity, CDS, band, bin."""
     s = scored_rows(df).where(~F.col("skipped"))

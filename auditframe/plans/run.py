@@ -316,3 +316,26 @@ def phase_documents(full_results: DataFrame) -> DataFrame:
             F.struct(F.lit("phase_c").alias("phase"), F.col("phase_c_raw").alias("body")),
         )),
     )
+
+
+def rerun(
+    samples: DataFrame,
+    error_log: DataFrame,
+    model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    existing: DataFrame | None = None,
+    templates: dict[str, dict[str, str]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Samples named in an error log (F15 entries with ``sample_id`` and
+    ``line``) are run again and upserted into the existing results; returns
+    (results table, remaining issues). Run-level entries are ignored (U9)."""
+    from auditframe.plans.inference import rerun_selection, upsert
+
+    entries = error_log.where(F.col("reason").isNull()).select("sample_id", F.col("line").alias("seen"))
+    chosen = rerun_selection(samples, entries).drop("seen", "rerun_order")
+    results, issues = run_three_phases(chosen, model_factory, templates)
+    if existing is None:
+        return results, issues
+    ordered = existing if "position" in existing.columns else existing.withColumn(
+        "position", F.monotonically_increasing_id())
+    updates = results.withColumn("version", F.lit(1))
+    return upsert(ordered, updates), issues

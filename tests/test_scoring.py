@@ -79,3 +79,11 @@ def test_sample_sort_key(spark):
     df = spark.createDataFrame([("abc_12",), ("abc",), ("a_b",)], "s string")
     got = [r[0] for r in df.select(S.sample_sort_key(F.col("s"))).collect()]
     assert got == [12, S.SORT_LAST, S.SORT_LAST]
+
+
+def test_enriched_column_placement(spark):
+    df = rows_df(spark, [("0.12", "0.34", "0.56")]).withColumn("similarity", F.lit("9"))
+    cds = R.enriched(df, "cds")
+    assert cds.columns[-3:] == ["similarity", "cds_score", "cds_band"]
+    sim = R.enriched(df, "similarity")
+    assert sim.columns == df.columns and sim.collect()[0]["similarity"] == "0.23"
