@@ -120,15 +120,16 @@ def deduplicate(pairs: DataFrame) -> DataFrame:
             F.coalesce(F.min_by(F.col(c), F.when(T.clean(F.col(c)) != "", ordered)), F.lit("")).alias(f"m_{c}")
             for c in ("commit_id", "commit_short", "project", "commit_msg")
         ],
-        F.array_sort(F.collect_set(F.struct(ordered.alias("o"), F.col("cwe").alias("c")))).alias("_cwes"),
     )
-    # the CWE union runs over the distinct (position, list) entries of a key,
-    # i.e. over the copies of one pair -- small unless the key is hot; the
-    # ordering keeps the first occurrence of every CWE.
-    merged = merged.withColumn(
-        "m_cwe",
-        F.to_json(F.array_distinct(F.flatten(F.transform("_cwes", lambda x: F.from_json(x["c"], "array<string>"))))),
-    ).drop("_cwes")
+    # CWE union: explode each copy's list, keep every CWE's first position
+    # (aggregate), then collect the distinct CWEs of a key in that order --
+    # the list is bounded by the CWE vocabulary, not by the number of copies
+    each = p.select("pair_key", ordered.alias("_o"),
+                    F.posexplode(F.from_json("cwe", "array<string>")).alias("_i", "_c"))
+    firsts_cwe = each.groupBy("pair_key", "_c").agg(F.min(F.struct("_o", "_i")).alias("_at"))
+    cwe_union = firsts_cwe.groupBy("pair_key").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_c"))), lambda x: x["_c"])).alias("m_cwe"))
+    merged = merged.join(cwe_union, "pair_key", "left").withColumn("m_cwe", F.coalesce("m_cwe", F.lit("[]")))
     firsts = p.groupBy("dataset", "pair_key").agg(F.min("row").alias("_first_row"))
     out = p.join(merged, "pair_key").join(firsts, ["dataset", "pair_key"])
     return out.withColumns(
