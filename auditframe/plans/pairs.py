@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from auditframe.functions import score as S
 from auditframe.functions import text as T
 from auditframe.functions.udfs import unified_diff
-from auditframe.operators.ordinals import with_group_ordinal, with_ordinal
+from auditframe.operators.ordinals import with_group_ordinal, with_ordinal, with_running_sums
 
 # Dataset name -> sample-id fallback prefix.
 SAMPLE_PREFIX = {"vulnerability_score": "vscore"}
@@ -160,23 +160,35 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     remaining valid records of a segment pair up two by two; a record still
     waiting at the end of a source is an ``unpaired_final_record`` reject.
     ``read_pairs`` numbers the pairs across sources in (source, line) order.
+
+    No window is partitioned by source (one source may hold a large share of
+    all lines): a global running count of unreadable lines (range-partitioned
+    prefix sums) gives each line its segment; per-source and per-segment
+    aggregates, joined back, give the segment-local rank; the partner is the
+    next rank in the same segment, found by an equi-join on a unique key.
     """
-    w = Window.partitionBy("source").orderBy("line")
-    seg = F.sum(F.col("invalid_line").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # the last segment is taken over *all* lines: an unreadable last line
-    # also drops the waiting record, which then is no final reject
-    df = records.withColumn("_seg", seg).withColumn("_last_seg", F.max("_seg").over(Window.partitionBy("source")))
-    df = df.where(~F.col("invalid_line"))
-    ws = Window.partitionBy("source", "_seg").orderBy("line")
-    df = df.withColumn("_rn", F.row_number().over(ws)).withColumn(
-        "_next", F.lead(F.struct(*[c for c in records.columns if c != "source"]), 1).over(ws)
+    bad = F.col("invalid_line").cast("int")
+    run = with_running_sums(records, ["source", "line"], {"bad_run": bad})
+    # valid lines up to and including this one (global), for valid rows
+    run = run.withColumn("valid_run", F.col("ordinal") - F.col("bad_run"))
+    per_source = run.groupBy("source").agg(
+        F.min_by(F.col("bad_run") - bad, F.col("ordinal")).alias("_bad0"),
+        F.sum(bad).alias("_last_seg"),
     )
-    firsts = df.where(F.col("_rn") % 2 == 1)
-    pairs = firsts.where(F.col("_next").isNotNull())
-    tail = firsts.where(F.col("_next").isNull() & (F.col("_seg") == F.col("_last_seg")))
+    lines = run.join(per_source, "source").withColumn("_seg", F.col("bad_run") - F.col("_bad0"))
+    valid = lines.where(~F.col("invalid_line"))
+    seg_start = valid.groupBy("source", "_seg").agg(F.min("valid_run").alias("_v0"))
+    valid = valid.join(seg_start, ["source", "_seg"]).withColumn("_rn", F.col("valid_run") - F.col("_v0") + 1)
+    fields = [c for c in records.columns if c not in ("source", "invalid_line")]
+    firsts = valid.where(F.col("_rn") % 2 == 1).select("source", "_seg", "_rn", "_last_seg",
+                                                        F.struct(*fields).alias("_b"))
+    seconds = valid.where(F.col("_rn") % 2 == 0).select(
+        "source", "_seg", (F.col("_rn") - 1).alias("_rn"), F.struct(*fields).alias("_next"))
+    matched = firsts.join(seconds, ["source", "_seg", "_rn"], "left")
+    pairs = matched.where(F.col("_next").isNotNull()).withColumn("line", F.col("_b")["line"])
+    tail = matched.where(F.col("_next").isNull() & (F.col("_seg") == F.col("_last_seg")))
     pairs = with_ordinal(pairs, ["source", "line"], "read_pairs")
     b, a = F.col("_b"), F.col("_next")
-    pairs = pairs.withColumn("_b", F.struct(*[c for c in records.columns if c != "source"]))
     before = T.clean(b["func"])
     after = T.clean(a["func"])
     reason = (
@@ -201,7 +213,7 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
         T.cwe_json(T.cwe_values(b["cwe"])).alias("cwe"),
     )
     rejects_tail = tail.select(
-        "source", F.col("line").alias("first_line"), F.lit(None).cast("bigint").alias("read_pairs"),
+        "source", F.col("_b")["line"].alias("first_line"), F.lit(None).cast("bigint").alias("read_pairs"),
         F.lit("unpaired_final_record").alias("reason"),
     )
     return out.unionByName(rejects_tail, allowMissingColumns=True)
