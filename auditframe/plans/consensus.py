@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import score as S
-from auditframe.functions.text import prefixed
 from auditframe.operators.ordinals import with_ordinal
 
 HIGH = "0.75"
@@ -29,17 +28,18 @@ def last_wins(rows: DataFrame, key: Sequence[str], position: str) -> DataFrame:
     return agg.select(*key, "_w.*")
 
 
-def model_scores(scored: DataFrame, model: str) -> DataFrame:
-    """One model's rows, last row per sample wins, exact unrounded similarity.
+def model_scores(scored: DataFrame, models: Sequence[str]) -> DataFrame:
+    """All models' rows in one pass: the last row per (model, sample) wins,
+    with the exact unrounded similarity.
 
     Rows whose scores do not parse are left out (the reference cannot score
     them either) and so are ids without a numeric suffix.
     """
-    m = scored.where(F.col("model") == model).select(
-        "sample_id", "source_file", F.struct("file_ord", "row_key").alias("_pos"), *S.SCORE_COLUMNS,
+    m = scored.where(F.col("model").isin(*models)).select(
+        "model", "sample_id", "source_file", F.struct("file_ord", "row_key").alias("_pos"), *S.SCORE_COLUMNS,
         "phase_c_overall_consistency", "phase_c_comment",
     )
-    m = last_wins(m, ["sample_id"], "_pos")
+    m = last_wins(m, ["model", "sample_id"], "_pos")
     e, l, f = (S.parse_score(F.col(c)) for c in S.SCORE_COLUMNS)
     m = m.withColumn("_sim", S.similarity_unrounded(e, l, f))
     return m.where(F.col("_sim").isNotNull() & S.sample_suffix(F.col("sample_id")).isNotNull())
@@ -58,26 +58,31 @@ def consensus(
     a, b, c = models
     hi = F.lit(HIGH).cast("decimal(3,2)")
     lo = F.lit(LOW).cast("decimal(3,2)")
-    per = {m: model_scores(scored, m) for m in models}
-    base = samples.select("sample_id", "commit_id", "project", "cwe")
-    for m in models:  # J6: inner joins on the id; every side is one row per id
-        base = base.join(per[m].select("sample_id"), "sample_id", "left_semi")
-
-    def fields(m: str) -> DataFrame:
-        d = per[m]
-        return d.select(
-            "sample_id",
-            F.col("_sim").alias(f"_s_{m}"),
-            *prefixed(["source_file"], m),
-            S.decimal_text(F.round(F.col("_sim"), 6)).alias(f"{m}_similarity"),
-            *[F.col(col).alias(f"{m}_{col.removeprefix('phase_c_')}") for col in S.SCORE_COLUMNS],
-            F.col("phase_c_overall_consistency").alias(f"{m}_overall_consistency"),
-            F.col("phase_c_comment").alias(f"{m}_comment"),
-        )
-
-    wide = base
+    rows = model_scores(scored, models)
+    fields = [
+        F.col("_sim").alias("_s"),
+        F.col("source_file").alias("source_file"),
+        S.decimal_text(F.round(F.col("_sim"), 6)).alias("similarity"),
+        *[F.col(col).alias(col.removeprefix("phase_c_")) for col in S.SCORE_COLUMNS],
+        F.col("phase_c_overall_consistency").alias("overall_consistency"),
+        F.col("phase_c_comment").alias("comment"),
+    ]
+    # J6 as one pivot: one row per sample with every model's fields; the
+    # intersection is "all models present" -- no chain of joins
+    per_sample = rows.groupBy("sample_id").agg(
+        *[F.max(F.when(F.col("model") == m, F.struct(*fields))).alias(f"_m_{m}") for m in models]
+    )
+    for m in models:
+        per_sample = per_sample.where(F.col(f"_m_{m}").isNotNull())
+    base = samples.select("sample_id", "commit_id", "project", "cwe").join(per_sample, "sample_id", "inner")
+    flat = []
     for m in models:
-        wide = wide.join(fields(m), "sample_id", "inner")
+        st = F.col(f"_m_{m}")
+        flat.append(st["_s"].alias(f"_s_{m}"))
+        for name in ("source_file", "similarity", "variable_match_score", "step_position_score",
+                     "dataflow_path_score", "overall_consistency", "comment"):
+            flat.append(st[name].alias(f"{m}_{name}"))
+    wide = base.select("sample_id", "commit_id", "project", "cwe", *flat)
     sa, sb, sc = (F.col(f"_s_{m}") for m in models)
     idx = S.sample_suffix(F.col("sample_id"))
 
