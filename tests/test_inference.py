@@ -74,3 +74,15 @@ def test_upsert_and_rerun(spark):
     assert [r["sample_id"] for r in X.rerun_ids(issues).orderBy("rerun_order").collect()] == ["b", "a"]
     s = X.rerun_summary(issues).collect()[0]
     assert (s["issues"], s["failed_samples"]) == (4, 2)
+
+
+def test_attempts_with_secret(spark):
+    import datetime as dt
+    rows = [("s1", "A", dt.datetime(2024, 1, 1, 0, 0, i), i, "APIError",
+             "HTTP 502 body Bearer abc.def sk-SECRET123 api_key=hunter2", 502, "stop", None) for i in (1, 2)]
+    schema = ("sample_id string, phase string, event_ts timestamp, event_id bigint, error_type string, "
+              "message string, status_code int, finish_reason string, model_output string")
+    res = X.resolve_attempts(X.number_attempts(spark.createDataFrame(rows, schema))).collect()[0]
+    assert not res["resolved"] and res["attempts_used"] == 2
+    assert "SECRET123" not in res["issue_message"] and "hunter2" not in res["issue_message"]
+    assert "abc.def" not in res["issue_message"] and "HTTP 502" in res["issue_message"]

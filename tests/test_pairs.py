@@ -72,3 +72,18 @@ def test_megavul_limits(spark):
     c = P.megavul_counts(out).collect()[0]
     assert (c["read"], c["candidates"], c["written"], c["filtered"]) == (3, 2, 1, 1)
     assert out.where(F.col("reason").isNull()).collect()[0]["sample_id"] == "abcdef12_0"
+
+
+def test_megavul_each_limit(spark):
+    schema = ("record_index bigint, is_vul boolean, func_before string, func string, diff_func string, "
+              "commit_hash string, repo_name string, commit_msg string, cwe_ids array<string>")
+    rows = [
+        (0, True, "a", "b", "-a\n+b-long", "c", "r", "m", []),
+        (1, True, "abcdef", "b", "-a", "c", "r", "m", []),
+        (2, True, "a", "abcdef", "-a", "c", "r", "m", []),
+        (3, True, "a\nb\nc", "b", "-a", "c", "r", "m", []),
+    ]
+    out = P.megavul_filter(spark.createDataFrame(rows, schema), max_diff_chars=5, max_function_chars=5,
+                           max_function_lines=2)
+    c = P.megavul_counts(out).collect()[0]
+    assert (c["written"], c["filtered"]) == (0, 4)
