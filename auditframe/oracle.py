@@ -260,7 +260,7 @@ filled AS (
 )
 SELECT {", ".join(f"f.{x}" for x in g)}, {bin_label('f.bin')} AS {label}, CAST(f.cnt AS BIGINT) AS count,
   {pct('f.cnt', 'coalesce(t.tot, 0)')} AS percentage{cum},
-  CAST(coalesce(t.tot, 0) AS BIGINT) AS {total_name}, f.bin AS bin_index
+  CAST(coalesce(t.tot, 0) AS BIGINT) AS {total_name}, CAST(f.bin AS INTEGER) AS bin_index
 FROM filled f LEFT JOIN tots t USING ({gsel})"""
 
 
@@ -542,7 +542,7 @@ cw AS (
       || '_' || CAST(row AS VARCHAR) AS sample_id,
     commit_id, left(commit_id, 8) AS commit_short,
     CASE WHEN ep <> '' THEN ep ELSE {_project('url')} END AS project,
-    b AS func_before, a AS func_after, msg AS commit_msg, to_json({_cwe_list('rc')}) AS cwe
+    b AS func_before, a AS func_after, msg AS commit_msg, CAST(to_json({_cwe_list('rc')}) AS VARCHAR) AS cwe
   FROM cv
 )"""
 
@@ -559,7 +559,7 @@ meta AS (
     flatten(list(from_json(cwe, '["VARCHAR"]') ORDER BY dataset_ord, row)) AS cw_all
   FROM w GROUP BY pair_key
 ),
-meta2 AS (SELECT *, to_json(list_filter(cw_all, lambda y, i: list_position(cw_all, y) = i)) AS m_cwe FROM meta)"""
+meta2 AS (SELECT *, CAST(to_json(list_filter(cw_all, lambda y, i: list_position(cw_all, y) = i)) AS VARCHAR) AS m_cwe FROM meta)"""
 
 
 TURNS = """
@@ -619,8 +619,8 @@ mf AS (
          WHEN {long_} THEN 'filtered' END AS reason,
     coalesce(nullif(left(trim(coalesce(commit_hash, '')), 8), ''), 'megavul') || '_' || CAST(record_index AS VARCHAR) AS sample_id,
     trim(coalesce(commit_hash, '')) AS commit_id, left(trim(coalesce(commit_hash, '')), 8) AS commit_short,
-    coalesce(repo_name, '') AS project, length(diff_func) AS diff_length, coalesce(commit_msg, '') AS commit_msg,
-    to_json(cwe_ids) AS cwe, func_before, func AS func_after, diff_func AS diff
+    coalesce(repo_name, '') AS project, CAST(length(diff_func) AS INTEGER) AS diff_length, coalesce(commit_msg, '') AS commit_msg,
+    CAST(to_json(cwe_ids) AS VARCHAR) AS cwe, func_before, func AS func_after, diff_func AS diff
   FROM mv
 )"""
 
@@ -666,7 +666,7 @@ SELECT source, line AS first_line, read_pairs,
        WHEN {b} = {a} THEN 'unchanged_pair' END AS reason,
   coalesce(nullif(left({_clean('commit_id')}, 8), ''), 'primevul') || '_' || CAST(read_pairs AS VARCHAR) AS sample_id,
   {_clean('commit_id')} AS commit_id, left({_clean('commit_id')}, 8) AS commit_short, {_clean('project')} AS project,
-  {b} AS func_before, {a} AS func_after, {_clean('commit_message')} AS commit_msg, to_json({_cwe_list('cwe')}) AS cwe
+  {b} AS func_before, {a} AS func_after, {_clean('commit_message')} AS commit_msg, CAST(to_json({_cwe_list('cwe')}) AS VARCHAR) AS cwe
 FROM pr
 UNION ALL
 SELECT source, line, NULL, 'unpaired_final_record', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
@@ -822,7 +822,7 @@ fl AS (
   FROM rv GROUP BY function_id
 )
 SELECT function_id, record_index,
-  to_json(list_filter(list_filter(allc, lambda y, i: list_position(allc, y) = i), lambda z: trim(z) <> '')) AS cwe,
+  CAST(to_json(list_filter(list_filter(allc, lambda y, i: list_position(allc, y) = i), lambda z: trim(z) <> '')) AS VARCHAR) AS cwe,
   CAST(copies AS BIGINT) AS copies
 FROM fl"""}
 
@@ -843,7 +843,7 @@ def source_oracles() -> dict[str, str]:
     return {"s10_csv_cells": f"""WITH t AS (
   SELECT doc_id,
     CASE WHEN doc_id % 5 = 0 THEN '=1+1' WHEN doc_id % 5 = 1 THEN '-' || lang WHEN doc_id % 5 = 2 THEN NULL ELSE lang END AS label,
-    n_chars > 1000 AS long_text, to_json([lang, source]) AS tags, replace(source || chr(0) || lang, chr(0), '\\0') AS raw
+    n_chars > 1000 AS long_text, CAST(to_json([lang, source]) AS VARCHAR) AS tags, replace(source || chr(0) || lang, chr(0), '\\0') AS raw
   FROM documents
 )
 SELECT {guard("CAST(doc_id AS VARCHAR)")} AS doc_id,
