@@ -82,4 +82,10 @@ def cut_lineage(df):
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/auditframe-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    # small tables are packed into one read split; spread them over the task
+    # slots (large tables already have many splits, so nothing happens there)
+    slots = spark.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < slots:
+        out = out.repartition(slots)
+    return out
