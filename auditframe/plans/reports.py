@@ -458,3 +458,47 @@ def recount_check(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
             "mismatches"
         ),
     )
+
+
+# ---------------------------------------------------------------- job-level writers
+def single_model_report(df: DataFrame, out_dir: str, which: str = "cds", digits: int = 6) -> dict:
+    """D6 as a job: enriched rows (S13), 0.1-bin distribution (A2) and the
+    summary (A1) under ``out_dir``; no valid row is an error. The summary is
+    one small row per model returned to the caller."""
+    from auditframe.sources.files import write_table
+
+    summary = score_summary(df, which)
+    rows = summary.collect()
+    bad = [r for r in rows if not r["row_count"]]
+    if bad:
+        raise ValueError(f"input CSV contains no valid data rows; skipped {bad[0]['skipped_row_count']}")
+    write_table(enriched(df, which, digits), f"{out_dir}/enriched")
+    write_table(score_histogram(df, which, sorted({r['model'] for r in rows})), f"{out_dir}/distribution")
+    write_table(summary, f"{out_dir}/summary")
+    return {r["model"]: r.asDict() for r in rows}
+
+
+def multi_model_report(df: DataFrame, out_dir: str, models: Sequence[str] = MODELS) -> None:
+    """D7 + D8 + D9 as a job: every table of the multi-model reports written
+    as a whole (S15) under ``out_dir``."""
+    from auditframe.sources.files import write_table
+
+    tables = {
+        "results": valid_results(df),
+        "excluded_errors": excluded_rows(df, models),
+        "common_all_models": common_rows(df, models),
+        "distribution_3_bands": band_distribution_final3(df, models),
+        "distribution_0.1_bins": bin_distribution_final3(df, models),
+        "model_agreement": agreement(df, models, "similarity"),
+        "model_agreement_combinations": band_combinations(df, models, "similarity"),
+        "score_difference_distribution": difference_distribution(df, models, "similarity", True),
+        "score_difference_summary": difference_summary(df, models, "similarity"),
+        "cds_distribution_3_bands": cds_band_distribution(df, models),
+        "cds_distribution_0.1_bins": cds_bin_distribution(df, models),
+        "model_cds_agreement": agreement(df, models, "cds"),
+        "model_cds_agreement_combinations": band_combinations(df, models, "cds"),
+        "cds_difference_distribution": difference_distribution(df, models, "cds", False),
+        "summary": run_summary(df, models),
+    }
+    for name, t in tables.items():
+        write_table(t, f"{out_dir.rstrip('/')}/{name}")

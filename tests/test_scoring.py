@@ -87,3 +87,18 @@ def test_enriched_column_placement(spark):
     assert cds.columns[-3:] == ["similarity", "cds_score", "cds_band"]
     sim = R.enriched(df, "similarity")
     assert sim.columns == df.columns and sim.collect()[0]["similarity"] == "0.23"
+
+
+def test_single_model_report_errors_and_writes(spark):
+    import os
+    import tempfile
+
+    import pytest
+
+    bad = rows_df(spark, [("not-a-number", "0.5", "0.5")])
+    with pytest.raises(ValueError, match="no valid data rows; skipped 1"):
+        R.single_model_report(bad, tempfile.mkdtemp(prefix="af-d6-"))
+    out = tempfile.mkdtemp(prefix="af-d6-")
+    summary = R.single_model_report(rows_df(spark, [("0.2", "0.2", "0.2")]), out)
+    assert summary["m"]["mean"] == "0.8"
+    assert {"enriched", "distribution", "summary"} <= set(os.listdir(out))
