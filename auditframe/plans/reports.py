@@ -116,7 +116,12 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
     row checks run once per row. The winner is found by an aggregate
     (partial, skew-safe) joined back on the key, not by a window over
     possibly hot ids.
+
+    Already computed model rows (from an earlier call) are returned as they
+    are, so a job can materialise them once and feed every report.
     """
+    if {"valid", "_reasons", "_sim", "score_band"} <= set(df.columns):
+        return df
     checked = _checked(df, text_columns)
     base = drop_checks(checked.withColumn("_reasons0", error_reasons(checked)))
     base = base.withColumn("sample_id", py_strip(F.coalesce(F.col("sample_id"), F.lit(""))))
@@ -483,6 +488,7 @@ def multi_model_report(df: DataFrame, out_dir: str, models: Sequence[str] = MODE
     as a whole (S15) under ``out_dir``."""
     from auditframe.sources.files import write_table
 
+    df = cut_lineage(model_rows(df))  # row checks and U4 once for all tables
     tables = {
         "results": valid_results(df),
         "excluded_errors": excluded_rows(df, models),
