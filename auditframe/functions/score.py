@@ -177,7 +177,7 @@ def percentage(count: Column, total: Column) -> Column:
 
 def sample_suffix(sample_id: Column) -> Column:
     """Integer after the last ``_`` or NULL when there is none / it is not an integer."""
-    tail = F.element_at(F.split(sample_id, "_"), -1)
+    tail = F.regexp_extract(sample_id, "_([^_]*)$", 1)
     return F.when(F.instr(sample_id, "_") > 0, _py_int(tail))
 
 

@@ -91,9 +91,11 @@ def has_pipeline_error(df: DataFrame) -> Column:
 
 
 def error_reasons(df: DataFrame) -> Column:
-    """ordered, distinct exclusion reasons of a result row (array<string>).
-    Needs the columns of ``add_row_checks``; the duplicate-id reason is added
-    by the dedup step (U4)."""
+    """ordered exclusion reasons of a result row, ``;``-joined ("" when
+    valid). Each item names a different check, so they are distinct by
+    construction; ``concat_ws`` skips the checks that passed. Needs the
+    columns of ``add_row_checks``; the duplicate-id reason is added by the
+    dedup step (U4)."""
     sid = py_strip(F.coalesce(F.col("sample_id"), F.lit("")))
     items: list[Column] = [F.when(S.sample_suffix(sid).isNull(), F.lit("invalid_sample_id_suffix"))]
     for c in S.RAW_COLUMNS:
@@ -111,7 +113,7 @@ def error_reasons(df: DataFrame) -> Column:
             F.when(F.col(f"{CHECK_PREFIX}nf_{name}"), F.lit(f"non_finite_score:{name}"))
             .when(F.col(short).isNull(), F.lit(f"invalid_score:{name}"))
         )
-    return F.array_distinct(F.array_compact(F.array(*items)))
+    return F.concat_ws(";", *items)
 
 
 def drop_checks(df: DataFrame) -> DataFrame:

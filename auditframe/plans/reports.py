@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditframe.functions import let
 from auditframe.functions import score as S
 from auditframe.functions.text import py_strip
 from auditframe.operators import stats
@@ -129,17 +128,16 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
     keep = ["model", "sample_id", "source_file", "_pos", "_reasons0", "_e", "_l", "_f"]
     base = cut_lineage(base.select(*keep))
     firsts = (
-        base.where(F.size("_reasons0") == 0)
+        base.where(F.col("_reasons0") == "")
         .groupBy("model", "sample_id")
         .agg(F.min("_pos").alias("_first"))
     )
     out = base.join(firsts, ["model", "sample_id"], "left")
     dup = F.col("_first").isNotNull() & (F.col("_pos") > F.col("_first"))
-    reasons = let(
-        F.col("_reasons0"),
-        lambda r: F.when(dup, F.array_distinct(F.array_append(r, F.lit("duplicate_sample_id")))).otherwise(r),
-    )
-    out = out.withColumn("_reasons", reasons).withColumn("valid", F.size("_reasons") == 0)
+    r0 = F.col("_reasons0")
+    reasons = F.when(dup, F.when(r0 == "", F.lit("duplicate_sample_id")).otherwise(
+        F.concat(r0, F.lit(";duplicate_sample_id")))).otherwise(r0)
+    out = out.withColumn("_reasons", reasons).withColumn("valid", F.col("_reasons") == "")
     # derived values do not refer to ``valid``; consumers filter on it
     out = out.withColumn("_sim", S.similarity(F.col("_e"), F.col("_l"), F.col("_f"))).withColumn(
         "score_band", S.band_from_numerator("_e", "_l", "_f")
@@ -178,7 +176,7 @@ def excluded_rows(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
         "sample_id",
         S.sample_sort_key(F.col("sample_id")).alias("sample_index"),
         "source_file",
-        F.array_join("_reasons", ";").alias("reason"),
+        F.col("_reasons").alias("reason"),
         order.alias("_mo"),
     ).orderBy("_mo", "sample_index", "source_file").drop("_mo")
 
