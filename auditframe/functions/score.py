@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from auditframe.functions import let
 from auditframe.functions.text import py_strip
 
 # Result-table column names the scorers read.

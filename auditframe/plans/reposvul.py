@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import text as T
 from auditframe.functions.udfs import candidate_bodies, match_ratio
-from auditframe.operators.ordinals import with_ordinal
 
 MAX_FIELD = 131072
 
