@@ -43,43 +43,53 @@ def value_counts(df: DataFrame, group_cols: Sequence[str], value: Column) -> Dat
     return df.select(*g, S.to_micro(value).alias("_v")).groupBy(*g, "_v").agg(F.count("*").alias("_n"))
 
 
-def summary_from_counts(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+def summary_from_counts(counts: DataFrame, group_cols: Sequence[str], skip_col: str | None = None) -> DataFrame:
     """A1 from (group, _v, _n): count, distinct, mean (HALF_UP), exact median,
     min, max as shortest text. The median's running count is a window over
-    the *distinct* values of a group, never over raw rows."""
+    the *distinct* values of a group, never over raw rows.
+
+    With ``skip_col`` the counts also hold skipped rows (flag true); they are
+    left out of the statistics and counted in ``skipped_row_count``, so one
+    count table serves both without being read twice."""
     g = list(group_cols)
     if not g:
         raise ValueError("summary statistics need at least one group column")
+    keep = ~F.col(skip_col) if skip_col else F.lit(True)
+    c = counts.withColumn("_nv", F.when(keep, F.col("_n")).otherwise(F.lit(0)))
     w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select(*g, "_v", "_n", F.sum("_n").over(w).alias("_cum"),
-                           F.sum("_n").over(Window.partitionBy(*g)).alias("_tot"))
+    ranked = c.select(*g, "_v", "_n", "_nv", *([skip_col] if skip_col else []),
+                      F.sum("_nv").over(w).alias("_cum"), F.sum("_nv").over(Window.partitionBy(*g)).alias("_tot"))
     k1 = F.floor((F.col("_tot") + 1) / 2)
     k2 = F.floor(F.col("_tot") / 2) + 1
-    lo = F.col("_cum") - F.col("_n")
-    hit1 = (lo < k1) & (k1 <= F.col("_cum"))
-    hit2 = (lo < k2) & (k2 <= F.col("_cum"))
+    lo = F.col("_cum") - F.col("_nv")
+    hit1 = (F.col("_nv") > 0) & (lo < k1) & (k1 <= F.col("_cum"))
+    hit2 = (F.col("_nv") > 0) & (lo < k2) & (k2 <= F.col("_cum"))
+    v = F.when(F.col("_nv") > 0, F.col("_v"))
     agg = ranked.groupBy(*g).agg(
-        F.sum("_n").alias("row_count"),
-        F.count("*").alias("distinct_count"),
-        F.sum(F.col("_v") * F.col("_n")).cast(S.BIG).alias("_sum"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
+        F.sum("_nv").alias("row_count"),
+        F.sum(F.col("_n") - F.col("_nv")).alias("skipped_row_count"),
+        F.count_distinct(v).alias("distinct_count"),
+        F.sum(v * F.col("_nv")).cast(S.BIG).alias("_sum"),
+        F.min(v).alias("_min"),
+        F.max(v).alias("_max"),
         (F.sum(F.when(hit1, F.col("_v"))) + F.sum(F.when(hit2, F.col("_v")))).cast(S.BIG).alias("_med2"),
     )
+    has = F.col("row_count") > 0
     return agg.select(
         *g,
         "row_count",
+        "skipped_row_count",
         "distinct_count",
-        S.micro_text(S.half_up_div(F.col("_sum"), F.col("row_count"))).alias("mean"),
-        S.micro_text(F.col("_med2") * 5, 7).alias("median"),
-        S.micro_text(F.col("_min")).alias("minimum"),
-        S.micro_text(F.col("_max")).alias("maximum"),
+        F.when(has, S.micro_text(S.half_up_div(F.col("_sum"), F.col("row_count")))).alias("mean"),
+        F.when(has, S.micro_text(F.col("_med2") * 5, 7)).alias("median"),
+        F.when(has, S.micro_text(F.col("_min"))).alias("minimum"),
+        F.when(has, S.micro_text(F.col("_max"))).alias("maximum"),
     )
 
 
 def summary_stats(df: DataFrame, group_cols: Sequence[str], value: Column) -> DataFrame:
     """A1 over a DECIMAL(.,6) value in one pass over the rows."""
-    return summary_from_counts(value_counts(df, group_cols, value), group_cols)
+    return summary_from_counts(value_counts(df, group_cols, value), group_cols).drop("skipped_row_count")
 
 
 def bin_histogram(

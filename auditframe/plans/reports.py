@@ -83,15 +83,10 @@ def score_summary(df: DataFrame, which: str = "cds") -> DataFrame:
     s = scored_rows(df)
     value = F.col("_cds") if which == "cds" else F.col("_sim")
     vc = stats.value_counts(s, ["model", "skipped"], value)
-    vc = cut_lineage(vc)  # tiny; read twice below
-    counts = vc.groupBy("model").agg(
-        F.sum(F.when(~F.col("skipped"), F.col("_n")).otherwise(0)).alias("row_count"),
-        F.sum(F.when(F.col("skipped"), F.col("_n")).otherwise(0)).alias("skipped_row_count"),
-    )
-    st = stats.summary_from_counts(vc.where(~F.col("skipped")).drop("skipped"), ["model"])
-    return counts.join(st.drop("row_count"), "model", "left").select(
+    st = stats.summary_from_counts(vc, ["model"], skip_col="skipped")
+    return st.select(
         "model", "row_count", "skipped_row_count",
-        F.coalesce(F.col("distinct_count"), F.lit(0)).alias(f"distinct_{which}_count"),
+        F.col("distinct_count").alias(f"distinct_{which}_count"),
         "mean", "median", "minimum", "maximum",
     )
 
