@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -31,5 +30,6 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots).persist(StorageLevel.MEMORY_AND_DISK)
+        # DataFrame.cache() is MEMORY_AND_DISK_DESER: spills instead of failing
+        return df.repartition(slots).cache()
     return df
