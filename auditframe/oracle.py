@@ -323,7 +323,7 @@ def _diff_long(val: str, band: str) -> str:
     return f"{_wide(val, band)}, dl AS ({parts})"
 
 
-def oracles() -> dict[str, str]:
+def score_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     comps = [f"{a}_vs_{b}" for a, b in itertools.combinations(MODELS, 2)]
     q["p11_composite_similarity"] = f"""WITH {D6_VIEW.strip()}
@@ -459,14 +459,6 @@ SELECT * EXCLUDE (n_{a}, n_{b}, n_{c}, idx), idx AS sample_numeric_index FROM (
 ) u"""
 
 
-_base_oracles = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _base_oracles()
-    q["d10_consensus_selection"] = _consensus_sql()
-    return q
-
 
 # ------------------------------------------------------------------ pair jobs
 def _clean(x: str) -> str:
@@ -723,14 +715,6 @@ FROM gr LEFT JOIN bc USING (metric, bin) LEFT JOIN tt USING (metric)"""
     return q
 
 
-_prev_oracles = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _prev_oracles()
-    q.update(pair_oracles())
-    return q
-
 
 # ------------------------------------------------------------------ inference bookkeeping
 ATTEMPTS = """
@@ -799,14 +783,6 @@ FROM nw CROSS JOIN mx"""
     return q
 
 
-_prev_oracles2 = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _prev_oracles2()
-    q.update(inference_oracles())
-    return q
-
 
 def reposvul_oracles() -> dict[str, str]:
     return {"a12_function_fold": """WITH rv AS (
@@ -827,14 +803,6 @@ SELECT function_id, record_index,
 FROM fl"""}
 
 
-_prev_oracles3 = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _prev_oracles3()
-    q.update(reposvul_oracles())
-    return q
-
 
 def source_oracles() -> dict[str, str]:
     def guard(x: str) -> str:
@@ -853,14 +821,6 @@ SELECT {guard("CAST(doc_id AS VARCHAR)")} AS doc_id,
 FROM t"""}
 
 
-_prev_oracles4 = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _prev_oracles4()
-    q.update(source_oracles())
-    return q
-
 
 def url_oracles() -> dict[str, str]:
     return {"p23_p32_url_keys": r"""WITH p AS (
@@ -889,10 +849,14 @@ SELECT page_id,
 FROM r"""}
 
 
-_prev_oracles5 = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    q = _prev_oracles5()
+def oracles() -> dict[str, str]:
+    """Every oracle, keyed by query name."""
+    q: dict[str, str] = {}
+    q.update(score_oracles())
+    q["d10_consensus_selection"] = _consensus_sql()
+    q.update(pair_oracles())
+    q.update(inference_oracles())
+    q.update(reposvul_oracles())
+    q.update(source_oracles())
     q.update(url_oracles())
     return q
