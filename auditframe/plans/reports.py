@@ -19,7 +19,7 @@ from auditframe.functions.text import py_strip
 from auditframe.operators import stats
 from auditframe.operators.validity import add_row_checks, drop_checks, error_reasons, has_pipeline_error, require_columns
 from auditframe.plans.views import MODELS, SCORED_TEXT_COLUMNS
-from auditframe.session import cut_lineage
+from auditframe.session import cut_lineage, release_lineage
 
 SCOPES = ("full", "three_model_common")
 
@@ -473,6 +473,7 @@ def single_model_report(df: DataFrame, out_dir: str, which: str = "cds", digits:
     write_table(enriched(df, which, digits), f"{out_dir}/enriched")
     write_table(score_histogram(df, which, sorted({r['model'] for r in rows})), f"{out_dir}/distribution")
     write_table(summary, f"{out_dir}/summary")
+    release_lineage(df.sparkSession)
     return {r["model"]: r.asDict() for r in rows}
 
 
@@ -501,3 +502,4 @@ def multi_model_report(df: DataFrame, out_dir: str, models: Sequence[str] = MODE
     }
     for name, t in tables.items():
         write_table(t, f"{out_dir.rstrip('/')}/{name}")
+    release_lineage(df.sparkSession)

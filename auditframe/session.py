@@ -68,6 +68,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_LINEAGE_TABLES: list[str] = []
+
+
 def cut_lineage(df):
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     and read it back.
@@ -82,6 +85,7 @@ def cut_lineage(df):
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/auditframe-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _LINEAGE_TABLES.append(path)
     out = spark.read.parquet(path)
     # small tables are packed into one read split; spread them over the task
     # slots (large tables already have many splits, so nothing happens there)
@@ -89,3 +93,20 @@ def cut_lineage(df):
     if out.rdd.getNumPartitions() < slots:
         out = out.repartition(slots)
     return out
+
+
+def release_lineage(spark: SparkSession) -> int:
+    """Delete the lineage-cut tables this process wrote (only those).
+
+    Call it when every DataFrame built on them has been written; job-level
+    writers do so after their outputs are committed. Returns the number of
+    tables removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _LINEAGE_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_LINEAGE_TABLES.pop())
+        fs = path.getFileSystem(conf)
+        if fs.exists(path) and fs.delete(path, True):
+            removed += 1
+    return removed

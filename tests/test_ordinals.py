@@ -53,3 +53,16 @@ def test_summary_matches_python(spark):
     df2 = spark.createDataFrame([("h", str(v)) for v in even], "g string, v string")
     got2 = stats.summary_stats(df2, ["g"], F.col("v").cast("decimal(19,6)")).collect()[0]
     assert got2["median"] == text(Decimal(statistics.median(even)))
+
+
+def test_release_lineage(spark):
+    import os
+
+    from auditframe.session import _LINEAGE_TABLES, cut_lineage, release_lineage
+
+    release_lineage(spark)
+    t = cut_lineage(spark.range(10))
+    assert t.count() == 10
+    path = _LINEAGE_TABLES[-1].removeprefix("file:")
+    assert os.path.exists(path)
+    assert release_lineage(spark) == 1 and not os.path.exists(path)
