@@ -86,3 +86,20 @@ def test_attempts_with_secret(spark):
     assert not res["resolved"] and res["attempts_used"] == 2
     assert "SECRET123" not in res["issue_message"] and "hunter2" not in res["issue_message"]
     assert "abc.def" not in res["issue_message"] and "HTTP 502" in res["issue_message"]
+
+
+def test_rerun_job(spark):
+    from auditframe.plans.run import rerun
+
+    rows = [(f"s_{i}", f"int f_{i}(int x) {{ return x; }}", f"int f_{i}(int x) {{ return x + 1; }}", "fix", "NA",
+             "abc", "p", "CWE-79") for i in range(1, 9)]
+    samples = spark.createDataFrame(rows, "sample_id string, func_before string, func_after string, commit_msg string, "
+                                          "bug_description string, commit_id string, project string, cwe string")
+    first, _ = run_three_phases(samples, stub_model)
+    existing = first.withColumn("position", F.regexp_extract("sample_id", r"(\d+)$", 1).cast("bigint"))
+    log = spark.createDataFrame([(1, "s_7", None), (2, "[RUN]", None), (3, "s_3", None)],
+                                "line bigint, sample_id string, reason string")
+    results, issues = rerun(samples, log, stub_model, existing)
+    got = {r["sample_id"]: r["position"] for r in results.collect()}
+    assert len(got) == 8 and got["s_7"] == 7 and got["s_3"] == 3
+    assert [r["sample_id"] for r in issues.collect()] == ["s_7"]
