@@ -63,13 +63,12 @@ def add_row_checks(df: DataFrame, text_columns: Sequence[str]) -> DataFrame:
     """Add parsed scores ``_e, _l, _f`` and per-row check states.
 
     ``_chk_<raw>``: see ``raw_state``; ``_chk_marker``: phase error marker
-    present; ``_chk_nf_<score>``: score text is a non-finite number word.
+    present.
     """
     cols: dict[str, Column] = {}
     for name, short in zip(S.SCORE_COLUMNS, ("_e", "_l", "_f")):
         if name in df.columns:
             cols[short] = S.parse_score(F.col(name))
-            cols[f"{CHECK_PREFIX}nf_{name}"] = F.coalesce(S.is_non_finite_text(F.col(name)), F.lit(False))
     for c in S.RAW_COLUMNS:
         if c in df.columns:
             cols[f"{CHECK_PREFIX}{c}"] = raw_state(F.col(c))
@@ -109,9 +108,13 @@ def error_reasons(df: DataFrame) -> Column:
         if name not in df.columns:
             items.append(F.lit(f"missing_column:{name}"))
             continue
+        # the number-word regex runs only where the decimal parse failed
+        # (NaN / Infinity never parse), not on every score
+        failed = F.col(short).isNull()
         items.append(
-            F.when(F.col(f"{CHECK_PREFIX}nf_{name}"), F.lit(f"non_finite_score:{name}"))
-            .when(F.col(short).isNull(), F.lit(f"invalid_score:{name}"))
+            F.when(failed & F.coalesce(S.is_non_finite_text(F.col(name)), F.lit(False)),
+                   F.lit(f"non_finite_score:{name}"))
+            .when(failed, F.lit(f"invalid_score:{name}"))
         )
     return F.concat_ws(";", *items)
 
