@@ -365,6 +365,38 @@ def run_summary(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     )
 
 
+# Formulas stated in the run summary.
+SIMILARITY_FORMULA = "0.5 * (((E + L + F) / 3) + min(E, L, F))"
+CDS_FORMULA = "1 - similarity"
+
+
+def run_summary_document(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+    """The run summary as one row with nested fields (formulas,
+    score columns, band definitions, per-model counts, common counts,
+    agreement rows). Built from tables bounded by the number of models."""
+    per = run_summary(df, models)
+    agree = agreement(df, models, "similarity")
+    model_map = per.agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            "model", F.struct("source_row_count", "excluded_row_count", "valid_row_count")))).alias("models"),
+        F.first("three_model_common_valid_sample_count").alias("three_model_common_valid_sample_count"),
+        F.first("common_all_models_row_count").alias("common_all_models_row_count"),
+    )
+    agree_rows = agree.agg(F.array_sort(F.collect_list(F.struct(*agree.columns))).alias("agreement"))
+    bands = F.create_map(*[x for b in S.BAND_ORDER for x in (F.lit(b), F.lit(S.BAND_DEFINITIONS[b]))])
+    one = F.lit(1)
+    return (
+        model_map.withColumn("_k", one).join(agree_rows.withColumn("_k", one), "_k").drop("_k")
+        .select(
+            F.lit(SIMILARITY_FORMULA).alias("similarity_formula"),
+            F.lit(CDS_FORMULA).alias("cds_formula"),
+            F.array(*[F.lit(c) for c in S.SCORE_COLUMNS]).alias("score_columns"),
+            bands.alias("bands"),
+            "models", "three_model_common_valid_sample_count", "common_all_models_row_count", "agreement",
+        )
+    )
+
+
 # ---------------------------------------------------------------- D13 checks
 def recompute_check(df: DataFrame) -> DataFrame:
     """Stored similarity / CDS / band vs a recomputation from the scores
@@ -512,4 +544,5 @@ def multi_model_report(df: DataFrame, out_dir: str, models: Sequence[str] = MODE
     }
     for name, t in tables.items():
         write_table(t, f"{out_dir.rstrip('/')}/{name}")
+    run_summary_document(df, models).coalesce(1).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/summary.json")
     release_lineage(df.sparkSession)

@@ -102,3 +102,18 @@ def test_single_model_report_errors_and_writes(spark):
     summary = R.single_model_report(rows_df(spark, [("0.2", "0.2", "0.2")]), out)
     assert summary["m"]["mean"] == "0.8"
     assert {"enriched", "distribution", "summary"} <= set(os.listdir(out))
+
+
+def test_run_summary_document(spark):
+    rows = []
+    for model in ("chatgpt", "claude", "deepseek"):
+        for i in (1, 2):
+            rows.append((model, 0, (i,), f"s_{i}", "0.2", "0.2", "0.2", "consistent", "ok", OK, OK, OK))
+    schema = ("model string, file_ord int, row_key struct<i:int>, sample_id string, "
+              + ", ".join(f"{c} string" for c in COLS[4:]))
+    df = spark.createDataFrame(rows, schema).withColumn("source_file", F.lit("results.csv"))
+    doc = R.run_summary_document(df).collect()[0]
+    assert doc["three_model_common_valid_sample_count"] == 2 and doc["common_all_models_row_count"] == 6
+    assert doc["models"]["claude"]["valid_row_count"] == 2
+    assert {a["comparison"] for a in doc["agreement"]} >= {"chatgpt_vs_claude", "all_three"}
+    assert doc["bands"]["low"] == "(-inf, 0.25]"
