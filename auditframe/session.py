@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -51,23 +52,46 @@ def get_spark(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset.
+    """The shared checkpoint folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared file system; it is
-    never replaced. Only an unset value (tests, local runs) gets a fresh
-    scratch folder.
+    ``spark.checkpoint.dir`` names a shared file system and is never replaced.
+    Only a local session (``local[...]``: one machine) gets a scratch folder
+    where it is unset; on a cluster an unset folder is an error, because a
+    machine-local one would lose the other executors' parts.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = current.get() if current.isDefined() else None
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = given.get() if given.isDefined() else None
     if not current:
-        current = tempfile.mkdtemp(prefix="auditframe-ckpt-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        current = tempfile.mkdtemp(prefix="auditframe-ckpt-", dir=spark.conf.get("spark.local.dir", None))
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that Python
+    functions import there whatever folder the workers start in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_auditframe_shipped", False):
+        return
+    out = os.path.join(tempfile.mkdtemp(prefix="auditframe-ship-"), "auditframe_src.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(_PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
+    sc.addPyFile(out)
+    sc._auditframe_shipped = True
+
+
 _LINEAGE_TABLES: list[str] = []
 
 
@@ -86,13 +110,7 @@ def cut_lineage(df):
     path = f"{base}/auditframe-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     _LINEAGE_TABLES.append(path)
-    out = spark.read.parquet(path)
-    # small tables are packed into one read split; spread them over the task
-    # slots (large tables already have many splits, so nothing happens there)
-    slots = spark.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < slots:
-        out = out.repartition(slots)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release_lineage(spark: SparkSession) -> int:
