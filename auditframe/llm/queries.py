@@ -53,6 +53,27 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.bpe_chunks import encode_decode
+
+    out = encode_decode(
+        Scratch(spark, "op6"), documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.vector_dedup import near_vectors
+
+    return near_vectors(Scratch(spark, "op7"), table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op8_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.dac import read_segments, write_segments
+
+    segments = write_segments(Scratch(spark, "op8"), documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return read_segments(segments).withColumnRenamed("id", "doc_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.llm.packing import pack
 
@@ -69,7 +90,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_chat_format, op2_warc_archive, op3_slot_sharding, op4_exact_dedup, op5_importance_resampling, op9_best_fit_packing, op10_minhash_near_dedup,
+        op1_chat_format, op2_warc_archive, op3_slot_sharding, op4_exact_dedup, op5_importance_resampling,
+        op6_chunked_bpe, op7_embedding_near_dedup, op8_addressable_codes, op9_best_fit_packing, op10_minhash_near_dedup,
     )}
 
 
