@@ -11,7 +11,10 @@ Work inside a hot bucket stays linear in the first round: each member is paired
 with the bucket's smallest member only. The exact links give components; a
 bucket whose members lie in one component is finished. The second round pairs
 members of the remaining buckets across components, so no link between two
-components is lost. Every link is confirmed on the full shingle sets.
+components is lost. The first round also keeps what each member lacks of its hub
+and has beyond it; from these differences the join computes the exact overlap of
+two members, so that far members of a large family make no pair rows. Every
+link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -131,22 +134,48 @@ def _set_table(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     return arrow_map(texts, run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
+def _similar(shared, a, b, percent: int):
+    """100 * intersection >= percent * union, on numbers and on Columns."""
+    return 100 * shared >= percent * (a + b - shared)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """(a, b, linked, n_a, lacks, has) per pair: are the full sets similar enough,
+    and where they are not far apart, what b lacks of a and has beyond it."""
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     )
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
+        linked, size, lacks, has = [], [], [], []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             sa, sb = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            shared = len(np.intersect1d(sa, sb, assume_unique=True))
-            keep.append(100 * shared >= percent * (len(sa) + len(sb) - shared))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            shared = np.intersect1d(sa, sb, assume_unique=True)
+            linked.append(_similar(len(shared), len(sa), len(sb), percent))
+            size.append(len(sa))
+            near = 3 * len(shared) >= len(sa) + len(sb) - len(shared)
+            lacks.append(np.setdiff1d(sa, shared, assume_unique=True).view(np.int64) if near else None)
+            has.append(np.setdiff1d(sb, shared, assume_unique=True).view(np.int64) if near else None)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(lacks, kind), pa.array(has, kind)],
+            names=["a", "b", "linked", "n_a", "lacks", "has"])
+
+    return arrow_map(both.select("a", "b", "sa", "sb"), run,
+                     "a bigint, b bigint, linked boolean, n_a bigint, lacks array<bigint>, has array<bigint>")
+
+
+def _overlap_enough(percent: int) -> Column:
+    """True unless the differences of p and q from their bucket's hub are known
+    and their exact overlap is too small."""
+    def size(c: Column) -> Column:
+        return F.size(c).cast("bigint")
 
-    return arrow_map(both.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
+    lost = size(F.col("p.lacks")) + size(F.col("q.lacks")) - size(F.array_intersect("p.lacks", "q.lacks"))
+    shared = F.col("p.n_hub") - lost + size(F.array_intersect("p.has", "q.has"))
+    unknown = F.col("p.lacks").isNull() | F.col("q.lacks").isNull()
+    return F.when(unknown, F.lit(True)).otherwise(_similar(shared, F.col("p.n"), F.col("q.n"), percent))
 
 
 def near_duplicates(
@@ -190,24 +219,32 @@ def near_duplicates(
         return scratch.write(_set_table(docs, wanted, id_col, text_col, shingle_words))
 
     sets = sets_of(pairs)
-    links = scratch.write(_confirm(pairs, sets, percent))
+    tested = scratch.write(_confirm(pairs, sets, percent))
     scratch.drop(sets)
-    first = scratch.write(connected_components(scratch, links))
+    first = scratch.write(connected_components(scratch, tested.where("linked")))
 
     member = classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("first_id")
     spread = member.withColumn("bucket", F.explode("bands")).drop("bands")
-    open_ = spread.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rest = scratch.write(spread.join(open_.select("bucket"), "bucket"))
+    open_ = spread.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub")).where("lo != hi").select("bucket", "hub")
+    apart = tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), "lacks", "has")
+    is_hub = F.col("node") == F.col("hub")
+    none = F.array().cast("array<bigint>")
+    rest = scratch.write(
+        spread.join(open_, "bucket").join(apart, ["hub", "node"], "left").withColumns({
+            "n_hub": F.when(is_hub, F.col("n")).otherwise(F.col("n_hub")),
+            "lacks": F.when(is_hub, none).otherwise(F.col("lacks")), "has": F.when(is_hub, none).otherwise(F.col("has"))}).drop("hub"))
     p, q = rest.alias("p"), rest.alias("q")
     across = (
-        p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") < F.col("q.component")) & _near(percent, "p", "q"))
+        p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") < F.col("q.component")) & _near(percent, "p", "q")
+               & _overlap_enough(percent))
         .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"),
                 F.col("p.component").alias("ca"), F.col("q.component").alias("cb")).distinct()
     )
     pairs2 = scratch.write(across.join(pairs, ["a", "b"], "left_anti"))
     scratch.drop(rest)
     sets2 = sets_of(pairs2)
-    good = _confirm(pairs2.select("a", "b"), sets2, percent)
+    good = _confirm(pairs2.select("a", "b"), sets2, percent).where("linked")
     links2 = pairs2.join(good, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = scratch.write(connected_components(scratch, links2)).select(
         F.col("node").alias("component"), F.col("component").alias("merged"))
@@ -216,7 +253,7 @@ def near_duplicates(
     label = first.join(second, "component", "left").select("node", F.coalesce("merged", "component").alias("component")).union(
         second.join(first.select("component"), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("component")))
     class_label = classes.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = class_label.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    least = scratch.write(class_label.groupBy("component").agg(F.min("first_id").alias("component_id")))
     of_node = scratch.write(class_label.join(least, "component").select("node", "component_id"))
     return (
         sig.select("id", "n", "node").join(of_node, "node", "left")
