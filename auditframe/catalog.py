@@ -50,11 +50,12 @@ def score_queries() -> dict[str, Query]:
         "a7_cds_difference": _on_scored(R.difference_distribution, basis="cds", keep_out_of_range=False),
         "d8_score_difference": _on_scored(R.difference_distribution, basis="similarity", keep_out_of_range=True),
         "a8_difference_summary": _on_scored(R.difference_summary, basis="similarity"),
+        "s13_enriched": lambda s, d: R.enriched(scored_results(s, d).drop("row_key"), "cds"),
         "a14_run_summary": _on_scored(R.run_summary),
-        "t1_recompute_check": _on_scored(R.recompute_check),
-        "t2_row_accounting": _on_scored(R.row_accounting),
-        "t3_common_completeness": _on_scored(R.common_completeness),
-        "t4_recount_check": _on_scored(R.recount_check),
+        "t1_recompute_check": _on_scored(R.checked_report, check="recompute_check"),
+        "t2_row_accounting": _on_scored(R.checked_report, check="row_accounting"),
+        "t3_common_completeness": _on_scored(R.checked_report, check="common_completeness"),
+        "t4_recount_check": _on_scored(R.checked_report, check="recount_check"),
     }
 
 
@@ -103,6 +104,7 @@ def pair_queries() -> dict[str, Query]:
             F.col("m_cwe").alias("cwe"),
         ),
         "a13_dedup_counts": lambda s, d: P.dedup_counts(_deduped(s, d)),
+        "a10_primevul_counts": lambda s, d: P.adjacent_counts(P.pair_adjacent(turn_records(s, d)), turn_records(s, d)),
         "w1_primevul_pairs": lambda s, d: P.pair_adjacent(turn_records(s, d)),
         "d3_megavul_conversion": _megavul,
         "a10_megavul_counts": lambda s, d: P.megavul_counts(_megavul(s, d)),
@@ -114,9 +116,6 @@ def pair_queries() -> dict[str, Query]:
         ),
         "d12_length_profile": lambda s, d: P.length_profile(_megavul_written(s, d)),
         "a9_length_bins": lambda s, d: P.length_bins(_megavul_written(s, d)),
-        "p8_unified_diff": lambda s, d: P.with_diff(
-            _converted(s, d).where(F.col("reason").isNull())
-        ).select("dataset", "sample_id", "diff_length"),
     }
 
 
@@ -127,9 +126,9 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error-log entries: unresolved calls; ``seen`` = first event of the call."""
     a = X.number_attempts(attempt_rows(spark, sf_dir))
-    first = a.groupBy("sample_id", "phase").agg(F.min("event_id").alias("seen"))
-    bad = _resolved(spark, sf_dir).where(~F.col("resolved")).select("sample_id", "phase")
-    return bad.join(first, ["sample_id", "phase"])
+    first = a.groupBy(*X.CALL).agg(F.min("event_id").alias("seen"))
+    bad = X.resolve_attempts(a).where(~F.col("resolved")).select(*X.CALL)
+    return bad.join(first, list(X.CALL))
 
 
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +145,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inference_queries() -> dict[str, Query]:
     return {
         "x4_attempt_resolution": lambda s, d: _resolved(s, d).select(
-            "sample_id", "phase", "attempts_used", "resolved", "winning_attempt", "payload", "issue_message"
+            "sample_id", "phase", "call_no", "attempts_used", "resolved", "winning_attempt", "payload", "issue_message"
         ),
         "j7_rerun_selection": lambda s, d: X.rerun_selection(sample_rows(s, d), _issues(s, d)).select(
             "sample_id", "rerun_order", "commit_id", "project"
@@ -156,25 +155,16 @@ def inference_queries() -> dict[str, Query]:
     }
 
 
-def run_queries() -> dict[str, Query]:
-    from auditframe.plans.run import run_three_phases
-    from auditframe.plans.stub_model import stub_model
-
-    def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_three_phases(sample_rows(spark, sf_dir), stub_model)[0]
-
-    def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_three_phases(sample_rows(spark, sf_dir), stub_model)[1].drop("timestamp_utc")
-
-    return {"x3_three_phase_results": results, "x5_issue_log": issues}
-
-
 def reposvul_queries() -> dict[str, Query]:
     from auditframe.plans import reposvul as RV
     from auditframe.plans.views import reposvul_files, reposvul_records
 
     def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return RV.convert_reposvul(reposvul_records(spark, sf_dir), reposvul_files(spark, sf_dir))
+        # the diff text is difflib's; everything else is compared by SQL
+        return RV.convert_reposvul(reposvul_records(spark, sf_dir), reposvul_files(spark, sf_dir)).drop("diff", "diff_length")
+
+    def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return RV.reposvul_counts(RV.convert_reposvul(reposvul_records(spark, sf_dir), reposvul_files(spark, sf_dir)))
 
     def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = RV._filtered(reposvul_records(spark, sf_dir), False).where(F.col("reason").isNull()).drop("reason")
@@ -182,7 +172,7 @@ def reposvul_queries() -> dict[str, Query]:
             "function_id", "record_index", F.to_json("cwes").alias("cwe"), F.col("copies").cast("bigint").alias("copies")
         )
 
-    return {"d4_reposvul_conversion": d4, "a12_function_fold": a12}
+    return {"d4_reposvul_conversion": d4, "a10_reposvul_counts": counts, "a12_function_fold": a12}
 
 
 def source_queries() -> dict[str, Query]:
@@ -224,7 +214,6 @@ def all_queries() -> dict[str, Query]:
     out.update(consensus_queries())
     out.update(pair_queries())
     out.update(inference_queries())
-    out.update(run_queries())
     out.update(reposvul_queries())
     out.update(source_queries())
     return out

@@ -11,8 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditframe.functions import variant as V
+from auditframe.functions.text import is_blank
 
-# Required fields per phase and node fields.
+# Required fields per phase and node fields; the message texts below
+# are fixed values too (result tables store them).
 REQUIRED = {
     "A": ("additional_context_needed", "confidence", "data_flow_path", "non_standard_external_calls",
           "vulnerability_node"),
@@ -24,14 +26,19 @@ SCORES = ("variable_match_score", "step_position_score", "dataflow_path_score")
 
 
 def _nonblank_string(v: Column) -> Column:
-    return V.is_string(v) & (F.trim(F.coalesce(V.string_value(v), F.lit(""))) != "")
+    return V.is_string(v) & ~is_blank(V.string_value(v))
+
+
+def _listed(names: Column) -> Column:
+    """A list of names as the messages show it: ['a', 'b']."""
+    return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
 
 
 def _node_errors(node: Column, phase: str) -> list[Column]:
     out = [F.when(~V.is_object(node), F.lit(f"phase {phase} vulnerability_node must be a JSON object"))]
     missing = F.array_compact(F.array(*[F.when(~V.has_field(node, f), F.lit(f)) for f in NODE_FIELDS]))
     out.append(F.when(V.is_object(node) & (F.size(missing) > 0),
-                      F.concat(F.lit(f"phase {phase} vulnerability_node is missing fields: "), F.to_json(missing))))
+                      F.concat(F.lit(f"phase {phase} vulnerability_node is missing fields: "), _listed(missing))))
     for f in NODE_FIELDS:
         out.append(F.when(V.is_object(node) & V.has_field(node, f) & ~_nonblank_string(V.field(node, f)),
                           F.lit(f"phase {phase} {f} must be a non-empty string")))
@@ -44,7 +51,7 @@ def contract_errors(phase: str, report: Column) -> Column:
     items: list[Column] = [F.when(~V.is_object(r), F.lit(f"phase {phase} output must be a JSON object"))]
     missing = F.array_compact(F.array(*[F.when(~V.has_field(r, f), F.lit(f)) for f in REQUIRED[phase]]))
     items.append(F.when(V.is_object(r) & (F.size(missing) > 0),
-                        F.concat(F.lit(f"phase {phase} output is missing fields: "), F.to_json(missing))))
+                        F.concat(F.lit(f"phase {phase} output is missing fields: "), _listed(missing))))
     fld = lambda name: V.field(r, name)
     if phase == "A":
         calls = fld("non_standard_external_calls")
@@ -83,6 +90,6 @@ def contract_errors(phase: str, report: Column) -> Column:
         items += [
             F.when(~_nonblank_string(fld("overall_consistency")),
                    F.lit("phase C overall_consistency must be a non-empty string")),
-            F.when(F.trim(F.coalesce(comment_text, F.lit(""))) == "", F.lit("phase C comment must be a non-empty string")),
+            F.when(is_blank(comment_text), F.lit("phase C comment must be a non-empty string")),
         ]
     return F.array_compact(F.array(*items))

@@ -28,11 +28,10 @@ def grid(spark: SparkSession, dims: dict[str, Sequence]) -> DataFrame:
 
 
 def zero_fill(counts: DataFrame, grid_df: DataFrame, keys: Sequence[str], count_col: str = "count") -> DataFrame:
-    """Left-join counts onto a small grid; absent combinations get 0.
-
-    Both sides are bounded by the grid size, so the grid is broadcast.
+    """Counts with 0 for the combinations of a small grid that have none; counted
+    combinations outside the grid (a model that was not named) stay.
     """
-    return grid_df.join(F.broadcast(counts), list(keys), "left").withColumn(
+    return counts.join(grid_df, list(keys), "full_outer").withColumn(
         count_col, F.coalesce(F.col(count_col), F.lit(0)).cast("bigint")
     )
 
@@ -113,7 +112,7 @@ def bin_histogram(
     g = list(group_cols)
     counts = df.select(*g, S.bin_index(value).alias("_bin")).groupBy(*g, "_bin").agg(F.count("*").alias("count"))
     base = grid(spark, {**groups, "_bin": list(range(10))})
-    filled = base.join(F.broadcast(counts), g + ["_bin"], "full_outer").withColumn(
+    filled = base.join(counts, g + ["_bin"], "full_outer").withColumn(
         "count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
     )
     total = F.sum("count").over(Window.partitionBy(*g)).cast("bigint")

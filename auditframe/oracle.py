@@ -115,16 +115,16 @@ li AS (
          CAST(round(l_discount * 100) AS BIGINT) * 100000 AS e0,
          CAST(round(l_tax * 100) AS BIGINT) * 125000 AS l0,
          CAST(round(l_quantity) AS BIGINT) * 20000 AS f0
-  FROM lineitem WHERE l_linenumber BETWEEN 1 AND 3
+  FROM lineitem
 ),
 v AS (
   SELECT
-    CASE l_linenumber WHEN 1 THEN 'chatgpt' WHEN 2 THEN 'claude' ELSE 'deepseek' END AS model,
-    l_linenumber AS model_ord,
+    ['chatgpt', 'claude', 'deepseek'][(l_linenumber - 1) % 3 + 1] AS model,
+    CAST((l_linenumber - 1) % 3 + 1 AS INTEGER) AS model_ord,
     CAST(l_suppkey % 2 AS INTEGER) AS file_ord,
-    (CASE l_linenumber WHEN 1 THEN 'chatgpt' WHEN 2 THEN 'claude' ELSE 'deepseek' END)
+    ['chatgpt', 'claude', 'deepseek'][(l_linenumber - 1) % 3 + 1]
       || '_part' || CAST(l_suppkey % 2 AS VARCHAR) || '.csv' AS source_file,
-    l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey,
+    l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey, l_linenumber,
     CASE WHEN r = 12 THEN 'o' || CAST(l_orderkey AS VARCHAR) ELSE 'o_' || CAST(l_orderkey AS VARCHAR) END AS sample_id,
     CASE WHEN r = 6 THEN 'not-a-number' WHEN r = 11 THEN '-0.5' WHEN r = 19 THEN 'Infinity' ELSE {_mt('e0')} END
       AS phase_c_variable_match_score,
@@ -150,7 +150,7 @@ p AS (
     CAST(TRY_CAST(trim(phase_c_variable_match_score) AS DECIMAL(18,9)) * 1000000 AS BIGINT) AS eu,
     CAST(TRY_CAST(trim(phase_c_step_position_score) AS DECIMAL(18,9)) * 1000000 AS BIGINT) AS lu,
     CAST(TRY_CAST(trim(phase_c_dataflow_path_score) AS DECIMAL(18,9)) * 1000000 AS BIGINT) AS fu,
-    row_number() OVER (PARTITION BY model ORDER BY file_ord, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey) AS pos
+    row_number() OVER (PARTITION BY model ORDER BY file_ord, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey, l_linenumber) AS pos
   FROM v
 ),
 q AS (
@@ -330,6 +330,18 @@ def score_oracles() -> dict[str, str]:
 SELECT model, sample_id, {text6('sim_u')} AS similarity, {text6('cds_u')} AS cds_score,
   {band_u('cds_u')} AS cds_band, CAST({bin_idx('cds_u')} AS INTEGER) AS cds_bin
 FROM d6s"""
+    q["s13_enriched"] = f"""WITH {D6_VIEW.strip()},
+en AS (
+  SELECT q.* EXCLUDE (eu, lu, fu), q.eu, q.lu, q.fu FROM q
+  WHERE NOT ({" OR ".join(f"{raw_reason(c)} IS NOT NULL" for c in RAW_COLS)} OR marker OR eu IS NULL OR lu IS NULL OR fu IS NULL)
+)
+SELECT model, model_ord, file_ord, source_file, {", ".join(TEXT_COLS)},
+  {text6("(2 * num + 6) // 12")} AS similarity, {text6("1000000 - (2 * num + 6) // 12")} AS cds_score,
+  {band_u("1000000 - (2 * num + 6) // 12")} AS cds_band
+FROM en WHERE num >= 0
+UNION ALL SELECT model, model_ord, file_ord, source_file, {", ".join(TEXT_COLS)},
+  {text6("-((2 * abs(num) + 6) // 12)")}, {text6("1000000 + (2 * abs(num) + 6) // 12")}, {band_u("1000000 + (2 * abs(num) + 6) // 12")}
+FROM en WHERE num < 0"""
     q["a1_cds_summary"] = f"""WITH {D6_VIEW.strip()},
 st AS ({_summary('d6s', 'model', 'cds_u')}),
 ct AS (SELECT model, count(*) FILTER (WHERE NOT skipped) AS row_count, count(*) FILTER (WHERE skipped) AS skipped_row_count FROM d6 GROUP BY model)
@@ -386,14 +398,14 @@ SELECT model, CAST(count(*) AS BIGINT) AS source_row_count,
   CAST(any_value(nc.c) * 3 AS BIGINT) AS common_all_models_row_count
 FROM mr CROSS JOIN nc GROUP BY model"""
     q["t1_recompute_check"] = f"""WITH {SCORED_VIEW.strip()}
-SELECT model, CAST(count(*) AS BIGINT) AS checked_rows, CAST(0 AS BIGINT) AS similarity_mismatches,
+SELECT model, CAST(count(*) AS BIGINT) AS checked_rows, CAST(0 AS BIGINT) AS unmatched_rows, CAST(0 AS BIGINT) AS similarity_mismatches,
   CAST(0 AS BIGINT) AS band_mismatches FROM valid GROUP BY model"""
     q["t3_common_completeness"] = f"""WITH {SCORED_VIEW.strip()}
 SELECT CAST(count(DISTINCT sample_id) AS BIGINT) AS common_samples, CAST(0 AS BIGINT) AS incomplete_samples,
   CAST(count(*) AS BIGINT) AS common_rows, CAST(0 AS BIGINT) AS missing_ids, CAST(0 AS BIGINT) AS unexpected_ids
 FROM common"""
-    q["t4_recount_check"] = """SELECT CAST(3 AS BIGINT) AS comparisons, CAST(0 AS BIGINT) AS mismatches,
-  CAST(0 AS BIGINT) AS combination_mismatches"""
+    q["t4_recount_check"] = """SELECT CAST(4 AS BIGINT) AS comparisons, CAST(0 AS BIGINT) AS mismatches,
+  CAST(0 AS BIGINT) AS combination_mismatches, CAST(0 AS BIGINT) AS difference_mismatches"""
     q["t2_row_accounting"] = f"""WITH {SCORED_VIEW.strip()}
 SELECT model, CAST(count(*) AS BIGINT) AS source_row_count,
   CAST(count(*) FILTER (WHERE reason = '') AS BIGINT) AS valid_row_count,
@@ -664,6 +676,11 @@ FROM pr
 UNION ALL
 SELECT source, line, NULL, 'unpaired_final_record', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM nx WHERE n_line IS NULL AND seg = last_seg"""
+    q["a10_primevul_counts"] = f"""WITH w AS ({q['w1_primevul_pairs']})
+SELECT count(read_pairs) AS read, count(*) FILTER (WHERE reason IS NULL) AS written,
+  count(*) FILTER (WHERE reason <> 'unchanged_pair') AS invalid, count(*) FILTER (WHERE reason = 'unchanged_pair') AS unchanged,
+  (SELECT count(*) FROM conversations WHERE role = 'system' OR (conv_id + turn) % 7 = 0) AS skipped_lines
+FROM w"""
     q["d3_megavul_conversion"] = f"""WITH {_megavul_sql()}
 SELECT record_index, reason, sample_id, commit_id, commit_short, project, diff_length, commit_msg, cwe FROM mf"""
     q["a10_megavul_counts"] = f"""WITH {_megavul_sql()}
@@ -726,25 +743,27 @@ ev AS (
          || CAST(event_id AS VARCHAR) END AS message,
     CASE WHEN event_id % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
     CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 13 = 0 THEN 'not json {'
-         WHEN event_id % 17 = 0 THEN '[1, 2]' ELSE props END AS model_output
+         WHEN event_id % 17 = 0 THEN '[1, 2]' WHEN event_id % 7 IN (1, 3, 4) THEN '{"id":' || CAST(event_id AS VARCHAR) || '}'
+         WHEN event_id % 7 = 2 THEN '{"id":[' || CAST(event_id AS VARCHAR) || ']}' WHEN event_id % 7 = 5 THEN 'not json {'
+         ELSE props END AS decoded
   FROM events
 ),
 att AS (
-  SELECT * FROM (
-    SELECT ev.*, row_number() OVER (PARTITION BY sample_id, phase ORDER BY ts, event_id) AS attempt FROM ev
-  ) x WHERE attempt <= 3
+  SELECT *, (n - 1) // 3 + 1 AS call_no, (n - 1) % 3 + 1 AS attempt FROM (
+    SELECT ev.*, row_number() OVER (PARTITION BY sample_id, phase ORDER BY ts, event_id) AS n FROM ev
+  ) x
 ),
 ok AS (
-  SELECT att.*, trim(model_output) AS body,
-    (error_type IS NULL AND finish_reason <> 'length' AND coalesce(json_valid(trim(model_output)), false)
-     AND CASE WHEN json_valid(trim(model_output)) THEN json_type(trim(model_output)) = 'OBJECT' ELSE false END) AS good
+  SELECT att.*, CASE WHEN json_valid(decoded) THEN CAST(json(decoded) AS VARCHAR) END AS body,
+    (error_type IS NULL AND finish_reason <> 'length'
+     AND coalesce(CASE WHEN json_valid(decoded) THEN json_type(decoded) = 'OBJECT' ELSE false END, false)) AS good
   FROM att
 ),
 rs AS (
-  SELECT sample_id, phase, count(*) AS made, min(attempt) FILTER (WHERE good) AS win,
+  SELECT sample_id, phase, call_no, count(*) AS made, min(attempt) FILTER (WHERE good) AS win,
     arg_min(body, attempt) FILTER (WHERE good) AS payload, arg_max(coalesce(message, ''), attempt) AS last_message,
     min(event_id) AS seen
-  FROM ok GROUP BY sample_id, phase
+  FROM ok GROUP BY sample_id, phase, call_no
 )"""
 
 
@@ -759,7 +778,7 @@ def _redact(x: str) -> str:
 def inference_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["x4_attempt_resolution"] = f"""WITH {ATTEMPTS.strip()}
-SELECT sample_id, phase, CAST(coalesce(win, made) AS BIGINT) AS attempts_used, win IS NOT NULL AS resolved,
+SELECT sample_id, phase, CAST(call_no AS BIGINT) AS call_no, CAST(coalesce(win, made) AS BIGINT) AS attempts_used, win IS NOT NULL AS resolved,
   win AS winning_attempt, payload, CASE WHEN win IS NULL THEN {_redact('last_message')} END AS issue_message
 FROM rs"""
     q["j7_rerun_selection"] = f"""WITH {ATTEMPTS.strip()},
@@ -785,23 +804,51 @@ FROM nw CROSS JOIN mx"""
 
 
 
-def reposvul_oracles() -> dict[str, str]:
-    return {"a12_function_fold": """WITH rv AS (
-  SELECT o_orderkey AS record_index,
+REPOSVUL = """rv AS (
+  SELECT o_orderkey AS k, o_custkey, CAST(o_orderkey AS VARCHAR) AS ks,
     'repo_fn_' || CAST(CASE WHEN o_orderkey % 17 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS VARCHAR) AS function_id,
     CASE WHEN o_orderkey % 2 = 0 THEN ['CWE-' || CAST(o_orderkey % 30 AS VARCHAR)]
-         ELSE ['CWE-' || CAST(o_orderkey % 30 AS VARCHAR), 'CWE-20'] END AS cwe_id
-  FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 13 <> 0
+         ELSE ['CWE-' || CAST(o_orderkey % 30 AS VARCHAR), 'CWE-20'] END AS cwe_id,
+    CASE WHEN o_orderkey % 9 = 0 THEN 'not_target' WHEN o_orderkey % 13 = 0 THEN 'outdated' END AS early
+  FROM orders
 ),
 fl AS (
-  SELECT function_id, min(record_index) AS record_index, count(*) AS copies,
-    flatten(list(cwe_id ORDER BY record_index)) AS allc
-  FROM rv GROUP BY function_id
-)
-SELECT function_id, record_index,
-  CAST(to_json(list_filter(list_filter(allc, lambda y, i: list_position(allc, y) = i), lambda z: trim(z) <> '')) AS VARCHAR) AS cwe,
-  CAST(copies AS BIGINT) AS copies
-FROM fl"""}
+  SELECT function_id, min(k) AS first_k, count(*) AS copies, flatten(list(cwe_id ORDER BY k)) AS allc
+  FROM rv WHERE early IS NULL GROUP BY function_id
+),
+cv AS (
+  SELECT rv.k AS record_index, rv.function_id,
+    CASE WHEN early IS NOT NULL THEN early WHEN k <> first_k THEN 'duplicate_function'
+         WHEN k % 29 = 4 THEN 'missing_file' WHEN k % 31 = 7 THEN 'unchanged' WHEN k % 37 = 9 THEN 'no_match' END AS reason,
+    early IS NULL AND k = first_k AS folded, k % 29 = 4 OR (k % 31 <> 7 AND k % 37 = 9) AS no_after,
+    md5(ks) AS commit_id, CASE WHEN k % 5 = 2 THEN '/proj/c' || CAST(o_custkey AS VARCHAR) || '/' ELSE 'proj/c' || CAST(o_custkey AS VARCHAR) END AS project,
+    'int f_' || ks || '(int x)' || chr(10) || '{' || chr(10) || '  return x + ' || CAST(k % 7 AS VARCHAR) || ';' || chr(10) || '}' AS func_before,
+    'int f_' || ks || '(int x)' || chr(10) || '{' || chr(10)
+      || CASE WHEN k % 31 = 7 THEN '' ELSE '  if (x < 0)' || chr(10) || '    return 0;' || chr(10) END
+      || '  return x + ' || CAST(k % 7 AS VARCHAR) || ';' || chr(10) || '}' AS func_after,
+    'fix order ' || ks AS commit_msg, split_part(rv.function_id, '_', -1) AS suffix, fl.copies,
+    CAST(to_json(list_filter(list_filter(allc, lambda y, i: list_position(allc, y) = i), lambda z: trim(z) <> '')) AS VARCHAR) AS cwe
+  FROM rv LEFT JOIN fl USING (function_id)
+)"""
+
+
+def reposvul_oracles() -> dict[str, str]:
+    fields = {
+        "sample_id": "left(commit_id, 8) || '_' || suffix", "commit_id": "commit_id", "commit_short": "left(commit_id, 8)", "project": "project",
+        "func_before": "func_before", "commit_msg": "commit_msg", "cwe": "cwe", "commit_msg_anonymized": "''",
+    }
+    shown = ", ".join(f"CASE WHEN folded THEN {x} END AS {c}" for c, x in fields.items())
+    return {
+        "a12_function_fold": f"""WITH {REPOSVUL}
+SELECT function_id, record_index, cwe, CAST(copies AS BIGINT) AS copies FROM cv WHERE folded""",
+        "d4_reposvul_conversion": f"""WITH {REPOSVUL}
+SELECT record_index, function_id, reason, {shown},
+  CASE WHEN folded THEN CASE WHEN no_after THEN '' ELSE func_after END END AS func_after FROM cv""",
+        "a10_reposvul_counts": f"""WITH {REPOSVUL}
+SELECT count(*) AS read, count(*) FILTER (WHERE folded) AS candidates, count(*) FILTER (WHERE reason IS NULL) AS written,
+  count(*) FILTER (WHERE reason = 'duplicate_function') AS duplicates,
+  count(*) FILTER (WHERE reason NOT IN ('duplicate_function', 'not_target')) AS skipped FROM cv""",
+    }
 
 
 

@@ -18,39 +18,42 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import text as T
 from auditframe.functions import variant as V
+from auditframe.functions.jsonfix import decode_model_json
 from auditframe.operators.ordinals import with_group_ordinal, with_ordinal
 
 MAX_ATTEMPTS = 3
 
 
+CALL = ("sample_id", "phase", "call_no")
+
+
 def number_attempts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Attempt number per (sample, phase) call in time order; a call makes at
-    most ``max_attempts`` attempts."""
+    """Recorded attempts, all of them, in time order per (sample, phase): a call
+    makes up to ``max_attempts``, so the next attempt begins another call
+    (``call_no`` from 1, ``attempt`` from 1 within it)."""
     if max_attempts < 1:
         raise ValueError("max_attempts must be at least 1")
-    n = with_group_ordinal(attempts, ["sample_id", "phase"], ["event_ts", "event_id"], "attempt")
-    return n.where(F.col("attempt") <= max_attempts)
+    n = with_group_ordinal(attempts, ["sample_id", "phase"], ["event_ts", "event_id"], "_n")
+    return n.withColumns({
+        "call_no": F.floor((F.col("_n") - 1) / max_attempts) + 1, "attempt": F.pmod(F.col("_n") - 1, F.lit(max_attempts)) + 1}).drop("_n")
 
 
 def resolve_attempts(attempts: DataFrame) -> DataFrame:
-    """The first attempt that is not truncated and decodes (fence
-    unwrapped) to a JSON object wins; otherwise the call is an issue that
-    keeps every attempt's status and redacted message."""
-    body = T.unwrap_code_fence(F.col("model_output"))
-    ok = (
-        F.col("error_type").isNull()
-        & (F.coalesce(F.col("finish_reason"), F.lit("")) != "length")
-        & V.is_object(F.try_parse_json(body))
-    )
-    a = attempts.withColumn("_ok", ok).withColumn("_body", body)
-    return a.groupBy("sample_id", "phase").agg(
+    """The first attempt of a call that is not truncated and decodes (fence
+    unwrapped, repaired by P20) to a JSON object wins; otherwise the call is an
+    issue that keeps the redacted message of its last attempt. Without a
+    ``call_no`` all attempts of a (sample, phase) are one call."""
+    call = [c for c in CALL if c in attempts.columns]
+    decoded = decode_model_json(T.unwrap_code_fence(F.col("model_output")))
+    usable = F.col("error_type").isNull() & (F.coalesce(F.col("finish_reason"), F.lit("")) != "length")
+    a = attempts.withColumn("_j", decoded).withColumn("_ok", usable & V.is_object(F.col("_j"))).withColumn("_body", F.to_json("_j"))
+    return a.groupBy(*call).agg(
         F.count("*").alias("attempts_made"),
         F.min(F.when(F.col("_ok"), F.col("attempt"))).alias("winning_attempt"),
         F.min_by(F.col("_body"), F.when(F.col("_ok"), F.col("attempt"))).alias("payload"),
-        F.max_by(F.col("error_type"), F.col("attempt")).alias("last_error_type"),
         F.max_by(T.safe_diagnostic_text(F.col("message"), 2000), F.col("attempt")).alias("last_message"),
     ).select(
-        "sample_id", "phase",
+        *call,
         F.coalesce(F.col("winning_attempt"), F.col("attempts_made")).cast("bigint").alias("attempts_used"),
         F.col("winning_attempt").isNotNull().alias("resolved"),
         "winning_attempt", "payload",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import score as S
 from auditframe.functions import text as T
+from auditframe.functions import variant as V
 from auditframe.functions.udfs import unified_diff
 from auditframe.operators.ordinals import with_group_ordinal, with_ordinal, with_running_sums
 
@@ -62,7 +63,9 @@ def convert_paired(rows: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_pre", pre)
     firsts = df.where(F.col("_pre").isNull()).groupBy("dataset", "pair_key").agg(F.min("row").alias("_first"))
-    df = df.join(firsts, ["dataset", "pair_key"], "left")
+    # rows with a reason need no winner: a null key keeps blank pairs from meeting in one task
+    df = df.withColumn("_key", F.when(F.col("_pre").isNull(), F.col("pair_key")))
+    df = df.join(firsts.withColumnRenamed("pair_key", "_key"), ["dataset", "_key"], "left")
     reason = F.coalesce(F.col("_pre"), F.when(F.col("row") > F.col("_first"), F.lit("duplicate_pair")))
     df = df.withColumn("reason", reason)
     commit = T.commit_id_from_url(F.col("_url"))
@@ -117,7 +120,7 @@ def deduplicate(pairs: DataFrame) -> DataFrame:
     merged = p.groupBy("pair_key").agg(
         F.min("dataset_ord").alias("owner_ord"),
         *[
-            F.coalesce(F.min_by(F.col(c), F.when(T.clean(F.col(c)) != "", ordered)), F.lit("")).alias(f"m_{c}")
+            F.coalesce(F.min_by(T.clean(F.col(c)), F.when(T.clean(F.col(c)) != "", ordered)), F.lit("")).alias(f"m_{c}")
             for c in ("commit_id", "commit_short", "project", "commit_msg")
         ],
     )
@@ -125,7 +128,7 @@ def deduplicate(pairs: DataFrame) -> DataFrame:
     # (aggregate), then collect the distinct CWEs of a key in that order --
     # the list is bounded by the CWE vocabulary, not by the number of copies
     each = p.select("pair_key", ordered.alias("_o"),
-                    F.posexplode(F.from_json("cwe", "array<string>")).alias("_i", "_c"))
+                    F.posexplode(T.cwe_values(F.col("cwe"))).alias("_i", "_c"))
     firsts_cwe = each.groupBy("pair_key", "_c").agg(F.min(F.struct("_o", "_i")).alias("_at"))
     cwe_union = firsts_cwe.groupBy("pair_key").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_c"))), lambda x: x["_c"])).alias("m_cwe"))
@@ -153,6 +156,40 @@ def dedup_counts(dedup: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ D2 PrimeVul
+def parse_turn_lines(lines: DataFrame) -> DataFrame:
+    """Lines of merged JSONL sources (source, line, value) -> the records that
+    ``pair_adjacent`` takes. Blank lines are skipped; a line that is not JSON or
+    not an object resets the pairing and keeps ``line_reason``."""
+    v = F.col("v")
+    parsed = lines.where(~T.is_blank(F.col("value"))).select("source", "line", F.try_parse_json("value").alias("v"))
+    text = {"func": "func", "commit_id": "commit_id", "cve": "cve", "project": "project", "commit_message": "commit_message", "cwe": "cwe"}
+    cwe = F.coalesce(F.array_join(F.try_variant_get(v, "$.cwe", "array<string>"), ", "), F.try_variant_get(v, "$.cwe", "string"))
+    return parsed.select(
+        "source", "line", (~V.is_object(v)).alias("invalid_line"),
+        F.when(v.isNull(), F.lit("invalid_json")).when(~V.is_object(v), F.lit("invalid_record")).alias("line_reason"),
+        F.try_variant_get(v, "$.target", "int").alias("target"),
+        *[(cwe if name == "cwe" else F.try_variant_get(v, f"$.{field}", "string")).alias(name) for name, field in text.items()],
+    )
+
+
+def line_rejects(records: DataFrame) -> DataFrame:
+    """The lines that ``parse_turn_lines`` could not take."""
+    return records.where("line_reason is not null").select("source", "line", F.col("line_reason").alias("reason"))
+
+
+def adjacent_counts(pairs: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """A10 of D2: pairs read, written, invalid, unchanged; ``skipped_lines``
+    counts unreadable lines when the records are given."""
+    r = F.col("reason")
+    out = pairs.agg(
+        F.count("read_pairs").alias("read"), F.count_if(r.isNull()).alias("written"),
+        F.count_if(r.isNotNull() & (r != "unchanged_pair")).alias("invalid"), F.count_if(r == "unchanged_pair").alias("unchanged"))
+    if records is None:
+        return out
+    bad = records.agg(F.count_if("invalid_line").alias("skipped_lines"))
+    return out.withColumn("_k", F.lit(1)).join(bad.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def pair_adjacent(records: DataFrame) -> DataFrame:
     """W1 + W8: adjacent-record pairing per source (gaps and islands).
 
@@ -192,8 +229,9 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     before = T.clean(b["func"])
     after = T.clean(a["func"])
     reason = (
-        F.when((b["target"] != 1) | (a["target"] != 0), F.lit("invalid_target_order"))
-        .when((b["commit_id"] != a["commit_id"]) | (b["cve"] != a["cve"]), F.lit("metadata_mismatch"))
+        # null-safe: a missing target is out of order, a missing id differs from a present one
+        F.when(~b["target"].eqNullSafe(F.lit(1)) | ~a["target"].eqNullSafe(F.lit(0)), F.lit("invalid_target_order"))
+        .when(~b["commit_id"].eqNullSafe(a["commit_id"]) | ~b["cve"].eqNullSafe(a["cve"]), F.lit("metadata_mismatch"))
         .when((before == "") | (after == ""), F.lit("missing_function"))
         .when(before == after, F.lit("unchanged_pair"))
     )

@@ -9,7 +9,7 @@ Models are a parameter (any number, in report order).
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from auditframe.functions.text import py_strip
 from auditframe.operators import stats
 from auditframe.operators.validity import add_row_checks, drop_checks, error_reasons, has_pipeline_error, require_columns
 from auditframe.plans.views import MODELS, SCORED_TEXT_COLUMNS
-from auditframe.session import cut_lineage, release_lineage
+from auditframe.session import cut_lineage, lineage_scope
 
 SCOPES = ("full", "three_model_common")
 
@@ -75,12 +75,12 @@ def similarity_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def score_summary(df: DataFrame, which: str = "cds") -> DataFrame:
+def score_summary(df: DataFrame, which: str = "cds", digits: int = 6) -> DataFrame:
     """A1 per model: valid rows, skipped rows, distinct values, mean, median,
     min, max of the CDS (or the similarity). One pass over the rows: a
     (model, skipped, value) count table feeds both the counters and the
     statistics."""
-    s = scored_rows(df)
+    s = scored_rows(df, digits=digits)
     value = F.col("_cds") if which == "cds" else F.col("_sim")
     vc = stats.value_counts(s, ["model", "skipped"], value)
     st = stats.summary_from_counts(vc, ["model"], skip_col="skipped")
@@ -91,9 +91,9 @@ def score_summary(df: DataFrame, which: str = "cds") -> DataFrame:
     )
 
 
-def score_histogram(df: DataFrame, which: str = "cds", models: Sequence[str] = MODELS) -> DataFrame:
+def score_histogram(df: DataFrame, which: str = "cds", models: Sequence[str] = MODELS, digits: int = 6) -> DataFrame:
     """A2 per model: 0.1 bins of the valid values, out-of-range bins when present."""
-    s = scored_rows(df).where(~F.col("skipped"))
+    s = scored_rows(df, digits=digits).where(~F.col("skipped"))
     value = F.col("_cds") if which == "cds" else F.col("_sim")
     label = "cds_range" if which == "cds" else "similarity_range"
     return stats.bin_histogram(s, ["model"], {"model": list(models)}, value, label, total_name="total")
@@ -140,13 +140,14 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
     return out.drop("_first")
 
 
-def valid_with_common(df: DataFrame, n_models: int) -> DataFrame:
-    """Valid rows (one per model and id after U4) with ``common`` = the id is
-    valid for every model (J2/U3). The window is partitioned by sample id but
-    holds at most ``n_models`` rows per id, so no id can be hot here."""
-    valid = model_rows(df).where("valid")
+def valid_with_common(df: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Valid rows of ``models`` (one per model and id after U4) with ``common`` =
+    the id is valid for every one of them (J2/U3); rows of other models take no
+    part. The window is partitioned by sample id but holds at most one row per
+    model and id, so no id can be hot here."""
+    valid = model_rows(df).where(F.col("valid") & F.col("model").isin(*models))
     n = F.count("*").over(Window.partitionBy("sample_id"))
-    return valid.withColumn("common", n == n_models)
+    return valid.withColumn("common", n == len(models))
 
 
 def valid_results(df: DataFrame) -> DataFrame:
@@ -176,15 +177,16 @@ def excluded_rows(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     ).orderBy("_mo", "sample_index", "source_file").drop("_mo")
 
 
-def common_ids(valid: DataFrame, n_models: int) -> DataFrame:
-    """Ids valid for every model, by count instead of n-1 joins."""
-    return valid.groupBy("sample_id").agg(F.count("*").alias("_n")).where(F.col("_n") == n_models).select("sample_id")
+def common_ids(valid: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Ids valid for every one of ``models``, by count instead of joins."""
+    named = valid.where(F.col("model").isin(*models))
+    return named.groupBy("sample_id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(models)).select("sample_id")
 
 
 def common_rows(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     """J2 + W7: long common table, one row per (sample, model), id suffixed
     with the model, interleaved order (suffix, id, model order)."""
-    common = valid_with_common(df, len(models)).where("common")
+    common = valid_with_common(df, models).where("common")
     order = F.array_position(F.array(*[F.lit(x) for x in models]), F.col("model"))
     return common.select(
         F.col("sample_id").alias("base_sample_id"),
@@ -200,7 +202,7 @@ def common_rows(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
 def _scoped_valid(df: DataFrame, models: Sequence[str]) -> DataFrame:
     """Valid rows tagged with their scopes: every row is in ``full``, common
     ones also in ``three_model_common`` (one pass, ``explode``, no union)."""
-    v = valid_with_common(df, len(models))
+    v = valid_with_common(df, models)
     scopes = F.when(F.col("common"), F.array(F.lit(SCOPES[0]), F.lit(SCOPES[1]))).otherwise(F.array(F.lit(SCOPES[0])))
     return v.withColumn("scope", F.explode(scopes))
 
@@ -221,7 +223,7 @@ def bin_distribution_final3(df: DataFrame, models: Sequence[str] = MODELS) -> Da
 
 def _wide(df: DataFrame, models: Sequence[str], value_col: str, band_col: str) -> DataFrame:
     """One row per common sample with one value and one band column per model."""
-    common = valid_with_common(df, len(models)).where("common")
+    common = valid_with_common(df, models).where("common")
     if value_col == "_cds":
         common = common.withColumn("_cds", S.cds(F.col("_sim"))).withColumn("_cds_band", S.band(F.col("_cds")))
     aggs = []
@@ -358,7 +360,7 @@ def run_summary(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
         F.count_if(~F.col("valid")).alias("excluded_row_count"),
         F.count_if("valid").alias("valid_row_count"),
     )
-    n_common = common_ids(m.where("valid"), len(models)).agg(F.count("*").alias("three_model_common_valid_sample_count"))
+    n_common = common_ids(m.where("valid"), models).agg(F.count("*").alias("three_model_common_valid_sample_count"))
     out = per.withColumn("_one", F.lit(1)).join(F.broadcast(n_common.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return out.withColumn(
         "common_all_models_row_count", F.col("three_model_common_valid_sample_count") * len(models)
@@ -398,106 +400,127 @@ def run_summary_document(df: DataFrame, models: Sequence[str] = MODELS) -> DataF
 
 
 # ---------------------------------------------------------------- D13 checks
-def recompute_check(df: DataFrame) -> DataFrame:
-    """Stored similarity / CDS / band vs a recomputation from the scores
-    (the stored values come from ``valid_results``); mismatches per model."""
-    m = model_rows(df).where("valid")
-    stored = m.select("model", "sample_id", "_e", "_l", "_f", S.decimal_text(F.col("_sim")).alias("similarity"))
-    sim = S.parse_score(F.col("similarity"))
-    recomputed = S.similarity(F.col("_e"), F.col("_l"), F.col("_f"))
-    cds = S.cds(recomputed)
-    return stored.groupBy("model").agg(
-        F.count("*").alias("checked_rows"),
-        F.count_if(sim != recomputed).alias("similarity_mismatches"),
-        F.count_if(S.band(S.cds(sim)) != S.band(cds)).alias("band_mismatches"),
+# The checks read the tables of a written report (``report_tables`` by name, as
+# ``multi_model_report`` stores them) and recompute what they should hold.
+Tables = Mapping[str, DataFrame]
+
+
+def _one_row(*frames: DataFrame) -> DataFrame:
+    """One-row frames side by side."""
+    out = frames[0].withColumn("_k", F.lit(1))
+    for f in frames[1:]:
+        out = out.join(f.withColumn("_k", F.lit(1)), "_k")
+    return out.drop("_k")
+
+
+def _differ(a: str, b: str) -> Column:
+    return ~F.col(a).eqNullSafe(F.col(b))
+
+
+def recompute_check(tables: Tables, df: DataFrame) -> DataFrame:
+    """The stored similarity and band of every result row against a
+    recomputation from the source scores; per model, also rows on one side only."""
+    source = model_rows(df).where("valid").select(
+        "model", "sample_id", S.decimal_text(S.similarity(F.col("_e"), F.col("_l"), F.col("_f"))).alias("_similarity"),
+        S.band_from_numerator("_e", "_l", "_f").alias("_band"))
+    stored = tables["results"].select("model", "sample_id", "similarity", "score_band")
+    both = stored.join(source, ["model", "sample_id"], "full_outer")
+    return both.groupBy("model").agg(
+        F.count("score_band").alias("checked_rows"),
+        F.count_if(F.col("score_band").isNull() | F.col("_band").isNull()).alias("unmatched_rows"),
+        F.count_if(_differ("similarity", "_similarity")).alias("similarity_mismatches"),
+        F.count_if(_differ("score_band", "_band")).alias("band_mismatches"),
     )
 
 
-def row_accounting(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """source = valid + excluded per model; band / bin counts sum to the
-    valid total; percentages sum to 100 within 0.0001."""
-    rs = run_summary(df, models)
-    bands = band_distribution_final3(df, models).where(F.col("scope") == "full")
-    bins = bin_distribution_final3(df, models).where(F.col("scope") == "full")
-    pct_u = lambda c: S.to_micro(S.parse_score(c))
-    b = bands.groupBy("model").agg(F.sum("count").alias("band_total"), F.sum(pct_u(F.col("percentage"))).alias("_bp"))
-    n = bins.groupBy("model").agg(F.sum("count").alias("bin_total"), F.sum(pct_u(F.col("percentage"))).alias("_np"))
-    out = rs.join(b, "model").join(n, "model")
+def row_accounting(tables: Tables) -> DataFrame:
+    """source = valid + excluded per model, as counted in the stored rows;
+    stored band and bin counts sum to the valid total; percentages sum to 100
+    within 0.0001."""
+    valid = tables["results"].groupBy("model").agg(F.count("*").alias("_valid"))
+    excluded = tables["excluded_errors"].groupBy("model").agg(F.count("*").alias("_excluded"))
+
+    def total(name: str, to: str) -> DataFrame:
+        pct = S.to_micro(S.parse_score(F.col("percentage")))
+        full = tables[name].where(F.col("scope") == SCOPES[0])
+        return full.groupBy("model").agg(F.sum("count").alias(to), F.sum(pct).alias(f"{to}_pct"))
+
+    out = tables["summary"].select("model", "source_row_count", "valid_row_count", "excluded_row_count")
+    for t in (valid, excluded, total("distribution_3_bands", "_bands"), total("distribution_0.1_bins", "_bins")):
+        out = out.join(t, "model", "left")
+    out = out.na.fill(0, ["_valid", "_excluded", "_bands", "_bins"])
+    whole = [F.coalesce(F.abs(F.col(c) - 100_000_000) <= 100, F.lit(False)) for c in ("_bands_pct", "_bins_pct")]
+    v = F.col("valid_row_count")
     return out.select(
-        "model",
-        "source_row_count",
-        "valid_row_count",
-        "excluded_row_count",
-        (F.col("source_row_count") == F.col("valid_row_count") + F.col("excluded_row_count")).alias("rows_balance"),
-        (F.col("band_total") == F.col("valid_row_count")).alias("bands_balance"),
-        (F.col("bin_total") == F.col("valid_row_count")).alias("bins_balance"),
-        ((F.abs(F.col("_bp") - 100_000_000) <= 100) & (F.abs(F.col("_np") - 100_000_000) <= 100)).alias(
-            "percentages_balance"
-        ),
+        "model", "source_row_count", "valid_row_count", "excluded_row_count",
+        ((F.col("source_row_count") == v + F.col("excluded_row_count")) & (v == F.col("_valid"))
+         & (F.col("excluded_row_count") == F.col("_excluded"))).alias("rows_balance"),
+        (F.col("_bands") == v).alias("bands_balance"), (F.col("_bins") == v).alias("bins_balance"),
+        (whole[0] & whole[1]).alias("percentages_balance"),
     )
 
 
-def common_completeness(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """Every common sample has every model exactly once and the ids equal
-    the intersection of the per-model valid ids."""
-    valid = model_rows(df).where("valid")
-    long = common_rows(df, models)
-    per = long.groupBy("base_sample_id").agg(
-        F.count("*").alias("_n"), F.count_distinct("model").alias("_m")
-    )
-    ids = common_ids(valid, len(models))
-    missing = ids.join(per.withColumnRenamed("base_sample_id", "sample_id"), "sample_id", "left_anti").agg(
-        F.count("*").alias("missing_ids")
-    )
-    extra = per.withColumnRenamed("base_sample_id", "sample_id").join(ids, "sample_id", "left_anti").agg(
-        F.count("*").alias("unexpected_ids")
-    )
-    bad = per.agg(
-        F.count("*").alias("common_samples"),
-        F.count_if((F.col("_n") != len(models)) | (F.col("_m") != len(models))).alias("incomplete_samples"),
-        F.sum("_n").cast("bigint").alias("common_rows"),
-    )
-    one = F.lit(1)
-    return (
-        bad.withColumn("_k", one)
-        .join(missing.withColumn("_k", one), "_k")
-        .join(extra.withColumn("_k", one), "_k")
-        .drop("_k")
-    )
+def common_completeness(tables: Tables, models: Sequence[str] = MODELS) -> DataFrame:
+    """Every sample of the stored common table has every model exactly once
+    and the ids equal the intersection of the stored results."""
+    per = tables["common_all_models"].groupBy("base_sample_id").agg(
+        F.count("*").alias("_n"), F.count_distinct("model").alias("_m"))
+    ids = common_ids(tables["results"], models)
+    both = per.select(F.col("base_sample_id").alias("sample_id"), "_n", "_m").join(ids.withColumn("_in", F.lit(True)), "sample_id", "full_outer")
+    broken = (F.col("_n") != len(models)) | (F.col("_m") != len(models))
+    return both.agg(
+        F.count("_n").alias("common_samples"), F.count_if(broken).alias("incomplete_samples"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("common_rows"),
+        F.count_if(F.col("_n").isNull()).alias("missing_ids"), F.count_if(F.col("_in").isNull()).alias("unexpected_ids"))
 
 
-def recount_check(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """T4: agreement and combination tables equal an independent recount
-    from the long common table (full outer join on keys, mismatches counted)."""
-    published = agreement(df, models)
-    long = common_rows(df, models)
+def recount_check(tables: Tables, models: Sequence[str] = MODELS) -> DataFrame:
+    """T4: the stored agreement (pairs and all models), combination and
+    difference tables against a recount from the stored common table."""
     pairs = list(itertools.combinations(models, 2))
-    a = long.select(F.col("base_sample_id").alias("sid"), F.col("model").alias("ma"), F.col("score_band").alias("ba"))
-    b = long.select(F.col("base_sample_id").alias("sid"), F.col("model").alias("mb"), F.col("score_band").alias("bb"))
-    rows = []
-    for x, y in pairs:
-        j = a.where(F.col("ma") == x).join(b.where(F.col("mb") == y), "sid")
-        rows.append(j.agg(F.count_if(F.col("ba") == F.col("bb")).alias("recount")).withColumn("comparison", F.lit(f"{x}_vs_{y}")))
-    re = rows[0]
-    for r in rows[1:]:
-        re = re.unionByName(r)
-    joined = published.where(F.col("comparison") != "all_three").join(re, "comparison", "full_outer")
-    agree = joined.agg(
-        F.count("*").alias("comparisons"),
-        F.count_if(F.col("agree_count").isNull() | F.col("recount").isNull() | (F.col("agree_count") != F.col("recount"))).alias(
-            "mismatches"
-        ),
-    )
-    # combinations: published table vs a recount from the long table
+    band = {m: F.max(F.when(F.col("model") == m, F.col("score_band"))).alias(f"{m}_band") for m in models}
+    value = {m: F.max(F.when(F.col("model") == m, S.parse_score(F.col("similarity")))).alias(f"v_{m}") for m in models}
+    wide = tables["common_all_models"].groupBy("base_sample_id").agg(*band.values(), *value.values())
     keys = [f"{m}_band" for m in models]
-    combos = band_combinations(df, models, "similarity").select(*keys, "count")
-    per_sample = long.groupBy("base_sample_id").agg(
-        *[F.max(F.when(F.col("model") == m, F.col("score_band"))).alias(k) for m, k in zip(models, keys)])
-    recount = per_sample.groupBy(*keys).agg(F.count("*").alias("recount"))
-    cmp = combos.join(recount, keys, "full_outer").agg(
-        F.count_if(F.coalesce(F.col("count"), F.lit(0)) != F.coalesce(F.col("recount"), F.lit(0)))
-        .alias("combination_mismatches"))
-    return agree.withColumn("_k", F.lit(1)).join(cmp.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+    same = F.lit(True)
+    for k in keys[1:]:
+        same = same & (F.col(k) == F.col(keys[0]))
+    tests = {f"{a}_vs_{b}": F.col(f"{a}_band") == F.col(f"{b}_band") for a, b in pairs}
+    tests["all_three" if len(models) == 3 else "all_models"] = same
+    one = wide.agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
+    recount = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("comparison"), F.col(n).alias("_recount")) for n in tests])))
+    agree = tables["model_agreement"].join(recount, "comparison", "full_outer").agg(
+        F.count("*").alias("comparisons"), F.count_if(_differ("agree_count", "_recount")).alias("mismatches"))
+
+    combos = wide.groupBy(*keys).agg(F.count("*").alias("_recount"))
+    cmp = tables["model_agreement_combinations"].select(*keys, "count").join(combos, keys, "full_outer").agg(
+        F.count_if(F.coalesce("count", F.lit(0)) != F.coalesce("_recount", F.lit(0))).alias("combination_mismatches"))
+
+    apart = wide.select(F.inline(F.array(*[F.struct(
+        F.lit(f"{a}_vs_{b}").alias("comparison"), F.abs(F.col(f"v_{a}") - F.col(f"v_{b}")).alias("d")) for a, b in pairs])))
+    bins = apart.groupBy("comparison", S.bin_index(F.col("d")).alias("bin_index")).agg(F.count("*").alias("_recount"))
+    diff = tables["score_difference_distribution"].select("comparison", "bin_index", "count").join(bins, ["comparison", "bin_index"], "full_outer").agg(
+        F.count_if(F.coalesce("count", F.lit(0)) != F.coalesce("_recount", F.lit(0))).alias("difference_mismatches"))
+    return _one_row(agree, cmp, diff)
+
+
+def checked_report(df: DataFrame, check: str, models: Sequence[str] = MODELS) -> DataFrame:
+    """Write the report tables that a check needs, read them back, check."""
+    rows = cut_lineage(model_rows(df))
+    needs = {
+        "recompute_check": ("results",),
+        "row_accounting": ("results", "excluded_errors", "distribution_3_bands", "distribution_0.1_bins", "summary"),
+        "common_completeness": ("results", "common_all_models"),
+        "recount_check": ("common_all_models", "model_agreement", "model_agreement_combinations", "score_difference_distribution"),
+    }[check]
+    report = report_tables(rows, models)
+    tables = {name: cut_lineage(report[name]) for name in needs}
+    if check == "recompute_check":
+        return recompute_check(tables, rows)
+    if check == "row_accounting":
+        return row_accounting(tables)
+    return (common_completeness if check == "common_completeness" else recount_check)(tables, models)
 
 
 # ---------------------------------------------------------------- job-level writers
@@ -507,25 +530,22 @@ def single_model_report(df: DataFrame, out_dir: str, which: str = "cds", digits:
     one small row per model returned to the caller."""
     from auditframe.sources.files import write_table
 
-    summary = score_summary(df, which)
-    rows = summary.collect()
-    bad = [r for r in rows if not r["row_count"]]
-    if bad:
-        raise ValueError(f"input CSV contains no valid data rows; skipped {bad[0]['skipped_row_count']}")
-    write_table(enriched(df, which, digits), f"{out_dir}/enriched")
-    write_table(score_histogram(df, which, sorted({r['model'] for r in rows})), f"{out_dir}/distribution")
-    write_table(summary, f"{out_dir}/summary")
-    release_lineage(df.sparkSession)
+    with lineage_scope(df.sparkSession):
+        summary = score_summary(df, which, digits)
+        rows = summary.collect()
+        bad = [r for r in rows if not r["row_count"]]
+        if bad:
+            raise ValueError(f"input CSV contains no valid data rows; skipped {bad[0]['skipped_row_count']}")
+        write_table(enriched(df, which, digits), f"{out_dir}/enriched")
+        write_table(score_histogram(df, which, sorted({r['model'] for r in rows}), digits), f"{out_dir}/distribution")
+        write_table(summary, f"{out_dir}/summary")
     return {r["model"]: r.asDict() for r in rows}
 
 
-def multi_model_report(df: DataFrame, out_dir: str, models: Sequence[str] = MODELS) -> None:
-    """D7 + D8 + D9 as a job: every table of the multi-model reports written
-    as a whole (S15) under ``out_dir``."""
-    from auditframe.sources.files import write_table
-
-    df = cut_lineage(model_rows(df))  # row checks and U4 once for all tables
-    tables = {
+def report_tables(df: DataFrame, models: Sequence[str] = MODELS) -> dict[str, DataFrame]:
+    """D7 + D8 + D9: every table of the multi-model reports, by name. ``df`` are
+    result rows or the model rows of ``model_rows``."""
+    return {
         "results": valid_results(df),
         "excluded_errors": excluded_rows(df, models),
         "common_all_models": common_rows(df, models),
@@ -542,7 +562,15 @@ def multi_model_report(df: DataFrame, out_dir: str, models: Sequence[str] = MODE
         "cds_difference_distribution": difference_distribution(df, models, "cds", False),
         "summary": run_summary(df, models),
     }
-    for name, t in tables.items():
-        write_table(t, f"{out_dir.rstrip('/')}/{name}")
-    run_summary_document(df, models).coalesce(1).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/summary.json")
-    release_lineage(df.sparkSession)
+
+
+def multi_model_report(df: DataFrame, out_dir: str, models: Sequence[str] = MODELS) -> None:
+    """D7 + D8 + D9 as a job: every table written as a whole (S15) under
+    ``out_dir``, with the scores of the valid rows (for the T checks)."""
+    from auditframe.sources.files import write_table
+
+    with lineage_scope(df.sparkSession):
+        rows = cut_lineage(model_rows(df))  # row checks and U4 once for all tables
+        for name, t in report_tables(rows, models).items():
+            write_table(t, f"{out_dir.rstrip('/')}/{name}")
+        run_summary_document(rows, models).coalesce(1).write.mode("overwrite").json(f"{out_dir.rstrip('/')}/summary.json")

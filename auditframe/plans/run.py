@@ -218,7 +218,7 @@ def _finish(res: DataFrame, phase: str, cwe: Column) -> DataFrame:
         F.col("sample_id"), F.lit(phase).alias("phase"),
         F.when(F.col("resolved"), F.lit("PhaseOutputValidationError")).otherwise(F.lit("ModelCallError")).alias("error_type"),
         F.col("_msg").alias("message"),
-        redact_json(F.col("payload")).alias("model_output"),
+        redact_json(F.when(failed, F.col("payload"))).alias("model_output"),
     ))
     return out.select("sample_id", report.alias(f"report_{phase}"), issue.alias(f"issue_{phase}"))
 
@@ -314,6 +314,7 @@ def phase_documents(full_results: DataFrame) -> DataFrame:
             F.struct(F.lit("phase_a").alias("phase"), F.col("phase_a_raw").alias("body")),
             F.struct(F.lit("phase_b").alias("phase"), F.col("phase_b_raw").alias("body")),
             F.struct(F.lit("phase_c").alias("phase"), F.col("phase_c_raw").alias("body")),
+            F.struct(F.lit("combined").alias("phase"), F.to_json(F.struct(*full_results.columns)).alias("body")),
         )),
     )
 
@@ -335,7 +336,8 @@ def rerun(
     results, issues = run_three_phases(chosen, model_factory, templates)
     if existing is None:
         return results, issues
-    ordered = existing if "position" in existing.columns else existing.withColumn(
-        "position", F.monotonically_increasing_id())
+    if "position" not in existing.columns:
+        raise ValueError("the existing results need their stored order in a position column")
+    ordered = existing
     updates = results.withColumn("version", F.lit(1))
     return upsert(ordered, updates), issues

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.sources.tables import spread, table
+from auditframe.sources.tables import table
 
 # Model names and their order in the reports.
 MODELS = ("chatgpt", "claude", "deepseek")
@@ -34,21 +34,23 @@ def _micro_text(u: Column) -> Column:
 def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows of three models (26-column table subset used by scorers).
 
-    model = l_linenumber 1..3; base id ``o_<orderkey>``; E, L, F from
-    discount, tax and quantity in exact micro-units; two source files per
-    model by supplier parity; row order inside a file is
-    (l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey).
+    Every line of ``lineitem`` is a row: the line numbers go round the models
+    (later lines of an order repeat a model's sample id, as reruns do); base id
+    ``o_<orderkey>``; E, L, F from discount, tax and quantity in exact
+    micro-units; two source files per model by supplier parity; row order inside
+    a file is (l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey,
+    l_linenumber).
     """
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber").between(1, len(MODELS)))
-    li = spread(li.select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
-    ))
+    )
+    ordinal = (F.pmod(F.col("l_linenumber") - 1, F.lit(len(MODELS))) + 1).cast("int")
     r = F.pmod(F.col("l_partkey"), F.lit(SCORED_MOD))
     e_u = F.round(F.col("l_discount") * 100).cast("bigint") * 100000
     l_u = F.round(F.col("l_tax") * 100).cast("bigint") * 125000
     f_u = F.round(F.col("l_quantity")).cast("bigint") * 20000
-    model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), F.col("l_linenumber"))
+    model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), ordinal)
     file_ord = F.pmod(F.col("l_suppkey"), F.lit(2)).cast("int")
     var_txt = (
         F.when(r == 6, F.lit("not-a-number"))
@@ -92,7 +94,7 @@ def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return li.select(
         model.alias("model"),
-        F.col("l_linenumber").alias("model_ord"),
+        ordinal.alias("model_ord"),
         file_ord.alias("file_ord"),
         F.concat(model, F.lit("_part"), file_ord.cast("string"), F.lit(".csv")).alias("source_file"),
         F.struct(
@@ -101,6 +103,7 @@ def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_suppkey").alias("suppkey"),
             F.col("l_extendedprice").alias("price"),
             F.col("l_orderkey").alias("orderkey"),
+            F.col("l_linenumber").alias("linenumber"),
         ).alias("row_key"),
         sid.alias("sample_id"),
         var_txt.alias("phase_c_variable_match_score"),
@@ -170,7 +173,7 @@ def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     padding by residue; commit URL, message, repo name and CWE text built
     from the id so metadata merges have something to merge.
     """
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id")
     t = F.col("text")
     ks = k.cast("string")
@@ -220,7 +223,7 @@ def turn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``(conv_id + turn) % 7 = 0`` lines are unreadable lines that reset the
     pairing; commit / CVE metadata disagree by residue.
     """
-    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conv = F.col("conv_id")
     turn = F.col("turn")
     bad = (F.col("role") == "system") | (F.pmod(conv + turn, F.lit(7)) == 0)
@@ -244,7 +247,7 @@ def megavul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``is_vul`` false or null by residue, blank fields by residue, diff text
     built from the first lines of before/after, null commit hashes.
     """
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id")
     t = F.col("text")
     after = F.replace(t, F.lit("e"), F.lit("a"))
@@ -268,15 +271,21 @@ def attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sample = ``o_<user_id>``; phase = A/B/C by event id; ``error`` events are
     failed calls (HTTP 502 with a secret in the body); every 11th attempt is
-    truncated (finish_reason = length); some payloads are not JSON or not an
-    object. ``event_ts`` / ``event_id`` order the attempts of one call.
+    truncated (finish_reason = length); some payloads are not JSON, not an
+    object, fenced, lack a closer, have a comma too many or follow another
+    value. ``event_ts`` / ``event_id`` order the attempts of one call.
     """
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     k = F.col("event_id")
     err = F.col("event_type") == "error"
     payload = (
         F.when(F.pmod(k, F.lit(13)) == 0, F.lit("not json {"))
         .when(F.pmod(k, F.lit(17)) == 0, F.lit("[1, 2]"))
+        .when(F.pmod(k, F.lit(7)) == 1, F.concat(F.lit('{"id": '), k.cast("string"), F.lit(", }")))
+        .when(F.pmod(k, F.lit(7)) == 2, F.concat(F.lit('{"id": ['), k.cast("string")))
+        .when(F.pmod(k, F.lit(7)) == 3, F.concat(F.lit('{"old": 1} {"id": '), k.cast("string"), F.lit("}")))
+        .when(F.pmod(k, F.lit(7)) == 4, F.concat(F.lit('```json\n{"id": '), k.cast("string"), F.lit("}\n```")))
+        .when(F.pmod(k, F.lit(7)) == 5, F.lit('{"id": NaN}'))
         .otherwise(F.col("props"))
     )
     return e.select(
@@ -293,52 +302,64 @@ def attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vulnerable(name: Column, k: Column) -> Column:
+    body = F.pmod(k, F.lit(7)).cast("string")
+    return F.concat(F.lit("int "), name, F.lit("(int x)\n{\n  return x + "), body, F.lit(";\n}"))
+
+
+def _fixed(name: Column, k: Column) -> Column:
+    body = F.pmod(k, F.lit(7)).cast("string")
+    return F.concat(F.lit("int "), name, F.lit("(int x)\n{\n  if (x < 0)\n    return 0;\n  return x + "), body, F.lit(";\n}"))
+
+
 def reposvul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ReposVul-style function records from ``orders`` (the fixed version).
+    """ReposVul-style records from ``orders``: the vulnerable functions.
 
-    target 0 / outdated / missing parent / duplicate function ids by residue;
-    the CWE field is a list or a plain string.
+    target 0 / outdated / duplicate function ids / padded keys by residue; the
+    CWE field has one or two entries.
     """
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     k = F.col("o_orderkey")
     ks = k.cast("string")
-    fid_key = F.when(F.pmod(k, F.lit(17)) == 1, k - 1).otherwise(k)
-    body = F.pmod(k, F.lit(7)).cast("string")
+    fid = F.when(F.pmod(k, F.lit(17)) == 1, k - 1).otherwise(k)
+    name = F.concat(F.lit("f_"), ks)
+    project = F.concat(F.lit("proj/c"), F.col("o_custkey").cast("string"))
+    padded = F.pmod(k, F.lit(5)) == 2
     return o.select(
         k.alias("record_index"),
-        F.concat(F.lit("repo_fn_"), fid_key.cast("string")).alias("function_id"),
-        F.concat(F.lit("int f_"), fid_key.cast("string"), F.lit("(int x)\n{\n  if (x < 0)\n    return 0;\n  return x + "),
-                 body, F.lit(";\n}")).alias("function"),
+        F.concat(F.lit("repo_fn_"), fid.cast("string")).alias("function_id"),
+        _vulnerable(name, k).alias("function"),
         F.md5(ks).alias("commit_id"),
         F.concat(F.lit("fix order "), ks).alias("commit_message"),
-        F.concat(F.lit("proj/c"), F.col("o_custkey").cast("string")).alias("project"),
-        F.concat(F.lit("src/f_"), fid_key.cast("string"), F.lit(".c")).alias("file_name"),
+        F.when(padded, F.concat(F.lit("/"), project, F.lit("/"))).otherwise(project).alias("project"),
+        F.when(padded, F.concat(F.lit("src\\"), name, F.lit(".c "))).otherwise(F.concat(F.lit("src/"), name, F.lit(".c"))).alias("file_name"),
         F.when(F.pmod(k, F.lit(9)) == 0, F.lit(0)).otherwise(F.lit(1)).alias("target"),
         F.when(F.pmod(k, F.lit(13)) == 0, F.lit(1)).otherwise(F.lit(0)).alias("outdated"),
         F.when(F.pmod(k, F.lit(2)) == 0, F.array(F.concat(F.lit("CWE-"), F.pmod(k, F.lit(30)).cast("string"))))
         .otherwise(F.array(F.concat(F.lit("CWE-"), F.pmod(k, F.lit(30)).cast("string")), F.lit("CWE-20")))
         .alias("cwe_id"),
-        F.when(F.pmod(k, F.lit(23)) == 5, F.array().cast("array<string>"))
-        .otherwise(F.array(F.concat(F.lit("p"), F.md5(ks)))).alias("parents"),
     )
 
 
 def reposvul_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parent-commit source files (replacing the download): each holds a
-    prototype, a helper that mentions the function in a comment and a
-    string with a brace, and the vulnerable definition; some are absent."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    """Source files at the fixing commits (replacing the download): each holds a
+    prototype, a helper that mentions the function in a comment and a string
+    with a brace, and the fixed definition; some files are absent, some still
+    hold the vulnerable text, some hold another function."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     k = F.col("o_orderkey")
     ks = k.cast("string")
-    body = F.pmod(k, F.lit(7)).cast("string")
+    name = F.concat(F.lit("f_"), ks)
+    definition = (
+        F.when(F.pmod(k, F.lit(31)) == 7, _vulnerable(name, k))
+        .when(F.pmod(k, F.lit(37)) == 9, _fixed(F.concat(F.lit("g_"), ks), k)).otherwise(_fixed(name, k)))
     content = F.concat(
-        F.lit("#include <stdio.h>\n\nint f_"), ks, F.lit("(int x);\n\nstatic const char *helper(void)\n{\n"
-                                                         "  /* see f_"), ks, F.lit("( } */\n  return \"}\";\n}\n\n"),
-        F.lit("int f_"), ks, F.lit("(int x)\n{\n  return x + "), body, F.lit(";\n}\n"),
+        F.lit("#include <stdio.h>\n\nint "), name, F.lit("(int x);\n\nstatic const char *helper(void)\n{\n  /* see "),
+        name, F.lit("( } */\n  return \"}\";\n}\n\n"), definition, F.lit("\n"),
     )
     return o.where(F.pmod(k, F.lit(29)) != 4).select(
         F.concat(F.lit("proj/c"), F.col("o_custkey").cast("string")).alias("project"),
-        F.concat(F.lit("p"), F.md5(ks)).alias("commit_id"),
-        F.concat(F.lit("src/f_"), ks, F.lit(".c")).alias("path"),
+        F.md5(ks).alias("commit_id"),
+        F.concat(F.lit("src/"), name, F.lit(".c")).alias("path"),
         content.alias("content"),
     )

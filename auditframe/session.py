@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -92,7 +93,31 @@ def ship_package(spark: SparkSession) -> None:
     sc._auditframe_shipped = True
 
 
-_LINEAGE_TABLES: list[str] = []
+_SCOPES: list[list[str]] = []
+
+
+def track(path: str) -> None:
+    """Leave a written folder to the innermost open ``lineage_scope``."""
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def lineage_scope(spark: SparkSession):
+    """Intermediate tables written inside the block go when it ends (those of
+    this block only): write the results inside, use nothing lazy after it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
 
 
 def cut_lineage(df):
@@ -103,28 +128,11 @@ def cut_lineage(df):
     reads see one fixed copy, and a lost executor never forces the upstream
     stages (row checks, model calls) to run again. Unlike
     ``Dataset.checkpoint`` on an unpersisted plan, the rows are computed once
-    (one write job), and the copy is columnar and compressed.
+    (one write job), and the copy is columnar and compressed. The table lives
+    until the ``lineage_scope`` it was written in ends.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/auditframe-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/auditframe-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    _LINEAGE_TABLES.append(path)
+    track(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release_lineage(spark: SparkSession) -> int:
-    """Delete the lineage-cut tables this process wrote (only those).
-
-    Call it when every DataFrame built on them has been written; job-level
-    writers do so after their outputs are committed. Returns the number of
-    tables removed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    while _LINEAGE_TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_LINEAGE_TABLES.pop())
-        fs = path.getFileSystem(conf)
-        if fs.exists(path) and fs.delete(path, True):
-            removed += 1
-    return removed

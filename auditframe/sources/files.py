@@ -171,13 +171,13 @@ def merge_jsonl(spark: SparkSession, sources: Sequence[str]) -> tuple[DataFrame,
     """Ordered concatenation of JSONL splits (a missing final newline is
     handled by the line reader); returns (lines, per-source counts)."""
     parts = [spark.read.text(p).select(F.lit(i).alias("source_ord"), F.lit(p).alias("source"),
-                                        F.col("_metadata.file_block_start").alias("_fb"),
+                                        F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.file_block_start").alias("_fb"),
                                         F.monotonically_increasing_id().alias("_mid"), "value")
              for i, p in enumerate(sources)]
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    lines = with_ordinal(lines, ["source_ord", "_fb", "_mid"], "line_number").drop("_fb", "_mid")
+    lines = with_ordinal(lines, ["source_ord", "_fp", "_fb", "_mid"], "line_number").drop("_fp", "_fb", "_mid")
     counts = lines.groupBy("source_ord", "source").agg(
         F.count("*").alias("records"), F.sum(F.octet_length("value") + 1).alias("bytes"))
     return lines, counts

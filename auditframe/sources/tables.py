@@ -16,20 +16,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-split scan across the cluster's task slots.
-
-    A file written as one row group is read by one task. When a scan has
-    fewer splits than ``defaultParallelism`` the row-level work after it
-    would run on one core, so the (already pruned) rows are redistributed
-    and kept in memory: Catalyst pushes filters below a plain repartition
-    (back into the single scan task), but not into a cached relation.
-    Large inputs have thousands of splits and pass through untouched, so
-    this never adds a shuffle or a cache at scale.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        # DataFrame.cache() is MEMORY_AND_DISK_DESER: spills instead of failing
-        return df.repartition(slots).cache()
-    return df

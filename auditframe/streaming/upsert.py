@@ -5,8 +5,8 @@ result-table upsert (S8) fed by runs and reruns. Here a stream of new result
 rows (files landing in a folder) is merged into the result table by
 ``foreachBatch``: each micro-batch is upserted with the batch S8 plan and the
 new table version is written to a fresh path, so a failed batch never leaves
-a half-written table and a replayed batch (same epoch id) writes the same
-version again.
+a half-written table. A replayed batch (same epoch id) starts again from the
+newest version below its own and writes the same version.
 """
 
 from __future__ import annotations
@@ -33,32 +33,33 @@ def upsert_stream(
     """Start the streaming upsert; returns the ``StreamingQuery``.
 
     ``schema`` describes the update files (Parquet) and must contain ``key``;
-    the table keeps ``position`` (first appearance) like the batch upsert.
+    the table keeps ``position`` (first appearance) like the batch upsert. Of
+    rows that repeat a key in one batch, the last in (file, row) order wins.
     """
     if initial is not None:
         initial.write.mode("overwrite").parquet(table_version_path(table_root, 0))
-    stream = spark.readStream.schema(schema).parquet(updates_dir)
+    stream = spark.readStream.schema(schema).parquet(updates_dir).withColumn(
+        "version", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
     def merge(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        current = latest_table(spark, table_root)
-        updates = batch.withColumn("version", F.lit(epoch + 1).cast("bigint"))
+        current = latest_table(spark, table_root, below=epoch + 1)
         if current is None:
-            cols = [c for c in batch.columns if c != key]
+            cols = [c for c in batch.columns if c not in (key, "version")]
             current = spark.createDataFrame([], f"{key} string, " + ", ".join(
                 f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields if f.name in cols
             ) + ", position bigint")
-        merged = upsert(current, updates, key)
+        merged = upsert(current, batch, key)
         merged.write.mode("overwrite").parquet(table_version_path(table_root, epoch + 1))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
-def latest_table(spark: SparkSession, table_root: str) -> DataFrame | None:
+def latest_table(spark: SparkSession, table_root: str, below: int | None = None) -> DataFrame | None:
     """The newest complete table version (the commit protocol writes
-    ``_SUCCESS`` last)."""
+    ``_SUCCESS`` last), of those below version number ``below`` if it is given."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(table_root)
@@ -69,6 +70,8 @@ def latest_table(spark: SparkSession, table_root: str) -> DataFrame | None:
         st.getPath().getName() for st in fs.listStatus(path)
         if st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
     )
+    if below is not None:
+        versions = [v for v in versions if int(v[1:]) < below]
     if not versions:
         return None
     return spark.read.parquet(f"{table_root.rstrip('/')}/{versions[-1]}")

@@ -8,7 +8,11 @@ from auditframe.functions.jsonfix import repair_json_text
 from auditframe.operators.contracts import contract_errors
 from auditframe.plans import inference as X
 from auditframe.plans.run import normalize, run_three_phases
-from auditframe.plans.stub_model import stub_model
+import stub_model as stub_module
+from pyspark import cloudpickle
+from stub_model import stub_model
+
+cloudpickle.register_pickle_by_value(stub_module)  # the workers do not have the tests' folder
 
 
 def test_repair_rules():
@@ -76,6 +80,29 @@ def test_upsert_and_rerun(spark):
     assert (s["issues"], s["failed_samples"]) == (4, 2)
 
 
+def test_calls_and_repair(spark):
+    import datetime as dt
+
+    outputs = ['{"a": 1,}', '```json\n{"b": [2\n```', "oops", '{"c": 3} {"d": 4}', None]
+    rows = [("s1", "A", dt.datetime(2024, 1, 1, 0, 0, i), i, None if o else "E", "m", 200, "length" if i == 1 else "stop", o)
+            for i, o in enumerate(outputs)]
+    schema = ("sample_id string, phase string, event_ts timestamp, event_id bigint, error_type string, "
+              "message string, status_code int, finish_reason string, model_output string")
+    got = X.resolve_attempts(X.number_attempts(spark.createDataFrame(rows, schema), 2)).orderBy("call_no").collect()
+    assert [(r["call_no"], r["winning_attempt"], r["payload"]) for r in got] == [(1, 1, '{"a":1}'), (2, 2, '{"d":4}'), (3, None, None)]
+
+
+def test_blank_and_redaction(spark):
+    from auditframe.functions.jsonfix import redact_text
+
+    df = spark.createDataFrame([('{"overall_consistency": "\\t\\n"}',)], "c string")
+    errors = df.select(contract_errors("C", F.parse_json("c")).alias("e")).first()["e"]
+    assert any("overall_consistency must be a non-empty string" in e for e in errors)
+    shown = redact_text('{"api_key": {"x": 1}, "l": ["Bearer abc", {"t": "sk-abcdef"}], "n": 1.5}')
+    assert json.loads(shown) == {"api_key": "[REDACTED]", "l": ["Bearer [REDACTED]", {"t": "sk-[REDACTED]"}], "n": 1.5}
+    assert redact_text("no json Bearer abc") == '"no json Bearer [REDACTED]"'
+
+
 def test_attempts_with_secret(spark):
     import datetime as dt
     rows = [("s1", "A", dt.datetime(2024, 1, 1, 0, 0, i), i, "APIError",

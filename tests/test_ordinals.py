@@ -55,14 +55,14 @@ def test_summary_matches_python(spark):
     assert got2["median"] == text(Decimal(statistics.median(even)))
 
 
-def test_release_lineage(spark):
+def test_lineage_scope(spark):
     import os
 
-    from auditframe.session import _LINEAGE_TABLES, cut_lineage, release_lineage
+    from auditframe.session import cut_lineage, lineage_scope
 
-    release_lineage(spark)
-    t = cut_lineage(spark.range(10))
-    assert t.count() == 10
-    path = _LINEAGE_TABLES[-1].removeprefix("file:")
-    assert os.path.exists(path)
-    assert release_lineage(spark) == 1 and not os.path.exists(path)
+    kept = cut_lineage(spark.range(5))
+    with lineage_scope(spark):
+        inner = cut_lineage(spark.range(7))
+        path = inner.inputFiles()[0].removeprefix("file:").removeprefix("//").rsplit("/", 1)[0]
+        assert inner.count() == 7 and os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 5

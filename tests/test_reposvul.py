@@ -1,5 +1,7 @@
 """ReposVul conversion: candidate extraction, filters, duplicate fold, oversized rows."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from auditframe.functions.udfs import candidate_bodies
@@ -31,7 +33,7 @@ FIXED = """size_t parse_size(const char *text)
 }"""
 
 SCHEMA = ("record_index bigint, function_id string, function string, commit_id string, commit_message string, "
-          "project string, file_name string, target int, outdated int, cwe_id array<string>, parents array<string>")
+          "project string, file_name string, target int, outdated int, cwe_id array<string>")
 
 
 def test_candidate_extraction():
@@ -40,41 +42,70 @@ def test_candidate_extraction():
     assert cands[0][1].startswith("size_t parse_size(const char *text)") and cands[0][1].endswith("return 42;\n}")
 
 
+VULNERABLE = """size_t parse_size(const char *text)
+{
+    return 42;
+}"""
+
+
+def test_braces_outside_code_do_not_count():
+    source = "int f(void)\n{\n  char c = '}'; // }\n  /* } */ puts(\"}\\\"}\");\n  { }\n}\nint g(void) { f(); }\n"
+    assert candidate_bodies(source, "int f(void)", "f")[0] == (0, source[:source.index("int g")].strip())
+    assert candidate_bodies("int f(void);\n", "int f(void)", "f") == []
+    assert candidate_bodies("int f(void) { if (1) {", "int f(void)", "f") == []
+
+
 def _records(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
 def _files(spark, content):
-    return spark.createDataFrame([("acme/demo", "parent1", "src/a.c", content)],
+    """One file at the fixing commit of the records below."""
+    return spark.createDataFrame([("acme/demo", "abcdef1234567890", "src/a.c", content)],
                                  "project string, commit_id string, path string, content string")
 
 
-def test_convert_one_record(spark):
-    rows = [(0, "repo_fn_7", FIXED, "abcdef1234567890", "fix", "acme/demo", "src/a.c", 1, 0, ["CWE-20"], ["parent1"])]
-    out = RV.convert_reposvul(_records(spark, rows), _files(spark, FILE)).collect()
-    assert len(out) == 1 and out[0]["reason"] is None and out[0]["sample_id"] == "abcdef12_7"
-    assert "a } in a comment" in out[0]["func_before"]
+def _row(i, fid, target=1, outdated=0, cwe=("CWE-20",), project="acme/demo", path="src/a.c", function=VULNERABLE):
+    return (i, fid, function, "abcdef1234567890", "fix", project, path, target, outdated, list(cwe))
+
+
+def test_record_is_before_and_file_is_after(spark):
+    rows = [_row(0, "repo_fn_7", project="/acme/demo/", path="src\\a.c ")]
+    out = RV.convert_reposvul(_records(spark, rows), _files(spark, FILE)).collect()[0]
+    assert out["reason"] is None and out["sample_id"] == "abcdef12_7"
+    assert out["func_before"] == VULNERABLE and "a } in a comment" in out["func_after"]
+    assert out["diff_length"] == len(out["diff"]) and out["diff"].startswith("--- before (vulnerable)")
+    assert set(RV.PAIR_FIELDS) <= set(out.asDict())
 
 
 def test_filters_and_fold(spark):
-    rows = [
-        (0, "fn_1", FIXED, "abcdef1234567890", "m", "acme/demo", "src/a.c", 0, 0, ["CWE-1"], ["parent1"]),
-        (1, "fn_2", FIXED, "abcdef1234567890", "m", "acme/demo", "src/a.c", 1, 1, ["CWE-1"], ["parent1"]),
-        (2, "fn_3", FIXED, "abcdef1234567890", "m", "acme/demo", "src/a.c", 1, 0, ["CWE-20"], ["parent1"]),
-        (3, "fn_3", FIXED, "abcdef1234567890", "m", "acme/demo", "src/a.c", 1, 0, ["CWE-20", "CWE-125"], ["parent1"]),
-    ]
+    rows = [_row(0, "fn_1", target=0), _row(1, "fn_2", outdated=1), _row(2, "fn_3"), _row(3, "fn_3", cwe=("CWE-20", "CWE-125"))]
     out = RV.convert_reposvul(_records(spark, rows), _files(spark, FILE))
     reasons = sorted((r["record_index"], r["reason"]) for r in out.collect())
     assert reasons == [(0, "not_target"), (1, "outdated"), (2, None), (3, "duplicate_function")]
     written = out.where(F.col("reason").isNull()).collect()[0]
     assert written["cwe"] == '["CWE-20","CWE-125"]'
     c = RV.reposvul_counts(out).collect()[0]
-    assert (c["read"], c["written"], c["duplicates"]) == (4, 1, 1)
+    assert (c["read"], c["candidates"], c["written"], c["duplicates"], c["skipped"]) == (4, 1, 1, 1, 1)
 
 
-def test_oversized_and_unchanged(spark):
+def test_oversized_unchanged_and_missing(spark):
     big = FILE.replace("/* a } in a comment */", "/* " + "x" * 140000 + " */")
-    rows = [(0, "fn_1", FIXED, "abcdef1234567890", "m", "acme/demo", "src/a.c", 1, 0, ["CWE-1"], ["parent1"])]
-    assert RV.convert_reposvul(_records(spark, rows), _files(spark, big)).collect()[0]["reason"] == "oversized_csv_field"
-    same = FILE.replace(FILE[FILE.index("size_t"):], FIXED + "\n")
-    assert RV.convert_reposvul(_records(spark, rows), _files(spark, same)).collect()[0]["reason"] == "unchanged"
+    rows = _records(spark, [_row(0, "fn_1")])
+    assert RV.convert_reposvul(rows, _files(spark, big)).collect()[0]["reason"] == "oversized_csv_field"
+    assert RV.convert_reposvul(rows, _files(spark, big), max_field_chars=200_000).collect()[0]["reason"] == "oversized_csv_field"
+    assert RV.convert_reposvul(rows, _files(spark, big), max_field_chars=400_000).collect()[0]["reason"] is None
+    same = FILE[:FILE.index("size_t")] + VULNERABLE + "\n"
+    assert RV.convert_reposvul(rows, _files(spark, same)).collect()[0]["reason"] == "unchanged"
+    assert RV.convert_reposvul(rows, _files(spark, "int other(void) { }")).collect()[0]["reason"] == "no_match"
+    assert RV.convert_reposvul(_records(spark, [_row(0, "fn_1", path="src/b.c")]), _files(spark, FILE)).collect()[0]["reason"] == "missing_file"
+
+
+def test_lines(spark):
+    good = {"function_id": "repo_fn_7", "function": VULNERABLE, "target": 1, "commit_id": "abcdef1234567890", "project": "acme/demo",
+            "file_name": "src/a.c", "cwe_id": "CWE-20", "commit_message": "m", "outdated": 0}
+    lines = spark.createDataFrame(
+        [(1, "{broken json"), (2, "[1]"), (3, ""), (4, json.dumps(good)), (5, json.dumps({**good, "target": True, "function_id": "x"}))], "line bigint, value string")
+    out = RV.convert_reposvul(RV.records_from_lines(lines), _files(spark, FILE))
+    got = {r["record_index"]: (r["reason"], r["cwe"]) for r in out.collect()}
+    assert got == {1: ("JSONDecodeError", None), 2: ("invalid_record", None), 4: (None, '["CWE-20"]'), 5: ("not_target", None)}
