@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.session import checkpoint_dir, ship_package
+from auditframe.session import checkpoint_dir, delete_path, ship_package, track
 from auditframe.sources.tables import table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,14 +22,15 @@ class Scratch:
 
     A written table is computed once, survives the loss of any executor and
     ends the lineage. ``drop`` removes a table as soon as nothing reads it any
-    more; the rest goes with ``release`` once the call's result is written.
-    Used as a context manager, it releases on leaving the block."""
+    more; the rest goes with ``release`` once the call's result is written, or
+    with the ``lineage_scope`` it was made in."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
         self.spark = spark
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        track(self.base)
 
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Write ``df`` once and return a reader of the written table."""
@@ -40,22 +41,12 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def _delete(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self._delete(t.scratch_path)
+            delete_path(self.spark, t.scratch_path)
 
     def release(self) -> None:
-        self._delete(self.base)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *exc) -> None:
-        self.release()
+        delete_path(self.spark, self.base)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -9,12 +9,14 @@ full sets are compared.
 
 Work inside a hot bucket stays linear in the first round: each member is paired
 with the bucket's smallest member only. The exact links give components; a
-bucket whose members lie in one component is finished. The second round pairs
-members of the remaining buckets across components, so no link between two
-components is lost. The first round also keeps what each member lacks of its hub
-and has beyond it; from these differences the join computes the exact overlap of
-two members, so that far members of a large family make no pair rows. Every
-link is confirmed on the full shingle sets.
+bucket whose members lie in one component is finished. The first round also keeps
+what each member lacks of its hub and has beyond it; from these differences the
+exact overlap of two members follows without their sets. So the second round
+compares the members of every open bucket with another member of it, drawn at
+random per bucket, and the families of many near copies come together. The last
+round pairs members of the buckets that are still open across components, so no
+link between two components is lost; far members of a large family make no pair
+rows there. Every link rests on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -178,6 +180,30 @@ def _overlap_enough(percent: int) -> Column:
     return F.when(unknown, F.lit(True)).otherwise(_similar(shared, F.col("p.n"), F.col("q.n"), percent))
 
 
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, component) after components (nodes of ``merged``) came together;
+    a node without a label is its own component."""
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    moved = labels.join(to, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    new = to.join(labels.select("component"), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("component"))
+    return moved.union(new)
+
+
+def _open_buckets(classes: DataFrame, labels: DataFrame, apart: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with their known
+    differences from the bucket's hub: (bucket, node, n, s0..s3, component,
+    n_hub, lacks, has)."""
+    member = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("first_id")
+    spread = member.withColumn("bucket", F.explode("bands")).drop("bands")
+    open_ = spread.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub")).where("lo != hi").select("bucket", "hub")
+    is_hub = F.col("node") == F.col("hub")
+    none = F.array().cast("array<bigint>")
+    return spread.join(open_, "bucket").join(apart, ["hub", "node"], "left").withColumns({
+        "n_hub": F.when(is_hub, F.col("n")).otherwise(F.col("n_hub")),
+        "lacks": F.when(is_hub, none).otherwise(F.col("lacks")), "has": F.when(is_hub, none).otherwise(F.col("has"))}).drop("hub")
+
+
 def near_duplicates(
     scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
     similarity_percent: int = 80, bands: int = 32, rows_per_band: int = 4,
@@ -223,17 +249,19 @@ def near_duplicates(
     scratch.drop(sets)
     first = scratch.write(connected_components(scratch, tested.where("linked")))
 
-    member = classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("first_id")
-    spread = member.withColumn("bucket", F.explode("bands")).drop("bands")
-    open_ = spread.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub")).where("lo != hi").select("bucket", "hub")
     apart = tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), "lacks", "has")
-    is_hub = F.col("node") == F.col("hub")
-    none = F.array().cast("array<bigint>")
-    rest = scratch.write(
-        spread.join(open_, "bucket").join(apart, ["hub", "node"], "left").withColumns({
-            "n_hub": F.when(is_hub, F.col("n")).otherwise(F.col("n_hub")),
-            "lacks": F.when(is_hub, none).otherwise(F.col("lacks")), "has": F.when(is_hub, none).otherwise(F.col("has"))}).drop("hub"))
+
+    rest = scratch.write(_open_buckets(classes, first, apart))
+    known = rest.where("lacks is not null")
+    drawn = known.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("q")).select("bucket", "q.node")
+    p, q = rest.alias("p"), known.join(drawn, ["bucket", "node"], "left_semi").alias("q")
+    linked = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") != F.col("q.component"))
+                    & F.col("p.lacks").isNotNull() & _near(percent, "p", "q") & _overlap_enough(percent))
+    merged = connected_components(scratch, linked.select(F.col("p.component").alias("a"), F.col("q.component").alias("b")).distinct())
+    second = scratch.write(_relabelled(first, scratch.write(merged)))
+    scratch.drop(rest)
+
+    rest = scratch.write(_open_buckets(classes, second, apart))
     p, q = rest.alias("p"), rest.alias("q")
     across = (
         p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") < F.col("q.component")) & _near(percent, "p", "q")
@@ -246,12 +274,9 @@ def near_duplicates(
     sets2 = sets_of(pairs2)
     good = _confirm(pairs2.select("a", "b"), sets2, percent).where("linked")
     links2 = pairs2.join(good, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = scratch.write(connected_components(scratch, links2)).select(
-        F.col("node").alias("component"), F.col("component").alias("merged"))
+    label = _relabelled(second, scratch.write(connected_components(scratch, links2)))
     scratch.drop(sets2)
 
-    label = first.join(second, "component", "left").select("node", F.coalesce("merged", "component").alias("component")).union(
-        second.join(first.select("component"), "component", "left_anti").select(F.col("component").alias("node"), F.col("merged").alias("component")))
     class_label = classes.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = scratch.write(class_label.groupBy("component").agg(F.min("first_id").alias("component_id")))
     of_node = scratch.write(class_label.join(least, "component").select("node", "component_id"))
