@@ -1,4 +1,4 @@
-"""Whole-text encoding with public tokenizers, one library call per distinct piece.
+"""Whole-text encoding with public tokenizers, each distinct piece encoded once.
 
 A text is cut only where the tokenizer's own pre-tokenisation always cuts:
 before the space that joins two runs of non-white characters and around runs of
@@ -13,7 +13,7 @@ import base64
 import functools
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -23,32 +23,80 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: a last single space to the run that follows it).
 SPACED_RUNS = re.compile(f"[ ]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 BARE_RUNS = re.compile(f"[^{WHITE}]+")
-#: Pieces kept per worker, and the longest one that is kept.
-CACHE_PIECES = 300_000
+#: Pieces kept per worker (in each of two generations), and the longest one kept.
+CACHE_PIECES = 250_000
 CACHE_CHARS = 48
+#: Texts are looked up together up to so many characters; pieces new to the
+#: worker are encoded by one library call of lines of so many pieces.
+GROUP_CHARS = 1 << 20
+LINE_PIECES = 256
+_MARK = "\x01"
 
 
 class PieceEncoder:
-    """``ids(text)``: the token ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, pieces: re.Pattern, encode: Callable[[list[str]], list[list[int]]]):
-        self._find, self._encode, self._seen = pieces.findall, encode, {}
-
-    def ids(self, text: str | None) -> bytes:
-        pieces = self._find(text or "")
-        seen = self._seen
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            pass
-        missing = [p for p in dict.fromkeys(pieces) if p not in seen]
-        new = {p: np.array(ids, "<u4").tobytes() for p, ids in zip(missing, self._encode(missing), strict=True)}
-        out = b"".join([seen[p] if p in seen else new[p] for p in pieces])
-        if len(seen) + len(new) > CACHE_PIECES:
-            seen.clear()
-        seen.update((p, x) for p, x in new.items() if len(p) <= CACHE_CHARS)
+    """``ids(texts)``: per text its token ids as little-endian unsigned 32-bit bytes.
+
+    New pieces are encoded as lines, a mark between each two of them: ``gap``
+    holds the mark between characters at which the tokenizer always cuts, so
+    the mark's id tells the pieces' ids apart. Pieces that hold the mark or are
+    white are encoded alone. Of the pieces seen, those of the current and the
+    previous generation are kept, so frequent ones stay."""
+
+    def __init__(self, pieces: re.Pattern, encode: Callable[[list[str]], list[list[int]]], gap: str):
+        self._find, self._encode, self._gap = pieces.findall, encode, gap
+        (around,) = encode([gap])
+        (self._mark,) = encode([_MARK])[0]
+        self._left = around.index(self._mark)
+        self._right = len(around) - self._left - 1
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        alone = [p for p in pieces if _MARK in p or p.isspace()]
+        joined = [p for p in pieces if not (_MARK in p or p.isspace())] if alone else pieces
+        out = {p: np.array(ids, "<u4").tobytes() for p, ids in zip(alone, self._encode(alone) if alone else [], strict=True)}
+        groups = [joined[i:i + LINE_PIECES] for i in range(0, len(joined), LINE_PIECES)]
+        for group, line in zip(groups, self._encode([self._gap.join(g) for g in groups]) if groups else [], strict=True):
+            ids = np.array(line, "<u4")
+            marks = 4 * np.flatnonzero(ids == self._mark)
+            if len(marks) != len(group) - 1:
+                raise ValueError("the mark does not tell the pieces apart")
+            raw = ids.tobytes()
+            begins = [0, *(marks + 4 * (self._right + 1)).tolist()]
+            ends = [*(marks - 4 * self._left).tolist(), len(raw)]
+            out.update((p, raw[a:b]) for p, a, b in zip(group, begins, ends, strict=True))
         return out
 
+    def _lookup(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of all ``pieces``; keeps them as seen."""
+        new, old = self._new, self._old
+        missing = pieces.difference(new)
+        found = {p: old[p] for p in missing if p in old}
+        found.update(self._encoded([p for p in missing if p not in found]))
+        long = {p: x for p, x in found.items() if len(p) > CACHE_CHARS}
+        if len(new) + len(found) > CACHE_PIECES:
+            here = {p: new[p] for p in pieces if p in new}
+            self._old, self._new = new, {}
+            found.update(here)
+        self._new.update((p, x) for p, x in found.items() if p not in long)
+        return {**self._new, **long} if long else self._new
+
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        group, size = [], 0
+        for text in texts:
+            group.append(self._find(text or ""))
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield from self._joined(group)
+                group, size = [], 0
+        yield from self._joined(group)
+
+    def _joined(self, group: list[list[str]]) -> Iterator[bytes]:
+        if group:
+            ids = self._lookup(set().union(*group)).__getitem__
+            for pieces in group:
+                yield b"".join(map(ids, pieces))
+
 
 def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,19 +104,19 @@ def _library(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @functools.cache
 def byte_level_encoder(path: str) -> PieceEncoder:
     """For a byte-level BPE file of the tokenizers library without prefix space."""
-    return PieceEncoder(SPACED_RUNS, _library(path))
+    return PieceEncoder(SPACED_RUNS, _library(path), f"\n{_MARK}\n")
 
 
 @functools.cache
 def word_end_encoder(path: str) -> PieceEncoder:
     """For a BPE file with word ends whose pre-tokenisation drops white space."""
-    return PieceEncoder(BARE_RUNS, _library(path))
+    return PieceEncoder(BARE_RUNS, _library(path), f" {_MARK} ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,12 +125,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def rank_encoder(path: str, pattern: str) -> PieceEncoder:
-    """For a rank file of the tiktoken library."""
+def rank_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    """For a rank file of the tiktoken library: text -> ids as bytes. Its own
+    pre-tokeniser and merges are fast enough for whole texts."""
     import tiktoken
 
     e = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return PieceEncoder(SPACED_RUNS, lambda texts: [e.encode_ordinary(t) for t in texts])
+    return lambda text: e.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @functools.cache

@@ -82,12 +82,12 @@ def _short_and_chunks(docs: DataFrame, path: str, pattern: str, size: int, overl
               ("chunk", pa.int32()), ("begin", pa.int64()), ("is_end", pa.bool_()), ("text", pa.string())]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encoder, rows = rank_encoder(path, pattern), []
+        encode, rows = rank_encoder(path, pattern), []
         for key, i, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             text = text or ""
             if len(text) <= size + overlap:
                 d = _Digests()
-                d.add(encoder.ids(text), path)
+                d.add(encode(text), path)
                 rows.append((key, i, *d.row(), None, None, None, None))
             else:
                 starts = range(0, len(text) - overlap, size)
@@ -133,13 +133,13 @@ def _encoded_pieces(chunks: DataFrame, cuts: DataFrame, path: str, pattern: str,
     schema = [("row", pa.string()), ("id", pa.int64()), ("piece", pa.int32()), ("ids", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, key, parts = rank_encoder(path, pattern), None, []
+        encode, key, parts = rank_encoder(path, pattern), None, []
         for batch in batches:
             rows = []
             for row, i, piece, begin, is_end, cut, next_cut, text in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if (row, i, piece) != key:
                     if parts:
-                        rows.append((*key, encoder.ids("".join(parts))))
+                        rows.append((*key, encode("".join(parts))))
                     key, parts = (row, i, piece), []
                 # up to the next chunk's cut; where it has none, up to its begin
                 stop = len(text) if is_end else size if next_cut is None else next_cut - begin
@@ -147,7 +147,7 @@ def _encoded_pieces(chunks: DataFrame, cuts: DataFrame, path: str, pattern: str,
             if rows:
                 yield _batch(rows, schema)
         if parts:
-            yield _batch([(*key, encoder.ids("".join(parts)))], schema)
+            yield _batch([(*key, encode("".join(parts)))], schema)
 
     placed = chunks.select("row", "id", "chunk", "begin", "is_end", "text").join(
         cuts.withColumnsRenamed({"row": "_row", "id": "_id", "chunk": "_chunk"}),

@@ -160,8 +160,9 @@ def write_segments(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "segment", "start", "n_ids", "blob"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py()) + end
+            texts = (text.as_py() for text in batch.column(1))
+            for i, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
+                ids += end
                 held.append((i, ids))
                 size += len(ids) // 4
                 if size >= segment_ids:

@@ -33,10 +33,10 @@ def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacit
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encoder = byte_level_encoder(path)
+        texts = (text.as_py() for text in batch.column(1))
         row, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(batch.column(1)):
-            ids = encoder.ids(text.as_py()) + end
+        for i, ids in enumerate(byte_level_encoder(path).ids(texts)):
+            ids += end
             n = len(ids) // 4
             cuts = [0, *range(n % capacity or capacity, n, capacity), n]
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -36,11 +36,25 @@ def test_pieces_equal_the_library(path, encoder):
     @settings(max_examples=400, deadline=None)
     @given(ODD)
     def check(text):
-        assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(next(e.ids([text])), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
     check()
 
 
+@pytest.mark.parametrize("path, pieces, gap", [(WORDS, bpe.BARE_RUNS, " \x01 "), (BYTES, bpe.SPACED_RUNS, "\n\x01\n")])
+def test_small_cache(monkeypatch, path, pieces, gap):
+    """Generations turn over within and between groups of texts."""
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 40)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 6)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 300)
+    monkeypatch.setattr(bpe, "LINE_PIECES", 5)
+    rng = np.random.default_rng(8)
+    alphabet = list("abcdé \n\x01.")
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 120))) for _ in range(120)] + [None, ""]
+    t, e = library(path), bpe.PieceEncoder(pieces, bpe._library(path), gap)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 
@@ -51,7 +65,7 @@ def test_ranks_equal_the_library():
     @settings(max_examples=400, deadline=None)
     @given(ODD)
     def check(text):
-        assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode_ordinary(text)
+        assert np.frombuffer(e(text), "<u4").tolist() == t.encode_ordinary(text)
 
     check()
 
