@@ -90,15 +90,18 @@ def _megavul_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_queries() -> dict[str, Query]:
     return {
-        "d1_paired_conversion": lambda s, d: _converted(s, d).where(F.col("reason").isNull()).select(
-            "dataset", "row", "sample_id", "commit_id", "commit_short", "project", "commit_msg", "cwe", "pair_key"
+        # the diff texts of D1 and D5 are difflib's (unit tests); the rest is compared by SQL
+        "d1_paired_conversion": lambda s, d: P.attach_bodies(
+            _converted(s, d).where(F.col("reason").isNull()), pair_rows(s, d)).select(
+            "dataset", "row", "sample_id", "commit_id", "commit_short", "project", "func_before", "func_after",
+            "commit_msg", "cwe", "commit_msg_anonymized", "pair_key"
         ),
         "s14_paired_rejects": lambda s, d: _converted(s, d).where(F.col("reason").isNotNull()).select(
             "dataset", "row", "reason"
         ),
         "a10_conversion_counts": lambda s, d: P.conversion_counts(_converted(s, d)),
-        "d5_deduplicated": lambda s, d: _deduped(s, d).where("emit").select(
-            "dataset", "sample_id", "pair_key",
+        "d5_deduplicated": lambda s, d: P.attach_bodies(_deduped(s, d).where("emit"), pair_rows(s, d)).select(
+            "dataset", "sample_id", "pair_key", "func_before", "func_after",
             F.col("m_commit_id").alias("commit_id"), F.col("m_commit_short").alias("commit_short"),
             F.col("m_project").alias("project"), F.col("m_commit_msg").alias("commit_msg"),
             F.col("m_cwe").alias("cwe"),

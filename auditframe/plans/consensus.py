@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions import score as S
 from auditframe.operators.ordinals import with_ordinal
+from auditframe.session import cut_lineage
 
 HIGH = "0.75"
 LOW = "0.25"
@@ -60,29 +61,19 @@ def consensus(
     lo = F.lit(LOW).cast("decimal(3,2)")
     rows = model_scores(scored, models)
     fields = [
-        F.col("_sim").alias("_s"),
         F.col("source_file").alias("source_file"),
         S.decimal_text(F.round(F.col("_sim"), 6)).alias("similarity"),
         *[F.col(col).alias(col.removeprefix("phase_c_")) for col in S.SCORE_COLUMNS],
         F.col("phase_c_overall_consistency").alias("overall_consistency"),
         F.col("phase_c_comment").alias("comment"),
     ]
-    # J6 as one pivot: one row per sample with every model's fields; the
-    # intersection is "all models present" -- no chain of joins
-    per_sample = rows.groupBy("sample_id").agg(
-        *[F.max(F.when(F.col("model") == m, F.struct(*fields))).alias(f"_m_{m}") for m in models]
-    )
-    for m in models:
-        per_sample = per_sample.where(F.col(f"_m_{m}").isNotNull())
-    base = samples.select("sample_id", "commit_id", "project", "cwe").join(per_sample, "sample_id", "inner")
-    flat = []
+    # J6 as one pivot of the scores alone: one row per sample, the intersection is
+    # "all models present" -- no chain of joins. Written once, read by both groups;
+    # the texts are joined for the selected samples only.
+    scores = rows.groupBy("sample_id").agg(*[F.max(F.when(F.col("model") == m, F.col("_sim"))).alias(f"_s_{m}") for m in models])
     for m in models:
-        st = F.col(f"_m_{m}")
-        flat.append(st["_s"].alias(f"_s_{m}"))
-        for name in ("source_file", "similarity", "variable_match_score", "step_position_score",
-                     "dataflow_path_score", "overall_consistency", "comment"):
-            flat.append(st[name].alias(f"{m}_{name}"))
-    wide = base.select("sample_id", "commit_id", "project", "cwe", *flat)
+        scores = scores.where(F.col(f"_s_{m}").isNotNull())
+    wide = cut_lineage(samples.select("sample_id").join(scores, "sample_id"))
     sa, sb, sc = (F.col(f"_s_{m}") for m in models)
     idx = S.sample_suffix(F.col("sample_id"))
 
@@ -107,8 +98,13 @@ def consensus(
             expected_total is not None and n_total != expected_total
         ):
             raise RuntimeError(f"unexpected candidate counts: high={n_high}, selected={n_total}")
-    lead = ["selection_group", "selection_rank", f"{c}_same_direction"]
-    rest = [x for x in out.columns if x not in lead and not x.startswith("_s_")]
-    return out.select(*lead, idx.alias("sample_numeric_index"), *[x for x in rest]).orderBy(
-        F.when(F.col("selection_group") == "high", 0).otherwise(1), "selection_rank"
-    )
+    chosen = cut_lineage(out)
+    texts = rows.join(chosen.select("sample_id"), "sample_id", "left_semi").groupBy("sample_id").agg(
+        *[F.max(F.when(F.col("model") == m, F.struct(*fields))).alias(f"_m_{m}") for m in models])
+    named = ("source_file", "similarity", "variable_match_score", "step_position_score", "dataflow_path_score", "overall_consistency", "comment")
+    shown = [F.col(f"_m_{m}")[name].alias(f"{m}_{name}") for m in models for name in named]
+    full = chosen.join(samples.select("sample_id", "commit_id", "project", "cwe"), "sample_id").join(texts, "sample_id")
+    return full.select(
+        "selection_group", "selection_rank", f"{c}_same_direction", idx.alias("sample_numeric_index"),
+        "sample_id", "commit_id", "project", "cwe", *shown,
+    ).orderBy(F.when(F.col("selection_group") == "high", 0).otherwise(1), "selection_rank")

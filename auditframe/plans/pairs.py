@@ -46,22 +46,24 @@ def source_fields(df: DataFrame) -> DataFrame:
     )
 
 
+def bodies(rows: DataFrame) -> DataFrame:
+    """(dataset, doc_id, func_before, func_after): the cleaned function texts."""
+    return rows.select("dataset", "doc_id", T.clean("func_before").alias("func_before"), T.clean("func_after").alias("func_after"))
+
+
 def convert_paired(rows: DataFrame) -> DataFrame:
     """D1 for every dataset at once (partitioned by ``dataset``).
 
     F4 (missing / unchanged), U1 (first pair wins inside a dataset), P3..P7.
-    Returns all input rows with ``row`` (1-based per dataset) and ``reason``.
+    Returns all input rows with ``row`` (1-based per dataset) and ``reason``,
+    without the function texts: only their key travels through the numbering
+    and the winner rule; ``attach_bodies`` joins the texts to the rows wanted.
     """
-    df = with_group_ordinal(rows, ["dataset"], ["doc_id"], "row")
-    df = source_fields(df).withColumns(
-        {"_before": T.clean("func_before"), "_after": T.clean("func_after")}
-    )
-    df = df.withColumn("pair_key", F.sha2(F.concat("_before", F.lit("\u0000"), "_after"), 256))
-    pre = (
-        F.when((F.col("_before") == "") | (F.col("_after") == ""), F.lit("missing_function"))
-        .when(F.col("_before") == F.col("_after"), F.lit("unchanged_pair"))
-    )
-    df = df.withColumn("_pre", pre)
+    before, after = T.clean("func_before"), T.clean("func_after")
+    pre = F.when((before == "") | (after == ""), F.lit("missing_function")).when(before == after, F.lit("unchanged_pair"))
+    narrow = source_fields(rows.withColumns({"pair_key": T.pair_key(F.col("func_before"), F.col("func_after")), "_pre": pre})).select(
+        "dataset", "dataset_ord", "doc_id", "pair_key", "_pre", "_url", "_msg", "_explicit_project", "_raw_cwe")
+    df = with_group_ordinal(narrow, ["dataset"], ["doc_id"], "row")
     firsts = df.where(F.col("_pre").isNull()).groupBy("dataset", "pair_key").agg(F.min("row").alias("_first"))
     # rows with a reason need no winner: a null key keeps blank pairs from meeting in one task
     df = df.withColumn("_key", F.when(F.col("_pre").isNull(), F.col("pair_key")))
@@ -79,20 +81,37 @@ def convert_paired(rows: DataFrame) -> DataFrame:
         F.left("commit_id", F.lit(8)).alias("commit_short"),
         F.when(F.col("_explicit_project") != "", F.col("_explicit_project"))
         .otherwise(T.project_from_url(F.col("_url"))).alias("project"),
-        F.col("_before").alias("func_before"),
-        F.col("_after").alias("func_after"),
         F.col("_msg").alias("commit_msg"),
         T.cwe_json(T.cwe_values(F.col("_raw_cwe"))).alias("cwe"),
         F.lit("").alias("commit_msg_anonymized"),
     )
 
 
+def attach_bodies(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The chosen pairs with their function texts, joined once by (dataset, doc_id)."""
+    return pairs.join(bodies(rows), ["dataset", "doc_id"])
+
+
 def with_diff(pairs: DataFrame) -> DataFrame:
     """P8 on written rows only: the Python diff runs after every filter."""
     d = pairs.withColumn("diff", unified_diff(F.col("func_before"), F.col("func_after")))
     return d.withColumn("diff_length", F.length("diff"))
 
 
+def pair_table(rows: DataFrame) -> DataFrame:
+    """D1 output: dataset and the 11 pair columns of every written pair."""
+    written = convert_paired(rows).where(F.col("reason").isNull())
+    return with_diff(attach_bodies(written, rows)).select("dataset", *PAIR_COLUMNS)
+
+
+def dedup_table(rows: DataFrame) -> DataFrame:
+    """D5 output: the owners' rows with merged metadata and recomputed diff."""
+    owners = deduplicate(convert_paired(rows).where(F.col("reason").isNull())).where("emit")
+    for c in ("commit_id", "commit_short", "project", "commit_msg", "cwe"):
+        owners = owners.withColumn(c, F.col(f"m_{c}"))
+    return with_diff(attach_bodies(owners, rows)).select("dataset", *PAIR_COLUMNS)
+
+
 def conversion_counts(converted: DataFrame) -> DataFrame:
     """A10: read / written / invalid / unchanged / duplicates per dataset;
     read = written + invalid + unchanged + duplicates."""
@@ -205,7 +224,8 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     next rank in the same segment, found by an equi-join on a unique key.
     """
     bad = F.col("invalid_line").cast("int")
-    run = with_running_sums(records, ["source", "line"], {"bad_run": bad})
+    # function texts do not travel through the numbering; they are joined to the pairs
+    run = with_running_sums(records.drop("func"), ["source", "line"], {"bad_run": bad})
     # valid lines up to and including this one (global), for valid rows
     run = run.withColumn("valid_run", F.col("ordinal") - F.col("bad_run"))
     per_source = run.groupBy("source").agg(
@@ -216,7 +236,7 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     valid = lines.where(~F.col("invalid_line"))
     seg_start = valid.groupBy("source", "_seg").agg(F.min("valid_run").alias("_v0"))
     valid = valid.join(seg_start, ["source", "_seg"]).withColumn("_rn", F.col("valid_run") - F.col("_v0") + 1)
-    fields = [c for c in records.columns if c not in ("source", "invalid_line")]
+    fields = [c for c in records.columns if c not in ("source", "invalid_line", "func")]
     firsts = valid.where(F.col("_rn") % 2 == 1).select("source", "_seg", "_rn", "_last_seg",
                                                         F.struct(*fields).alias("_b"))
     seconds = valid.where(F.col("_rn") % 2 == 0).select(
@@ -224,10 +244,12 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     matched = firsts.join(seconds, ["source", "_seg", "_rn"], "left")
     pairs = matched.where(F.col("_next").isNotNull()).withColumn("line", F.col("_b")["line"])
     tail = matched.where(F.col("_next").isNull() & (F.col("_seg") == F.col("_last_seg")))
-    pairs = with_ordinal(pairs, ["source", "line"], "read_pairs")
+    pairs = with_ordinal(pairs, ["source", "line"], "read_pairs").withColumn("_line2", F.col("_next")["line"])
+    text = records.select("source", "line", T.clean("func").alias("_before"))
+    pairs = pairs.join(text, ["source", "line"]).join(
+        text.withColumnsRenamed({"line": "_line2", "_before": "_after"}), ["source", "_line2"])
     b, a = F.col("_b"), F.col("_next")
-    before = T.clean(b["func"])
-    after = T.clean(a["func"])
+    before, after = F.col("_before"), F.col("_after")
     reason = (
         # null-safe: a missing target is out of order, a missing id differs from a present one
         F.when(~b["target"].eqNullSafe(F.lit(1)) | ~a["target"].eqNullSafe(F.lit(0)), F.lit("invalid_target_order"))

@@ -87,3 +87,50 @@ def test_megavul_each_limit(spark):
                            max_function_lines=2)
     c = P.megavul_counts(out).collect()[0]
     assert (c["written"], c["filtered"]) == (0, 4)
+
+
+def test_pair_tables_with_diff(spark):
+    rows = pair_df(spark, [
+        (1, 0, "titanvul", "int f(){\n return 1;\n}", "int f(){\n return 2;\n}", URL, "fix", "", "CWE-020"),
+        (2, 1, "benchvul", " int f(){\n return 1;\n} ", "int f(){\n return 2;\n}", "", "later", "acme/x", "CWE-79"),
+        (3, 1, "benchvul", "a", "b", "", "", "", "plain text CWE-7, CWE-007"),
+    ])
+    table = P.pair_table(rows)
+    assert table.columns == ["dataset", *P.PAIR_COLUMNS]
+    got = {r["sample_id"]: r for r in table.collect()}
+    assert got["abcdef12_1"]["diff"] == (
+        "--- before (vulnerable)\n+++ after (fixed)\n@@ -1,3 +1,3 @@\n int f(){\n- return 1;\n+ return 2;\n }")
+    assert all(r["diff_length"] == len(r["diff"]) for r in got.values())
+    merged = {r["sample_id"]: r for r in P.dedup_table(rows).collect()}
+    assert set(merged) == {"abcdef12_1", "benchvul_2"}
+    assert merged["abcdef12_1"]["cwe"] == '["CWE-20","CWE-79"]' and merged["abcdef12_1"]["commit_msg"] == "fix"
+    assert merged["benchvul_2"]["cwe"] == '["CWE-7"]' and merged["benchvul_2"]["diff_length"] > 0
+
+
+def test_missing_metadata_is_a_mismatch(spark):
+    schema = ("source bigint, line bigint, invalid_line boolean, target int, func string, commit_id string, "
+              "cve string, project string, commit_message string, cwe string")
+    rows = [(0, 1, False, 1, "bad()", None, "CVE-1", "p", "m", "CWE-1"), (0, 2, False, 0, "good()", "c2", "CVE-1", "p", "m", "CWE-1"),
+            (0, 3, False, None, "bad()", "c", "CVE-2", "p", "m", "CWE-1"), (0, 4, False, 0, "good()", "c", "CVE-2", "p", "m", "CWE-1")]
+    out = P.pair_adjacent(spark.createDataFrame(rows, schema)).orderBy("read_pairs").collect()
+    assert [r["reason"] for r in out] == ["metadata_mismatch", "invalid_target_order"]
+
+
+def test_lines_to_pairs(spark):
+    lines = [(0, 1, '{"target": 1, "func": "a", "commit_id": "abcdef1", "cve": "x", "cwe": ["CWE-1", "CWE-2"]}'),
+             (0, 2, '{"target": 0, "func": "b", "commit_id": "abcdef1", "cve": "x"}'), (0, 3, "{oops"), (0, 4, ""), (0, 5, "[]"),
+             (0, 6, '{"target": 1, "func": "a"}')]
+    records = P.parse_turn_lines(spark.createDataFrame(lines, "source bigint, line bigint, value string"))
+    assert sorted((r["line"], r["reason"]) for r in P.line_rejects(records).collect()) == [(3, "invalid_json"), (5, "invalid_record")]
+    pairs = P.pair_adjacent(records.drop("line_reason"))
+    assert [(r["first_line"], r["reason"], r["cwe"]) for r in pairs.orderBy("first_line").collect()] == [
+        (1, None, '["CWE-1","CWE-2"]'), (6, "unpaired_final_record", None)]
+    c = P.adjacent_counts(pairs, records).first()
+    assert (c["read"], c["written"], c["invalid"], c["skipped_lines"]) == (1, 1, 1, 2)
+
+
+def test_bodies_stay_out_of_numbering(spark):
+    from auditframe.plans.views import pair_rows
+
+    plan = P.convert_paired(pair_rows(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "func_before" not in plan and "func_after" not in plan

@@ -21,7 +21,7 @@ def test_no_python_in_sql_checked_plans(spark, name):
 def test_scan_pruning(spark):
     from auditframe.plans.views import scored_results
 
-    plan = scored_results(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    plan = scored_results(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_returnflag" not in plan
 
 

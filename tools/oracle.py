@@ -645,7 +645,8 @@ lg AS (
 def pair_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["d1_paired_conversion"] = f"""WITH {CONVERTED}
-SELECT dataset, row, sample_id, commit_id, commit_short, project, commit_msg, cwe, pair_key FROM cw WHERE reason IS NULL"""
+SELECT dataset, row, sample_id, commit_id, commit_short, project, func_before, func_after, commit_msg, cwe,
+  '' AS commit_msg_anonymized, pair_key FROM cw WHERE reason IS NULL"""
     q["s14_paired_rejects"] = f"WITH {CONVERTED}\nSELECT dataset, row, reason FROM cw WHERE reason IS NOT NULL"
     q["a10_conversion_counts"] = f"""WITH {CONVERTED}
 SELECT dataset, count(*) AS read, count(*) FILTER (WHERE reason IS NULL) AS written,
@@ -654,7 +655,7 @@ SELECT dataset, count(*) AS read, count(*) FILTER (WHERE reason IS NULL) AS writ
   count(*) FILTER (WHERE reason = 'duplicate_pair') AS duplicates
 FROM cw GROUP BY dataset"""
     q["d5_deduplicated"] = f"""WITH {DEDUP}
-SELECT dd.dataset, dd.sample_id, dd.pair_key, m_commit_id AS commit_id, m_commit_short AS commit_short,
+SELECT dd.dataset, dd.sample_id, dd.pair_key, dd.func_before, dd.func_after, m_commit_id AS commit_id, m_commit_short AS commit_short,
   m_project AS project, m_commit_msg AS commit_msg, m_cwe AS cwe
 FROM dd JOIN meta2 USING (pair_key) WHERE k_in_ds = 1 AND dataset_ord = owner_ord"""
     q["a13_dedup_counts"] = f"""WITH {DEDUP}
