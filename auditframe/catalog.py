@@ -39,8 +39,8 @@ def score_queries() -> dict[str, Query]:
         "u4_model_results": _on_scored(R.valid_results),
         "f12_excluded_rows": _on_scored(R.excluded_rows),
         "j2_common_all_models": _on_scored(R.common_rows),
-        "a3_band_distribution": _on_scored(R.band_distribution_final3),
-        "a4_bin_distribution": _on_scored(R.bin_distribution_final3),
+        "a3_band_distribution": _on_scored(R.similarity_band_distribution),
+        "a4_bin_distribution": _on_scored(R.similarity_bin_distribution),
         "a5_model_agreement": _on_scored(R.agreement, basis="similarity"),
         "a6_band_combinations": _on_scored(R.band_combinations, basis="similarity"),
         "d9_cds_band_distribution": _on_scored(R.cds_band_distribution),
@@ -178,6 +178,34 @@ def reposvul_queries() -> dict[str, Query]:
     return {"d4_reposvul_conversion": d4, "a10_reposvul_counts": counts, "a12_function_fold": a12}
 
 
+def key_queries() -> dict[str, Query]:
+    from auditframe.operators import keys as K
+    from auditframe.plans.run import normalized_samples
+    from auditframe.sources.tables import table
+
+    def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Every order's sample, asked for newest key first."""
+        asked = table(spark, sf_dir, "orders").select(
+            F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("sample_id"), (-F.col("o_orderkey")).alias("request_order"))
+        return K.lookup_in_order(sample_rows(spark, sf_dir), asked).select("sample_id", "request_order", "commit_id", "project")
+
+    def absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Samples named by model calls that are not in the input."""
+        return K.missing_ids(attempt_rows(spark, sf_dir), sample_rows(spark, sf_dir))
+
+    def united(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """U8: tables with different columns under one header."""
+        frames = [table(spark, sf_dir, t).select(*c) for t, c in (
+            ("customer", ("c_custkey", "c_name")), ("supplier", ("s_suppkey", "s_name")), ("nation", ("n_nationkey", "n_name")))]
+        return K.union_all_columns(frames, ("note",))
+
+    return {
+        "j1_lookup_in_order": lookup, "j9_missing_ids": absent, "u8_union_columns": united,
+        "u7_repeated_ids": lambda s, d: K.repeated_ids(attempt_rows(s, d)),
+        "p28_sample_defaults": lambda s, d: normalized_samples(sample_rows(s, d)),
+    }
+
+
 def source_queries() -> dict[str, Query]:
     from auditframe.sources.files import csv_cells
     from auditframe.sources.tables import table
@@ -218,5 +246,6 @@ def all_queries() -> dict[str, Query]:
     out.update(pair_queries())
     out.update(inference_queries())
     out.update(reposvul_queries())
+    out.update(key_queries())
     out.update(source_queries())
     return out

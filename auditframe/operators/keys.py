@@ -30,9 +30,14 @@ def missing_ids(expected: DataFrame, present: DataFrame, key: str = "sample_id")
     return expected.select(key).distinct().join(present.select(key), key, "left_anti")
 
 
+def repeated_ids(df: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, copies) of the ids that occur more than once."""
+    return df.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
 def require_unique(df: DataFrame, key: str = "sample_id") -> None:
     """Any repeated id is an error (one aggregate, a handful of ids back)."""
-    dup = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key).take(5)
+    dup = repeated_ids(df, key).select(key).take(5)
     if dup:
         raise ValueError(f"duplicate {key}: {[r[key] for r in dup]}")
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from auditframe.functions import text as T
 from auditframe.functions import variant as V
 from auditframe.functions.jsonfix import decode_model_json
+from auditframe.operators.keys import require_unique
 from auditframe.operators.ordinals import with_group_ordinal, with_ordinal
 
 MAX_ATTEMPTS = 3
@@ -113,6 +114,16 @@ def upsert(existing: DataFrame, updates: DataFrame, key: str = "sample_id") -> D
     return kept.unionByName(replaced).unionByName(new)
 
 
+def checked_upsert(existing: DataFrame, updates: DataFrame, key: str = "sample_id") -> DataFrame:
+    """S8 with the checks of the stored table: another header or a repeated id
+    in it is an error."""
+    have, want = set(existing.columns) - {"position"}, set(updates.columns) - {"version"}
+    if have != want:
+        raise ValueError(f"the result table has other columns: {sorted(have ^ want)}")
+    require_unique(existing, key)
+    return upsert(existing, updates, key)
+
+
 def call_model(prompts: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
                schema: str) -> DataFrame:
     """Run a user-supplied batch model over rendered prompts.

@@ -99,7 +99,7 @@ def score_histogram(df: DataFrame, which: str = "cds", models: Sequence[str] = M
     return stats.bin_histogram(s, ["model"], {"model": list(models)}, value, label, total_name="total")
 
 
-# ---------------------------------------------------------------- D7 final3
+# ---------------------------------------------------------------- D7 similarity reports
 def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS) -> DataFrame:
     """U4 + F12: every source row with its ordered reasons; the first valid row
     per (model, sample_id) in (file, row) order wins, later rows of that id get
@@ -207,14 +207,14 @@ def _scoped_valid(df: DataFrame, models: Sequence[str]) -> DataFrame:
     return v.withColumn("scope", F.explode(scopes))
 
 
-def band_distribution_final3(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """A3 (final3): band of the *unrounded* similarity per scope and model."""
+def similarity_band_distribution(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+    """A3: band of the *unrounded* similarity per scope and model."""
     sv = _scoped_valid(df, models)
     return stats.band_distribution(sv, ["scope", "model"], {"scope": list(SCOPES), "model": list(models)}, "score_band")
 
 
-def bin_distribution_final3(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """A4 (final3): 0.1 bins of the rounded similarity per scope and model."""
+def similarity_bin_distribution(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
+    """A4: 0.1 bins of the rounded similarity per scope and model."""
     sv = _scoped_valid(df, models)
     return stats.bin_histogram(
         sv, ["scope", "model"], {"scope": list(SCOPES), "model": list(models)}, F.col("_sim"), "similarity_range"
@@ -312,7 +312,7 @@ def difference_distribution(
     """A7 + W2: histogram of |a - b| per model pair with running totals.
 
     basis="similarity" is the score-difference table (out-of-range bins kept
-    when present); basis="cds" is final4's table (bins 0..9 only)."""
+    when present); basis="cds" keeps bins 0..9 only."""
     long = _difference_long(df, models, basis)
     comps = [f"{a}_vs_{b}" for a, b in itertools.combinations(models, 2)]
     label = "difference_range" if basis == "similarity" else "absolute_cds_difference_range"
@@ -336,16 +336,16 @@ def difference_summary(df: DataFrame, models: Sequence[str] = MODELS, basis: str
     )
 
 
-# ---------------------------------------------------------------- D9 final4
+# ---------------------------------------------------------------- D9 CDS reports
 def cds_band_distribution(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """A3 (final4): CDS bands per scope and model."""
+    """A3: CDS bands per scope and model."""
     sv = _scoped_valid(df, models).withColumn("_cds", S.cds(F.col("_sim")))
     sv = sv.withColumn("cds_band", S.band(F.col("_cds")))
     return stats.band_distribution(sv, ["scope", "model"], {"scope": list(SCOPES), "model": list(models)}, "cds_band")
 
 
 def cds_bin_distribution(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """A4 (final4): 0.1 bins of the CDS per scope and model."""
+    """A4: 0.1 bins of the CDS per scope and model."""
     sv = _scoped_valid(df, models).withColumn("_cds", S.cds(F.col("_sim")))
     return stats.bin_histogram(
         sv, ["scope", "model"], {"scope": list(SCOPES), "model": list(models)}, F.col("_cds"), "cds_range"
@@ -549,8 +549,8 @@ def report_tables(df: DataFrame, models: Sequence[str] = MODELS) -> dict[str, Da
         "results": valid_results(df),
         "excluded_errors": excluded_rows(df, models),
         "common_all_models": common_rows(df, models),
-        "distribution_3_bands": band_distribution_final3(df, models),
-        "distribution_0.1_bins": bin_distribution_final3(df, models),
+        "distribution_3_bands": similarity_band_distribution(df, models),
+        "distribution_0.1_bins": similarity_bin_distribution(df, models),
         "model_agreement": agreement(df, models, "similarity"),
         "model_agreement_combinations": band_combinations(df, models, "similarity"),
         "score_difference_distribution": difference_distribution(df, models, "similarity", True),

@@ -24,3 +24,17 @@ def test_missing_unique_union(spark):
     u = K.union_all_columns([x, y], extra=("similarity",))
     assert u.columns == ["id", "p", "q", "similarity"]
     assert sorted(tuple(r) for r in u.collect()) == [("1", "p", "", ""), ("2", "", "q", "")]
+
+
+def test_checked_upsert(spark):
+    import pytest
+
+    from auditframe.plans.inference import checked_upsert
+
+    old = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "sample_id string, comment string, position bigint")
+    new = spark.createDataFrame([("b", "z", 1)], "sample_id string, comment string, version bigint")
+    assert sorted(tuple(r) for r in checked_upsert(old, new).collect()) == [("a", "x", 1), ("b", "z", 2)]
+    with pytest.raises(ValueError, match="duplicate"):
+        checked_upsert(old.union(old), new)
+    with pytest.raises(ValueError, match="other columns"):
+        checked_upsert(old, new.withColumnRenamed("comment", "text"))

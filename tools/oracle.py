@@ -853,6 +853,34 @@ SELECT count(*) AS read, count(*) FILTER (WHERE folded) AS candidates, count(*)
 
 
 
+def key_oracles() -> dict[str, str]:
+    sample = """s AS (
+  SELECT o_orderkey AS k, 'o_' || CAST(o_orderkey AS VARCHAR) AS sample_id, md5(CAST(o_orderkey AS VARCHAR)) AS commit_id, c_name AS project,
+    'CWE-' || CAST(c_nationkey + 100 AS VARCHAR) AS cwe, o_orderpriority AS pri, c_mktsegment AS seg
+  FROM orders JOIN customer ON o_custkey = c_custkey
+)"""
+
+    def body(guard: str) -> str:
+        return f"'int f_' || CAST(k AS VARCHAR) || '(int x) {{ {guard}return x + ' || CAST(k % 7 AS VARCHAR) || '; }}'"
+
+    null = "''"
+    return {
+        "j1_lookup_in_order": f"WITH {sample} SELECT sample_id, -k AS request_order, commit_id, project FROM s",
+        "j9_missing_ids": f"""WITH {sample}
+SELECT DISTINCT 'o_' || CAST(user_id AS VARCHAR) AS sample_id FROM events WHERE 'o_' || CAST(user_id AS VARCHAR) NOT IN (SELECT sample_id FROM s)""",
+        "u7_repeated_ids": """SELECT 'o_' || CAST(user_id AS VARCHAR) AS sample_id, count(*) AS copies
+FROM events GROUP BY user_id HAVING count(*) > 1""",
+        "u8_union_columns": f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, {null} AS s_suppkey, {null} AS s_name, {null} AS n_nationkey,
+  {null} AS n_name, {null} AS note FROM customer
+UNION ALL SELECT {null}, {null}, CAST(s_suppkey AS VARCHAR), s_name, {null}, {null}, {null} FROM supplier
+UNION ALL SELECT {null}, {null}, {null}, {null}, CAST(n_nationkey AS VARCHAR), n_name, {null} FROM nation""",
+        "p28_sample_defaults": f"""WITH {sample}
+SELECT sample_id, {body("")} AS func_before, {body("if (x < 0) return 0; ")} AS func_after,
+  CASE WHEN k % 11 = 0 THEN 'No commit message' ELSE 'fix ' || pri END AS commit_msg,
+  CASE WHEN k % 13 = 0 THEN 'No description' ELSE seg || ' issue' END AS bug_description, commit_id, project, cwe FROM s""",
+    }
+
+
 def source_oracles() -> dict[str, str]:
     def guard(x: str) -> str:
         return f"CASE WHEN left({x}, 1) IN ('=', '+', '-', '@') THEN '''' || {x} ELSE {x} END"
@@ -906,6 +934,7 @@ def oracles() -> dict[str, str]:
     q.update(pair_oracles())
     q.update(inference_oracles())
     q.update(reposvul_oracles())
+    q.update(key_oracles())
     q.update(source_oracles())
     q.update(url_oracles())
     return q
