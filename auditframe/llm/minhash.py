@@ -8,8 +8,9 @@ bits of all 256 coordinates make a sketch that rules pairs out before their
 full sets are compared.
 
 Work inside a hot bucket stays linear in the first round: each member is paired
-with the bucket's smallest member only. The exact links give components; a
-bucket whose members lie in one component is finished. The first round also keeps
+with the bucket's hub only, the member that shares its buckets with most others.
+The exact links give components; a bucket whose members lie in one component is
+finished. The first round also keeps
 what each member lacks of its hub and has beyond it; from these differences the
 exact overlap of two members follows without their sets. So the second round
 compares the members of every open bucket with another member of it, drawn at
@@ -189,17 +190,27 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return moved.union(new)
 
 
-def _open_buckets(classes: DataFrame, labels: DataFrame, apart: DataFrame) -> DataFrame:
+def _shared_buckets(scratch: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node) of the buckets with two members at least, and (bucket, hub)."""
+    all_ = classes.select("node", F.explode("bands").alias("bucket"))
+    sizes = all_.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = scratch.write(all_.join(sizes, "bucket"))
+    shares = members.groupBy("node").agg(F.sum("size").alias("shared"))
+    hubs = members.select("bucket", "node").join(shares, "node").groupBy("bucket").agg(
+        F.max(F.struct("shared", "node"))["node"].alias("hub"))
+    return members.select("bucket", "node"), scratch.write(hubs)
+
+
+def _open_buckets(members: DataFrame, hubs: DataFrame, narrow: DataFrame, labels: DataFrame, apart: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with their known
     differences from the bucket's hub: (bucket, node, n, s0..s3, component,
     n_hub, lacks, has)."""
-    member = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("first_id")
-    spread = member.withColumn("bucket", F.explode("bands")).drop("bands")
-    open_ = spread.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("hub")).where("lo != hi").select("bucket", "hub")
+    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
     is_hub = F.col("node") == F.col("hub")
     none = F.array().cast("array<bigint>")
-    return spread.join(open_, "bucket").join(apart, ["hub", "node"], "left").withColumns({
+    inside = labelled.join(open_.join(hubs, "bucket"), "bucket")
+    return inside.join(narrow, "node").join(apart, ["hub", "node"], "left").withColumns({
         "n_hub": F.when(is_hub, F.col("n")).otherwise(F.col("n_hub")),
         "lacks": F.when(is_hub, none).otherwise(F.col("lacks")), "has": F.when(is_hub, none).otherwise(F.col("has"))}).drop("hub")
 
@@ -229,10 +240,11 @@ def near_duplicates(
         .agg(F.min("id").alias("first_id"), F.first(F.struct("n", "s0", "s1", "s2", "s3", "bands")).alias("x"))
         .select("node", "first_id", "x.*")
     )
-    narrow = classes.drop("bands", "first_id")
-    buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    star = buckets.join(hubs.drop("c"), "bucket").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    members, hubs = _shared_buckets(scratch, classes)
+    rows, wide, classes = scratch.write(sig.select("id", "n", "node")), classes, scratch.write(classes.drop("bands"))
+    scratch.drop(sig, wide)
+    narrow = classes.drop("first_id")
+    star = members.join(hubs, "bucket").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     x, y = narrow.alias("x"), narrow.alias("y")
     pairs = scratch.write(
         star.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
@@ -251,7 +263,7 @@ def near_duplicates(
 
     apart = tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("n_a").alias("n_hub"), "lacks", "has")
 
-    rest = scratch.write(_open_buckets(classes, first, apart))
+    rest = scratch.write(_open_buckets(members, hubs, narrow, first, apart))
     known = rest.where("lacks is not null")
     drawn = known.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("q")).select("bucket", "q.node")
     p, q = rest.alias("p"), known.join(drawn, ["bucket", "node"], "left_semi").alias("q")
@@ -261,7 +273,7 @@ def near_duplicates(
     second = scratch.write(_relabelled(first, scratch.write(merged)))
     scratch.drop(rest)
 
-    rest = scratch.write(_open_buckets(classes, second, apart))
+    rest = scratch.write(_open_buckets(members, hubs, narrow, second, apart))
     p, q = rest.alias("p"), rest.alias("q")
     across = (
         p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.component") < F.col("q.component")) & _near(percent, "p", "q")
@@ -281,7 +293,7 @@ def near_duplicates(
     least = scratch.write(class_label.groupBy("component").agg(F.min("first_id").alias("component_id")))
     of_node = scratch.write(class_label.join(least, "component").select("node", "component_id"))
     return (
-        sig.select("id", "n", "node").join(of_node, "node", "left")
+        rows.join(of_node, "node", "left")
         .select("id", F.col("n").alias("n_shingles"), "node",
                 F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
