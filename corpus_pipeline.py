@@ -18,6 +18,7 @@ from auditframe.llm.exact_dedup import keep_one_per_text
 from auditframe.llm.importance import keep_resampled
 from auditframe.llm.minhash import keep_one_per_group
 from auditframe.llm.packing import pack
+from auditframe.session import lineage_scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,11 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a written table."""
+    """All stages over ``documents``; each stage's result is a written table, and
+    what a stage wrote besides goes when its result is written."""
     docs, before = documents(spark, sf_dir).select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
         scratch = Scratch(spark, f"stage-{name}")
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        with lineage_scope(spark):
+            docs = scratch.write(stage(spark, docs, sf_dir))
         if before is not None:
             before.release()
         before = scratch
