@@ -93,8 +93,8 @@ def test_oversized_unchanged_and_missing(spark):
     big = FILE.replace("/* a } in a comment */", "/* " + "x" * 140000 + " */")
     rows = _records(spark, [_row(0, "fn_1")])
     assert RV.convert_reposvul(rows, _files(spark, big)).collect()[0]["reason"] == "oversized_csv_field"
-    assert RV.convert_reposvul(rows, _files(spark, big), max_field_chars=200_000).collect()[0]["reason"] == "oversized_csv_field"
-    assert RV.convert_reposvul(rows, _files(spark, big), max_field_chars=400_000).collect()[0]["reason"] is None
+    assert RV.convert_reposvul(rows, _files(spark, big), max_field_chars=140_000).collect()[0]["reason"] == "oversized_csv_field"
+    assert RV.convert_reposvul(rows, _files(spark, big), max_field_chars=200_000).collect()[0]["reason"] is None
     same = FILE[:FILE.index("size_t")] + VULNERABLE + "\n"
     assert RV.convert_reposvul(rows, _files(spark, same)).collect()[0]["reason"] == "unchanged"
     assert RV.convert_reposvul(rows, _files(spark, "int other(void) { }")).collect()[0]["reason"] == "no_match"
