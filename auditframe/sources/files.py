@@ -62,12 +62,15 @@ def with_file_ordinal(df: DataFrame, name: str = "row_number") -> DataFrame:
     return with_ordinal(tagged, ["_fp", "_fb", "_mid"], name).drop("_fp", "_fb", "_mid")
 
 
-def read_samples_csv(spark: SparkSession, path: str, start: int = 1, end: int | None = None) -> DataFrame:
-    """CSV samples with a 1-based inclusive row range (all strings)."""
+def read_samples_csv(
+    spark: SparkSession, path: str, start: int = 1, end: int | None = None, multi_line: bool = True,
+) -> DataFrame:
+    """CSV samples with a 1-based inclusive row range (all strings). Files
+    whose fields hold no line breaks can be read in splits: ``multi_line=False``."""
     _check_range(start, end)
-    header = spark.read.option("header", True).option("multiLine", True).csv(path).columns
+    header = spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
     schema = T_.StructType([T_.StructField(c, T_.StringType()) for c in header])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("mode", "PERMISSIVE").csv(path))
     return _range(with_file_ordinal(df), start, end)
 
@@ -122,17 +125,17 @@ def read_samples_json(spark: SparkSession, path: str, fail_fast: bool = True) ->
     return out
 
 
-def read_result_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_result_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """S4 + F3: result table CSV; NUL characters removed, BOM dropped, rows
     with more fields than the header skipped (``ragged``), short rows kept
     with empty tails."""
-    header = spark.read.option("header", True).option("multiLine", True).csv(path).columns
+    header = spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
     header = [h.lstrip("﻿") for h in header]
     if len(header) != len(set(header)):
         raise ValueError("input CSV contains duplicate column names")
     schema = T_.StructType([T_.StructField(c, T_.StringType()) for c in header] +
                            [T_.StructField("_corrupt", T_.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path))
     probe = T_.StructType([T_.StructField(f"c{i}", T_.StringType()) for i in range(len(header) + 1)])
     extra = F.from_csv(F.col("_corrupt"), probe.simpleString(), {"escape": '"'})[f"c{len(header)}"]
@@ -183,9 +186,20 @@ def merge_jsonl(spark: SparkSession, sources: Sequence[str]) -> tuple[DataFrame,
     return lines, counts
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
     """Elements of a JSON array file with their 0-based index; non-object
-    elements are kept (the caller counts them as invalid)."""
+    elements are kept (the caller counts them as invalid).
+
+    ``layout`` says how the file is written: ``document`` is any JSON array, read
+    as one value (a file of up to 2 GB, one task each); ``lines`` has one element
+    per line, with or without commas and bracket lines, and is read in splits."""
+    if layout == "lines":
+        element = F.regexp_replace(T.py_strip(F.col("value")), ",$", "")
+        raw = spark.read.text(path).withColumn("value", element).where(~F.col("value").isin("", "[", "]"))
+        rows = with_file_ordinal(raw, "index")
+        return rows.select((F.col("index") - 1).cast("int").alias("index"), F.try_parse_json("value").alias("record"))
+    if layout != "document":
+        raise ValueError(f"unknown layout {layout!r}")
     doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("d"))
     return doc.select(F.posexplode(F.try_variant_get("d", "$", "array<variant>")).alias("index", "record"))
 
