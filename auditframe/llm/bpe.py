@@ -1,8 +1,8 @@
 """Whole-text encoding with public tokenizers, each distinct piece encoded once.
 
 A text is cut only where the tokenizer's own pre-tokenisation always cuts:
-before the space that joins two runs of non-white characters and around runs of
-white space. Those cuts need no context on the left and none on the right, so
+before the space that joins two runs of non-white characters, around runs of
+white space, and between a run of letters and a mark like the full stop. Those cuts need no context on the left and none on the right, so
 the library's ids of the pieces, concatenated, are its ids of the text. Pieces
 repeat, so each worker keeps the ids of those it has seen (bounded).
 """
@@ -19,10 +19,15 @@ import numpy as np
 
 #: The characters of Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: An optional space and a run of non-white characters, or white space (leaving
-#: a last single space to the run that follows it).
-SPACED_RUNS = re.compile(f"[ ]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-BARE_RUNS = re.compile(f"[^{WHITE}]+")
+#: Letters of the Latin blocks, and marks that end a run of letters for certain
+#: (not the apostrophe, which may begin a contraction).
+_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+_AFTER = f"(?=[.,;:!?{WHITE}]|\\Z)"
+#: An optional space and a run of letters before a mark or white space; or of
+#: non-white characters; or white space (leaving a last single space to the run
+#: that follows it).
+SPACED_RUNS = re.compile(f"[ ]?[{_LETTERS}]+{_AFTER}|[ ]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+BARE_RUNS = re.compile(f"[{_LETTERS}]+{_AFTER}|[^{WHITE}]+")
 #: Pieces kept per worker (in each of two generations), and the longest one kept.
 CACHE_PIECES = 250_000
 CACHE_CHARS = 48
