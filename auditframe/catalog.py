@@ -7,6 +7,7 @@ driver tables (through the views in ``auditframe.plans.views``) in full.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ from auditframe.plans import reports as R
 from pyspark.sql import functions as F
 
 from auditframe.plans import consensus as C
+from auditframe.session import ship_package
 from auditframe.plans import inference as X
 from auditframe.plans import pairs as P
 from auditframe.plans.views import MODELS, attempt_rows, megavul_records, pair_rows, sample_rows, scored_results, turn_records
@@ -239,6 +241,18 @@ def source_queries() -> dict[str, Query]:
     return {"s10_csv_cells": s10, "p23_p32_url_keys": urls}
 
 
+def _shipped(query: Query) -> Query:
+    """The query, run after the package was sent to the executors: its Python
+    functions then import there, whatever folder the workers start in."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(score_queries())
@@ -248,4 +262,4 @@ def all_queries() -> dict[str, Query]:
     out.update(reposvul_queries())
     out.update(key_queries())
     out.update(source_queries())
-    return out
+    return {name: _shipped(query) for name, query in out.items()}
