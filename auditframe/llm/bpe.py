@@ -20,8 +20,9 @@ import numpy as np
 #: The characters of Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters of the Latin blocks, and marks that end a run of letters for certain
-#: (not the apostrophe, which may begin a contraction).
-_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+#: (not the apostrophe, which may begin a contraction). U+0130 is left out: in
+#: lower case it ends in U+0307, no letter, which joins the marks that follow.
+_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
 _AFTER = f"(?=[.,;:!?{WHITE}]|\\Z)"
 #: An optional space and a run of letters before a mark or white space; or of
 #: non-white characters; or white space (leaving a last single space to the run

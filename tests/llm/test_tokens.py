@@ -41,6 +41,16 @@ def test_pieces_equal_the_library(path, encoder):
     check()
 
 
+@pytest.mark.parametrize("path, encoder", [(WORDS, bpe.word_end_encoder), (BYTES, bpe.byte_level_encoder)])
+def test_letters_before_marks_equal_the_library(path, encoder):
+    """U+0130 in lower case ends in a combining dot, which joins the marks behind it."""
+    t, e = library(path), encoder(path)
+    letters = [chr(i) for i in range(0x250) if chr(i).isalpha()]
+    texts = ["GAZETES\u0130,", "a\u0130.", "\u0130! x\u0130y. \u0130\u0130?!", *(f"a{c}{m} {c}{m}b" for c in letters for m in ".,;:!?")]
+    for text, ids in zip(texts, e.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("path, pieces, gap", [(WORDS, bpe.BARE_RUNS, " \x01 "), (BYTES, bpe.SPACED_RUNS, "\n\x01\n")])
 def test_small_cache(monkeypatch, path, pieces, gap):
     """Generations turn over within and between groups of texts."""
