@@ -4,7 +4,8 @@ A text is cut only where the tokenizer's own pre-tokenisation always cuts:
 before the space that joins two runs of non-white characters, around runs of
 white space, and between a run of letters and a mark like the full stop. Those cuts need no context on the left and none on the right, so
 the library's ids of the pieces, concatenated, are its ids of the text. Pieces
-repeat, so each worker keeps the ids of those it has seen (bounded).
+repeat, so each worker keeps the ids of those it has seen (bounded). A special
+token written out in a text gets its id, as in a plain call of the library.
 """
 
 from __future__ import annotations
@@ -45,15 +46,18 @@ class PieceEncoder:
     New pieces are encoded as lines, a mark between each two of them: ``gap``
     holds the mark between characters at which the tokenizer always cuts, so
     the mark's id tells the pieces' ids apart. Pieces that hold the mark or are
-    white are encoded alone. Of the pieces seen, those of the current and the
+    white are encoded alone. The literals in ``special`` are pieces of their own,
+    and the texts between them are cut by themselves, as the library does. Of the pieces seen, those of the current and the
     previous generation are kept, so frequent ones stay."""
 
-    def __init__(self, pieces: re.Pattern, encode: Callable[[list[str]], list[list[int]]], gap: str):
+    def __init__(self, pieces: re.Pattern, encode: Callable[[list[str]], list[list[int]]], gap: str, special: Iterable[str] = ()):
         self._find, self._encode, self._gap = pieces.findall, encode, gap
         (around,) = encode([gap])
         (self._mark,) = encode([_MARK])[0]
         self._left = around.index(self._mark)
         self._right = len(around) - self._left - 1
+        self._special = sorted(special, key=len, reverse=True)
+        self._apart = re.compile(f"({'|'.join(map(re.escape, self._special))})").split
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -87,10 +91,18 @@ class PieceEncoder:
         self._new.update((p, x) for p, x in found.items() if p not in long)
         return {**self._new, **long} if long else self._new
 
+    def _pieces(self, text: str) -> list[str]:
+        if not any(s in text for s in self._special):
+            return self._find(text)
+        out = []
+        for i, part in enumerate(self._apart(text)):
+            out += [part] if i % 2 else self._find(part)
+        return out
+
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group, size = [], 0
         for text in texts:
-            group.append(self._find(text or ""))
+            group.append(self._pieces(text or ""))
             size += len(text or "")
             if size >= GROUP_CHARS:
                 yield from self._joined(group)
@@ -104,25 +116,37 @@ class PieceEncoder:
                 yield b"".join(map(ids, pieces))
 
 
-def _library(path: str):
+@functools.cache
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    return Tokenizer.from_file(path)
+
+
+def _library(path: str):
+    t = _tokenizer(path)
     return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _special(path: str) -> list[str]:
+    """The literals that the library takes out of a text before anything else."""
+    tokens = _tokenizer(path).get_added_tokens_decoder().values()
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokens):
+        raise ValueError("added tokens that depend on the text around them")
+    return [t.content for t in tokens]
+
+
 @functools.cache
 def byte_level_encoder(path: str) -> PieceEncoder:
     """For a byte-level BPE file of the tokenizers library without prefix space."""
-    return PieceEncoder(SPACED_RUNS, _library(path), f"\n{_MARK}\n")
+    return PieceEncoder(SPACED_RUNS, _library(path), f"\n{_MARK}\n", _special(path))
 
 
 @functools.cache
 def word_end_encoder(path: str) -> PieceEncoder:
     """For a BPE file with word ends whose pre-tokenisation drops white space."""
-    return PieceEncoder(BARE_RUNS, _library(path), f" {_MARK} ")
+    return PieceEncoder(BARE_RUNS, _library(path), f" {_MARK} ", _special(path))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

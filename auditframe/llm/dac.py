@@ -146,7 +146,8 @@ def write_segments(
     """(part, segment, start, n_ids, blob): the written segments; ``start`` counts
     the ids before a segment in its part. Parts hold ascending ranges of ids.
 
-    Null text: only the end id. Null ids come first; rows that repeat an id
+    Ids are those of the library's plain call: a special token written out in a
+    text gets its own id. Null text: only the end id. Null ids come first; rows that repeat an id
     follow each other in the order of a hash of their text."""
     end = np.array([end_id], "<u4").tobytes()
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]

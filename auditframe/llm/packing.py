@@ -145,8 +145,9 @@ def pack(
     """(id, piece, start, length, ids_crc32, sequence_id, offset) per piece.
 
     Documents of more than ``capacity`` ids (with the end id) are cut into
-    pieces of ``capacity``, the first of which may be shorter. Null text is
-    empty: only the end id. Every row is packed, also rows that repeat an id;
+    pieces of ``capacity``, the first of which may be shorter. Ids are those of
+    the library's plain call: a special token written out in a text gets its own
+    id. Null text is empty: only the end id. Every row is packed, also rows that repeat an id;
     extra columns are ignored; an empty table gives an empty result."""
     pieces = scratch.write(token_pieces(docs, path, id_col, text_col, capacity, end_id))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}

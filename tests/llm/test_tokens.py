@@ -51,6 +51,18 @@ def test_letters_before_marks_equal_the_library(path, encoder):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path, encoder, ids", [(WORDS, bpe.word_end_encoder, [320, 321, 49407, 322]),
+                                                (BYTES, bpe.byte_level_encoder, [64, 275, 220, 50256, 269])])
+def test_special_tokens_equal_the_unmodified_library(path, encoder, ids):
+    t, e = Tokenizer.from_file(path), encoder(path)
+    rng = np.random.default_rng(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", " ", "\n", "\x01", "a", "b.", "\u0130", "\u0301", "<", "|>", "'s"]
+    texts = ["a b <|endoftext|> c", "<|endoftext|>", "a<|endoftext|><|endoftext|>\x01 \n", *("".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(2000))]
+    got = [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)]
+    assert got[0] == ids
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("path, pieces, gap", [(WORDS, bpe.BARE_RUNS, " \x01 "), (BYTES, bpe.SPACED_RUNS, "\n\x01\n")])
 def test_small_cache(monkeypatch, path, pieces, gap):
     """Generations turn over within and between groups of texts."""
