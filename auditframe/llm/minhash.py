@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from auditframe.llm.common import Scratch, arrow_map
 from auditframe.llm.components import connected_components
@@ -215,24 +216,12 @@ def _open_buckets(members: DataFrame, hubs: DataFrame, narrow: DataFrame, labels
         "lacks": F.when(is_hub, none).otherwise(F.col("lacks")), "has": F.when(is_hub, none).otherwise(F.col("has"))}).drop("hub")
 
 
-def near_duplicates(
-    scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
+def _linked_classes(
+    scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, shingle_words: int = 5,
     similarity_percent: int = 80, bands: int = 32, rows_per_band: int = 4,
-) -> DataFrame:
-    """(id, n_shingles, node, component_id, kept) per row of ``docs``.
-
-    Rows with the same shingle set are one class (``node``; null for an empty
-    set, which links with nothing). Classes are linked when
-    100 * intersection >= similarity_percent * union of their full sets;
-    ``component_id`` is the smallest id reachable, ``kept`` marks the rows that
-    have it. With 32 bands of 4 rows a pair at similarity 0.8 misses every band
-    with probability 5e-8.
-
-    Null or blank text: empty set, component of its own id. Null id: takes part
-    in linking, never names a component unless it has no other id (kept then
-    compares null-safely). Rows that repeat an id share its fate. Extra
-    columns are ignored; an empty table gives an empty result.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node) per row of ``docs``, and (node, first_id, component) per class:
+    its smallest id and the smallest node that its links reach."""
     percent = similarity_percent
     sig = scratch.write(signatures(docs, id_col, text_col, shingle_words, bands, rows_per_band))
     classes = scratch.write(
@@ -289,7 +278,27 @@ def near_duplicates(
     label = _relabelled(second, scratch.write(connected_components(scratch, links2)))
     scratch.drop(sets2)
 
-    class_label = classes.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows, classes.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(
+    scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options,
+) -> DataFrame:
+    """(id, n_shingles, node, component_id, kept) per row of ``docs``.
+
+    Rows with the same shingle set are one class (``node``; null for an empty
+    set, which links with nothing). Classes are linked when
+    100 * intersection >= similarity_percent * union of their full sets;
+    ``component_id`` is the smallest id reachable, ``kept`` marks the rows that
+    have it. With 32 bands of 4 rows a pair at similarity 0.8 misses every band
+    with probability 5e-8.
+
+    Null or blank text: empty set, component of its own id. Null id: takes part
+    in linking, never names a component unless it has no other id (kept then
+    compares null-safely). Rows that repeat an id share its fate. Extra
+    columns are ignored; an empty table gives an empty result.
+    """
+    rows, class_label = _linked_classes(scratch, docs, id_col, text_col, **options)
     least = scratch.write(class_label.groupBy("component").agg(F.min("first_id").alias("component_id")))
     of_node = scratch.write(class_label.join(least, "component").select("node", "component_id"))
     return (
@@ -300,11 +309,37 @@ def near_duplicates(
     )
 
 
+def _with_node(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """``docs`` with ``_node``, the identity of the row's shingle set (null: empty)."""
+    text_at, names = docs.columns.index(text_col), [*docs.columns, "_node"]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nodes = [node_of(s) if len(s) else None for s in _row_sets(batch.column(text_at), k)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=names)
+
+    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+
+
 def keep_one_per_group(
-    scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options,
+    scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, **options,
 ) -> DataFrame:
-    """The rows of ``docs`` whose id names its group of near-duplicates (all
-    columns). Rows that repeat an id share its fate."""
-    found = near_duplicates(scratch, docs, id_col, text_col, **options)
-    keep = scratch.write(found.where("kept").select(F.col("id").alias("_keep_id")).distinct())
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep_id"]), "left_semi")
+    """One document of ``docs`` per group of near-duplicates (all columns): that with
+    the group's smallest id (null only if it has no other), found by id, shingle
+    set and a hash of the text. Rows that repeat id and text are one document and
+    share its fate. Rows with an empty set link with nothing and all stay."""
+    rows, classes = _linked_classes(scratch, docs, id_col, text_col, shingle_words, **options)
+    first = F.struct(F.col("first_id").isNull().alias("unnamed"), F.col("first_id").alias("_id"), F.col("node").alias("_set"))
+    least = classes.groupBy("component").agg(F.min(first).alias("w")).select("w._id", "w._set")
+    listed = rows.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("_listed"))
+    winners = scratch.write(
+        least.join(listed, least["_id"].eqNullSafe(listed["id"]) & (F.col("_set") == F.col("node"))).select("_id", "_set", "_listed"))
+    # a set or, where it is empty, a hash of the text: blank texts do not meet in one task
+    keyed = _with_node(docs, text_col, shingle_words).withColumn("_key", F.coalesce("_node", F.xxhash64(id_col, text_col)))
+    found = keyed.join(winners, (keyed["_key"] == winners["_set"]) & keyed[id_col].eqNullSafe(winners["_id"]), "left")
+    out = found.where("_node is null or _listed = 1")
+    if not winners.where("_listed > 1").isEmpty():
+        again = scratch.write(found.where("_node is not null and _listed > 1").withColumn("_hash", F.xxhash64(text_col)))
+        one = again.groupBy("_id", "_set").agg(F.min("_hash").alias("_least"))
+        same = again["_id"].eqNullSafe(one["_id"]) & (again["_set"] == one["_set"]) & (again["_hash"] == one["_least"])
+        out = out.select(*docs.columns).unionByName(again.join(one, same, "left_semi").select(*docs.columns))
+    return out.select(*docs.columns)

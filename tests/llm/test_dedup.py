@@ -93,6 +93,23 @@ def test_near_whole_table(spark, scratch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(want)
 
 
+def test_keep_one_row_per_group(spark, scratch):
+    """Ids that are repeated or null do not keep near copies; blank texts all stay."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdefg"]
+    a, b, c, d, e, f, g = texts
+    rows = [
+        (1, a), (2, b + " x"), (2, a + " y"),  # 2 names the group of b, its other text is a copy of 1
+        (None, c), (None, c + " x"), (None, c.upper()),  # a group without ids
+        (None, d), (3, d + " x"),  # the null id does not name a group that has an id
+        (4, e), (4, e + " x"), (4, e.upper()), (5, f), (5, f),  # 5: one document, listed twice
+        (2, ""), (2, " "), (None, None), (None, "\t"), (6, g), (None, g),
+    ]
+    got = [tuple(r) for r in M.keep_one_per_group(scratch, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    named = [(i, (t or "")[:1]) for i, t in got if (t or "").strip()]
+    assert Counter((i, t.lower()) for i, t in named) == Counter([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (4, "e"), (5, "f"), (5, "f"), (6, "g")])
+    assert Counter((i, t) for i, t in got if not (t or "").strip()) == Counter([(2, ""), (2, " "), (None, None), (None, "\t")])
+
+
 def test_keep_one_per_group(scratch, awkward):
     kept = M.keep_one_per_group(scratch, awkward, shingle_words=5)
     assert kept.columns == awkward.columns
