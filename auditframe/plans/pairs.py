@@ -47,8 +47,21 @@ def source_fields(df: DataFrame) -> DataFrame:
 
 
 def bodies(rows: DataFrame) -> DataFrame:
-    """(dataset, doc_id, func_before, func_after): the cleaned function texts."""
-    return rows.select("dataset", "doc_id", T.clean("func_before").alias("func_before"), T.clean("func_after").alias("func_after"))
+    """(dataset, doc_id, pair_key, func_before, func_after): the cleaned function
+    texts, once per key; rows of one pair key have the same ones."""
+    return rows.select(
+        "dataset", "doc_id", T.pair_key(F.col("func_before"), F.col("func_after")).alias("pair_key"),
+        T.clean("func_before").alias("func_before"), T.clean("func_after").alias("func_after"),
+    ).dropDuplicates(["dataset", "doc_id", "pair_key"])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Inner join on ``keys`` (left column -> right column) in which null equals
+    null; the right side's key columns go."""
+    to = {k: f"_right_{i}" for i, k in enumerate(keys.values())}
+    r = right.withColumnsRenamed(to)
+    on = [left[a].eqNullSafe(r[to[b]]) for a, b in keys.items()]
+    return left.join(r, on).drop(*to.values())
 
 
 def convert_paired(rows: DataFrame) -> DataFrame:
@@ -88,8 +101,9 @@ def convert_paired(rows: DataFrame) -> DataFrame:
 
 
 def attach_bodies(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The chosen pairs with their function texts, joined once by (dataset, doc_id)."""
-    return pairs.join(bodies(rows), ["dataset", "doc_id"])
+    """The chosen pairs with their function texts, joined once by (dataset, doc_id,
+    pair_key): ids that are null or repeated neither lose a pair nor multiply it."""
+    return join_null_safe(pairs, bodies(rows), {k: k for k in ("dataset", "doc_id", "pair_key")})
 
 
 def with_diff(pairs: DataFrame) -> DataFrame:
@@ -224,8 +238,11 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     next rank in the same segment, found by an equi-join on a unique key.
     """
     bad = F.col("invalid_line").cast("int")
-    # function texts do not travel through the numbering; they are joined to the pairs
-    run = with_running_sums(records.drop("func"), ["source", "line"], {"bad_run": bad})
+    # function texts do not travel through the numbering; they are joined to the
+    # pairs by their digest, so null or repeated (source, line) cannot mix them
+    func = T.clean("func")
+    keyed = records.withColumn("_digest", F.sha2(func, 256))
+    run = with_running_sums(keyed.drop("func"), ["source", "line"], {"bad_run": bad})
     # valid lines up to and including this one (global), for valid rows
     run = run.withColumn("valid_run", F.col("ordinal") - F.col("bad_run"))
     per_source = run.groupBy("source").agg(
@@ -236,7 +253,7 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     valid = lines.where(~F.col("invalid_line"))
     seg_start = valid.groupBy("source", "_seg").agg(F.min("valid_run").alias("_v0"))
     valid = valid.join(seg_start, ["source", "_seg"]).withColumn("_rn", F.col("valid_run") - F.col("_v0") + 1)
-    fields = [c for c in records.columns if c not in ("source", "invalid_line", "func")]
+    fields = [c for c in keyed.columns if c not in ("source", "invalid_line", "func")]
     firsts = valid.where(F.col("_rn") % 2 == 1).select("source", "_seg", "_rn", "_last_seg",
                                                         F.struct(*fields).alias("_b"))
     seconds = valid.where(F.col("_rn") % 2 == 0).select(
@@ -244,10 +261,11 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
     matched = firsts.join(seconds, ["source", "_seg", "_rn"], "left")
     pairs = matched.where(F.col("_next").isNotNull()).withColumn("line", F.col("_b")["line"])
     tail = matched.where(F.col("_next").isNull() & (F.col("_seg") == F.col("_last_seg")))
-    pairs = with_ordinal(pairs, ["source", "line"], "read_pairs").withColumn("_line2", F.col("_next")["line"])
-    text = records.select("source", "line", T.clean("func").alias("_before"))
-    pairs = pairs.join(text, ["source", "line"]).join(
-        text.withColumnsRenamed({"line": "_line2", "_before": "_after"}), ["source", "_line2"])
+    pairs = with_ordinal(pairs, ["source", "line"], "read_pairs").withColumns(
+        {"_line2": F.col("_next")["line"], "_digest": F.col("_b")["_digest"], "_digest2": F.col("_next")["_digest"]})
+    text = keyed.select("source", "line", "_digest", func.alias("_before")).dropDuplicates(["source", "line", "_digest"])
+    pairs = join_null_safe(pairs, text, {"source": "source", "line": "line", "_digest": "_digest"})
+    pairs = join_null_safe(pairs, text.withColumnRenamed("_before", "_after"), {"source": "source", "_line2": "line", "_digest2": "_digest"})
     b, a = F.col("_b"), F.col("_next")
     before, after = F.col("_before"), F.col("_after")
     reason = (

@@ -134,3 +134,28 @@ def test_bodies_stay_out_of_numbering(spark):
 
     plan = P.convert_paired(pair_rows(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "func_before" not in plan and "func_after" not in plan
+
+
+def test_bodies_of_null_and_repeated_ids(spark):
+    rows = pair_df(spark, [
+        (None, 0, "titanvul", "a", "b", "", "null id", "", ""),
+        (None, 0, "titanvul", "c", "d", "", "null id too", "", ""),
+        (7, 0, "titanvul", "e", "f", "", "e", "", ""),
+        (7, 0, "titanvul", " g", "h", "", "g", "", ""),
+        (8, 1, "benchvul", "i", "j", "", "i", "", ""),
+        (8, 1, "benchvul", "i", "j", "", "i", "", ""),
+    ])
+    want = [("a", "b", "null id"), ("c", "d", "null id too"), ("e", "f", "e"), ("g", "h", "g"), ("i", "j", "i")]
+    for table in (P.pair_table(rows), P.dedup_table(rows)):
+        assert sorted((r["func_before"], r["func_after"], r["commit_msg"]) for r in table.collect()) == want
+
+
+def test_turns_of_null_and_repeated_lines(spark):
+    schema = ("source bigint, line bigint, invalid_line boolean, target int, func string, commit_id string, "
+              "cve string, project string, commit_message string, cwe string")
+    tail = ("c", "CVE-1", "p", "m", "CWE-1")
+    rows = [(0, None, False, 1, "a", *tail), (0, 1, False, 0, "b", *tail),
+            (1, 1, False, 1, "c", *tail), (1, 1, False, 1, "d", *tail), (2, 5, False, 1, "e", *tail), (2, 6, False, 0, None, *tail)]
+    out = P.pair_adjacent(spark.createDataFrame(rows, schema)).collect()
+    got = sorted((r["source"], r["first_line"] or 0, *sorted((r["func_before"], r["func_after"])), r["reason"] or "") for r in out)
+    assert got == [(0, 0, "a", "b", ""), (1, 1, "c", "d", "invalid_target_order"), (2, 5, "", "e", "missing_function")]
