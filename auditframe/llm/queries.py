@@ -88,15 +88,37 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.divergence import audit
+
+    return audit(Scratch(spark, "op11"), documents(spark, sf_dir))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.suffix_dedup import repeated_spans
+
+    out = repeated_spans(Scratch(spark, "op12"), documents(spark, sf_dir))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditframe.llm.target_sampling import target_resample
+
+    out = target_resample(Scratch(spark, "op13"), documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_warc_archive, op3_slot_sharding, op4_exact_dedup, op5_importance_resampling,
         op6_chunked_bpe, op7_embedding_near_dedup, op8_addressable_codes, op9_best_fit_packing, op10_minhash_near_dedup,
+        op11_source_divergence, op12_suffix_dedup, op13_target_resampling,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": OP2, "op4_exact_dedup": OP4}
+    return {"op2_warc_archive": OP2, "op4_exact_dedup": OP4, "op11_source_divergence": OP11}
 
 
 #: Records of the archive: the smallest page of equal payloads is the response.
@@ -119,3 +141,36 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)
 """
+
+
+#: Shares of kept terms on the full grid of groups and terms, in 128-bit integers.
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), t AS (SELECT i, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+used AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, source, term),
+grid AS (
+  SELECT g.lang, g.source, kept.term, coalesce(used.n, 0)::HUGEINT AS n, kept.n AS lang_n,
+    sum(coalesce(used.n, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS total
+  FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN used ON used.lang = g.lang AND used.source = g.source AND used.term = kept.term
+), shares AS (
+  SELECT grid.lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (grid.total + v) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 1)) // (v.total + v) AS q
+  FROM grid JOIN v ON grid.lang = v.lang
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
