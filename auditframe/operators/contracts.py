@@ -1,12 +1,17 @@
-"""Phase report contracts (F9..F11) as VARIANT predicates.
+"""Phase report contracts (F9..F11): ordered rules over the paths of a VARIANT.
 
-``contract_errors(phase, report)`` returns an ``array<string>`` of violations
-of a decoded report (empty = valid); the first one is the issue message, the
-same order the reference checks in.
+A contract is data: a tuple of rules, each naming a path, a test and what the
+violation says. ``contract_errors(phase, report)`` evaluates the rules in order
+and returns the list of violations (empty = valid); the first one is the issue
+message. A rule is asked only where the object around its path is one and has the
+field; what an object lacks is listed by the ``Fields`` rule in front.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,71 +30,127 @@ NODE_FIELDS = ("issue_description", "step_location", "variable_name")
 SCORES = ("variable_match_score", "step_position_score", "dataflow_path_score")
 
 
-def _nonblank_string(v: Column) -> Column:
+@dataclass(frozen=True)
+class Rule:
+    """The value at ``path`` (keys from the report on) must pass ``test``."""
+
+    path: tuple[str, ...]
+    test: str
+    says: str
+
+
+@dataclass(frozen=True)
+class Fields:
+    """The object at ``path`` must have the fields ``names``, given in order."""
+
+    path: tuple[str, ...]
+    names: tuple[str, ...]
+    says: str
+
+
+def _nonblank(v: Column) -> Column:
     return V.is_string(v) & ~is_blank(V.string_value(v))
 
 
+def _strings(v: Column) -> Column:
+    items = F.try_variant_get(v, "$", "array<variant>")
+    return V.vtype(v).startswith("ARRAY") & F.forall(F.coalesce(items, F.array()), V.is_string)
+
+
+def _finite(v: Column) -> Column:
+    number = F.try_variant_get(v, "$", "double")
+    return V.is_number(v) & ~F.isnan(number) & (F.abs(number) != float("inf"))
+
+
+#: Tests by name: VARIANT -> boolean; NULL counts as failed.
+TESTS: dict[str, Callable[[Column], Column]] = {
+    "object": V.is_object,
+    "strings": _strings,
+    "text": _nonblank,
+    "text_or_object": lambda v: V.is_object(v) | _nonblank(v),
+    "text_or_null": lambda v: V.is_string(v) | (V.vtype(v) == "VOID"),
+    "boolean": V.is_bool,
+    "integer": V.is_integer,
+    "percent": lambda v: ~V.is_integer(v) | F.try_variant_get(v, "$", "bigint").between(0, 100),
+    "number": _finite,
+}
+
+
+def _phase(phase: str, *rules: tuple) -> tuple[Rule | Fields, ...]:
+    """The contract of a phase: an object with its fields, then ``rules`` (path, test, text)."""
+    name = f"phase {phase}"
+    return (
+        Rule((), "object", f"{name} output must be a JSON object"),
+        Fields((), REQUIRED[phase], f"{name} output is missing fields: "),
+        *(Fields(path, test, f"{name} {says}") if isinstance(test, tuple) else Rule(path, test, f"{name} {says}") for path, test, says in rules),
+    )
+
+
+_TEXT = "must be a non-empty string"
+_NODE = (
+    (("vulnerability_node",), "object", "vulnerability_node must be a JSON object"),
+    (("vulnerability_node",), NODE_FIELDS, "vulnerability_node is missing fields: "),
+    *((("vulnerability_node", f), "text", f"{f} {_TEXT}") for f in NODE_FIELDS),
+)
+CONTRACTS: dict[str, tuple[Rule | Fields, ...]] = {
+    "A": _phase(
+        "A",
+        (("non_standard_external_calls",), "strings", "non_standard_external_calls must be a string array"),
+        (("data_flow_path",), "text", f"data_flow_path {_TEXT}"),
+        *_NODE,
+        (("additional_context_needed",), "text_or_null", "additional_context_needed must be a string or null"),
+        (("confidence",), "integer", "confidence must be an integer"),
+        (("confidence",), "percent", "confidence must be in [0, 100]"),
+    ),
+    "B": _phase(
+        "B",
+        (("data_flow_path",), "text", f"data_flow_path {_TEXT}"),
+        (("cwe_type",), "text", f"cwe_type {_TEXT}"),
+        *_NODE,
+        (("depends_on_caller",), "boolean", "depends_on_caller must be boolean"),
+        (("caller_constraint",), "text_or_null", "caller_constraint must be a string or null"),
+    ),
+    "C": _phase(
+        "C",
+        *(((f,), "number", f"{f} must be numeric") for f in SCORES),
+        (("overall_consistency",), "text", f"overall_consistency {_TEXT}"),
+        (("comment",), "text_or_object", f"comment {_TEXT}"),
+    ),
+}
+
+
+def _at(report: Column, path: tuple[str, ...]) -> Column:
+    for name in path:
+        report = V.field(report, name)
+    return report
+
+
 def _listed(names: Column) -> Column:
     """A list of names as the messages show it: ['a', 'b']."""
     return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
 
 
-def _node_errors(node: Column, phase: str) -> list[Column]:
-    out = [F.when(~V.is_object(node), F.lit(f"phase {phase} vulnerability_node must be a JSON object"))]
-    missing = F.array_compact(F.array(*[F.when(~V.has_field(node, f), F.lit(f)) for f in NODE_FIELDS]))
-    out.append(F.when(V.is_object(node) & (F.size(missing) > 0),
-                      F.concat(F.lit(f"phase {phase} vulnerability_node is missing fields: "), _listed(missing))))
-    for f in NODE_FIELDS:
-        out.append(F.when(V.is_object(node) & V.has_field(node, f) & ~_nonblank_string(V.field(node, f)),
-                          F.lit(f"phase {phase} {f} must be a non-empty string")))
-    return out
-
-
-def contract_errors(phase: str, report: Column) -> Column:
-    """F9 / F10 / F11 on a VARIANT report."""
-    r = report
-    items: list[Column] = [F.when(~V.is_object(r), F.lit(f"phase {phase} output must be a JSON object"))]
-    missing = F.array_compact(F.array(*[F.when(~V.has_field(r, f), F.lit(f)) for f in REQUIRED[phase]]))
-    items.append(F.when(V.is_object(r) & (F.size(missing) > 0),
-                        F.concat(F.lit(f"phase {phase} output is missing fields: "), _listed(missing))))
-    fld = lambda name: V.field(r, name)
-    if phase == "A":
-        calls = fld("non_standard_external_calls")
-        calls_ok = F.coalesce(
-            V.vtype(calls).startswith("ARRAY")
-            & F.forall(F.coalesce(F.try_variant_get(calls, "$", "array<variant>"), F.array()), lambda x: V.is_string(x)),
-            F.lit(False),
-        )
-        conf = fld("confidence")
-        conf_v = F.try_variant_get(conf, "$", "bigint")
-        items += [
-            F.when(~calls_ok, F.lit("phase A non_standard_external_calls must be a string array")),
-            F.when(~_nonblank_string(fld("data_flow_path")), F.lit("phase A data_flow_path must be a non-empty string")),
-            *_node_errors(fld("vulnerability_node"), "A"),
-            F.when(~(V.is_string(fld("additional_context_needed")) | (V.vtype(fld("additional_context_needed")) == "VOID")),
-                   F.lit("phase A additional_context_needed must be a string or null")),
-            F.when(~V.is_integer(conf), F.lit("phase A confidence must be an integer"))
-            .when(~conf_v.between(0, 100), F.lit("phase A confidence must be in [0, 100]")),
-        ]
-    elif phase == "B":
-        items += [
-            F.when(~_nonblank_string(fld("data_flow_path")), F.lit("phase B data_flow_path must be a non-empty string")),
-            F.when(~_nonblank_string(fld("cwe_type")), F.lit("phase B cwe_type must be a non-empty string")),
-            *_node_errors(fld("vulnerability_node"), "B"),
-            F.when(~V.is_bool(fld("depends_on_caller")), F.lit("phase B depends_on_caller must be boolean")),
-            F.when(~(V.is_string(fld("caller_constraint")) | (V.vtype(fld("caller_constraint")) == "VOID")),
-                   F.lit("phase B caller_constraint must be a string or null")),
-        ]
-    else:
-        for s in SCORES:
-            num = V.is_number(fld(s))
-            finite = F.coalesce(~F.isnan(F.try_variant_get(fld(s), "$", "double")), F.lit(False))
-            items.append(F.when(~num | ~finite, F.lit(f"phase C {s} must be numeric")))
-        comment = fld("comment")
-        comment_text = F.when(V.is_object(comment), F.to_json(comment)).otherwise(V.string_value(comment))
-        items += [
-            F.when(~_nonblank_string(fld("overall_consistency")),
-                   F.lit("phase C overall_consistency must be a non-empty string")),
-            F.when(is_blank(comment_text), F.lit("phase C comment must be a non-empty string")),
-        ]
-    return F.array_compact(F.array(*items))
+def violation(rule: Rule | Fields, report: Column, fractions: Column | None = None) -> Column:
+    """What ``rule`` finds wrong with ``report``, or NULL."""
+    value = _at(report, rule.path)
+    if isinstance(rule, Fields):
+        missing = F.array_compact(F.array(*[F.when(~V.has_field(value, f), F.lit(f)) for f in rule.names]))
+        return F.when(V.is_object(value) & (F.size(missing) > 0), F.concat(F.lit(rule.says), _listed(missing)))
+    asked = V.has_field(_at(report, rule.path[:-1]), rule.path[-1]) if rule.path else F.lit(True)
+    passed = TESTS[rule.test](value)
+    if rule.test == "integer" and fractions is not None:
+        passed = passed & ~F.array_contains(fractions, rule.path[-1])
+    return F.when(asked & ~F.coalesce(passed, F.lit(False)), F.lit(rule.says))
+
+
+def contract_errors(phase: str, report: Column, text: Column | None = None) -> Column:
+    """F9 / F10 / F11 on a VARIANT report, in the contract's order.
+
+    A VARIANT holds 5.0 as 5; with the JSON ``text`` of the report a number that
+    is written with a fraction or an exponent is no integer."""
+    fractions = None
+    if text is not None:
+        names = [r.path[-1] for r in CONTRACTS[phase] if isinstance(r, Rule) and r.test == "integer" and len(r.path) == 1]
+        fractions = F.array_compact(F.array(F.lit(None).cast("string"), *[
+            F.when(F.get_json_object(text, f"$.{n}").rlike("^-?[0-9]+[.eE]"), F.lit(n)) for n in names]))
+    return F.array_compact(F.array(*[violation(rule, report, fractions) for rule in CONTRACTS[phase]]))

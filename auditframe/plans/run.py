@@ -1,37 +1,25 @@
-"""Three-phase model run over a samples table.
+"""Three-phase model run over a samples table.
 
 samples -> render prompts A and B (P28) -> model hook (X1, ``mapInPandas``)
 -> attempts table written once (exactly-once model calls; every later step
-reads it) -> attempt resolution (X4) -> decode (P19, P20) -> normalise (P29)
--> contracts (F9, F10) -> report or placeholder (P30) + issue (X5);
-A and B joined on the sample id (J3) -> prompt C -> the same chain (F11) ->
-the 26-column result row (P31).
+reads it) -> reports and issues (``plans/phases.py``); A and B joined on the sample
+id (J3) -> prompt C -> the same chain -> the 26-column result row (P31).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions import text as T
-from auditframe.functions import variant as V
-from auditframe.functions.jsonfix import decode_model_json, redact_json
-from auditframe.operators.contracts import contract_errors
-from auditframe.plans.inference import resolve_attempts
+from auditframe.plans.phases import flatten, issues_of, normalize, phase_reports, wide_reports
 from auditframe.session import cut_lineage
 
-# Default text of a missing phase A context field, the
-# undetermined marker, and the placeholder descriptions.
-MISSING_CONTEXT = "模型未提供该字段"
-UNDETERMINED = "无法确定"
-PLACEHOLDER_DESCRIPTION = {
-    "A": "阶段 A 执行失败，已使用占位结果。",
-    "B": "阶段 B 执行失败，已使用占位结果。",
-    "C": "阶段 C 执行失败，已使用占位结果。",
-}
+__all__ = ["DEFAULT_TEMPLATES", "call_phase", "normalize", "normalized_samples", "phase_documents", "render", "rerun", "run_three_phases"]
 
 # Prompt templates are job parameters (``str.format`` syntax). These short
 # defaults carry the placeholders each phase needs; pass the production
@@ -115,112 +103,18 @@ def call_phase(prompts: DataFrame, model_factory: Callable[[], Callable[[pd.Data
     return cut_lineage(prompts.mapInPandas(run, ATTEMPT_SCHEMA))
 
 
-def as_variant(value: Column) -> Column:
-    """Any scalar Column as a VARIANT holding that JSON value."""
-    return V.field(F.parse_json(F.to_json(F.struct(value.alias("v")))), "v")
-
-
-def _norm_node(j: Column) -> Column:
-    node = V.field(j, "vulnerability_node")
-    fields = []
-    for f in ("variable_name", "step_location", "issue_description"):
-        v = V.field(node, f)
-        bad = V.has_field(node, f) & ~(V.is_string(v) & (T.py_strip(F.coalesce(V.string_value(v), F.lit(""))) != ""))
-        fields.append(F.when(bad, F.parse_json(F.lit(f'"{UNDETERMINED}"'))).otherwise(v).alias(f))
-    return F.when(V.is_object(node), F.try_parse_json(F.to_json(F.struct(*fields)))).otherwise(node)
-
-
-def normalize(phase: str, j: Column, cwe_default: Column | None = None) -> Column:
-    """Fill omitted optional fields; join a CWE list; blank node fields
-    become the undetermined marker. Returns a VARIANT (known keys only)."""
-    fld = lambda k: V.field(j, k)
-    if phase == "A":
-        s = F.struct(
-            fld("non_standard_external_calls").alias("non_standard_external_calls"),
-            fld("data_flow_path").alias("data_flow_path"),
-            _norm_node(j).alias("vulnerability_node"),
-            F.when(V.has_field(j, "confidence"), fld("confidence")).otherwise(F.parse_json(F.lit("0"))).alias("confidence"),
-            F.when(V.has_field(j, "additional_context_needed"), fld("additional_context_needed"))
-            .otherwise(as_variant(F.lit(MISSING_CONTEXT))).alias("additional_context_needed"),
-        )
-    elif phase == "B":
-        cw = fld("cwe_type")
-        items = F.try_variant_get(cw, "$", "array<string>")
-        as_list = F.when(
-            V.vtype(cw).startswith("ARRAY") & (F.size(items) > 0)
-            & F.forall(items, lambda x: x.isNotNull() & (T.py_strip(x) != "")),
-            as_variant(F.array_join(F.transform(items, lambda x: T.py_strip(x)), ", ")),
-        )
-        default_cwe = F.when(T.py_strip(F.coalesce(cwe_default, F.lit(""))) != "", T.py_strip(cwe_default)).otherwise(
-            F.lit(UNDETERMINED))
-        constraint = F.when(V.has_field(j, "caller_constraint"), fld("caller_constraint")).otherwise(
-            F.parse_json(F.lit("null")))
-        c_text = V.string_value(constraint)
-        depends_default = as_variant(F.coalesce(c_text.isNotNull() & (T.py_strip(c_text) != ""), F.lit(False)))
-        s = F.struct(
-            fld("data_flow_path").alias("data_flow_path"),
-            _norm_node(j).alias("vulnerability_node"),
-            F.coalesce(as_list, F.when(V.has_field(j, "cwe_type"), cw).otherwise(as_variant(default_cwe)))
-            .alias("cwe_type"),
-            F.when(V.has_field(j, "depends_on_caller"), fld("depends_on_caller")).otherwise(depends_default)
-            .alias("depends_on_caller"),
-            constraint.alias("caller_constraint"),
-        )
-    else:
-        return j
-    return F.when(V.is_object(j), F.try_parse_json(F.to_json(s))).otherwise(j)
-
-
-def _placeholder(phase: str, message: Column, cwe: Column) -> Column:
-    """Schema-compatible placeholder report as a VARIANT."""
-    marker = f"[PHASE_{phase}_ERROR]"
-    meta = [F.lit(True).alias("pipeline_placeholder"), F.lit("PhaseError").alias("pipeline_error_type"),
-            message.alias("pipeline_error")]
-    node = F.struct(F.lit(marker).alias("variable_name"), F.lit(marker).alias("step_location"),
-                    F.lit(PLACEHOLDER_DESCRIPTION[phase]).alias("issue_description"))
-    if phase == "A":
-        s = F.struct(F.array().cast("array<string>").alias("non_standard_external_calls"),
-                     F.lit(marker).alias("data_flow_path"), node.alias("vulnerability_node"),
-                     F.lit(0).alias("confidence"), message.alias("additional_context_needed"), *meta)
-    elif phase == "B":
-        s = F.struct(F.lit(marker).alias("data_flow_path"), node.alias("vulnerability_node"),
-                     F.when(T.py_strip(cwe) != "", cwe).otherwise(F.lit(marker)).alias("cwe_type"),
-                     F.lit(False).alias("depends_on_caller"), message.alias("caller_constraint"), *meta)
-    else:
-        s = F.struct(F.lit(0.0).alias("variable_match_score"), F.lit(0.0).alias("step_position_score"),
-                     F.lit(0.0).alias("dataflow_path_score"), F.lit(marker).alias("overall_consistency"),
-                     F.lit(PLACEHOLDER_DESCRIPTION[phase]).alias("comment"), *meta)
-    return F.parse_json(F.to_json(s))
+def phase_c_prompts(samples: DataFrame, reports: DataFrame, templates: dict[str, dict[str, str]]) -> DataFrame:
+    """P28 for phase C: both reports of a sample as JSON texts in its prompt."""
+    t = templates["C"]
+    return wide_reports(samples, reports).select(
+        "sample_id", F.lit("C").alias("phase"), F.lit(t["system"]).alias("system_prompt"),
+        render(t["user"], {"blind_report": F.col("report_A"), "omniscient_report": F.col("report_B")}).alias("user_prompt"))
 
 
-def _finish(res: DataFrame, phase: str, cwe: Column) -> DataFrame:
-    """Report or placeholder plus the issue row of one phase."""
-    # each step is materialised (one small write) so the next one reads a
-    # plain column instead of inlining the previous expression tree
-    out = cut_lineage(res.withColumn("_dj", decode_model_json(F.col("payload"))).withColumn("_cwe", cwe))
-    out = cut_lineage(out.withColumn("_j", normalize(phase, F.col("_dj"), F.col("_cwe"))))
-    cwe = F.col("_cwe")
-    if phase == "C":
-        comment = V.field(F.col("_j"), "comment")
-        fixed = F.when(V.is_object(comment), as_variant(F.to_json(comment)))
-        out = out.withColumn("_j", F.when(fixed.isNotNull(), F.try_parse_json(F.to_json(F.struct(
-            *[V.field(F.col("_j"), k).alias(k) for k in
-              ("variable_match_score", "step_position_score", "dataflow_path_score", "overall_consistency")],
-            fixed.alias("comment"))))).otherwise(F.col("_j")))
-    errs = F.when(F.col("resolved") & F.col("_j").isNull(), F.array(F.lit(f"phase {phase} output is not JSON"))) \
-        .otherwise(contract_errors(phase, F.col("_j")))
-    out = out.withColumn("_errs", errs)
-    failed = ~F.col("resolved") | (F.size("_errs") > 0)
-    message = T.safe_error_message(F.coalesce(F.col("issue_message"), F.element_at("_errs", 1)))
-    out = out.withColumn("_failed", failed).withColumn("_msg", F.when(failed, message))
-    report = F.when(failed, _placeholder(phase, F.col("_msg"), cwe)).otherwise(F.col("_j"))
-    issue = F.when(failed, F.struct(
-        F.col("sample_id"), F.lit(phase).alias("phase"),
-        F.when(F.col("resolved"), F.lit("PhaseOutputValidationError")).otherwise(F.lit("ModelCallError")).alias("error_type"),
-        F.col("_msg").alias("message"),
-        redact_json(F.when(failed, F.col("payload"))).alias("model_output"),
-    ))
-    return out.select("sample_id", report.alias(f"report_{phase}"), issue.alias(f"issue_{phase}"))
+def recorded_reports(samples: DataFrame, attempts: DataFrame, phases: Sequence[str]) -> DataFrame:
+    """X2 of some phases, written once: prompts, issues and results read the same rows."""
+    parts = [phase_reports(samples, attempts, p) for p in phases]
+    return cut_lineage(functools.reduce(DataFrame.unionByName, parts))
 
 
 def run_three_phases(
@@ -244,64 +138,13 @@ def run_three_phases(
                  render(t["B"]["user"], vals).alias("user_prompt")))
     if workers:
         prompts = prompts.repartition(workers)
-    ab = call_phase(prompts, model_factory)
-
-    def resolved(att: DataFrame, phase: str) -> DataFrame:
-        a = att.where(F.col("phase") == phase).withColumns({"event_ts": F.col("attempt"), "event_id": F.col("attempt")})
-        return resolve_attempts(a)
-
-    cwe = F.col("cwe")
-    ra = _finish(resolved(ab, "A").join(s.select("sample_id", "cwe"), "sample_id"), "A", cwe)
-    rb = _finish(resolved(ab, "B").join(s.select("sample_id", "cwe"), "sample_id"), "B", cwe)
-    j = s.join(ra, "sample_id").join(rb, "sample_id")
-    j = cut_lineage(j.withColumns({"report_A": F.to_json("report_A"), "report_B": F.to_json("report_B")}))
-    prompts_c = j.select("sample_id", F.lit("C").alias("phase"), F.lit(t["C"]["system"]).alias("system_prompt"),
-                         render(t["C"]["user"], {"blind_report": F.col("report_A"),
-                                                 "omniscient_report": F.col("report_B")}).alias("user_prompt"))
+    reports = recorded_reports(s, call_phase(prompts, model_factory), ("A", "B"))
+    prompts_c = phase_c_prompts(s, reports, t)
     if workers:
         prompts_c = prompts_c.repartition(workers)
-    c = call_phase(prompts_c, model_factory)
-    rc = _finish(resolved(c, "C").join(s.select("sample_id", "cwe"), "sample_id"), "C", cwe)
-    full = j.join(rc, "sample_id").withColumns({"_A": F.parse_json("report_A"), "_B": F.parse_json("report_B"),
-                                                "_C": F.col("report_C")})
-    results = flatten(full)
-    issues = full.select(F.inline(F.array_compact(F.array("issue_A", "issue_B", "issue_C"))))
-    issues = issues.select(F.current_timestamp().alias("timestamp_utc"), "*")
-    return results, issues
-
-
-def _s(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
-
-
-def flatten(full: DataFrame) -> DataFrame:
-    """Sample + A + B + C as the 26-column result row, raw reports as JSON."""
-    a, b, c = F.col("_A"), F.col("_B"), F.col("_C")
-    return full.select(
-        "sample_id", "commit_id", "project", "cwe",
-        F.to_json(V.field(a, "non_standard_external_calls")).alias("phase_a_non_standard_external_calls"),
-        _s(a, "$.data_flow_path").alias("phase_a_data_flow_path"),
-        _s(a, "$.vulnerability_node.variable_name").alias("phase_a_vulnerability_variable"),
-        _s(a, "$.vulnerability_node.step_location").alias("phase_a_vulnerability_step_location"),
-        _s(a, "$.vulnerability_node.issue_description").alias("phase_a_vulnerability_issue_description"),
-        F.try_variant_get(a, "$.confidence", "bigint").alias("phase_a_confidence"),
-        _s(a, "$.additional_context_needed").alias("phase_a_additional_context_needed"),
-        F.to_json(a).alias("phase_a_raw"),
-        _s(b, "$.data_flow_path").alias("phase_b_data_flow_path"),
-        _s(b, "$.vulnerability_node.variable_name").alias("phase_b_vulnerability_variable"),
-        _s(b, "$.vulnerability_node.step_location").alias("phase_b_vulnerability_step_location"),
-        _s(b, "$.vulnerability_node.issue_description").alias("phase_b_vulnerability_issue_description"),
-        _s(b, "$.cwe_type").alias("phase_b_cwe_type"),
-        F.try_variant_get(b, "$.depends_on_caller", "boolean").alias("phase_b_depends_on_caller"),
-        _s(b, "$.caller_constraint").alias("phase_b_caller_constraint"),
-        F.to_json(b).alias("phase_b_raw"),
-        F.try_variant_get(c, "$.variable_match_score", "double").alias("phase_c_variable_match_score"),
-        F.try_variant_get(c, "$.step_position_score", "double").alias("phase_c_step_position_score"),
-        F.try_variant_get(c, "$.dataflow_path_score", "double").alias("phase_c_dataflow_path_score"),
-        _s(c, "$.overall_consistency").alias("phase_c_overall_consistency"),
-        _s(c, "$.comment").alias("phase_c_comment"),
-        F.to_json(c).alias("phase_c_raw"),
-    )
+    reports = reports.unionByName(recorded_reports(s, call_phase(prompts_c, model_factory), ("C",)))
+    issues = issues_of(reports).select(F.current_timestamp().alias("timestamp_utc"), "*")
+    return flatten(wide_reports(s, reports)), issues
 
 
 def phase_documents(full_results: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ derived from them with plain projections; every view grows with its table.
 ``url_rows``        pages     -> commit URLs
 ``attempt_rows``    events    -> model-call attempts
 ``sample_rows``     orders+customer -> pipeline input samples
+``response_rows``   orders    -> recorded model responses of those samples
+``nested_details``  events    -> nested JSON values with secrets
 """
 
 from __future__ import annotations
@@ -302,6 +304,84 @@ def attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Parts of the model responses by order key ``k``, as SQL; each phase has residues
+#: with a defect, the rest is well-formed.
+_NODE = """CASE {r} WHEN {text} THEN '"x"' WHEN {lacks} THEN '{{"step_location": "line 1", "issue_description": "d"}}'
+  WHEN {blank} THEN '{{"variable_name": " ", "step_location": null, "issue_description": "d", "extra": [1, 2]}}'
+  ELSE concat('{{"variable_name": "x", "step_location": "line 1", "issue_description": "', o_orderpriority, '"}}') END"""
+_RESPONSES = {
+    "A": """CASE k % 23 WHEN 17 THEN '{"confidence": 3}' ELSE concat(
+      '{"non_standard_external_calls": ', CASE k % 23 WHEN 8 THEN '["log", 7]' ELSE concat('["f_', k, '", "log"]') END,
+      ', "data_flow_path": ', CASE k % 23 WHEN 4 THEN '"  "' WHEN 20 THEN '5' ELSE concat('"x -> f_', k, ' -> return"') END,
+      ', "vulnerability_node": ', """ + _NODE.format(r="k % 23", text=5, lacks=6, blank=7) + """,
+      CASE k % 23 WHEN 1 THEN '' WHEN 2 THEN ', "confidence": 101' WHEN 3 THEN ', "confidence": true' WHEN 19 THEN ', "confidence": 5.0'
+        ELSE concat(', "confidence": ', k % 101) END,
+      CASE k % 23 WHEN 9 THEN '' WHEN 21 THEN ', "additional_context_needed": 4' ELSE ', "additional_context_needed": null' END,
+      ', "reviewer": "team ', k % 7, '"}') END""",
+    "B": """concat(
+      '{"data_flow_path": ', CASE k % 19 WHEN 11 THEN 'null' ELSE '"a -> b"' END,
+      ', "vulnerability_node": ', """ + _NODE.format(r="k % 19", text=9, lacks=10, blank=13) + """,
+      CASE k % 19 WHEN 1 THEN '' WHEN 2 THEN ', "cwe_type": ["CWE-1", " CWE-2 "]' WHEN 3 THEN ', "cwe_type": []'
+        WHEN 4 THEN ', "cwe_type": ["CWE-1", 5]' ELSE concat(', "cwe_type": "CWE-', k % 200, '"') END,
+      CASE k % 19 WHEN 5 THEN '' WHEN 6 THEN '' WHEN 7 THEN ', "depends_on_caller": "yes"'
+        ELSE concat(', "depends_on_caller": ', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END) END,
+      CASE k % 19 WHEN 6 THEN '' WHEN 8 THEN ', "caller_constraint": 3' WHEN 5 THEN ', "caller_constraint": "caller checks"'
+        ELSE ', "caller_constraint": null' END,
+      CASE k % 19 WHEN 7 THEN concat(', "api_key": {"v": "k', k, '"}, "notes": ["Bearer abc', k, '", {"n": "sk-zz', k, ' end"}]') ELSE '' END, '}')""",
+    "C": """concat(
+      '{"variable_match_score": ', CASE k % 5 WHEN 0 THEN '0' WHEN 1 THEN '0.25' WHEN 2 THEN '0.5' WHEN 3 THEN '0.75' ELSE '1' END,
+      ', "step_position_score": 0.5, "dataflow_path_score": ', CASE k % 17 WHEN 1 THEN '"0.5"' WHEN 2 THEN 'true' ELSE '1' END,
+      ', "overall_consistency": ', CASE k % 17 WHEN 3 THEN '" "' ELSE '"consistent"' END,
+      CASE k % 17 WHEN 4 THEN concat(', "comment": {"note": "n', k, '", "tags": [1, 2]}') WHEN 5 THEN '' ELSE ', "comment": "ok"' END, '}')""",
+}
+#: How a phase's attempts come out, as SQL: the residue, whether all attempts fail in
+#: the same way (else the second one succeeds), and the text around a body.
+_CALLS = {
+    "A": ("k % 23", (12, 13, 14, 15, 16)), "B": ("k % 19", (12,)), "C": ("k % 17", (7,)),
+}
+
+
+def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded model responses of ``sample_rows``: every order calls the phases A,
+    B and C in up to three attempts. Some calls fail (a status and a request id, or
+    neither), some answers are cut off, no JSON, no object, fenced, lack a closer,
+    have a comma too many or follow a draft."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    parts = []
+    for phase, (residue, failing) in _CALLS.items():
+        rows = o.select(F.col("o_orderkey").alias("k"), F.expr(residue.replace("k", "o_orderkey")).alias("r"), "o_orderpriority")
+        rows = rows.withColumn("body", F.expr(_RESPONSES[phase]))
+        tries = F.when(F.col("r").isin(*failing), F.when((F.lit(phase) == "A") & (F.col("r") == 12), 2).otherwise(3)).otherwise(1)
+        rows = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), tries)))
+        r = F.when(F.lit(phase) == "A", F.col("r")).when(F.lit(phase) == "B", F.col("r") + 100).otherwise(F.col("r") + 200)
+        lost = ((r == 12) & (F.col("attempt") == 1)) | (r == 13)
+        text = (
+            F.when(r == 10, F.concat(F.lit("```json\n"), "body", F.lit("\n```"))).when(r == 11, F.expr("concat(left(body, length(body) - 1), ' ,}')"))
+            .when(r == 15, "not json {").when(r == 16, "[1, 2]").when(r == 18, F.concat(F.lit('{"draft": 1} '), "body"))
+            .when(r == 22, F.expr("left(body, length(body) - 1)")).when(r == 206, F.concat(F.lit(" ```JSON\n"), "body", F.lit("```\n"))).otherwise(F.col("body")))
+        parts.append(rows.select(
+            F.concat(F.lit("o_"), F.col("k").cast("string")).alias("sample_id"), F.lit(phase).alias("phase"), F.col("attempt").cast("bigint").alias("attempt"),
+            F.when(lost, "APITimeoutError").when(r == 112, "APIConnectionError").alias("error_type"),
+            F.when(lost, F.concat(F.lit("timeout  after 120 s, Bearer tok"), F.col("k").cast("string"))).when(r == 112, "connection reset").alias("message"),
+            F.when(lost, 504).alias("status_code"), F.when(lost, F.concat(F.lit("req-"), F.col("k").cast("string"))).alias("request_id"),
+            F.when(lost | (r == 112), F.lit(None)).when(r.isin(14, 207), "length").otherwise("stop").alias("finish_reason"),
+            F.when(~(lost | (r == 112)), text).alias("model_output")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def nested_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values with secrets at several depths from ``events``: ``props`` inside
+    objects and lists, secret-named keys holding texts, numbers and objects."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    k = F.col("event_id").cast("string")
+    deep = F.when(F.pmod("event_id", F.lit(31)) == 0, F.lit('{"a": {"b": {"c": {"d": ["Bearer deep, x"]}}}}')).otherwise(F.lit("null"))
+    body = F.concat(
+        F.lit('{"props": '), F.col("props"), F.lit(', "auth": {"Api-Key": {"v": '), k, F.lit('}, "user": "u'), F.col("user_id").cast("string"),
+        F.lit('"}, "log": ["bearer  tok'), k, F.lit('; next", {"msg": "key sk-'), k, F.lit('_x.", "client_secret": '), k,
+        F.lit('}, [true, null, 1.5]], "kind": "'), F.col("event_type"), F.lit('", "deep": '), deep, F.lit("}"))
+    return e.select("event_id", F.parse_json(body).alias("details"))
+
+
 def _vulnerable(name: Column, k: Column) -> Column:
     body = F.pmod(k, F.lit(7)).cast("string")
     return F.concat(F.lit("int "), name, F.lit("(int x)\n{\n  return x + "), body, F.lit(";\n}"))

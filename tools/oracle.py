@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import itertools
 
+from tools.oracle_phases import phase_oracles
+
 MODELS = ("chatgpt", "claude", "deepseek")
 BANDS = ("low", "middle", "high")
 BAND_DEF = {"low": "(-inf, 0.25]", "middle": "(0.25, 0.75)", "high": "[0.75, +inf)"}
@@ -934,6 +936,7 @@ def oracles() -> dict[str, str]:
     q.update(pair_oracles())
     q.update(inference_oracles())
     q.update(reposvul_oracles())
+    q.update(phase_oracles())
     q.update(key_oracles())
     q.update(source_oracles())
     q.update(url_oracles())
