@@ -1,21 +1,24 @@
 """File sources and sinks (S1..S7, S9..S12, S15) and input checks.
 
 Readers use explicit all-string schemas (no inference), keep a stable line
-ordinal where the reference depends on file order, and report bad records
-as a side table or a fail-fast error computed by one aggregate.
+ordinal where file order matters, and report bad records as a side table or a
+fail-fast error computed by one aggregate. Big files are read in byte ranges, also
+JSON arrays and CSV with line breaks in fields (``sources/splits.py``).
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from auditframe.functions import text as T
 from auditframe.functions import variant as V
-from auditframe.operators.ordinals import with_ordinal
+from auditframe.session import cut_lineage
+from auditframe.sources.splits import csv_records, json_elements, numbered_rows, parquet_rows
 
 # Sample fields of a pipeline input and the 26 result columns.
 INPUT_FIELDS = ("sample_id", "func_before", "func_after", "commit_msg", "bug_description", "commit_id",
@@ -50,37 +53,48 @@ def _range(df: DataFrame, start: int, end: int | None) -> DataFrame:
     return out
 
 
-def with_file_ordinal(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """Stable 1-based row number in (file, position) order.
+#: Fields come out as they stand in the file, null where they are empty or absent.
+_CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
-    Text and multi-line CSV files are read one task per file in file order,
-    so (file path, block start, monotonically increasing id) is the line
-    order; the global ordinal is then computed without a one-task window."""
-    tagged = df.select("*", F.col("_metadata.file_path").alias("_fp"),
-                       F.col("_metadata.file_block_start").alias("_fb"),
-                       F.monotonically_increasing_id().alias("_mid"))
-    return with_ordinal(tagged, ["_fp", "_fb", "_mid"], name).drop("_fp", "_fb", "_mid")
+
+def _csv_table(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(header, rows (row_number, field struct ``f``)): CSV files whose fields may hold
+    line breaks, read in byte ranges. ``f`` has one field more than the header, so
+    that a longer row shows. Rows are numbered over the files in path order."""
+    records = csv_records(spark, path)
+    first = records.where("number = 0").orderBy("file").select("text").take(1)
+    if not first:
+        raise ValueError("the CSV file is empty")
+    header = [h.lstrip("\ufeff") for h in next(csv.reader([first[0]["text"].rstrip("\r")], strict=False))]
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = cut_lineage(records.groupBy("file").agg(F.max("number").alias("n"))).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    schema = ", ".join(f"c{i} string" for i in range(len(header) + 1))
+    rows = records.where("number > 0").join(F.broadcast(files), "file")
+    return header, rows.select((F.col("off") + F.col("number")).cast("bigint").alias("row_number"), F.from_csv(
+        F.regexp_replace("text", "\r$", ""), schema, _CSV_OPTIONS).alias("f"))
 
 
 def read_samples_csv(
     spark: SparkSession, path: str, start: int = 1, end: int | None = None, multi_line: bool = True,
 ) -> DataFrame:
-    """CSV samples with a 1-based inclusive row range (all strings). Files
-    whose fields hold no line breaks can be read in splits: ``multi_line=False``."""
+    """CSV samples with a 1-based inclusive row range (all strings). Files are
+    read in byte ranges either way; where no field holds a line break,
+    ``multi_line=False`` leaves the cutting to Spark's reader."""
     _check_range(start, end)
-    header = spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
+    if multi_line:
+        header, rows = _csv_table(spark, path)
+        return _range(rows.select(*[F.col(f"f.c{i}").alias(c) for i, c in enumerate(header)], "row_number"), start, end)
+    header = spark.read.option("header", True).csv(path).columns
     schema = T_.StructType([T_.StructField(c, T_.StringType()) for c in header])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
-    return _range(with_file_ordinal(df), start, end)
+    df = spark.read.schema(schema).options(**_CSV_OPTIONS).option("header", True).csv(path)
+    return _range(numbered_rows(df, "row_number"), start, end)
 
 
 def read_samples_parquet(spark: SparkSession, path: str, start: int = 1, end: int | None = None) -> DataFrame:
-    """Parquet samples with the same range, ordered by (file, row index)."""
+    """Parquet samples with the same range, ordered by (file, row index); only
+    the files that hold rows of the range are read."""
     _check_range(start, end)
-    df = spark.read.parquet(path)
-    tagged = df.select("*", F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.row_index").alias("_ri"))
-    return _range(with_ordinal(tagged, ["_fp", "_ri"], "row_number").drop("_fp", "_ri"), start, end)
+    return _range(parquet_rows(spark, path, start, end, "row_number"), start, end)
 
 
 def read_samples_json(spark: SparkSession, path: str, fail_fast: bool = True) -> DataFrame:
@@ -90,13 +104,15 @@ def read_samples_json(spark: SparkSession, path: str, fail_fast: bool = True) ->
     repeated ids are rejected (``reason``); with ``fail_fast`` the first
     problem raises instead."""
     if path.lower().endswith(".jsonl"):
-        raw = with_file_ordinal(spark.read.text(path)).where(T.py_strip(F.col("value")) != "")
+        raw = numbered_rows(spark.read.text(path), "row_number").where(T.py_strip(F.col("value")) != "")
         items = raw.select("row_number", F.try_parse_json("value").alias("v"), F.col("value").alias("_text"))
     else:
-        whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("doc"))
-        arr = F.try_variant_get("doc", "$", "array<variant>")
-        items = whole.select(F.posexplode(F.when(arr.isNotNull(), arr).otherwise(F.array("doc"))).alias("pos", "v"))
-        items = items.select((F.col("pos") + 1).cast("bigint").alias("row_number"), "v", F.lit(None).alias("_text"))
+        head = spark.read.option("lineSep", ",").text(path).select(F.ltrim(F.regexp_replace("value", "^\ufeff?\\s+", ""))).first()
+        if head and head[0].lstrip("\ufeff").startswith("["):
+            items = json_elements(spark, path).select((F.col("number") + 1).alias("row_number"), F.try_parse_json("text").alias("v"))
+        else:
+            items = spark.read.option("wholetext", True).text(path).select(
+                F.lit(1).cast("bigint").alias("row_number"), F.try_parse_json("value").alias("v"))
     keys = F.map_keys(F.from_json(F.to_json("v"), "map<string,string>"))
     unknown = F.array_except(keys, F.array(*[F.lit(f) for f in INPUT_FIELDS]))
     fields = {f: V.field(F.col("v"), f) for f in INPUT_FIELDS}
@@ -129,19 +145,17 @@ def read_result_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     """S4 + F3: result table CSV; NUL characters removed, BOM dropped, rows
     with more fields than the header skipped (``ragged``), short rows kept
     with empty tails."""
-    header = spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
-    header = [h.lstrip("﻿") for h in header]
+    if multi_line:
+        header, rows = _csv_table(spark, path)
+    else:
+        header = [h.lstrip("\ufeff") for h in spark.read.option("header", True).csv(path).columns]
+        probe = T_.StructType([T_.StructField(f"c{i}", T_.StringType()) for i in range(len(header) + 1)])
+        rows = spark.read.schema(probe).options(**_CSV_OPTIONS).option("header", True).option("enforceSchema", True).csv(path)
+        rows = rows.select(F.struct("*").alias("f"))
     if len(header) != len(set(header)):
         raise ValueError("input CSV contains duplicate column names")
-    schema = T_.StructType([T_.StructField(c, T_.StringType()) for c in header] +
-                           [T_.StructField("_corrupt", T_.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path))
-    probe = T_.StructType([T_.StructField(f"c{i}", T_.StringType()) for i in range(len(header) + 1)])
-    extra = F.from_csv(F.col("_corrupt"), probe.simpleString(), {"escape": '"'})[f"c{len(header)}"]
-    df = df.withColumn("ragged", F.col("_corrupt").isNotNull() & extra.isNotNull())
-    cleaned = [F.replace(F.col(c), F.lit("\u0000"), F.lit("")).alias(c) for c in header]
-    return df.select(*cleaned, "ragged")
+    cleaned = [F.replace(F.col(f"f.c{i}"), F.lit("\u0000"), F.lit("")).alias(c) for i, c in enumerate(header)]
+    return rows.select(*cleaned, F.col(f"f.c{len(header)}").isNotNull().alias("ragged"))
 
 
 def rebuild_from_combined(spark: SparkSession, directory: str) -> DataFrame:
@@ -173,14 +187,15 @@ def rebuild_from_combined(spark: SparkSession, directory: str) -> DataFrame:
 def merge_jsonl(spark: SparkSession, sources: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Ordered concatenation of JSONL splits (a missing final newline is
     handled by the line reader); returns (lines, per-source counts)."""
-    parts = [spark.read.text(p).select(F.lit(i).alias("source_ord"), F.lit(p).alias("source"),
-                                        F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.file_block_start").alias("_fb"),
-                                        F.monotonically_increasing_id().alias("_mid"), "value")
+    parts = [numbered_rows(spark.read.text(p), "_line").select(F.lit(i).alias("source_ord"), F.lit(p).alias("source"), "_line", "value")
              for i, p in enumerate(sources)]
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    lines = with_ordinal(lines, ["source_ord", "_fp", "_fb", "_mid"], "line_number").drop("_fp", "_fb", "_mid")
+    before = Window.orderBy("source_ord").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(lines.groupBy("source_ord").count()).select("source_ord", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
+    lines = lines.join(F.broadcast(offsets), "source_ord").select(
+        "source_ord", "source", "value", (F.col("_off") + F.col("_line")).cast("bigint").alias("line_number"))
     counts = lines.groupBy("source_ord", "source").agg(
         F.count("*").alias("records"), F.sum(F.octet_length("value") + 1).alias("bytes"))
     return lines, counts
@@ -190,18 +205,19 @@ def read_json_array(spark: SparkSession, path: str, layout: str = "document") ->
     """Elements of a JSON array file with their 0-based index; non-object
     elements are kept (the caller counts them as invalid).
 
-    ``layout`` says how the file is written: ``document`` is any JSON array, read
-    as one value (a file of up to 2 GB, one task each); ``lines`` has one element
-    per line, with or without commas and bracket lines, and is read in splits."""
+    ``layout`` says how the file is written: ``document`` is a JSON array however it is
+    laid out, read in byte ranges by many tasks; ``lines`` has one element per line,
+    with or without commas and bracket lines. A file that is no array, is not closed
+    or goes on behind it is an error, as is an element that is no JSON."""
     if layout == "lines":
         element = F.regexp_replace(T.py_strip(F.col("value")), ",$", "")
         raw = spark.read.text(path).withColumn("value", element).where(~F.col("value").isin("", "[", "]"))
-        rows = with_file_ordinal(raw, "index")
-        return rows.select((F.col("index") - 1).cast("int").alias("index"), F.try_parse_json("value").alias("record"))
+        return numbered_rows(raw, "index", 0).select(F.col("index").cast("int").alias("index"), F.try_parse_json("value").alias("record"))
     if layout != "document":
         raise ValueError(f"unknown layout {layout!r}")
-    doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("d"))
-    return doc.select(F.posexplode(F.try_variant_get("d", "$", "array<variant>")).alias("index", "record"))
+    parsed = json_elements(spark, path).select(F.col("number").cast("int").alias("index"), F.try_parse_json("text").alias("record"))
+    bad = F.raise_error(F.format_string("element %d of the JSON array is no JSON", "index")).cast("string")
+    return parsed.select("index", F.when(F.col("record").isNull(), F.parse_json(bad)).otherwise(F.col("record")).alias("record"))
 
 
 def csv_cell(c: Column, dtype: T_.DataType) -> Column:
@@ -268,7 +284,7 @@ def write_phase_documents(docs: DataFrame, path: str) -> None:
 def error_log_entries(spark: SparkSession, path: str) -> DataFrame:
     """error-log lines -> (line, sample_id, reason); blank lines skipped,
     entries must be objects with a non-blank string sample_id; NaN rejected."""
-    raw = with_file_ordinal(spark.read.text(path), "line").where(T.py_strip(F.col("value")) != "")
+    raw = numbered_rows(spark.read.text(path), "line").where(T.py_strip(F.col("value")) != "")
     v = F.try_parse_json("value")
     sid = V.string_value(V.field(v, "sample_id"))
     reason = (F.when(v.isNull(), F.lit("invalid_json")).when(~V.is_object(v), F.lit("non_object"))
