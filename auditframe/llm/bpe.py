@@ -1,119 +1,80 @@
-"""Whole-text encoding with public tokenizers, each distinct piece encoded once.
-
-A text is cut only where the tokenizer's own pre-tokenisation always cuts:
-before the space that joins two runs of non-white characters, around runs of
-white space, and between a run of letters and a mark like the full stop. Those cuts need no context on the left and none on the right, so
-the library's ids of the pieces, concatenated, are its ids of the text. Pieces
-repeat, so each worker keeps the ids of those it has seen (bounded). A special
-token written out in a text gets its id, as in a plain call of the library.
+"""Whole-text encoding by the merge loop of the tiktoken library.
+
+A tokenizers file of plain byte-pair merges is a rank file written differently:
+its ids follow its merges, so they serve as ranks of byte strings. What differs
+is how a text is cut into pre-tokens, and that is kept exactly:
+
+* *Byte-level files.* The pattern's look-ahead only matters where two white
+  characters follow each other; a text without takes the same pattern without it,
+  which the regex library matches several times faster.
+* *Files with word ends.* The pre-tokens of a text, lower-cased, are joined by
+  spaces; white space is dropped by the file's pre-tokeniser, so the space is free to
+  stand for the word end, and a pre-token with its space is one piece. Runs of
+  white-space-separated words with characters whose normal form, lower case or
+  class is not plain go through the tokenizers library itself; white space always
+  cuts, so the ids of the runs, concatenated, are those of the text.
+
+A special token written out in a text gets its id, as in a plain call of the
+library; the texts around it are encoded by themselves.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
-
 #: The characters of Unicode's White_Space property.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Letters of the Latin blocks, and marks that end a run of letters for certain
-#: (not the apostrophe, which may begin a contraction). U+0130 is left out: in
-#: lower case it ends in U+0307, no letter, which joins the marks that follow.
-_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
-_AFTER = f"(?=[.,;:!?{WHITE}]|\\Z)"
-#: An optional space and a run of letters before a mark or white space; or of
-#: non-white characters; or white space (leaving a last single space to the run
-#: that follows it).
-SPACED_RUNS = re.compile(f"[ ]?[{_LETTERS}]+{_AFTER}|[ ]?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-BARE_RUNS = re.compile(f"[{_LETTERS}]+{_AFTER}|[^{WHITE}]+")
-#: Pieces kept per worker (in each of two generations), and the longest one kept.
-CACHE_PIECES = 250_000
-CACHE_CHARS = 48
-#: Texts are looked up together up to so many characters; pieces new to the
-#: worker are encoded by one library call of lines of so many pieces.
-GROUP_CHARS = 1 << 20
-LINE_PIECES = 256
-_MARK = "\x01"
-
-
-class PieceEncoder:
-    """``ids(texts)``: per text its token ids as little-endian unsigned 32-bit bytes.
-
-    New pieces are encoded as lines, a mark between each two of them: ``gap``
-    holds the mark between characters at which the tokenizer always cuts, so
-    the mark's id tells the pieces' ids apart. Pieces that hold the mark or are
-    white are encoded alone. The literals in ``special`` are pieces of their own,
-    and the texts between them are cut by themselves, as the library does. Of the pieces seen, those of the current and the
-    previous generation are kept, so frequent ones stay."""
-
-    def __init__(self, pieces: re.Pattern, encode: Callable[[list[str]], list[list[int]]], gap: str, special: Iterable[str] = ()):
-        self._find, self._encode, self._gap = pieces.findall, encode, gap
-        (around,) = encode([gap])
-        (self._mark,) = encode([_MARK])[0]
-        self._left = around.index(self._mark)
-        self._right = len(around) - self._left - 1
-        self._special = sorted(special, key=len, reverse=True)
-        self._apart = re.compile(f"({'|'.join(map(re.escape, self._special))})").split
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
-        alone = [p for p in pieces if _MARK in p or p.isspace()]
-        joined = [p for p in pieces if not (_MARK in p or p.isspace())] if alone else pieces
-        out = {p: np.array(ids, "<u4").tobytes() for p, ids in zip(alone, self._encode(alone) if alone else [], strict=True)}
-        groups = [joined[i:i + LINE_PIECES] for i in range(0, len(joined), LINE_PIECES)]
-        for group, line in zip(groups, self._encode([self._gap.join(g) for g in groups]) if groups else [], strict=True):
-            ids = np.array(line, "<u4")
-            marks = 4 * np.flatnonzero(ids == self._mark)
-            if len(marks) != len(group) - 1:
-                raise ValueError("the mark does not tell the pieces apart")
-            raw = ids.tobytes()
-            begins = [0, *(marks + 4 * (self._right + 1)).tolist()]
-            ends = [*(marks - 4 * self._left).tolist(), len(raw)]
-            out.update((p, raw[a:b]) for p, a, b in zip(group, begins, ends, strict=True))
-        return out
-
-    def _lookup(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of all ``pieces``; keeps them as seen."""
-        new, old = self._new, self._old
-        missing = pieces.difference(new)
-        found = {p: old[p] for p in missing if p in old}
-        found.update(self._encoded([p for p in missing if p not in found]))
-        long = {p: x for p, x in found.items() if len(p) > CACHE_CHARS}
-        if len(new) + len(found) > CACHE_PIECES:
-            here = {p: new[p] for p in pieces if p in new}
-            self._old, self._new = new, {}
-            found.update(here)
-        self._new.update((p, x) for p, x in found.items() if p not in long)
-        return {**self._new, **long} if long else self._new
-
-    def _pieces(self, text: str) -> list[str]:
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_TWO_WHITE = re.compile(f"[{WHITE}]{{2}}")
+_WORDS = re.compile(f"[^{WHITE}]+")
+#: Letters and numbers of plain texts in lower case.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Characters in normal form that lose nothing but case in lower case and have had
+#: their class since early versions of Unicode; and texts of them and white space.
+#: U+0130 is left out: its lower case is two characters.
+_PLAIN = "\x21-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e"
+_PLAIN_WORD = re.compile(f"[{_PLAIN}]+")
+_PLAIN_TEXT = re.compile(f"[{_PLAIN}{WHITE}]*")
+#: The two files' patterns. The first as the library's ByteLevel
+#: pre-tokeniser has it, less the look-ahead of its last part but one; the second
+#: with the classes above, which hold for plain texts.
+_BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BYTE_PATTERN_SINGLE_WHITE = _BYTE_PATTERN.replace(r"|\s+(?!\S)", "")
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_WORD_PATTERN = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{WHITE}{_LETTERS}{_NUMBERS}]+")
+
+
+class TextEncoder:
+    """``ids(texts)``: per text its token ids as little-endian unsigned 32-bit
+    bytes. ``encode`` gives the ids of a text without special tokens; ``special``
+    are their literals and ids."""
+
+    def __init__(self, encode: Callable[[str], bytes], special: dict[str, int]):
+        self._encode = encode
+        self._special = {s: _id_bytes([i]) for s, i in special.items()}
+        longest = sorted(special, key=len, reverse=True)
+        self._apart = re.compile(f"({'|'.join(map(re.escape, longest))})").split
+
+    def text_ids(self, text: str) -> bytes:
         if not any(s in text for s in self._special):
-            return self._find(text)
-        out = []
-        for i, part in enumerate(self._apart(text)):
-            out += [part] if i % 2 else self._find(part)
-        return out
+            return self._encode(text)
+        parts = self._apart(text)
+        return b"".join(self._special[p] if i % 2 else self._encode(p) for i, p in enumerate(parts))
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        group, size = [], 0
-        for text in texts:
-            group.append(self._pieces(text or ""))
-            size += len(text or "")
-            if size >= GROUP_CHARS:
-                yield from self._joined(group)
-                group, size = [], 0
-        yield from self._joined(group)
-
-    def _joined(self, group: list[list[str]]) -> Iterator[bytes]:
-        if group:
-            ids = self._lookup(set().union(*group)).__getitem__
-            for pieces in group:
-                yield b"".join(map(ids, pieces))
+        return (self.text_ids(text or "") for text in texts)
+
+
+def _id_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 @functools.cache
@@ -124,29 +85,90 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _library(path: str):
-    t = _tokenizer(path)
-    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _special(path: str) -> list[str]:
+def _special(path: str) -> dict[str, int]:
     """The literals that the library takes out of a text before anything else."""
-    tokens = _tokenizer(path).get_added_tokens_decoder().values()
-    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokens):
+    tokens = _tokenizer(path).get_added_tokens_decoder()
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
         raise ValueError("added tokens that depend on the text around them")
-    return [t.content for t in tokens]
+    return {t.content: i for i, t in tokens.items()}
+
+
+def _byte_symbols() -> dict[str, int]:
+    """The characters that byte-level files write for bytes: printable Latin-1
+    ones stand for themselves, the code points from 256 on for the others."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(c): b for c, b in [*((b, b) for b in plain), *((256 + i, b) for i, b in enumerate(others))]}
+
+
+def _ranks(path: str, pattern: str, word_end: str | None, end_byte: bytes = b"") -> dict[bytes, int]:
+    """Byte strings by id, checked: the file's pattern and plain merges, ids that
+    follow the merges after the single symbols. ``end_byte`` stands for the word end."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"]
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not a file of plain merges")
+    if word_end is None:
+        given = spec["normalizer"] is None and cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+    else:
+        given = cut["pretokenizers"][0]["pattern"]["Regex"] == pattern and cut["pretokenizers"][0]["invert"]
+    if not given or model.get("end_of_word_suffix") != word_end:
+        raise ValueError("the file cuts texts in another way")
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    joined = [a + b for a, b in merges]
+    if [vocab[t] for t in joined] != list(range(len(vocab) - len(joined), len(vocab))):
+        raise ValueError("the ids do not follow the merges")
+    symbols = _byte_symbols()
+
+    def raw(token: str) -> bytes:
+        if word_end and token.endswith(word_end):
+            return bytes(symbols[c] for c in token.removesuffix(word_end)) + end_byte
+        return bytes(symbols[c] for c in token)
+
+    ranks = {raw(t): i for t, i in vocab.items()}
+    if len(ranks) != len(vocab):
+        raise ValueError("two tokens of the same bytes")
+    return ranks
 
 
 @functools.cache
-def byte_level_encoder(path: str) -> PieceEncoder:
+def byte_level_encoder(path: str) -> TextEncoder:
     """For a byte-level BPE file of the tokenizers library without prefix space."""
-    return PieceEncoder(SPACED_RUNS, _library(path), f"\n{_MARK}\n", _special(path))
+    import tiktoken
+
+    ranks = _ranks(path, _BYTE_PATTERN, None)
+    single, full = (
+        tiktoken.Encoding("bytes", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for p in (_BYTE_PATTERN_SINGLE_WHITE, _BYTE_PATTERN))
+    return TextEncoder(lambda text: _id_bytes((full if _TWO_WHITE.search(text) else single)(text)), _special(path))
 
 
 @functools.cache
-def word_end_encoder(path: str) -> PieceEncoder:
+def word_end_encoder(path: str) -> TextEncoder:
     """For a BPE file with word ends whose pre-tokenisation drops white space."""
-    return PieceEncoder(BARE_RUNS, _library(path), f" {_MARK} ", _special(path))
+    import tiktoken
+
+    ranks = _ranks(path, _WORD_PATTERN, "</w>", b" ")
+    pieces = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    library = _tokenizer(path)
+
+    def plain(text: str) -> bytes:
+        words = _PLAIN_WORD_PATTERN.findall(text.lower())
+        return _id_bytes(pieces(" ".join(words) + " ")) if words else b""
+
+    def encode(text: str) -> bytes:
+        if _PLAIN_TEXT.fullmatch(text):
+            return plain(text)
+        out = []
+        for is_plain, run in itertools.groupby(_WORDS.findall(text), lambda w: bool(_PLAIN_WORD.fullmatch(w))):
+            run = " ".join(run)
+            out.append(plain(run) if is_plain else _id_bytes(library.encode(run, add_special_tokens=False).ids))
+        return b"".join(out)
+
+    return TextEncoder(encode, _special(path))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

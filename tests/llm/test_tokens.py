@@ -63,20 +63,34 @@ def test_special_tokens_equal_the_unmodified_library(path, encoder, ids):
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-@pytest.mark.parametrize("path, pieces, gap", [(WORDS, bpe.BARE_RUNS, " \x01 "), (BYTES, bpe.SPACED_RUNS, "\n\x01\n")])
-def test_small_cache(monkeypatch, path, pieces, gap):
-    """Generations turn over within and between groups of texts."""
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 40)
-    monkeypatch.setattr(bpe, "CACHE_CHARS", 6)
-    monkeypatch.setattr(bpe, "GROUP_CHARS", 300)
-    monkeypatch.setattr(bpe, "LINE_PIECES", 5)
+@pytest.mark.parametrize("path, encoder", [(WORDS, bpe.word_end_encoder), (BYTES, bpe.byte_level_encoder)])
+def test_every_character_equals_the_unmodified_library(path, encoder):
+    """Plain and other words side by side, one and more white characters, and the
+    characters whose lower case depends on what follows or grows."""
+    t, e = Tokenizer.from_file(path), encoder(path)
+    chars = [chr(i) for i in [*range(0x2500), *range(0x2C00, 0x2E80), *range(0xA640, 0xAB70), *range(0xFB00, 0xFFFE), *range(0x1D400, 0x1D800, 3)] if not 0xD800 <= i < 0xE000]
+    texts = [f"a{c} {c}1{c}.{c}{c} B{c}\u0301 x" for c in chars]
+    texts += ["\u039f\u03a3 \u039f\u03a3. \u03a3\u0399\u0393\u039c\u0391\u03a3\u03a3", "I\u0130i \u0130.", "a  b\n\nc \n d\t\te", "it's  'S 'll'Ve '", " \n", "\x1c \x1da\x1e", "\u00c5\u212b A\u030a"]
+    for text, ids in zip(texts, e.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+@pytest.mark.parametrize("path, encoder", [(WORDS, bpe.word_end_encoder), (BYTES, bpe.byte_level_encoder)])
+def test_random_mixtures_equal_the_unmodified_library(path, encoder):
     rng = np.random.default_rng(8)
-    alphabet = list("abcdé \n\x01.")
-    texts = ["".join(rng.choice(alphabet, rng.integers(0, 120))) for _ in range(120)] + [None, ""]
-    t, e = library(path), bpe.PieceEncoder(pieces, bpe._library(path), gap)
+    alphabet = list("abcdé \n\x01.漢Σİ'\u0301s") + ["\u0181", "<|endoftext|>", "  ", "ẞ"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 120))) for _ in range(3000)] + [None, ""]
+    t, e = Tokenizer.from_file(path), encoder(path)
     assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("path, encoder", [(WORDS, bpe.word_end_encoder), (BYTES, bpe.byte_level_encoder)])
+def test_long_runs(path, encoder):
+    t, e = Tokenizer.from_file(path), encoder(path)
+    texts = [c * 300_000 for c in ("a", " ", "\n", "1", "!", "é", "ab ", "\n ")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 
