@@ -52,8 +52,11 @@ def raw_state(raw: Column) -> Column:
             .when(flagged, F.lit("pipeline_error"))
         )
 
+    # the common case needs neither the strip nor a parse
+    plain = raw.startswith("{") & raw.endswith("}") & ~marked
     return (
-        F.when(raw.isNull() | (s == ""), F.lit("empty"))
+        F.when(plain, F.lit(None).cast("string"))
+        .when(raw.isNull() | (s == ""), F.lit("empty"))
         .when(~(s.startswith("{") & s.endswith("}")), F.lit("invalid_json"))
         .when(marked, let(F.try_parse_json(raw), parsed_state))
     )

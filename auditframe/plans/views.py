@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.sources.tables import table
+from auditframe.sources.tables import dealt, table
 
 # Model names and their order in the reports.
 MODELS = ("chatgpt", "claude", "deepseek")
@@ -30,7 +30,7 @@ OK_RAW = '{"ok":true}'
 
 
 def _micro_text(u: Column) -> Column:
-    return F.format_string("%d.%06d", F.floor(u / 1_000_000).cast("bigint"), F.pmod(u, F.lit(1_000_000)))
+    return F.concat((u / 1_000_000).cast("bigint").cast("string"), F.lit("."), F.lpad(F.pmod(u, F.lit(1_000_000)).cast("string"), 6, "0"))
 
 
 def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,10 @@ def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a file is (l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_orderkey,
     l_linenumber).
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    li = dealt(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
-    )
+    ), "l_orderkey", "l_partkey", "l_linenumber")
     ordinal = (F.pmod(F.col("l_linenumber") - 1, F.lit(len(MODELS))) + 1).cast("int")
     r = F.pmod(F.col("l_partkey"), F.lit(SCORED_MOD))
     e_u = F.round(F.col("l_discount") * 100).cast("bigint") * 100000
@@ -175,7 +175,7 @@ def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     padding by residue; commit URL, message, repo name and CWE text built
     from the id so metadata merges have something to merge.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     k = F.col("doc_id")
     t = F.col("text")
     ks = k.cast("string")
@@ -225,7 +225,7 @@ def turn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``(conv_id + turn) % 7 = 0`` lines are unreadable lines that reset the
     pairing; commit / CVE metadata disagree by residue.
     """
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = dealt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
     conv = F.col("conv_id")
     turn = F.col("turn")
     bad = (F.col("role") == "system") | (F.pmod(conv + turn, F.lit(7)) == 0)
@@ -249,7 +249,7 @@ def megavul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``is_vul`` false or null by residue, blank fields by residue, diff text
     built from the first lines of before/after, null commit hashes.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     k = F.col("doc_id")
     t = F.col("text")
     after = F.replace(t, F.lit("e"), F.lit("a"))
@@ -277,7 +277,7 @@ def attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     object, fenced, lack a closer, have a comma too many or follow another
     value. ``event_ts`` / ``event_id`` order the attempts of one call.
     """
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    e = dealt(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"), "event_id")
     k = F.col("event_id")
     err = F.col("event_type") == "error"
     payload = (
@@ -398,7 +398,7 @@ def reposvul_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     target 0 / outdated / duplicate function ids / padded keys by residue; the
     CWE field has one or two entries.
     """
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     k = F.col("o_orderkey")
     ks = k.cast("string")
     fid = F.when(F.pmod(k, F.lit(17)) == 1, k - 1).otherwise(k)
@@ -426,7 +426,7 @@ def reposvul_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototype, a helper that mentions the function in a comment and a string
     with a brace, and the fixed definition; some files are absent, some still
     hold the vulnerable text, some hold another function."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     k = F.col("o_orderkey")
     ks = k.cast("string")
     name = F.concat(F.lit("f_"), ks)

@@ -16,3 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
+
+
+#: Session setting: over how many tasks narrow scans are dealt. Unset, the default,
+#: tasks follow the files' cuts, as is right where tables are many files; a table
+#: that is one file of one row group is one task otherwise.
+SCAN_PARTITIONS = "auditframe.scan.partitions"
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as ``SCAN_PARTITIONS`` says."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n), *keys) if n else df
