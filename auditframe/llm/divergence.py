@@ -91,9 +91,13 @@ def group_term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col:
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + terms)), exactly."""
-    whole = lambda c: c.cast("decimal(19,0)")
-    return F.lit(1).cast("bigint") + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * whole(n + 1), whole(total + terms))
+    """1 + floor(SCALE * (n + 1) / (total + terms)), exactly, as a long division by
+    thousands: no step leaves 64 bits while counts stay below 9 * 10**15."""
+    rest, whole, out = n + 1, total + terms, F.lit(0).cast("bigint")
+    for _ in range(3):
+        rest = rest * 1000
+        out, rest = out * 1000 + F.call_function("div", rest, whole), rest % whole
+    return out + 1
 
 
 def _excess(p: Column, q: Column) -> Column:
@@ -112,20 +116,21 @@ def audit(
     with count 0 for every kept term; without kept terms every pair has value 0.
     Rows that repeat are counted each. Extra columns are ignored; an empty table
     gives an empty result. Sums are 64-bit: a share is at most SCALE + 1."""
-    counts = scratch.write(
-        group_term_counts(docs, text_col, lang_col, source_col).groupBy("lang", "source", "term")
-        .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    by_term = (
-        counts.where("term is not null").groupBy("lang", "term")
-        .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("uses"))
-        .where(F.col("docs") >= least_documents).drop("docs"))
-    kept = scratch.write(by_term)
+    # the tasks have added up their rows, so they are dealt by term at once: the sums
+    # per source and the sources of a term need no further exchange
+    dealt = group_term_counts(docs, text_col, lang_col, source_col).repartition("lang", "term")
+    kept = scratch.write(
+        dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        .groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("uses"))
+        .where(F.col("term").isNull() | (F.col("docs") >= least_documents)).drop("docs"))
+    occurring = kept.where("term is null").select("lang", F.inline("uses").alias("source", "n")).drop("n")
+    kept = kept.where("term is not null")
     uses = kept.select("lang", "term", F.col("n").alias("lang_n"), F.inline("uses").alias("source", "n"))
 
     languages = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("terms"))
     totals = uses.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("used"))
     groups = (
-        counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(languages, "lang", "left")
+        occurring.join(totals, ["lang", "source"], "left").join(languages, "lang", "left")
         .na.fill(0, ["total", "used", "lang_total", "terms"])
         .withColumn("none", F.when(F.col("terms") > 0, _share(F.lit(0).cast("bigint"), F.col("total"), F.col("terms")))))
     groups = scratch.write(groups)
