@@ -425,7 +425,8 @@ def reposvul_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files at the fixing commits (replacing the download): each holds a
     prototype, a helper that mentions the function in a comment and a string
     with a brace, and the fixed definition; some files are absent, some still
-    hold the vulnerable text, some hold another function."""
+    hold the vulnerable text, some hold another function; in some a stray quote
+    stands in front (an apostrophe in a directive, a digit separator)."""
     o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     k = F.col("o_orderkey")
     ks = k.cast("string")
@@ -434,7 +435,8 @@ def reposvul_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(k, F.lit(31)) == 7, _vulnerable(name, k))
         .when(F.pmod(k, F.lit(37)) == 9, _fixed(F.concat(F.lit("g_"), ks), k)).otherwise(_fixed(name, k)))
     content = F.concat(
-        F.lit("#include <stdio.h>\n\nint "), name, F.lit("(int x);\n\nstatic const char *helper(void)\n{\n  /* see "),
+        F.lit("#include <stdio.h>\n\n"), F.when(F.pmod(k, F.lit(6)) == 1, "#error you can't build \"this\n").when(
+            F.pmod(k, F.lit(6)) == 4, "static const int big = 1'000;\n").otherwise(""), F.lit("int "), name, F.lit("(int x);\n\nstatic const char *helper(void)\n{\n  /* see "),
         name, F.lit("( } */\n  return \"}\";\n}\n\n"), definition, F.lit("\n"),
     )
     return o.where(F.pmod(k, F.lit(29)) != 4).select(

@@ -109,3 +109,10 @@ def test_lines(spark):
     out = RV.convert_reposvul(RV.records_from_lines(lines), _files(spark, FILE))
     got = {r["record_index"]: (r["reason"], r["cwe"]) for r in out.collect()}
     assert got == {1: ("JSONDecodeError", None), 2: ("invalid_record", None), 4: (None, '["CWE-20"]'), 5: ("not_target", None)}
+
+
+def test_quotes_in_front_of_a_definition_mean_nothing():
+    body = "int f(int x)\n{\n  char c = '}'; /* it's } */ // don't }\n  return \"{\"[0];\n}"
+    for front in ("#error you can't build this\n", "int big = 1'000;\n", "/* isn't\" */ char *s = \"\n", "'\"'\"'\n"):
+        assert candidate_bodies(front + body + "\nint g(void) { return f(1); }\n", body, "f") == [(len(front), body)], front
+    assert candidate_bodies("int f(int x)\n{ '\n}\n", "int f(int x)", "f") == []
