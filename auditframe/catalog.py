@@ -83,11 +83,8 @@ def _megavul(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _megavul_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = megavul_records(spark, sf_dir)
-    ok = P.megavul_filter(m).where(F.col("reason").isNull()).select("record_index")
-    return m.join(ok, "record_index", "left_semi").select(
-        "func_before", F.col("func").alias("func_after"), F.col("diff_func").alias("diff")
-    )
+    kept = P.megavul_filter(megavul_records(spark, sf_dir), with_texts=True).where(F.col("reason").isNull())
+    return kept.select("func_before", "func_after", "diff")
 
 
 def pair_queries() -> dict[str, Query]:

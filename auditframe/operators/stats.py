@@ -1,9 +1,8 @@
 """Aggregation building blocks: exact median/mean, zero-filled grids, histograms.
 
 Everything is partial-aggregation friendly: values are first reduced to
-(group, value, count) so hot groups never travel as raw rows, and the only
-window runs over *distinct* values of a group (bounded by the score
-precision, not by the row count).
+(group, value, count) so hot groups never travel as raw rows, and ranks are
+found among the distinct values, spread over tasks (``operators/quantiles.py``).
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import score as S
+from auditframe.operators.quantiles import at_rank, ranked_counts
 
 
 def grid(spark: SparkSession, dims: dict[str, Sequence]) -> DataFrame:
@@ -44,8 +44,8 @@ def value_counts(df: DataFrame, group_cols: Sequence[str], value: Column) -> Dat
 
 def summary_from_counts(counts: DataFrame, group_cols: Sequence[str], skip_col: str | None = None) -> DataFrame:
     """A1 from (group, _v, _n): count, distinct, mean (HALF_UP), exact median,
-    min, max as shortest text. The median's running count is a window over
-    the *distinct* values of a group, never over raw rows.
+    min, max as shortest text. The median is found by rank over the *distinct*
+    values, whose running counts are spread over tasks by value range.
 
     With ``skip_col`` the counts also hold skipped rows (flag true); they are
     left out of the statistics and counted in ``skipped_row_count``, so one
@@ -55,14 +55,11 @@ def summary_from_counts(counts: DataFrame, group_cols: Sequence[str], skip_col:
         raise ValueError("summary statistics need at least one group column")
     keep = ~F.col(skip_col) if skip_col else F.lit(True)
     c = counts.withColumn("_nv", F.when(keep, F.col("_n")).otherwise(F.lit(0)))
-    w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = c.select(*g, "_v", "_n", "_nv", *([skip_col] if skip_col else []),
-                      F.sum("_nv").over(w).alias("_cum"), F.sum("_nv").over(Window.partitionBy(*g)).alias("_tot"))
+    # rows that are left out have no place among the values
+    order = [*g, F.col("_v").asc_nulls_first(), *([skip_col] if skip_col else [])]
+    ranked = ranked_counts(c, g, "_v", "_nv", order)
     k1 = F.floor((F.col("_tot") + 1) / 2)
     k2 = F.floor(F.col("_tot") / 2) + 1
-    lo = F.col("_cum") - F.col("_nv")
-    hit1 = (F.col("_nv") > 0) & (lo < k1) & (k1 <= F.col("_cum"))
-    hit2 = (F.col("_nv") > 0) & (lo < k2) & (k2 <= F.col("_cum"))
     v = F.when(F.col("_nv") > 0, F.col("_v"))
     agg = ranked.groupBy(*g).agg(
         F.sum("_nv").alias("row_count"),
@@ -71,7 +68,7 @@ def summary_from_counts(counts: DataFrame, group_cols: Sequence[str], skip_col:
         F.sum(v * F.col("_nv")).cast(S.BIG).alias("_sum"),
         F.min(v).alias("_min"),
         F.max(v).alias("_max"),
-        (F.sum(F.when(hit1, F.col("_v"))) + F.sum(F.when(hit2, F.col("_v")))).cast(S.BIG).alias("_med2"),
+        (at_rank(k1, "_v", "_nv") + at_rank(k2, "_v", "_nv")).cast(S.BIG).alias("_med2"),
     )
     has = F.col("row_count") > 0
     return agg.select(

@@ -59,7 +59,7 @@ def consensus(
     a, b, c = models
     hi = F.lit(HIGH).cast("decimal(3,2)")
     lo = F.lit(LOW).cast("decimal(3,2)")
-    rows = model_scores(scored, models)
+    rows = cut_lineage(model_scores(scored, models))
     fields = [
         F.col("source_file").alias("source_file"),
         S.decimal_text(F.round(F.col("_sim"), 6)).alias("similarity"),

@@ -20,6 +20,8 @@ from auditframe.functions import text as T
 from auditframe.functions import variant as V
 from auditframe.functions.udfs import unified_diff
 from auditframe.operators.ordinals import with_group_ordinal, with_ordinal, with_running_sums
+from auditframe.operators.quantiles import interpolated, ranked_counts
+from auditframe.session import cut_lineage
 
 # Dataset name -> sample-id fallback prefix.
 SAMPLE_PREFIX = {"vulnerability_score": "vscore"}
@@ -299,11 +301,11 @@ def pair_adjacent(records: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ D3 MegaVul
 def megavul_filter(records: DataFrame, max_diff_chars: int = 1500, max_function_chars: int = 5000,
-                   max_function_lines: int = 500) -> DataFrame:
+                   max_function_lines: int = 500, with_texts: bool = False) -> DataFrame:
     """D3: F5 candidate test (``is_vul`` literally true, three non-blank
     strings) and F6 inclusive length limits; sample id uses the 0-based
     record index. ``reason`` is NULL (written), ``not_vulnerable``,
-    ``invalid`` or ``filtered``."""
+    ``invalid`` or ``filtered``; ``with_texts`` keeps the three texts."""
     for name, limit in (("max_diff_chars", max_diff_chars), ("max_function_chars", max_function_chars),
                         ("max_function_lines", max_function_lines)):
         if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
@@ -333,6 +335,7 @@ def megavul_filter(records: DataFrame, max_diff_chars: int = 1500, max_function_
         F.length(d).alias("diff_length"),
         F.coalesce(F.col("commit_msg"), F.lit("")).alias("commit_msg"),
         F.to_json(F.coalesce(F.col("cwe_ids"), F.array().cast("array<string>"))).alias("cwe"),
+        *([b, a.alias("func_after"), d.alias("diff")] if with_texts else []),
     )
 
 
@@ -378,15 +381,17 @@ def _bin_label(v: Column, bins, labels) -> Column:
 
 def length_profile(pairs: DataFrame) -> DataFrame:
     """D12 / A9 (statistics part): per metric mean, sample std and nine
-    linearly interpolated quantiles, via one ``unpivot`` and one aggregate."""
-    long = _length_long(pairs)
-    pct = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in PERCENTILES]))
-    agg = long.groupBy("metric").agg(
-        F.count("*").alias("sample_count"),
-        F.avg("value").alias("_mean"),
-        F.stddev_samp("value").alias("_std"),
-        pct.alias("_q"),
-    )
+    linearly interpolated quantiles. Lengths are counted per value first; the
+    quantiles are found by rank among the distinct lengths, spread over tasks."""
+    counts = cut_lineage(_length_long(pairs).groupBy("metric", "value").agg(F.count("*").alias("_n"))).withColumn("value", F.col("value").cast("bigint"))
+    n, total = F.sum("_n"), F.sum(F.col("value") * F.col("_n"))
+    squares = F.sum((F.col("value") * F.col("value")).cast("decimal(38,0)") * F.col("_n"))
+    # exact sums; one division each
+    spread = (n.cast("decimal(20,0)") * squares.cast("decimal(38,0)") - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")).cast("double")
+    moments = counts.groupBy("metric").agg(
+        n.alias("sample_count"), (total / n).alias("_mean"),
+        F.when(n > 1, F.sqrt(spread / n.cast("double") / (n - 1).cast("double"))).alias("_std"))
+    agg = moments.join(interpolated(ranked_counts(counts, ["metric"], "value", "_n"), ["metric"], "value", "_n", PERCENTILES), "metric")
     fmt = lambda c: F.format_number(c, 6)
     cols = [F.regexp_replace(fmt(F.col("_q")[i]), ",", "").alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)]
     return agg.select(

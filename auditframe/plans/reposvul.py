@@ -63,17 +63,16 @@ def _filtered(records: DataFrame, include_outdated: bool) -> DataFrame:
 def _folded(cands: DataFrame) -> DataFrame:
     """One row per function id -- the first record, CWE lists united in
     order (trimmed, blanks dropped). The union is built from per-CWE first
-    positions, so a hot function id never collects its copies into one row."""
-    agg = cands.groupBy("function_id").agg(
-        F.min_by(F.struct(*[c for c in cands.columns if c != "function_id"]), F.col("record_index")).alias("_r"),
-        F.count("*").alias("copies"),
-    )
+    positions, so a hot function id never collects its copies into one row.
+    ``record_index`` tells records apart."""
+    # the first record is chosen by its index alone; its texts are joined once
+    agg = cands.groupBy("function_id").agg(F.min("record_index").alias("record_index"), F.count("*").alias("copies"))
     each = cands.select("function_id", "record_index", F.posexplode("cwe_id").alias("_i", "_c")).withColumn(
         "_c", T.py_strip(F.col("_c"))).where(F.col("_c") != "")
     first = each.groupBy("function_id", "_c").agg(F.min(F.struct("record_index", "_i")).alias("_at"))
     union = first.groupBy("function_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_at", "_c"))), lambda x: x["_c"]).alias("cwes"))
-    out = agg.join(union, "function_id", "left").select("function_id", "_r.*", "cwes", "copies")
+    out = cands.join(agg, ["function_id", "record_index"]).join(union, "function_id", "left")
     return out.withColumn("cwes", F.coalesce("cwes", F.array().cast("array<string>")))
 
 
