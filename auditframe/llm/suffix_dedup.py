@@ -119,6 +119,15 @@ def _slices(raw: np.ndarray, offs: np.ndarray, least: int) -> Iterator[tuple[np.
         yield part, np.array([0, len(part)]), a
 
 
+def _joined(lo: np.ndarray, hi: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of ascending begin, those of a row that touch or overlap joined."""
+    if not len(lo):
+        return lo, hi, row
+    reach = np.maximum.accumulate(hi)
+    first = np.flatnonzero(np.concatenate([[True], (lo[1:] > reach[:-1]) | (row[1:] != row[:-1])]))
+    return lo[first], reach[np.append(first[1:], len(lo)) - 1], row[first]
+
+
 def anchors(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(tid, key, at, lo, hi) of (tid, text): windows lo..hi have their anchor at
     ``at``. Rows with a null key: bytes lo..hi-1 repeat at a small distance."""
@@ -129,17 +138,15 @@ def anchors(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
                 row, at, lo, hi, key, settled = find_anchors(part, bounds, least, gram)
                 if not len(row):
                     continue
-                doc = bounds[row] if len(bounds) > 2 else np.zeros(len(row), np.int64) - base
-                at, lo, hi, tid = at - doc, lo - doc, hi - doc, begin + row
                 near = settled > 0
-                here, twin = near, near
-                tids = np.concatenate([tid[~near], tid[here], tid[twin]])
-                keys = pa.array(np.concatenate([key[~near], key[here], key[twin]]).view(np.int64), mask=np.arange(len(tids)) >= (~near).sum())
-                los = np.concatenate([lo[~near], lo[here], lo[twin] + settled[twin]])
-                his = np.concatenate([hi[~near], hi[here] + least, hi[twin] + settled[twin] + least])
-                ats = np.concatenate([at[~near], at[here], at[twin]])
+                low, high, owner = _joined(lo[near], hi[near] + settled[near] + least, row[near])
+                row, at, lo, hi, key = (np.concatenate(c) for c in (
+                    (row[~near], owner), (at[~near], low), (lo[~near], low), (hi[~near], high), (key[~near], np.zeros(len(low), np.uint64))))
+                doc = bounds[row] if len(bounds) > 2 else np.zeros(len(row), np.int64) - base
+                keys = pa.array(key.view(np.int64), mask=np.arange(len(row)) >= len(row) - len(low))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(tids)), keys, pa.array(ats), pa.array(los), pa.array(his)], names=["tid", "key", "at", "lo", "hi"])
+                    [batch.column(0).take(pa.array(begin + row)), keys, pa.array(at - doc), pa.array(lo - doc), pa.array(hi - doc)],
+                    names=["tid", "key", "at", "lo", "hi"])
 
     return arrow_map(texts.select("tid", "text"), run, "tid bigint, key bigint, at bigint, lo bigint, hi bigint")
 
