@@ -38,16 +38,22 @@ class Archive:
     payloads: DataFrame
 
 
+#: Date of the records of a run, unless given; and the head of their blocks.
+WRITTEN = "2000-01-01T00:00:00Z"
+HTTP_HEAD = f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}"
+
+
 def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
 def write_archive(
     scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
-    revisit_bytes: int = REVISIT_BYTES,
+    revisit_bytes: int = REVISIT_BYTES, written: str = WRITTEN,
 ) -> Archive:
     """One record per row. Of equal payloads of at least ``revisit_bytes``, the
-    rows with the smallest id are responses, the others revisit it.
+    rows with the smallest id are responses, the others revisit it. A record's block
+    is an HTTP response around the payload; ``written`` is its date.
 
     Null body: empty payload; null url: no target field; null id: record id
     ``none``, never the smallest unless all are null (then all are responses).
@@ -69,12 +75,13 @@ def write_archive(
     url = F.regexp_replace("url", r"[\r\n]+", "%0A")
     header = F.concat(
         F.lit(f"WARC/1.1{EOL}"), field("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        field("WARC-Record-ID", _record_id(F.col("page_id"))),
+        field("WARC-Record-ID", _record_id(F.col("page_id"))), field("WARC-Date", F.lit(written)),
         F.when(F.col("url").isNotNull(), field("WARC-Target-URI", url)).otherwise(F.lit("")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         F.when(F.col("revisit"), F.concat(
             field("WARC-Refers-To", _record_id(F.col("first_id"))), field("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(F.lit("")),
-        field("Content-Type", F.lit("text/html; charset=utf-8")), field("Content-Length", F.col("bytes").cast("string")))
+        field("Content-Type", F.lit("application/http; msgtype=response")),
+        field("Content-Length", (F.col("bytes") + F.lit(len(HTTP_HEAD) + len(EOL))).cast("string")), F.lit(EOL + HTTP_HEAD))
     headers = scratch.write(typed.select("page_id", "digest", F.encode(header, "UTF-8").alias("header")))
     return Archive(headers, payloads)
 
@@ -110,15 +117,19 @@ def read_records(archive: Archive) -> DataFrame:
 
 
 def parse_record(record: bytes) -> tuple[dict[bytes, bytes], bytes]:
-    """(fields, payload) of one record; the payload is taken by Content-Length."""
+    """(fields, payload) of one record; the block is taken by Content-Length, the
+    payload is what stands behind the block's HTTP head."""
     end = record.index(b"\r\n\r\n") + 2
     if not record.startswith(b"WARC/1.1\r\n"):
         raise ValueError("no WARC record")
     fields = {m[1].lower(): m[2] for m in _FIELD.finditer(record, record.index(b"\r\n") + 2, end)}
     size = int(fields[b"content-length"])
-    payload = record[end + 2:end + 2 + size]
-    if len(payload) != size or record[end + 2 + size:] != b"\r\n\r\n":
+    block = record[end + 2:end + 2 + size]
+    if len(block) != size or record[end + 2 + size:] != b"\r\n\r\n":
         raise ValueError("the record's length is wrong")
+    head, blank, payload = block.partition(b"\r\n\r\n")
+    if not (head.startswith(b"HTTP/") and blank):
+        raise ValueError("the block is no HTTP response")
     return fields, payload
 
 
