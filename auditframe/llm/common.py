@@ -14,7 +14,7 @@ from auditframe.sources.tables import table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-__all__ = ["Scratch", "arrow_map", "ascii_lower", "documents", "table"]
+__all__ = ["Scratch", "arrow_map", "ascii_lower", "documents", "plain_names", "table"]
 
 
 class Scratch:
@@ -65,6 +65,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: no name that an operator uses itself
+    can be among them. ``out.toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table, all rows."""
     return table(spark, sf_dir, "documents")

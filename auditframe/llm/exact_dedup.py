@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import Scratch, ascii_lower
+from auditframe.llm.common import Scratch, ascii_lower, plain_names
 
 #: Mean number of digests in a bucket and in one displacement group of it.
 BUCKET_KEYS = 256
@@ -145,6 +145,8 @@ def exact_duplicates(
 def keep_one_per_text(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` per distinct text (all columns): that with the
     largest id; of rows that repeat id and text, any one."""
+    names, docs = docs.columns, plain_names(docs)
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     found = exact_duplicates(scratch, docs, id_col, text_col)
     winners = scratch.write(
         found.where("kept").groupBy("id", "digest").agg(F.count("*").alias("_listed"))
@@ -152,4 +154,4 @@ def keep_one_per_text(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id",
     hashed = docs.withColumn("_text_digest", text_digest(docs[text_col]))
     kept = hashed.join(winners, (hashed["_text_digest"] == winners["_digest"]) & docs[id_col].eqNullSafe(winners["_id"]))
     again = kept.where("_listed > 1").dropDuplicates(["_id", "_digest"])
-    return kept.where("_listed = 1").unionByName(again).select(*[docs[c] for c in docs.columns])
+    return kept.where("_listed = 1").unionByName(again).select(*docs.columns).toDF(*names)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import Scratch, arrow_map
+from auditframe.llm.common import Scratch, arrow_map, plain_names
 from auditframe.llm.textscan import _BASE, mix64, text_slices, word_hashes
 
 BUCKET_BITS = 18
@@ -236,6 +236,8 @@ def keep_resampled(
 ) -> DataFrame:
     """The rows of ``docs`` (all columns) that the resampling keeps: the keys are
     computed again from the fitted model, so no row has to be found by its id."""
+    names, docs = docs.columns, plain_names(docs)
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     model, scored = fit(scratch, docs, labels, id_col, text_col, **options)
     scratch.drop(scored)
     text_at = docs.columns.index(text_col)
@@ -244,4 +246,4 @@ def keep_resampled(
         keys = _keys(_weights(batch.column(text_at), model.ratios), np.asarray(batch.column(batch.num_columns - 1)))
         yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keys >= model.least_key))
 
-    return arrow_map(docs.select("*", _id_hash(docs[id_col], model.seed).alias("_id_hash")), run, docs.schema)
+    return arrow_map(docs.select("*", _id_hash(docs[id_col], model.seed).alias("id_hash")), run, docs.schema).toDF(*names)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from auditframe.llm.common import Scratch, arrow_map
+from auditframe.llm.common import Scratch, arrow_map, plain_names
 from auditframe.llm.components import connected_components
 from auditframe.llm.textscan import mix64, shingle_set, text_slices, word_hashes
 
@@ -327,6 +327,8 @@ def keep_one_per_group(
     the group's smallest id (null only if it has no other), found by id, shingle
     set and a hash of the text. Rows that repeat id and text are one document and
     share its fate. Rows with an empty set link with nothing and all stay."""
+    names, docs = docs.columns, plain_names(docs)
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     rows, classes = _linked_classes(scratch, docs, id_col, text_col, shingle_words, **options)
     first = F.struct(F.col("first_id").isNull().alias("unnamed"), F.col("first_id").alias("_id"), F.col("node").alias("_set"))
     least = classes.groupBy("component").agg(F.min(first).alias("w")).select("w._id", "w._set")
@@ -342,4 +344,4 @@ def keep_one_per_group(
         one = again.groupBy("_id", "_set").agg(F.min("_hash").alias("_least"))
         same = again["_id"].eqNullSafe(one["_id"]) & (again["_set"] == one["_set"]) & (again["_hash"] == one["_least"])
         out = out.select(*docs.columns).unionByName(again.join(one, same, "left_semi").select(*docs.columns))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)

@@ -1,8 +1,11 @@
 """Importance resampling (5) and the pipeline."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline as P
@@ -101,3 +104,24 @@ def test_stages_on_awkward_tables(spark, awkward, nothing):
 
 def test_stage_names():
     assert [n for n, _ in P.STAGES] == ["quality", "exact", "near", "packing"] and P.ORACLE_SQL is None
+
+
+#: Names that the stages' operators use themselves, and names that differ in case only.
+TAKEN = ("_id", "_digest", "_text_digest", "_listed", "_set", "_node", "_key", "_hash", "_least", "_id_hash", "id", "digest", "node", "row", "h", "c0",
+         "c1", "keep_id", "kept", "w", "bucket", "component", "first_id", "text_")
+
+
+def test_stages_keep_columns_of_any_name(spark, scratch, awkward):
+    from auditframe.llm.exact_dedup import keep_one_per_text
+    from auditframe.llm.importance import keep_resampled
+    from auditframe.llm.minhash import keep_one_per_group
+
+    docs = awkward.select("doc_id", "text", *[F.lit(i).alias(name) for i, name in enumerate(TAKEN)])
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (8, 0, 0), (13, 0, 1)], "doc_id bigint, quality int, toxic int")
+    plain = docs.select("doc_id", "text")
+    for stage in (keep_one_per_text, keep_one_per_group, lambda s, d: keep_resampled(s, d, labels)):
+        out = stage(scratch, docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all([r[n] for n in TAKEN] == list(range(len(TAKEN))) for r in rows)
+        assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(map(tuple, stage(scratch, plain).collect()))

@@ -111,6 +111,44 @@ def test_warc_finds_damage(spark, scratch):
         W.read_records(broken).collect()
 
 
+def test_export_is_read_by_another_parser(spark, scratch, tmp_path):
+    """Fields by the standard library's header parser, blocks by its HTTP client."""
+    import email.parser
+    import http.client
+    import io
+
+    rows = [(1, "http://a/x", "payload é\r\n\r\nmore" * 20), (2, None, "payload é\r\n\r\nmore" * 20), (3, "u", None), (4, "u", "short")]
+    archive = W.write_archive(scratch, pages(spark, rows), written="2024-05-06T07:08:09Z")
+    W.export_warc(W.read_records(archive).orderBy("page_id").coalesce(1), str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("part-*")
+    data, seen = io.BytesIO(file.read_bytes()), []
+    while (first := data.readline()):
+        assert first == b"WARC/1.1\r\n"
+        lines = []
+        while (line := data.readline()) != b"\r\n":
+            lines.append(line)
+        fields = email.parser.BytesParser().parsebytes(b"".join(lines))
+        assert {"WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type"} <= set(fields.keys())
+        assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["Content-Type"] == "application/http; msgtype=response"
+        block = data.read(int(fields["Content-Length"]))
+        assert data.read(4) == b"\r\n\r\n"
+
+        class Sock:
+            def __init__(self, raw):
+                self.raw = raw
+
+            def makefile(self, *args):
+                return io.BytesIO(self.raw)
+
+        response = http.client.HTTPResponse(Sock(block))
+        response.begin()
+        seen.append((fields["WARC-Type"], fields["WARC-Payload-Digest"], response.read()))
+    bodies = [(b or "").encode() for _, _, b in rows]
+    assert [x[2] for x in seen] == bodies
+    assert [x[0] for x in seen] == ["response", "revisit", "response", "response"]
+    assert [x[1] for x in seen] == [f"sha256:{hashlib.sha256(b).hexdigest()}" for b in bodies]
+
+
 def shards_ok(got, rows):
     assert Counter((r["id"], r["size"], r["text_crc32"]) for r in got) == Counter(
         (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
@@ -126,6 +164,34 @@ def test_shards(spark, scratch, awkward, nothing):
     assert S.shard(scratch, nothing).collect() == []
 
 
+def test_bytes_stay_equal_where_ids_repeat(spark, scratch):
+    """Null ids with one text, and one id with many texts, hold most rows."""
+    rows = [(None, "x" * 100)] * 6000 + [(7, f"text {i} " * 10) for i in range(3000)] + [(i, f"own {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = S.shard(scratch, docs).collect()
+    shards_ok(got, rows)
+    load, slots = Counter(), Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["vslot"]] += 1
+    mean = sum(load.values()) / S.SHARDS
+    assert max(load.values()) <= 1.05 * mean and min(load.values()) >= 0.95 * mean
+    assert max(slots.values()) < 60
+
+
+def test_a_stored_map_is_followed(spark, scratch):
+    rows = [(i, "y" * (i % 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed, versions = S.shard_with_map(scratch, docs, shards=5)
+    assert {r["version"] for r in versions.select("version").distinct().collect()} == {0, 1}
+    edited = versions.where("version = 1").withColumn("version", F.lit(2)).withColumn("shard", F.when(F.col("shard") == 4, 0).otherwise(F.col("shard")))
+    again, stored = S.shard_with_map(scratch, docs, shards=5, slot_map=scratch.write(versions.unionByName(edited)))
+    before = {r["id"]: r["shard"] for r in placed.collect()}
+    after = again.collect()
+    shards_ok(after, rows)
+    assert {r["id"]: r["shard"] for r in after} == {i: 0 if s == 4 else s for i, s in before.items()}
+
+
 def test_shards_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = E.queries()["op3_slot_sharding"](spark, SF).withColumnRenamed("doc_id", "id").collect()
