@@ -6,6 +6,7 @@ driver tables (through the views in ``auditframe.plans.views``) in full.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,7 +16,7 @@ from auditframe.plans import reports as R
 from pyspark.sql import functions as F
 
 from auditframe.plans import consensus as C
-from auditframe.session import ship_package
+from auditframe.session import checkpoint_dir, ship_package, track
 from auditframe.plans import inference as X
 from auditframe.plans import pairs as P
 from auditframe.plans.views import MODELS, attempt_rows, megavul_records, pair_rows, sample_rows, scored_results, turn_records
@@ -144,6 +145,21 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.upsert(base, upd)
 
 
+def _delta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 on the delta store: one model's results, then the other models' as a delta."""
+    from auditframe.plans.reports import valid_results
+    from auditframe.streaming.delta import DeltaStore
+
+    v = valid_results(scored_results(spark, sf_dir)).select("sample_id", "similarity", "model", "sample_index")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/auditframe-delta-{uuid.uuid4().hex}"
+    track(root)
+    store = DeltaStore(spark, root, "sample_id string, similarity string")
+    store.upsert(v.where(F.col("model") == MODELS[0]).select("sample_id", "similarity", F.col("sample_index").alias("version")))
+    store.upsert(v.where(F.col("model") != MODELS[0]).select(
+        "sample_id", "similarity", F.when(F.col("model") == MODELS[1], 1).otherwise(2).alias("version")))
+    return store.read()
+
+
 def inference_queries() -> dict[str, Query]:
     return {
         "x4_attempt_resolution": lambda s, d: _resolved(s, d).select(
@@ -154,6 +170,7 @@ def inference_queries() -> dict[str, Query]:
         ),
         "a15_rerun_summary": lambda s, d: X.rerun_summary(_issues(s, d)),
         "s8_result_upsert": _upsert,
+        "s8_delta_upsert": _delta_upsert,
     }
 
 

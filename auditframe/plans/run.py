@@ -9,17 +9,18 @@ id (J3) -> prompt C -> the same chain -> the 26-column result row (P31).
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditframe.functions import text as T
 from auditframe.plans.phases import flatten, issues_of, normalize, phase_reports, wide_reports
-from auditframe.session import cut_lineage
+from auditframe.session import cut_lineage, path_exists, replace_text
 
-__all__ = ["DEFAULT_TEMPLATES", "call_phase", "normalize", "normalized_samples", "phase_documents", "render", "rerun", "run_three_phases"]
+__all__ = ["DEFAULT_TEMPLATES", "call_phase", "normalize", "normalized_samples", "phase_documents", "render", "rerun", "run_resumable", "run_three_phases"]
 
 # Prompt templates are job parameters (``str.format`` syntax). These short
 # defaults carry the placeholders each phase needs; pass the production
@@ -103,6 +104,35 @@ def call_phase(prompts: DataFrame, model_factory: Callable[[], Callable[[pd.Data
     return cut_lineage(prompts.mapInPandas(run, ATTEMPT_SCHEMA))
 
 
+def call_phase_once(
+    prompts: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], ledger: str, slices: int = 16,
+) -> DataFrame:
+    """X1 with an append-only ledger of attempts: the model is called only for
+    (sample, phase) that the ledger does not hold yet.
+
+    Prompts are called in ``slices`` by a hash of their sample, each one job that
+    appends its attempts when all of it is done; what fails costs the calls of one
+    slice, and a later run goes on behind the others. Returns the ledger's attempts
+    of these prompts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = model_factory()
+        for batch in batches:
+            yield model(batch)
+
+    spark, keys = prompts.sparkSession, ["sample_id", "phase"]
+    prompts = cut_lineage(prompts.withColumn("_slice", F.pmod(F.xxhash64("sample_id"), F.lit(slices)).cast("int")))
+    for i in range(slices):
+        part = prompts.where(F.col("_slice") == i).drop("_slice")
+        if path_exists(spark, ledger):
+            part = part.join(spark.read.schema(ATTEMPT_SCHEMA).parquet(ledger).select(*keys), keys, "left_anti")
+        if not part.isEmpty():
+            part.select("sample_id", "phase", "system_prompt", "user_prompt").mapInPandas(run, ATTEMPT_SCHEMA).write.mode("append").parquet(ledger)
+    if not path_exists(spark, ledger):
+        return spark.createDataFrame([], ATTEMPT_SCHEMA)
+    return spark.read.schema(ATTEMPT_SCHEMA).parquet(ledger).join(prompts.select(*keys), keys, "left_semi")
+
+
 def phase_c_prompts(samples: DataFrame, reports: DataFrame, templates: dict[str, dict[str, str]]) -> DataFrame:
     """P28 for phase C: both reports of a sample as JSON texts in its prompt."""
     t = templates["C"]
@@ -117,6 +147,24 @@ def recorded_reports(samples: DataFrame, attempts: DataFrame, phases: Sequence[s
     return cut_lineage(functools.reduce(DataFrame.unionByName, parts))
 
 
+def _first_prompts(s: DataFrame, t: dict[str, dict[str, str]]) -> DataFrame:
+    """P28 for the phases A and B of normalised samples."""
+    vals = {c: F.col(c) for c in s.columns}
+    vals["bug_type"] = vals["cwe_id"] = F.col("cwe")
+    parts = [s.select("sample_id", F.lit(p).alias("phase"), F.lit(t[p]["system"]).alias("system_prompt"),
+                      render(t[p]["user"], vals).alias("user_prompt")) for p in ("A", "B")]
+    return parts[0].unionByName(parts[1])
+
+
+def _three_phases(samples: DataFrame, call: Callable[[DataFrame], DataFrame], templates: dict | None) -> tuple[DataFrame, DataFrame]:
+    t = templates or DEFAULT_TEMPLATES
+    s = cut_lineage(normalized_samples(samples))
+    reports = recorded_reports(s, call(_first_prompts(s, t)), ("A", "B"))
+    reports = reports.unionByName(recorded_reports(s, call(phase_c_prompts(s, reports, t)), ("C",)))
+    issues = issues_of(reports).select(F.current_timestamp().alias("timestamp_utc"), "*")
+    return flatten(wide_reports(s, reports)), issues
+
+
 def run_three_phases(
     samples: DataFrame,
     model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
@@ -126,25 +174,38 @@ def run_three_phases(
     """Results (26 columns) and issues for every sample.
 
     ``workers`` repartitions the prompts before the model call (the
-    reference's worker processes become tasks)."""
-    t = templates or DEFAULT_TEMPLATES
-    s = cut_lineage(normalized_samples(samples))
-    vals = {c: F.col(c) for c in s.columns}
-    vals["bug_type"] = F.col("cwe")
-    vals["cwe_id"] = F.col("cwe")
-    prompts = s.select("sample_id", F.lit("A").alias("phase"), F.lit(t["A"]["system"]).alias("system_prompt"),
-                       render(t["A"]["user"], vals).alias("user_prompt")).unionByName(
-        s.select("sample_id", F.lit("B").alias("phase"), F.lit(t["B"]["system"]).alias("system_prompt"),
-                 render(t["B"]["user"], vals).alias("user_prompt")))
-    if workers:
-        prompts = prompts.repartition(workers)
-    reports = recorded_reports(s, call_phase(prompts, model_factory), ("A", "B"))
-    prompts_c = phase_c_prompts(s, reports, t)
-    if workers:
-        prompts_c = prompts_c.repartition(workers)
-    reports = reports.unionByName(recorded_reports(s, call_phase(prompts_c, model_factory), ("C",)))
-    issues = issues_of(reports).select(F.current_timestamp().alias("timestamp_utc"), "*")
-    return flatten(wide_reports(s, reports)), issues
+    worker processes of a single machine become tasks)."""
+    return _three_phases(samples, lambda p: call_phase(p.repartition(workers) if workers else p, model_factory), templates)
+
+
+def run_resumable(
+    samples: DataFrame,
+    model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    root: str,
+    templates: dict[str, dict[str, str]] | None = None,
+    slices: int = 16,
+) -> str:
+    """X7 as a job that can be run again after a failure: attempts are kept in the
+    ledger ``root/ledger`` and no call is made twice (``rerun`` is for calls whose
+    attempts failed). Results, phase documents and issues are written beside each
+    other and appear together, when ``root/current`` names their folder; returns it."""
+    spark = samples.sparkSession
+    results, issues = _three_phases(samples, lambda p: call_phase_once(p, model_factory, f"{root}/ledger", slices), templates)
+    results = cut_lineage(results)
+    folder = f"run-{uuid.uuid4().hex}"
+    results.write.parquet(f"{root}/{folder}/results")
+    phase_documents(results).write.partitionBy("phase").json(f"{root}/{folder}/documents")
+    issues.write.json(f"{root}/{folder}/issues")
+    replace_text(spark, f"{root}/current", folder)
+    return folder
+
+
+def current_run(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
+    """(results, phase documents) of the last complete ``run_resumable``, or None."""
+    if not path_exists(spark, f"{root}/current"):
+        return None
+    folder = spark.read.option("wholetext", True).text(f"{root}/current").first()[0]
+    return spark.read.parquet(f"{root}/{folder}/results"), spark.read.json(f"{root}/{folder}/documents")
 
 
 def phase_documents(full_results: DataFrame) -> DataFrame:

@@ -109,6 +109,26 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file beside ``path`` and move it there: a reader sees the
+    old text, none for a moment, or the new one, never a part."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    final, temporary = p(path), p(f"{path}.{uuid.uuid4().hex}")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(temporary, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(final, False)
+    if not fs.rename(temporary, final):
+        raise OSError(f"{path} could not be put in place")
+
+
 @contextmanager
 def lineage_scope(spark: SparkSession):
     """Intermediate tables written inside the block go when it ends (those of

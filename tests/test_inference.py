@@ -130,3 +130,46 @@ def test_rerun_job(spark):
     got = {r["sample_id"]: r["position"] for r in results.collect()}
     assert len(got) == 8 and got["s_7"] == 7 and got["s_3"] == 3
     assert [r["sample_id"] for r in issues.collect()] == ["s_7"]
+
+
+def test_a_run_goes_on_behind_what_is_done(spark, tmp_path):
+    """The first run fails in the middle; the second calls the model only for the rest."""
+    from auditframe.plans.run import current_run, run_resumable
+
+    flag, calls, root = str(tmp_path / "works"), str(tmp_path / "calls"), str(tmp_path / "run")
+    stub = stub_model
+
+    def factory():
+        import os
+
+        model = stub()
+
+        def call(batch):
+            if not os.path.exists(flag) and "s_3" in set(batch["sample_id"]):
+                raise RuntimeError("the model is away")
+            with open(calls, "a") as f:
+                f.writelines(f"{s} {p}\n" for s, p in zip(batch["sample_id"], batch["phase"]))
+            return model(batch)
+
+        return call
+
+    rows = [(f"s_{i}", f"int f_{i}(int x) {{ return x; }}", f"int f_{i}(int x) {{ return x + 1; }}", "fix", "NA", "abc", "p", "CWE-79") for i in range(1, 11)]
+    samples = spark.createDataFrame(rows, "sample_id string, func_before string, func_after string, commit_msg string, "
+                                          "bug_description string, commit_id string, project string, cwe string")
+    try:
+        run_resumable(samples, factory, root, slices=4)
+        raise AssertionError("the first run must fail")
+    except AssertionError:
+        raise
+    except Exception as e:
+        assert "the model is away" in str(e)
+    assert current_run(spark, root) is None
+    open(flag, "w").close()
+    run_resumable(samples, factory, root, slices=4)
+    results, documents = current_run(spark, root)
+    assert results.count() == 10 and documents.where("phase = 'combined'").count() == 10
+    made = open(calls).read().split("\n")[:-1]
+    assert len(made) == len(set(made)) == 30
+    run_resumable(samples, factory, root, slices=4)
+    assert open(calls).read().split("\n")[:-1] == made
+    assert current_run(spark, root)[0].count() == 10

@@ -792,6 +792,13 @@ SELECT 'o_' || CAST(o_orderkey AS VARCHAR) AS sample_id, rerun_order, md5(CAST(o
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN ord ON ord.sample_id = 'o_' || CAST(o_orderkey AS VARCHAR)"""
     q["a15_rerun_summary"] = f"""WITH {ATTEMPTS.strip()}
 SELECT count(*) AS issues, count(DISTINCT sample_id) AS failed_samples FROM rs WHERE win IS NULL"""
+    q["s8_delta_upsert"] = f"""WITH {SCORED_VIEW.strip()},
+b AS (SELECT sample_id, {text6('sim_u')} AS similarity, row_number() OVER (ORDER BY sample_index, sample_id) AS position FROM valid WHERE model = 'chatgpt'),
+u AS (SELECT sample_id, arg_max({text6('sim_u')}, model) AS similarity, CASE max(model) WHEN 'claude' THEN 1 ELSE 2 END AS v
+      FROM valid WHERE model <> 'chatgpt' GROUP BY sample_id),
+n AS (SELECT u.*, row_number() OVER (ORDER BY v, sample_id) AS place FROM u ANTI JOIN b USING (sample_id))
+SELECT b.sample_id, coalesce(u.similarity, b.similarity) AS similarity, b.position FROM b LEFT JOIN u USING (sample_id)
+UNION ALL SELECT sample_id, similarity, place + (SELECT count(*) FROM b) FROM n"""
     q["s8_result_upsert"] = f"""WITH {SCORED_VIEW.strip()},
 b AS (SELECT sample_id, {text6('sim_u')} AS similarity, sample_index AS position FROM valid WHERE model = 'chatgpt'),
 u AS (SELECT sample_id, {text6('sim_u')} AS similarity, CASE WHEN model = 'claude' THEN 1 ELSE 2 END AS version
