@@ -79,6 +79,7 @@ def _id_bytes(ids: list[int]) -> bytes:
 
 @functools.cache
 def _tokenizer(path: str):
+    """The library's tokenizer, loaded by a worker that needs it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -87,10 +88,11 @@ def _tokenizer(path: str):
 
 def _special(path: str) -> dict[str, int]:
     """The literals that the library takes out of a text before anything else."""
-    tokens = _tokenizer(path).get_added_tokens_decoder()
-    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokens.values()):
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("normalized", "lstrip", "rstrip", "single_word")):
         raise ValueError("added tokens that depend on the text around them")
-    return {t.content: i for i, t in tokens.items()}
+    return {t["content"]: t["id"] for t in tokens}
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -153,7 +155,6 @@ def word_end_encoder(path: str) -> TextEncoder:
 
     ranks = _ranks(path, _WORD_PATTERN, "</w>", b" ")
     pieces = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    library = _tokenizer(path)
 
     def plain(text: str) -> bytes:
         words = _PLAIN_WORD_PATTERN.findall(text.lower())
@@ -165,7 +166,7 @@ def word_end_encoder(path: str) -> TextEncoder:
         out = []
         for is_plain, run in itertools.groupby(_WORDS.findall(text), lambda w: bool(_PLAIN_WORD.fullmatch(w))):
             run = " ".join(run)
-            out.append(plain(run) if is_plain else _id_bytes(library.encode(run, add_special_tokens=False).ids))
+            out.append(plain(run) if is_plain else _id_bytes(_tokenizer(path).encode(run, add_special_tokens=False).ids))
         return b"".join(out)
 
     return TextEncoder(encode, _special(path))
