@@ -86,7 +86,7 @@ def band(value: Column) -> Column:
 
 
 def band_from_numerator(e, l, f) -> Column:
-    """Band of the *unrounded* similarity (final3 score_band), decided on the
+    """Band of the *unrounded* similarity, decided on the
     exact numerator E+L+F+3*min compared with 6*cut, so no division happens."""
 
     a, b, c = _c(e), _c(l), _c(f)
