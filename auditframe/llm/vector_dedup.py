@@ -3,8 +3,9 @@
 Each of several tables hashes a vector to the signs of its dot products with
 the table's hyperplanes; vectors that share a bucket of any table are candidates.
 A wider sign sketch rules most false candidates out inside the join; the rest
-are verified by their exact cosine. Equal vectors are one class, so a frequent
-vector is compared once. Links are counted and closed to components.
+are verified by their exact cosine. Equal vectors are one class (by 128 bits of
+label and components), so a frequent vector is compared once. Links are counted
+and closed to components.
 
 With angle t between two vectors a sign agrees with probability 1 - t / pi. The
 bits of a table follow the number of classes (a bucket holds few classes by
@@ -50,11 +51,11 @@ def _planes(dims: int, bits: int, stream: int) -> np.ndarray:
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """(id, node, scope, vec): ``node`` identifies label and components, ``scope``
-    label and number of components; both null for vectors that link with nothing."""
+    """(id, h1, h2, scope, vec): 128 bits that identify label and components, 64 bits
+    for label and number of components; all null for vectors that link with nothing."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        node, scope, raw = [], [], []
+        h1, h2, scope, raw = [], [], [], []
         for cell, label in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             v = None
             if label is not None and cell.is_valid and len(cell.values) and not cell.values.null_count:
@@ -62,17 +63,29 @@ def _classes(vectors: DataFrame) -> DataFrame:
                 if not np.isfinite(v).all() or not v.any():
                     v = None
             if v is None:
-                node.append(None), scope.append(None), raw.append(None)
+                for column in (h1, h2, scope, raw):
+                    column.append(None)
                 continue
+            # the last slash ends the label, the number of components tells where they begin
             data, group = v.tobytes(), f"{label}/{len(v)}".encode()
-            short = lambda *parts: int.from_bytes(hashlib.blake2b(b"|".join(parts), digest_size=8).digest(), "little", signed=True)
-            node.append(short(group, data))
-            scope.append(short(group))
+            whole = np.frombuffer(hashlib.blake2b(data + group, digest_size=16).digest(), "<i8")
+            h1.append(int(whole[0]))
+            h2.append(int(whole[1]))
+            scope.append(int.from_bytes(hashlib.blake2b(group, digest_size=8).digest(), "little", signed=True))
             raw.append(data)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(node, pa.int64()), pa.array(scope, pa.int64()), pa.array(raw, pa.binary())], names=["id", "node", "scope", "vec"])
+        longs = [pa.array(column, pa.int64()) for column in (h1, h2, scope)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(raw, pa.binary())], names=["id", "h1", "h2", "scope", "vec"])
+
+    return arrow_map(vectors, run, "id bigint, h1 bigint, h2 bigint, scope bigint, vec binary")
+
 
-    return arrow_map(vectors, run, "id bigint, node bigint, scope bigint, vec binary")
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(node, h1, h2, first_id, size, scope, vec) per class of ``rows``. ``node`` is a
+    number of its own for each, good once the table is written: no two classes share
+    one, whatever their hashes."""
+    classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(
+        F.min("id").alias("first_id"), F.count("*").alias("size"), F.first(F.struct("scope", "vec")).alias("x"))
+    return classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first_id", "size", "x.*")
 
 
 def _hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -108,17 +121,25 @@ def _sketches_near(threshold: float) -> Column:
     return sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0)) <= most
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """``v`` times the power of two that brings its largest component to 0.5 up to 1:
+    products stay finite and no component is rounded."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of one label and length whose cosine reaches the threshold. A bucket
+    is a hash, so classes of two scopes may meet in it."""
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(x.as_buffer(), np.float64), np.frombuffer(y.as_buffer(), np.float64)
-            a, b = a / np.abs(a).max(), b / np.abs(b).max()
+            a, b = (_scaled(np.frombuffer(v.as_buffer(), np.float64)) for v in (x, y))
             keep.append(a @ b / math.sqrt((a @ a) * (b @ b)) >= threshold)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(classes.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a").join(
-        classes.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
+    both = pairs.join(classes.select(F.col("node").alias("a"), F.col("vec").alias("va"), F.col("scope").alias("ga")), "a").join(
+        classes.select(F.col("node").alias("b"), F.col("vec").alias("vb"), F.col("scope").alias("gb")), "b").where("ga = gb")
     return arrow_map(both.select("a", "b", "va", "vb"), run, "a bigint, b bigint")
 
 
@@ -136,10 +157,7 @@ def near_vectors(
     counted each. Extra columns are ignored; an empty table gives an empty result."""
     rows = scratch.write(_classes(vectors.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))))
-    classes = scratch.write(
-        rows.where("node is not null").groupBy("node")
-        .agg(F.min("id").alias("first_id"), F.count("*").alias("size"), F.first(F.struct("scope", "vec")).alias("x"))
-        .select("node", "first_id", "size", "x.*"))
+    classes = scratch.write(_numbered(rows))
     hashed = scratch.write(_hashed(classes, *tables_for(classes.count(), threshold)))
     spread = hashed.select("node", "s0", "s1", "s2", "s3", "scope", F.posexplode("keys").alias("table", "key")).select(
         "node", "s0", "s1", "s2", "s3", F.xxhash64("scope", "table", "key").alias("bucket"))
@@ -153,13 +171,13 @@ def near_vectors(
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = ends.join(sizes.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
     labelled = (
-        classes.select("node", "first_id", "size").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        classes.select("node", "h1", "h2", "first_id", "size").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         .join(linked.withColumnRenamed("a", "node"), "node", "left")
         .withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("size") - 1))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = scratch.write(labelled.join(least, "component").select("node", "n_links", "component_id"))
+    of_class = scratch.write(labelled.join(least, "component").select("h1", "h2", "n_links", "component_id"))
     return (
-        rows.select("id", "node").join(of_node, "node", "left")
+        rows.select("id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
         .select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+                F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))

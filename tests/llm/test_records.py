@@ -280,6 +280,37 @@ def test_vectors(spark, scratch):
     assert V.near_vectors(scratch, df.limit(0)).collect() == []
 
 
+def test_vector_classes_need_both_hashes(spark, scratch):
+    one, other = (np.array(v, float).tobytes() for v in ([1, 0], [0, 1]))
+    rows = [(1, 7, 8, 0, one), (2, 7, 9, 0, other), (3, 7, 8, 0, one), (4, 6, 8, 0, other), (5, None, None, None, None)]
+    got = scratch.write(V._numbered(spark.createDataFrame(rows, "id long, h1 long, h2 long, scope long, vec binary"))).collect()
+    assert sorted((r["h1"], r["h2"], r["first_id"], r["size"], bytes(r["vec"])) for r in got) == [
+        (6, 8, 4, 1, other), (7, 8, 1, 2, one), (7, 9, 2, 1, other)]
+    assert len({r["node"] for r in got}) == 3
+
+
+def test_vectors_of_two_scopes_in_one_bucket(spark):
+    vec = lambda *v: np.array(v, float).tobytes()
+    classes = spark.createDataFrame([(1, 10, vec(1, 2)), (2, 10, vec(2, 4)), (3, 11, vec(1, 2)), (4, 12, vec(1, 2, 3))], "node long, scope long, vec binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    assert [tuple(r) for r in V._verified(pairs, classes, 0.93).collect()] == [(1, 2)]
+
+
+def test_vectors_are_scaled_without_rounding():
+    v = np.random.default_rng(1).normal(size=999)
+    for power in (-900, -1, 0, 3, 900):
+        scaled = V._scaled(np.ldexp(v, power))
+        assert (scaled == V._scaled(v)).all() and 0.5 <= np.abs(scaled).max() < 1
+
+
+def test_vectors_huge_tiny_and_labels_alike(spark, scratch):
+    # labels that hold separators, components beyond the range of a product
+    rows = [(1, [3e300, 4e300], "a/2"), (2, [3e-300, 4e-300], "a/2"), (3, [3.0, 4.0], "a"), (4, [3.0, 4.0], "a/2/2"), (5, [4.0, -3.0], "a/2"), (6, [3.0, 4.0], "a/2")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in V.near_vectors(scratch, df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
 def test_vectors_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = E.queries()["op7_embedding_near_dedup"](spark, SF).collect()
