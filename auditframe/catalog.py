@@ -237,7 +237,7 @@ def key_queries() -> dict[str, Query]:
         """Every order's sample, asked for newest key first."""
         asked = table(spark, sf_dir, "orders").select(
             F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("sample_id"), (-F.col("o_orderkey")).alias("request_order"))
-        return K.lookup_in_order(sample_rows(spark, sf_dir), asked).select("sample_id", "request_order", "commit_id", "project")
+        return K.lookup_in_order(sample_rows(spark, sf_dir), asked, in_plan=True).select("sample_id", "request_order", "commit_id", "project")
 
     def absent(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Samples named by model calls that are not in the input."""

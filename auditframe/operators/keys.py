@@ -6,23 +6,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditframe.operators.checks import enforce, one_problem
+
+
+def _named(key: Column) -> Column:
+    """A key as a message shows it."""
+    return F.coalesce(key.cast("string"), F.lit("null"))
+
 
 def lookup_in_order(samples: DataFrame, requested: DataFrame, key: str = "sample_id",
-                    order: str = "request_order") -> DataFrame:
+                    order: str = "request_order", in_plan: bool = False) -> DataFrame:
     """Samples for the requested ids, in request order; ids that are not
-    found, or found more than once, raise. ``requested`` is (key, order); the
-    samples side is reduced to the requested keys by a semi join first."""
-    found = samples.join(requested.select(key), key, "left_semi")
-    dup = found.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key).take(5)
-    if dup:
-        raise ValueError(f"repeated sample ids in input: {[r[key] for r in dup]}")
-    missing = requested.join(found.select(key), key, "left_anti").select(key).take(5)
-    if missing:
-        raise ValueError(f"sample ids not found: {[r[key] for r in missing]}")
-    return found.join(requested, key, "inner").orderBy(order)
+    found (null too), or found more than once, are an error that names the smallest.
+    ``requested`` is (key, order); the samples side is reduced to the requested
+    keys by a semi join first. One aggregate over the keys alone finds both errors;
+    ``in_plan`` leaves them to the run of the result, otherwise they raise here."""
+    asked = requested.select(key)
+    found = samples.join(asked, key, "left_semi")
+    copies = found.select(key, F.lit(1).alias("_n")).unionByName(asked.select(key, F.lit(0).alias("_n"))).groupBy(key).agg(F.sum("_n").alias("_n"))
+    name, n = _named(F.col(key)), F.col("_n")
+    repeated, missing = F.min(F.when(n > 1, name)), F.min(F.when(n == 0, name))
+    problem = one_problem(
+        copies,
+        (repeated.isNotNull(), F.concat(F.lit("repeated sample ids in input: "), repeated)),
+        (missing.isNotNull(), F.concat(F.lit("sample ids not found: "), missing)))
+    # every request stays in the join, so a run that finds no sample at all still meets the check
+    joined = enforce(requested, problem, in_plan).join(found, key, "left")
+    return joined.select(*samples.columns, *[c for c in requested.columns if c != key]).orderBy(order)
 
 
 def missing_ids(expected: DataFrame, present: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -35,11 +48,12 @@ def repeated_ids(df: DataFrame, key: str = "sample_id") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def require_unique(df: DataFrame, key: str = "sample_id") -> None:
-    """Any repeated id is an error (one aggregate, a handful of ids back)."""
-    dup = repeated_ids(df, key).select(key).take(5)
-    if dup:
-        raise ValueError(f"duplicate {key}: {[r[key] for r in dup]}")
+def require_unique(df: DataFrame, key: str = "sample_id", in_plan: bool = False) -> DataFrame:
+    """``df``; any repeated id is an error that names the smallest (one aggregate
+    over the ids alone). ``in_plan`` leaves it to the run of the result."""
+    least = F.min(_named(F.col(key)))
+    problem = one_problem(repeated_ids(df.select(key), key), (least.isNotNull(), F.concat(F.lit(f"duplicate {key}: "), least)))
+    return enforce(df, problem, in_plan)
 
 
 def union_all_columns(frames: Sequence[DataFrame], extra: Sequence[str] = ()) -> DataFrame:

@@ -114,14 +114,14 @@ def upsert(existing: DataFrame, updates: DataFrame, key: str = "sample_id") -> D
     return kept.unionByName(replaced).unionByName(new)
 
 
-def checked_upsert(existing: DataFrame, updates: DataFrame, key: str = "sample_id") -> DataFrame:
+def checked_upsert(existing: DataFrame, updates: DataFrame, key: str = "sample_id", in_plan: bool = False) -> DataFrame:
     """S8 with the checks of the stored table: another header or a repeated id
-    in it is an error."""
+    in it is an error (with ``in_plan`` the upsert's own jobs find it, the first of
+    which number the new rows while the plan is built)."""
     have, want = set(existing.columns) - {"position"}, set(updates.columns) - {"version"}
     if have != want:
         raise ValueError(f"the result table has other columns: {sorted(have ^ want)}")
-    require_unique(existing, key)
-    return upsert(existing, updates, key)
+    return upsert(require_unique(existing, key, in_plan), updates, key)
 
 
 def call_model(prompts: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],

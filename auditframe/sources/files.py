@@ -17,6 +17,7 @@ from pyspark.sql import types as T_
 
 from auditframe.functions import text as T
 from auditframe.functions import variant as V
+from auditframe.operators.checks import enforce, one_problem
 from auditframe.session import cut_lineage
 from auditframe.sources.splits import csv_records, json_elements, numbered_rows, parquet_rows
 
@@ -97,12 +98,12 @@ def read_samples_parquet(spark: SparkSession, path: str, start: int = 1, end: in
     return _range(parquet_rows(spark, path, start, end, "row_number"), start, end)
 
 
-def read_samples_json(spark: SparkSession, path: str, fail_fast: bool = True) -> DataFrame:
+def read_samples_json(spark: SparkSession, path: str, fail_fast: bool = True, in_plan: bool = False) -> DataFrame:
     """S3 + F13: JSON object / array / JSONL samples, strictly checked.
 
     Non-objects, unknown fields, non-string fields, NaN constants, blank or
     repeated ids are rejected (``reason``); with ``fail_fast`` the first
-    problem raises instead."""
+    problem is an error instead, raised here or, ``in_plan``, by the result's run."""
     if path.lower().endswith(".jsonl"):
         raw = numbered_rows(spark.read.text(path), "row_number").where(T.py_strip(F.col("value")) != "")
         items = raw.select("row_number", F.try_parse_json("value").alias("v"), F.col("value").alias("_text"))
@@ -135,9 +136,9 @@ def read_samples_json(spark: SparkSession, path: str, fail_fast: bool = True) ->
     out = out.join(repeated.select("sample_id", F.lit("duplicate_sample_id").alias("_dup")), "sample_id", "left")
     out = out.withColumn("reason", F.coalesce("reason", "_dup")).drop("_dup")
     if fail_fast:
-        first = out.where(F.col("reason").isNotNull()).orderBy("row_number").select("row_number", "reason").take(1)
-        if first:
-            raise ValueError(f"input item {first[0]['row_number']}: {first[0]['reason']}")
+        first = F.min(F.when(F.col("reason").isNotNull(), F.struct("row_number", "reason")))
+        problem = one_problem(out, (first.isNotNull(), F.format_string("input item %d: %s", first["row_number"], first["reason"])))
+        out = enforce(out, problem, in_plan)
     return out
 
 
@@ -158,10 +159,11 @@ def read_result_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
     return rows.select(*cleaned, F.col(f"f.c{len(header)}").isNotNull().alias("ragged"))
 
 
-def rebuild_from_combined(spark: SparkSession, directory: str) -> DataFrame:
+def rebuild_from_combined(spark: SparkSession, directory: str, in_plan: bool = False) -> DataFrame:
     """Combined JSON documents -> 26-column rows ordered by the trailing
     number of the file name; bad names, repeated numbers, wrong key sets,
-    blank or repeated ids raise."""
+    blank or repeated ids are an error with their counts, raised here or, ``in_plan``,
+    by the result's run."""
     docs = spark.read.option("wholetext", True).text(f"{directory.rstrip('/')}/*.json").select(
         F.col("_metadata.file_name").alias("file_name"), F.try_parse_json("value").alias("v"))
     num = F.regexp_extract("file_name", r"_(\d+)\.json$", 1)
@@ -169,17 +171,16 @@ def rebuild_from_combined(spark: SparkSession, directory: str) -> DataFrame:
     keys = F.array_sort(F.map_keys(F.from_json(F.to_json("v"), "map<string,string>")))
     expected = F.array_sort(F.array(*[F.lit(c) for c in RESULT_COLUMNS]))
     sid = V.string_value(V.field(F.col("v"), "sample_id"))
-    problems = docs.select(
-        F.count_if(F.col("seq").isNull()).alias("bad_name"),
-        F.count_if(~V.is_object(F.col("v"))).alias("not_object"),
-        F.count_if(V.is_object(F.col("v")) & (keys != expected)).alias("wrong_keys"),
-        F.count_if(T.is_blank(sid)).alias("blank_id"),
-        (F.count("*") - F.count_distinct("seq")).alias("repeated_number"),
-        (F.count(sid) - F.count_distinct(sid)).alias("repeated_id"),
-    ).first()
-    bad = {k: v for k, v in problems.asDict().items() if v}
-    if bad:
-        raise ValueError(f"combined JSON problems: {bad}")
+    counts = {
+        "bad_name": F.count_if(F.col("seq").isNull()),
+        "not_object": F.count_if(~V.is_object(F.col("v"))),
+        "wrong_keys": F.count_if(V.is_object(F.col("v")) & (keys != expected)),
+        "blank_id": F.count_if(T.is_blank(sid)),
+        "repeated_number": F.count("*") - F.count_distinct("seq"),
+        "repeated_id": F.count(sid) - F.count_distinct(sid),
+    }
+    bad = F.concat_ws(", ", *[F.when(n != 0, F.concat(F.lit(f"{k}: "), n.cast("string"))) for k, n in counts.items()])
+    docs = enforce(docs, one_problem(docs, (bad != "", F.concat(F.lit("combined JSON problems: "), bad))), in_plan)
     return docs.select("seq", *[csv_cell_of_variant(V.field(F.col("v"), c)).alias(c) for c in RESULT_COLUMNS]) \
         .orderBy("seq").drop("seq")
 

@@ -13,6 +13,50 @@ def test_lookup_in_order(spark):
         K.lookup_in_order(samples, spark.createDataFrame([("z", 1)], "sample_id string, request_order int"))
 
 
+def _jobs(spark, build):
+    """The result of ``build`` and the number of jobs it ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup("checks-in-plan", "checks")
+    try:
+        out = build()
+        return out, len(sc.statusTracker().getJobIdsForGroup("checks-in-plan"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_lookup_checked_by_its_run(spark):
+    samples = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("c", 4), (None, 5)], "sample_id string, v int")
+
+    def lookup(*ids, of=samples):
+        req = spark.createDataFrame([(x, -i) for i, x in enumerate(ids)], "sample_id string, request_order int")
+        out, jobs = _jobs(spark, lambda: K.lookup_in_order(of, req, in_plan=True))
+        assert jobs == 0 and out.columns == ["sample_id", "v", "request_order"]
+        return out
+
+    assert [tuple(r) for r in lookup("a", "b").collect()] == [("b", 2, -1), ("a", 1, 0)]
+    assert [r["v"] for r in lookup("a", "b", "a").collect()] == [1, 2, 1]
+    assert lookup().collect() == []
+    for ids, text in ((("a", "z", "y"), "not found: y"), (("a", None), "not found: null"), (("a", "c"), "repeated sample ids in input: c")):
+        for use in (lambda d: d.collect(), lambda d: d.count(), lambda d: d.select("v").where("v = 1").collect()):
+            with pytest.raises(Exception, match=text):
+                use(lookup(*ids))
+    with pytest.raises(Exception, match="not found: a"):
+        lookup("a", of=samples.where("v > 99")).collect()
+
+
+def test_unique_checked_by_its_run(spark):
+    a = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "sample_id string, v int")
+    out, jobs = _jobs(spark, lambda: K.require_unique(a, in_plan=True))
+    assert jobs == 0 and sorted(r["v"] for r in out.collect()) == [1, 2, 3]
+    assert K.require_unique(a.where("v > 9"), in_plan=True).collect() == []
+    for twice, text in ((a.union(a.where("v = 2")), "duplicate sample_id: b"), (a.union(a.where("v = 3")), "duplicate sample_id: null")):
+        bad = K.require_unique(twice, in_plan=True)
+        with pytest.raises(Exception, match=text):
+            bad.collect()
+        with pytest.raises(ValueError, match=text):
+            K.require_unique(twice)
+
+
 def test_missing_unique_union(spark):
     a = spark.createDataFrame([("a",), ("b",)], "sample_id string")
     b = spark.createDataFrame([("b",)], "sample_id string")
@@ -36,5 +80,8 @@ def test_checked_upsert(spark):
     assert sorted(tuple(r) for r in checked_upsert(old, new).collect()) == [("a", "x", 1), ("b", "z", 2)]
     with pytest.raises(ValueError, match="duplicate"):
         checked_upsert(old.union(old), new)
+    with pytest.raises(Exception, match="duplicate sample_id: a"):
+        # the upsert numbers its new rows as it is built
+        checked_upsert(old.union(old), new, in_plan=True).collect()
     with pytest.raises(ValueError, match="other columns"):
         checked_upsert(old, new.withColumnRenamed("comment", "text"))
