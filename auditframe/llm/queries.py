@@ -120,7 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": OP1, "op2_warc_archive": OP2, "op4_exact_dedup": OP4, "op7_embedding_near_dedup": OP7,
-        "op10_minhash_near_dedup": OP10, "op11_source_divergence": OP11}
+        "op10_minhash_near_dedup": OP10, "op11_source_divergence": OP11, "op12_suffix_dedup": OP12, "op13_target_resampling": OP13}
 
 
 #: Turns by their order; a text is escaped where a control string or an escaped one
@@ -198,6 +198,75 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 
+#: Every 400-byte window by its MD5 (cut from blocks of the text's hex digits), runs of
+#: covered bytes, and what lies between them.
+OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (
+  SELECT doc_id, a, substr(h, 2 * a + 1, 2 * (256 + 399)) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(strlen(text) - 399, 0), 256)) AS a FROM d)
+), windows AS (
+  SELECT doc_id, a + i AS start, md5_number(substr(h, 2 * i + 1, 800)) AS w
+  FROM (SELECT doc_id, a, h, unnest(range(least(256, strlen(h) // 2 - 399))) AS i FROM blocks)
+), repeated AS (
+  SELECT doc_id, start FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, start, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) > 400, true) AS opens FROM repeated
+), numbered AS (
+  SELECT doc_id, start, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM marked
+), spans AS (SELECT doc_id, span, min(start) AS a, max(start) + 400 AS b FROM numbered GROUP BY doc_id, span),
+edges AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, strlen(text), strlen(text) FROM d),
+pieces AS (
+  SELECT doc_id, a AS until, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM edges
+), kept AS (
+  SELECT p.doc_id, sha256(unhex(string_agg(substr(d.h, 2 * since + 1, 2 * (until - since)), '' ORDER BY since))) AS kept_sha256
+  FROM pieces p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id
+), removed AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, strlen(text) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN removed ON d.doc_id = removed.doc_id
+"""
+
+
+#: Checksums bit by bit over the distinct features, sums per bucket, ranks by window.
+OP13 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), both_sides AS (SELECT true AS raw, doc_id, w FROM w UNION ALL SELECT false, NULL, w FROM b),
+features AS (
+  SELECT raw, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+    || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS feature FROM both_sides
+), counted AS (SELECT raw, doc_id, feature, count(*) AS n FROM features GROUP BY ALL),
+bits AS (
+  SELECT feature, flatten(list_transform(range(1, strlen(feature) * 2, 2), lambda i:
+    list_transform(range(8), lambda j: (CAST('0x' || substr(hex(encode(feature)), i, 2) AS BIGINT) >> j) & 1))) AS bits
+  FROM (SELECT DISTINCT feature FROM counted)
+), buckets AS (
+  SELECT feature, xor(4294967295, list_reduce([4294967295::BIGINT] || bits,
+    lambda c, x: xor(c >> 1, 3988292384::BIGINT * (xor(c, x) & 1)))) % 10000 AS bucket FROM bits
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE raw), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE NOT raw), 0)::DOUBLE AS t
+  FROM counted JOIN buckets USING (feature) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS gain FROM sums
+), weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM counted JOIN buckets USING (feature) JOIN gains USING (bucket) WHERE raw GROUP BY doc_id
+), scored AS (
+  SELECT w.doc_id, len(w) >= 20 AS long_enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN weights ON w.doc_id = weights.doc_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id) AS place,
+    5 * count(*) OVER (PARTITION BY long_enough) // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN long_enough AND place <= drawn THEN place END AS rank FROM placed
+"""
+
+
 #: All pairs of a label, and everything reachable by links.
 OP7 = """
 WITH RECURSIVE v AS (

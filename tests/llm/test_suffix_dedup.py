@@ -141,3 +141,18 @@ def test_merging_shards_equals_sorting_all_rows():
         x, y = suffix(a), suffix(b)
         same = next((k for k in range(40) if x[k] != y[k]), 40)
         assert n == max(same - 8, 0)
+
+
+def test_oracle(spark):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents",):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = con.execute(E.oracle_sql()["op12_suffix_dedup"])
+    names = [c[0] for c in want.description]
+    got = E.queries()["op12_suffix_dedup"](spark, folder)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(want.fetchall())

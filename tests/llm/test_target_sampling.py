@@ -115,3 +115,18 @@ def test_plane_sums_are_exact():
     counts[1] = 0
     counts[2, :7] = 10**6
     assert T.plane_weights(counts, T.gain_planes(gains)).tolist() == (counts @ gains).tolist()
+
+
+def test_oracle(spark):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = con.execute(E.oracle_sql()["op13_target_resampling"])
+    names = [c[0] for c in want.description]
+    got = E.queries()["op13_target_resampling"](spark, folder)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(want.fetchall())
