@@ -154,9 +154,18 @@ FENCE_RE = r"(?is)^```(?:json)?[ \t\r\n]+(.*?)\s*```$"
 
 def unwrap_code_fence(c) -> Column:
     """Strip, drop a leading BOM, unwrap a Markdown code fence."""
-    stripped = F.regexp_replace(py_strip(_c(c)), "^﻿+", "")
-    inner = F.regexp_extract(stripped, FENCE_RE, 1)
-    return F.when(stripped.rlike(FENCE_RE), py_strip(inner)).otherwise(stripped)
+    stripped = strip_bom(c)
+    return F.when(stripped.rlike(FENCE_RE), fenced_payload(stripped)).otherwise(stripped)
+
+
+def strip_bom(c) -> Column:
+    """P19, first step: strip, drop a leading BOM."""
+    return F.regexp_replace(py_strip(_c(c)), "^﻿+", "")
+
+
+def fenced_payload(stripped: Column) -> Column:
+    """P19, second step: what stands inside a code fence."""
+    return py_strip(F.regexp_extract(stripped, FENCE_RE, 1))
 
 
 # Secret patterns redacted from diagnostic text.

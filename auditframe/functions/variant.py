@@ -45,8 +45,9 @@ def is_object(v: Column) -> Column:
 
 
 def has_field(v: Column, name: str) -> Column:
-    """True when the object has the key (a JSON null member counts as present)."""
-    return is_object(v) & field(v, name).isNotNull()
+    """True when the object has the key (a JSON null member counts as present).
+    What is no object has no member, so its type is not asked for."""
+    return field(v, name).isNotNull()
 
 
 def is_string(v: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from auditframe.functions import let
 from auditframe.functions import text as T
 from auditframe.functions import variant as V
-from auditframe.functions.jsonfix import model_json_text, redacted
+from auditframe.functions.jsonfix import redacted, with_model_json_text
 from auditframe.operators.contracts import NODE_FIELDS, contract_errors
 from auditframe.session import cut_lineage
 
@@ -122,10 +122,10 @@ def placeholder(phase: str, error_type: Column, message: Column, cwe: Column) ->
 
 def judged_attempts(attempts: DataFrame) -> DataFrame:
     """X4 per attempt: ``body`` (JSON text of the decoded object) or the attempt's
-    ``error_type`` and redacted ``message``."""
+    ``error_type``, redacted ``message`` and, where it gave any, ``model_output``."""
     truncated = F.col("finish_reason") == "length"
     called = F.col("error_type").isNull() & ~F.coalesce(truncated, F.lit(False))
-    decoded = attempts.withColumn("_text", F.when(called, model_json_text(T.unwrap_code_fence(F.coalesce("model_output", F.lit(""))))))
+    decoded = with_model_json_text(attempts, "_text", F.coalesce("model_output", F.lit("")), called)
     is_object = F.coalesce(F.col("_text").startswith("{"), F.lit(False))
     kind = (
         F.when(F.col("error_type").isNotNull(), F.col("error_type")).when(truncated, "ValueError")
@@ -133,7 +133,7 @@ def judged_attempts(attempts: DataFrame) -> DataFrame:
     said = (
         F.when(F.col("error_type").isNotNull(), T.safe_diagnostic_text(F.col("message"), MESSAGE_CHARS))
         .when(truncated, TRUNCATED).when(F.col("_text").isNull(), NOT_JSON).when(~is_object, NOT_OBJECT))
-    shown = F.when(called & F.col("model_output").isNotNull(), T.safe_diagnostic_text(F.col("model_output"), OUTPUT_CHARS))
+    shown = F.when(called & ~is_object & F.col("model_output").isNotNull(), T.safe_diagnostic_text(F.col("model_output"), OUTPUT_CHARS))
     return decoded.select(
         "sample_id", "phase", "attempt", F.when(is_object, F.col("_text")).alias("body"), kind.alias("error_type"), said.alias("message"),
         "status_code", F.when(F.col("request_id") != "", T.safe_diagnostic_text(F.col("request_id"), 500)).alias("request_id"),
@@ -174,8 +174,13 @@ def phase_reports(samples: DataFrame, attempts: DataFrame, phase: str) -> DataFr
 
     ``state`` is ok, call_failed or invalid; ``report`` the JSON text of the valid
     report or of the placeholder; ``violations`` all broken rules; ``issue`` the X5
-    record (NULL when ok)."""
-    calls = resolved_calls(attempts.where(F.col("phase") == phase)).join(samples.select("sample_id", "cwe"), "sample_id")
+    record (NULL when ok). Judging and checking cost far more than the bytes they
+    read, so the calls are dealt by sample over the session's shuffle partitions,
+    whatever the files' cuts and however small the rows; the join keeps that dealing
+    (a broadcast of small calls would leave the work to the samples' one scan)."""
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = attempts.where(F.col("phase") == phase).repartition(tasks, "sample_id")
+    calls = resolved_calls(dealt).join(samples.select("sample_id", "cwe").hint("merge"), "sample_id")
     # the decoded report is bound to a written column: later expressions name it
     # many times and would repeat the parse
     parsed = cut_lineage(calls.withColumn("given", F.try_parse_json("body")).withColumn("report", normalize(phase, F.col("given"), F.col("cwe"))))
@@ -185,15 +190,18 @@ def phase_reports(samples: DataFrame, attempts: DataFrame, phase: str) -> DataFr
     error_type = F.when(F.col("state") == "call_failed", "ModelCallError").when(F.col("state") == "invalid", "PhaseOutputValidationError")
     said = F.when(F.col("state") == "call_failed", _call_message(F.lit(phase), F.col("attempts"))).when(
         F.col("state") == "invalid", F.concat(F.lit(f"phase {phase} output validation failed: ValueError: "), F.get("violations", F.lit(0))))
-    out = checked.withColumn("state", state).withColumn("error_type", error_type).withColumn("message", T.safe_error_message(said))
+    out = checked.withColumn("state", state).withColumn("error_type", error_type).withColumn("message", F.when(F.col("state") != "ok", T.safe_error_message(said)))
     last = F.get("attempts", F.size("attempts") - 1)
     cause = F.when(F.col("state") == "call_failed", F.struct(last["error_type"].alias("error_type"), T.safe_error_message(last["message"]).alias("message"))).otherwise(
         F.struct(F.lit("ValueError").alias("error_type"), T.safe_error_message(F.get("violations", F.lit(0))).alias("message")))
+    # the arguments of a Python function are evaluated for every row: only what is
+    # shown goes in
+    out = out.withColumn("_rejected", F.when(F.col("state") == "invalid", F.col("given")))
     issue = F.struct(
         "sample_id", F.lit(phase).alias("phase"), "error_type", "message",
         F.struct(
             F.when(F.col("state") == "call_failed", F.col("attempts")).alias("attempts"),
-            F.when(F.col("state") == "invalid", F.to_json(redacted(F.col("given")))).alias("model_output"),
+            F.when(F.col("state") == "invalid", F.to_json(redacted(F.col("_rejected")))).alias("model_output"),
             F.array(cause).alias("cause_chain")).alias("details"))
     failed = F.col("state") != "ok"
     report = F.when(failed, placeholder(phase, F.col("error_type"), F.col("message"), F.col("cwe"))).otherwise(F.col("report"))
