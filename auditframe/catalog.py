@@ -16,7 +16,7 @@ from auditframe.plans import reports as R
 from pyspark.sql import functions as F
 
 from auditframe.plans import consensus as C
-from auditframe.session import checkpoint_dir, ship_package, track
+from auditframe.session import checkpoint_dir, cut_lineage, ship_package, track
 from auditframe.plans import inference as X
 from auditframe.plans import pairs as P
 from auditframe.plans.views import MODELS, attempt_rows, megavul_records, pair_rows, sample_rows, scored_results, turn_records
@@ -137,7 +137,8 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.plans.reports import valid_results
 
-    v = valid_results(scored_results(spark, sf_dir))
+    # written once: the upsert reads its tables several times
+    v = cut_lineage(valid_results(scored_results(spark, sf_dir)).select("sample_id", "similarity", "model", "sample_index"))
     base = v.where(F.col("model") == MODELS[0]).select("sample_id", "similarity", F.col("sample_index").alias("position"))
     upd = v.where(F.col("model") != MODELS[0]).select(
         "sample_id", "similarity", F.when(F.col("model") == MODELS[1], 1).otherwise(2).alias("version")
@@ -150,7 +151,7 @@ def _delta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditframe.plans.reports import valid_results
     from auditframe.streaming.delta import DeltaStore
 
-    v = valid_results(scored_results(spark, sf_dir)).select("sample_id", "similarity", "model", "sample_index")
+    v = cut_lineage(valid_results(scored_results(spark, sf_dir)).select("sample_id", "similarity", "model", "sample_index"))
     root = f"{checkpoint_dir(spark).rstrip('/')}/auditframe-delta-{uuid.uuid4().hex}"
     track(root)
     store = DeltaStore(spark, root, "sample_id string, similarity string")

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from auditframe.functions.text import py_strip
+from auditframe.functions.text import py_strip, strip_field
 
 # Result-table column names the scorers read.
 SCORE_COLUMNS = (
@@ -48,7 +48,7 @@ def _c(c) -> Column:
 
 def parse_score(c) -> Column:
     """P10: text -> DECIMAL(18,9); NULL for blank, non-number, NaN, infinity."""
-    return py_strip(_c(c)).try_cast(SCORE_TYPE)
+    return strip_field(_c(c)).try_cast(SCORE_TYPE)
 
 
 def is_non_finite_text(c) -> Column:

@@ -38,6 +38,16 @@ def py_strip(c) -> Column:
     return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
+def strip_field(c) -> Column:
+    """``py_strip`` of a short stored field, which seldom needs it: a text whose first
+    and last characters are visible ASCII is taken as it is, since ``btrim`` looks up
+    every character at the ends and copies the text. For plain columns: ``c`` is named
+    four times."""
+    t = _c(c)
+    visible = (t >= F.lit("!")) & (t < F.lit("\u007f")) & F.right(t, F.lit(1)).between(F.lit("!"), F.lit("~"))
+    return F.when(visible, t).otherwise(py_strip(t))
+
+
 def clean(c) -> Column:
     """Null -> "", NUL removed, surrounding white space stripped."""
     return py_strip(F.replace(F.coalesce(_c(c), F.lit("")), F.lit("\u0000"), F.lit("")))

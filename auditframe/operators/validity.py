@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from auditframe.functions import let
 from auditframe.functions import score as S
 from auditframe.functions import variant as V
-from auditframe.functions.text import py_strip
+from auditframe.functions.text import py_strip, strip_field
 
 # Marker keys of a placeholder report.
 MARKERS = ("pipeline_placeholder", "pipeline_error")
@@ -98,7 +98,7 @@ def error_reasons(df: DataFrame) -> Column:
     construction; ``concat_ws`` skips the checks that passed. Needs the
     columns of ``add_row_checks``; the duplicate-id reason is added by the
     dedup step (U4)."""
-    sid = py_strip(F.coalesce(F.col("sample_id"), F.lit("")))
+    sid = F.coalesce(strip_field("sample_id"), F.lit(""))
     items: list[Column] = [F.when(S.sample_suffix(sid).isNull(), F.lit("invalid_sample_id_suffix"))]
     for c in S.RAW_COLUMNS:
         st = f"{CHECK_PREFIX}{c}"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions import score as S
-from auditframe.functions.text import py_strip
+from auditframe.functions.text import strip_field
 from auditframe.operators import stats
 from auditframe.operators.validity import add_row_checks, drop_checks, error_reasons, has_pipeline_error, require_columns
 from auditframe.plans.views import MODELS, SCORED_TEXT_COLUMNS
@@ -118,7 +118,7 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
         return df
     checked = _checked(df, text_columns)
     base = drop_checks(checked.withColumn("_reasons0", error_reasons(checked)))
-    base = base.withColumn("sample_id", py_strip(F.coalesce(F.col("sample_id"), F.lit(""))))
+    base = base.withColumn("sample_id", F.coalesce(strip_field("sample_id"), F.lit("")))
     base = base.withColumn("_pos", F.struct("file_ord", "row_key"))
     keep = ["model", "sample_id", "source_file", "_pos", "_reasons0", "_e", "_l", "_f"]
     base = cut_lineage(base.select(*keep))
@@ -137,7 +137,8 @@ def model_rows(df: DataFrame, text_columns: Sequence[str] = SCORED_TEXT_COLUMNS)
     out = out.withColumn("_sim", S.similarity(F.col("_e"), F.col("_l"), F.col("_f"))).withColumn(
         "score_band", S.band_from_numerator("_e", "_l", "_f")
     )
-    return out.drop("_first")
+    # the place of a row has done its work; it is the widest part of it
+    return out.drop("_first", "_pos", "_reasons0")
 
 
 def valid_with_common(df: DataFrame, models: Sequence[str]) -> DataFrame:
