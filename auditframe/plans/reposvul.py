@@ -60,20 +60,29 @@ def _filtered(records: DataFrame, include_outdated: bool) -> DataFrame:
     return out.drop("line_reason")
 
 
+def _copies(cands: DataFrame) -> DataFrame:
+    """(function_id, record_index, copies): the first record of every function id."""
+    return cands.groupBy("function_id").agg(F.min("record_index").alias("record_index"), F.count("*").alias("copies"))
+
+
 def _folded(cands: DataFrame) -> DataFrame:
     """One row per function id -- the first record, CWE lists united in
     order (trimmed, blanks dropped). The union is built from per-CWE first
-    positions, so a hot function id never collects its copies into one row.
-    ``record_index`` tells records apart."""
-    # the first record is chosen by its index alone; its texts are joined once
-    agg = cands.groupBy("function_id").agg(F.min("record_index").alias("record_index"), F.count("*").alias("copies"))
-    each = cands.select("function_id", "record_index", F.posexplode("cwe_id").alias("_i", "_c")).withColumn(
+    positions, so a hot function id never collects its copies into one row; the list
+    of an id without copies is its own union. ``record_index`` tells records apart."""
+    # the first record is chosen by its index alone; its texts are joined once, when
+    # the union is known
+    agg = _copies(cands)
+    repeated = cands.select("function_id", "record_index", "cwe_id").join(agg.where(F.col("copies") > 1).select("function_id"), "function_id")
+    each = repeated.select("function_id", "record_index", F.posexplode("cwe_id").alias("_i", "_c")).withColumn(
         "_c", T.py_strip(F.col("_c"))).where(F.col("_c") != "")
     first = each.groupBy("function_id", "_c").agg(F.min(F.struct("record_index", "_i")).alias("_at"))
     union = first.groupBy("function_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_c"))), lambda x: x["_c"]).alias("cwes"))
-    out = cands.join(agg, ["function_id", "record_index"]).join(union, "function_id", "left")
-    return out.withColumn("cwes", F.coalesce("cwes", F.array().cast("array<string>")))
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_c"))), lambda x: x["_c"]).alias("_union"))
+    out = cands.join(agg.join(union, "function_id", "left"), ["function_id", "record_index"])
+    own = F.array_distinct(F.filter(F.transform("cwe_id", T.py_strip), lambda c: c != ""))
+    cwes = F.coalesce(F.when(F.col("copies") > 1, F.col("_union")).otherwise(own), F.array().cast("array<string>"))
+    return out.withColumn("cwes", cwes).drop("_union")
 
 
 def file_key(project, commit, path) -> dict[str, Column]:
@@ -94,8 +103,8 @@ def convert_reposvul(
     counts. A written row has no column longer than ``max_field_chars``."""
     f = _filtered(records, include_outdated)
     rejects = f.where(F.col("reason").isNotNull()).select("record_index", "function_id", "reason")
-    kept = _folded(f.where(F.col("reason").isNull()).drop("reason"))
-    dup = kept.where(F.col("copies") > 1)
+    cands = f.where(F.col("reason").isNull()).drop("reason")
+    kept = _folded(cands)
     key = ["k_project", "k_commit", "k_path"]
     keyed = kept.withColumns(file_key("project", "commit_id", "file_name")).withColumns({
         "fname": T.function_name(F.col("function")), "func_before": T.clean(F.col("function"))})
@@ -132,9 +141,11 @@ def convert_reposvul(
     )
     longest = F.greatest(*[F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in PAIR_FIELDS])
     written = written.withColumn("reason", F.coalesce("reason", F.when(longest > max_field_chars, F.lit("oversized_csv_field"))))
-    folded = dup.select("function_id").join(
-        f.where(F.col("reason").isNull()).select("record_index", "function_id"), "function_id"
-    ).join(kept.select("function_id", F.col("record_index").alias("_first")), "function_id").where(
+    # the copies take no texts and no CWE lists along
+    index = cands.select("function_id", "record_index")
+    dup = index.join(_copies(cands).where(F.col("copies") > 1), ["function_id", "record_index"]).drop("copies")
+    folded = dup.select("function_id").join(index, "function_id").join(
+        dup.withColumnRenamed("record_index", "_first"), "function_id").where(
         F.col("record_index") != F.col("_first")
     ).select("record_index", "function_id", F.lit("duplicate_function").alias("reason"))
     return written.unionByName(rejects.unionByName(folded), allowMissingColumns=True)
