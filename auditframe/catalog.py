@@ -181,30 +181,30 @@ def phase_queries() -> dict[str, Query]:
     from auditframe.plans.run import DEFAULT_TEMPLATES, normalized_samples, phase_c_prompts, recorded_reports
     from auditframe.plans.views import nested_details, response_rows
 
-    def reports(spark: SparkSession, sf_dir: str, names=H.PHASES) -> DataFrame:
-        return recorded_reports(normalized_samples(sample_rows(spark, sf_dir)), response_rows(spark, sf_dir), names)
+    def reports(spark: SparkSession, sf_dir: str, *columns: str, names=H.PHASES) -> DataFrame:
+        return recorded_reports(normalized_samples(sample_rows(spark, sf_dir)), response_rows(spark, sf_dir), names, columns)
 
     def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The issue records; the attempts of a failed call as one text each."""
         d = F.col("details")
         tried = F.transform(F.coalesce(d["attempts"], F.array()), lambda a: F.concat_ws(
             "|", a["attempt"].cast("string"), a["error_type"], a["message"], a["status_code"].cast("string"), a["request_id"], a["finish_reason"], a["model_output"]))
-        return H.issues_of(reports(spark, sf_dir)).select(
+        return H.issues_of(reports(spark, sf_dir, "issue")).select(
             "sample_id", "phase", "error_type", "message", F.array_join(tried, " / ").alias("attempts"), d["model_output"].alias("model_output"),
             d["cause_chain"][0]["error_type"].alias("cause_type"), d["cause_chain"][0]["message"].alias("cause_message"))
 
     def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         """J3 + P28: the phase C prompts over the reports of A and B."""
         samples = normalized_samples(sample_rows(spark, sf_dir))
-        return phase_c_prompts(samples, reports(spark, sf_dir, ("A", "B")), DEFAULT_TEMPLATES).select("sample_id", "user_prompt")
+        return phase_c_prompts(samples, reports(spark, sf_dir, "sample_id", "phase", "report", names=("A", "B")), DEFAULT_TEMPLATES).select("sample_id", "user_prompt")
 
     return {
-        "x2_phase_reports": lambda s, d: reports(s, d).select(
+        "x2_phase_reports": lambda s, d: reports(s, d, "sample_id", "phase", "state", "attempts_used", "report", "violations").select(
             "sample_id", "phase", "state", "attempts_used", "report", F.size("violations").cast("bigint").alias("violations")),
-        "f9_f11_violations": lambda s, d: H.violations_of(reports(s, d)),
+        "f9_f11_violations": lambda s, d: H.violations_of(reports(s, d, "sample_id", "phase", "violations")),
         "x5_issues": issues,
         "j3_phase_c_prompts": prompts,
-        "p31_result_rows": lambda s, d: H.flatten(H.wide_reports(normalized_samples(sample_rows(s, d)), reports(s, d))),
+        "p31_result_rows": lambda s, d: H.flatten(H.wide_reports(normalized_samples(sample_rows(s, d)), reports(s, d, "sample_id", "phase", "report"))),
         "p22_redacted_details": lambda s, d: nested_details(s, d).select("event_id", F.to_json(redacted(F.col("details"))).alias("details")),
     }
 

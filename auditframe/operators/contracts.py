@@ -9,14 +9,15 @@ field; what an object lacks is listed by the ``Fields`` rule in front.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditframe.functions import let
 from auditframe.functions import variant as V
-from auditframe.functions.text import is_blank
 
 # Required fields per phase and node fields; the message texts below
 # are fixed values too (result tables store them).
@@ -48,30 +49,26 @@ class Fields:
     says: str
 
 
-def _nonblank(v: Column) -> Column:
-    return V.is_string(v) & ~is_blank(V.string_value(v))
-
-
-def _strings(v: Column) -> Column:
+def _strings(v: Column, kind: Column, text: Column) -> Column:
     items = F.try_variant_get(v, "$", "array<variant>")
-    return V.vtype(v).startswith("ARRAY") & F.forall(F.coalesce(items, F.array()), V.is_string)
+    return V.is_array(v, kind) & F.forall(F.coalesce(items, F.array()), lambda x: V.is_string(x))
 
 
-def _finite(v: Column) -> Column:
+def _finite(v: Column, kind: Column, text: Column) -> Column:
     number = F.try_variant_get(v, "$", "double")
-    return V.is_number(v) & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    return V.is_number(v, kind) & ~F.isnan(number) & (F.abs(number) != float("inf"))
 
 
-#: Tests by name: VARIANT -> boolean; NULL counts as failed.
-TESTS: dict[str, Callable[[Column], Column]] = {
-    "object": V.is_object,
+#: Tests by name: VARIANT, its type name and its string -> boolean; NULL counts as failed.
+TESTS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "object": lambda v, kind, text: V.is_object(v, kind),
     "strings": _strings,
-    "text": _nonblank,
-    "text_or_object": lambda v: V.is_object(v) | _nonblank(v),
-    "text_or_null": lambda v: V.is_string(v) | (V.vtype(v) == "VOID"),
-    "boolean": V.is_bool,
-    "integer": V.is_integer,
-    "percent": lambda v: ~V.is_integer(v) | F.try_variant_get(v, "$", "bigint").between(0, 100),
+    "text": V.nonblank,
+    "text_or_object": lambda v, kind, text: V.is_object(v, kind) | V.nonblank(v, kind, text),
+    "text_or_null": lambda v, kind, text: V.is_string(v, kind) | (kind == "VOID"),
+    "boolean": lambda v, kind, text: V.is_bool(v, kind),
+    "integer": lambda v, kind, text: V.is_integer(v, kind),
+    "percent": lambda v, kind, text: ~V.is_integer(v, kind) | F.try_variant_get(v, "$", "bigint").between(0, 100),
     "number": _finite,
 }
 
@@ -130,17 +127,31 @@ def _listed(names: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
 
 
-def violation(rule: Rule | Fields, report: Column, fractions: Column | None = None) -> Column:
-    """What ``rule`` finds wrong with ``report``, or NULL."""
-    value = _at(report, rule.path)
+#: Value, type name and string of what stands at a path of the report.
+Lookup = Callable[[tuple[str, ...]], tuple[Column, Column, Column]]
+
+
+def asked_paths(phase: str) -> tuple[tuple[str, ...], ...]:
+    """The paths below the report that the rules of a phase look at, parents first."""
+    rules = CONTRACTS[phase]
+    found = [r.path for r in rules] + [(*r.path, n) for r in rules if isinstance(r, Fields) for n in r.names]
+    return tuple(sorted(dict.fromkeys(p for p in found if p), key=len))
+
+
+def violation(rule: Rule | Fields, at: Lookup, text: Column | None = None) -> Column:
+    """What ``rule`` finds wrong with the values that ``at`` gives, or NULL."""
+    value, kind, string = at(rule.path)
     if isinstance(rule, Fields):
-        missing = F.array_compact(F.array(*[F.when(~V.has_field(value, f), F.lit(f)) for f in rule.names]))
-        return F.when(V.is_object(value) & (F.size(missing) > 0), F.concat(F.lit(rule.says), _listed(missing)))
-    asked = V.has_field(_at(report, rule.path[:-1]), rule.path[-1]) if rule.path else F.lit(True)
-    passed = TESTS[rule.test](value)
-    if rule.test == "integer" and fractions is not None:
-        passed = passed & ~F.array_contains(fractions, rule.path[-1])
-    return F.when(asked & ~F.coalesce(passed, F.lit(False)), F.lit(rule.says))
+        absent = {f: at((*rule.path, f))[0].isNull() for f in rule.names}
+        missing = F.array_compact(F.array(*[F.when(no, F.lit(f)) for f, no in absent.items()]))
+        return F.when(V.is_object(value, kind) & functools.reduce(Column.__or__, absent.values()), F.concat(F.lit(rule.says), _listed(missing)))
+    passed = TESTS[rule.test](value, kind, string)
+    if rule.test == "integer" and len(rule.path) == 1 and text is not None:
+        # only a text that has such a number as some member is read again
+        written = text.rlike(r":\s*-?[0-9]+[.eE]") & F.get_json_object(text, f"$.{rule.path[0]}").rlike("^-?[0-9]+[.eE]")
+        passed = passed & ~F.coalesce(written, F.lit(False))
+    failed = ~F.coalesce(passed, F.lit(False))
+    return F.when(value.isNotNull() & failed if rule.path else failed, F.lit(rule.says))
 
 
 def contract_errors(phase: str, report: Column, text: Column | None = None) -> Column:
@@ -148,9 +159,22 @@ def contract_errors(phase: str, report: Column, text: Column | None = None) -> C
 
     A VARIANT holds 5.0 as 5; with the JSON ``text`` of the report a number that
     is written with a fraction or an exponent is no integer."""
-    fractions = None
-    if text is not None:
-        names = [r.path[-1] for r in CONTRACTS[phase] if isinstance(r, Rule) and r.test == "integer" and len(r.path) == 1]
-        fractions = F.array_compact(F.array(F.lit(None).cast("string"), *[
-            F.when(F.get_json_object(text, f"$.{n}").rlike("^-?[0-9]+[.eE]"), F.lit(n)) for n in names]))
-    return F.array_compact(F.array(*[violation(rule, report, fractions) for rule in CONTRACTS[phase]]))
+    def at(path: tuple[str, ...]) -> tuple[Column, Column, Column]:
+        value = _at(report, path)
+        return value, V.vtype(value), V.string_value(value)
+
+    return let(broken_rules(phase, at, text), errors_of)
+
+
+_BETWEEN = "\u0000"
+
+
+def broken_rules(phase: str, at: Lookup, text: Column | None = None) -> Column:
+    """What the rules of a phase find wrong with values that are columns already, as one
+    text ("" if nothing): a list of its own function would keep every rule from being
+    compiled. ``errors_of`` makes the list."""
+    return F.concat_ws(_BETWEEN, *[violation(rule, at, text) for rule in CONTRACTS[phase]])
+
+
+def errors_of(broken: Column) -> Column:
+    return F.when(broken == "", F.array().cast("array<string>")).otherwise(F.split(broken, _BETWEEN))

@@ -141,9 +141,10 @@ def phase_c_prompts(samples: DataFrame, reports: DataFrame, templates: dict[str,
         render(t["user"], {"blind_report": F.col("report_A"), "omniscient_report": F.col("report_B")}).alias("user_prompt"))
 
 
-def recorded_reports(samples: DataFrame, attempts: DataFrame, phases: Sequence[str]) -> DataFrame:
-    """X2 of some phases, written once: prompts, issues and results read the same rows."""
-    parts = [phase_reports(samples, attempts, p) for p in phases]
+def recorded_reports(samples: DataFrame, attempts: DataFrame, phases: Sequence[str], columns: Sequence[str] = ("*",)) -> DataFrame:
+    """X2 of some phases, written once: prompts, issues and results read the same rows.
+    ``columns`` are those that are read, so that no others are worked out and kept."""
+    parts = [phase_reports(samples, attempts, p).select(*columns) for p in phases]
     return cut_lineage(functools.reduce(DataFrame.unionByName, parts))
 
 
